@@ -1,0 +1,160 @@
+"""Line dedup: winnowed line fingerprints find repeated runs, which are then deleted.
+
+A window is a shortest stretch of lines that holds ``min_words`` words, reached from its
+first line forwards or from its last line backwards.  Of each window the line of least
+hash is its fingerprint, so any run of lines of that many words, repeated anywhere,
+shares a fingerprint with its other occurrence.  Positions whose fingerprint occurs twice
+are joined; they are extended both ways by the windows around them, which are compared
+as wholes: the lines of windows that occurred before make up the repeated runs.  All
+steps are aggregations and equi joins on hashes: work grows with the lines, never with
+the pairs of a passage's occurrences.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tessaro.llm._work import join_on, settle
+
+MIN_WORDS = 50
+
+
+def line_table(text: str | None) -> tuple[list[int], np.ndarray, np.ndarray]:
+    """Of the lines with a word: their numbers, 64-bit hashes and word counts."""
+    lines = (text or "").encode("utf-8", "replace").split(b"\n")
+    numbers, hashes, counts = [], [], []
+    for i, line in enumerate(lines):
+        if tokens := line.split():
+            numbers.append(i)
+            hashes.append(xxhash.xxh3_64_intdigest(b" ".join(tokens)))
+            counts.append(len(tokens))
+    return numbers, np.array(hashes, np.uint64), np.array(counts, np.int64)
+
+
+def spans(counts: np.ndarray, min_words: int) -> np.ndarray:
+    """(first, last) of every window: shortest from each line forwards, and from each backwards."""
+    total = np.concatenate([[0], np.cumsum(counts)])
+    n = len(counts)
+    ends = np.searchsorted(total, total[:n] + min_words)  # least e with words of [i, e) >= min_words
+    forward = np.stack([np.arange(n), ends - 1], 1)[ends <= n]
+    starts = np.searchsorted(total, total[1:] - min_words, side="right") - 1  # greatest s with words of [s, j] >= min_words
+    backward = np.stack([starts, np.arange(n)], 1)[starts >= 0]
+    return np.unique(np.concatenate([forward, backward]), axis=0)
+
+
+_WINDOWS = "doc_id long, text_hash long, fingerprint long, at int, window long, first int, last int"
+
+
+def _windower(min_words: int):
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32())
+        names = [c.split()[0] for c in _WINDOWS.split(", ")]
+        for batch in batches:
+            rows: list[tuple] = []
+            for doc_id, text_hash, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                numbers, hashes, counts = line_table(text)
+                if counts.sum() < min_words:
+                    continue
+                raw = hashes.tobytes()
+                for a, b in spans(counts, min_words).tolist():
+                    at = a + int(hashes[a : b + 1].argmin()) if b > a else a
+                    whole = xxhash.xxh3_64_intdigest(raw[8 * a : 8 * b + 8], seed=b - a) if b > a else int(hashes[a])
+                    rows.append((doc_id, text_hash, int(hashes[at].view(np.int64)), numbers[at], _signed(whole), numbers[a], numbers[b]))
+            columns = [pa.array(c, k) for c, k in zip(zip(*rows) if rows else [()] * 7, kinds)]
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    return windows
+
+
+def _signed(x: int) -> int:
+    return x - 2**64 if x >= 2**63 else x
+
+
+def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """(doc_id, text_hash, cuts): for each text with later repeats, array of (first, last) line numbers, from 0.
+
+    Occurrences are ordered by doc_id (null first), then a hash of the text, then line:
+    the first one stays.  Rows of equal id and text are one document here, and are cut
+    alike.
+    """
+    read = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), docs["text"].alias("text"))
+    windows = settle(read.where("text is not null").mapInArrow(_windower(min_words), _WINDOWS))
+    # Winnowing: one row a distinct place; partial sums meet, so a passage of very many places is a few rows a task.
+    places = windows.groupBy("fingerprint").agg(
+        F.min(F.struct("doc_id", "text_hash", "at")).alias("low"), F.max(F.struct("doc_id", "text_hash", "at")).alias("high")
+    )
+    repeated = places.where("low <> high").select("fingerprint")
+    found = windows.join(repeated, "fingerprint", "left_semi").select("doc_id", "text_hash", "window", "first", "last")
+    # Extension: every window over a repeated fingerprint, against its first occurrence.
+    found = settle(found)
+    origin = found.groupBy("window").agg(F.min(F.struct("doc_id", "text_hash", "first")).alias("origin"), F.max(F.struct("doc_id", "text_hash", "first")).alias("final"))
+    origin = origin.where("origin <> final").select("window", "origin")
+    later = found.join(origin, "window").where(F.struct("doc_id", "text_hash", "first") > F.col("origin"))
+    return later.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("first", "last")).alias("cuts"))
+
+
+def _without(text: str, cuts: list[dict]) -> tuple[str, int, int]:
+    """text without the lines of cuts, and how many lines and words went."""
+    lines = text.split("\n")
+    gone = np.zeros(len(lines) + 1, np.int64)
+    for c in cuts:
+        gone[c["first"]] += 1
+        gone[c["last"] + 1] -= 1
+    drop = np.cumsum(gone[:-1]) > 0
+    words = sum(len(x.encode("utf-8", "replace").split()) for x, d in zip(lines, drop) if d)
+    return "\n".join(x for x, d in zip(lines, drop) if not d), int(drop.sum()), words
+
+
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts, lines, words = batch.column(0), [0] * batch.num_rows, [0] * batch.num_rows
+        cuts = batch.column(1)
+        if cuts.null_count < batch.num_rows:
+            clean = texts.to_pylist()
+            for i in np.flatnonzero(cuts.is_valid().to_numpy(zero_copy_only=False)).tolist():
+                clean[i], lines[i], words[i] = _without(clean[i], cuts[i].as_py())
+            texts = pa.array(clean, texts.type)
+        names = ["_clean", "_removed_lines", "_removed_words", *(f.name for f in list(batch.schema)[2:])]
+        yield pa.RecordBatch.from_arrays([texts, pa.array(lines, pa.int32()), pa.array(words, pa.int64()), *batch.columns[2:]], names)
+
+
+def _cleaned(docs: DataFrame, min_words: int) -> DataFrame:
+    """_clean, _removed_lines and _removed_words of every row, and its other columns as _c0, _c1, ..."""
+    rows = docs.select(
+        docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(docs["text"]).alias("text_hash"), *[docs[c].alias(f"_c{i}") for i, c in enumerate(docs.columns)]
+    )
+    marked = join_on(rows, repeated_runs(docs, min_words), ["doc_id", "text_hash"], "left")
+    text = docs.columns.index("text")
+    picked = marked.select(f"_c{text}", "cuts", *[f"_c{i}" for i in range(len(docs.columns)) if i != text])
+    kinds = "".join(f", {f.name} {f.dataType.simpleString()}" for f in picked.schema.fields[2:])
+    return picked.mapInArrow(_cut, "_clean string, _removed_lines int, _removed_words long" + kinds)
+
+
+def dedup_report(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """Per row: doc_id, text (cleaned), removed_lines, removed_words.
+
+    A line goes if it lies in a run of lines of at least ``min_words`` words that occurs
+    earlier, in any document or its own.  Lines are compared by their words; lines
+    without words neither count nor break a run, and go with a run they lie inside.  The
+    first occurrence stays.  Null, empty and shorter texts pass unchanged; null ids
+    order first; repeated rows are cut alike; no rows give none.
+    """
+    doc_id = F.col(f"_c{docs.columns.index('doc_id')}").alias("doc_id")
+    out = _cleaned(docs, min_words)
+    return out.select(doc_id, F.col("_clean").alias("text"), F.col("_removed_lines").alias("removed_lines"), F.col("_removed_words").alias("removed_words"))
+
+
+def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """docs with their texts cleaned as in dedup_report; documents of which no word is left are dropped.
+
+    All columns are kept; n_chars, if there is one, is that of the cleaned text.
+    """
+    out = _cleaned(docs, min_words).where((F.col("_removed_words") == 0) | F.col("_clean").rlike(r"[^\x20\x09-\x0D]"))
+    named = {"text": F.col("_clean"), "n_chars": F.length("_clean").cast(dict(docs.dtypes).get("n_chars", "long"))}
+    return out.select(*[named.get(c, F.col(f"_c{i}")).alias(c) for i, c in enumerate(docs.columns)])

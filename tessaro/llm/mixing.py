@@ -19,7 +19,7 @@ from tessaro.llm._work import join_on, running_before, settle, words
 
 WEIGHTS = (5, 2, 1)
 #: Rows of one source that are ordered together.
-BLOCK_ROWS = 20_000
+BLOCK_ROWS = 2_000
 
 
 def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = 1.5, ceiling: float = 2.0) -> DataFrame:

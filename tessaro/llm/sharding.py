@@ -20,7 +20,7 @@ from tessaro.llm._work import join_on, let, running_before, settle
 #: A coordinate has DIGITS digits of BITS bits: the first of the dimension, the rest of the tie-break.
 BITS, DIGITS, DIMENSION_DIGITS = 13, 4, 2
 #: Rows of a shard that get their slots in one task.
-BLOCK_ROWS = 20_000
+BLOCK_ROWS = 2_000
 
 
 @dataclass

@@ -1,6 +1,7 @@
 """Hashed terms of texts, bounded labelled samples, and training by averaged rounds.
 
-A worker keeps one 64-bit number a word: its cell, its shape and a part of its hash.
+A worker keeps one 64-bit number a word: its cell, its stem's cell, its shape and a part
+of its hash.
 Models are trained by Spark: the sample's rows are dealt into a few tasks, each task
 runs an epoch from the current parameters, and the driver averages the parameters,
 whose number is fixed.
@@ -19,6 +20,8 @@ from pyspark.sql import functions as F
 from tessaro.llm._work import settle
 
 CELL_BITS = 18
+#: Bytes of the beginning that words longer than it share as a term of their own: inflections of one stem.
+STEM = 7
 MEMO_WORDS = 500_000
 _EDGES = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _SHAPES = ("plain", "marked", "bare", "capitals", "shout", "digits", "address", "long")
@@ -51,8 +54,10 @@ class _Words(dict):
         if len(self) >= MEMO_WORDS:
             self.clear()
         core = word.strip(_EDGES)
-        h = xxhash.xxh3_64_intdigest((core or word).lower())
-        packed = (h % _CELLS) | _shape(word, core) << CELL_BITS | (h >> 40) << 40
+        shape, h = _shape(word, core), xxhash.xxh3_64_intdigest((core or word).lower())
+        core = core.lower()
+        stem = xxhash.xxh3_64_intdigest(b"\1" + core[:STEM]) if len(core) > STEM else h
+        packed = (h % _CELLS) | (stem % _CELLS) << CELL_BITS | shape << 2 * CELL_BITS | (h >> 40) << 40
         self[word] = packed
         return packed
 
@@ -61,7 +66,7 @@ _words = _Words()
 
 
 def terms(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """(cells, values) of a whole text: 1 for each term it has, and the shares of its words by shape.
+    """(cells, values) of a whole text: 1 for each word and stem it has, and the shares of its words by shape.
 
     Words are split at ASCII white space, stripped of ASCII punctuation and lower-cased.
     No words: no cells.
@@ -70,9 +75,10 @@ def terms(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     if not tokens:
         return np.zeros(0, np.int64), np.zeros(0, np.float32)
     packed = np.fromiter(map(_words.__getitem__, tokens), np.uint64, len(tokens))
-    cells = np.unique((packed & np.uint64(_CELLS - 1)).astype(np.int64))
+    low = np.uint64(_CELLS - 1)
+    cells = np.unique(np.r_[packed & low, (packed >> np.uint64(CELL_BITS)) & low].astype(np.int64))
     n = len(packed)
-    shapes = np.bincount(((packed >> np.uint64(CELL_BITS)) & np.uint64(7)).astype(np.int64), minlength=len(_SHAPES)) / n
+    shapes = np.bincount(((packed >> np.uint64(2 * CELL_BITS)) & np.uint64(7)).astype(np.int64), minlength=len(_SHAPES)) / n
     repeats = np.count_nonzero(packed[1:] == packed[:-1]) / n
     shares = np.r_[shapes, repeats, len(cells) / n].astype(np.float32)
     return np.r_[cells, SHAPE_CELLS], np.r_[np.ones(len(cells), np.float32), shares]
@@ -97,15 +103,15 @@ def labelled_terms(docs: DataFrame, labels: DataFrame, max_rows: int, tasks: int
     return settle(got.repartition(tasks, F.pmod("h", F.lit(tasks))).sortWithinPartitions("h"))
 
 
-def telling_cells(rows: DataFrame, most: int, min_rows: int = 5) -> np.ndarray:
-    """Sorted cells whose values go most with y; shapes are always among them."""
+def telling_cells(rows: DataFrame, most: int, min_rows: int = 5, min_z: float = 4.0) -> np.ndarray:
+    """Sorted cells whose values go most with y, by at least min_z standard deviations; shapes are always among them."""
     n, mean, spread = rows.agg(F.count("*"), F.avg("y"), F.stddev_pop("y")).first()
     if not n or not spread:
         return np.sort(SHAPE_CELLS)
     pairs = rows.select("y", F.explode(F.arrays_zip("cells", "values")).alias("p"))
     by = pairs.groupBy("p.cells").agg(F.count("*").alias("n"), F.sum(F.col("p.values") * (F.col("y") - mean)).alias("s"), F.sum(F.col("p.values") ** 2).alias("q"))
-    strength = F.abs(F.col("s")) / F.sqrt(F.col("q") + 1.0)
-    top = by.where(F.col("n") >= min_rows).orderBy(strength.desc(), "cells").limit(most).collect()
+    strength = F.abs(F.col("s")) / (F.sqrt("q") * spread)
+    top = by.where((F.col("n") >= min_rows) & (F.col("q") > 0) & (strength >= min_z)).orderBy(strength.desc(), "cells").limit(most).collect()
     return np.unique(np.r_[SHAPE_CELLS, [r["cells"] for r in top]].astype(np.int64))
 
 

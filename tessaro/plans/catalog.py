@@ -6,3 +6,18 @@ from collections.abc import Callable
 
 QUERIES: dict[str, Callable] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Registers a function of (spark, sf_dir) under its name, with its SQL."""
+
+    def register(f: Callable) -> Callable:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+from tessaro.plans import parsing_queries, retrieval_queries, store_queries, table_queries  # noqa: E402, F401

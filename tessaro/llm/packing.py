@@ -24,8 +24,8 @@ from tessaro.llm._work import settle
 CAPACITY, END_ID = 4096, 1
 #: Pieces of a block, islands of a block, and how long they evolve.
 BLOCK_PIECES, ISLANDS, EPOCHS, GENERATIONS, POPULATION = 12_000, 3, 2, 12, 4
-#: Words whose ids a worker keeps before it starts afresh.
-MEMO_WORDS = 400_000
+#: Words whose ids a worker keeps before it starts afresh; those of the time before are still looked up.
+MEMO_WORDS = 600_000
 #: Trailing characters that the tokenizer always splits from letters before them; no apostrophe, which it may join.
 _TAIL = b"#$%&*!.,|;:?()\""
 
@@ -42,10 +42,19 @@ class _Ids(dict):
 
         self.full = Tokenizer.from_file(path)
         self.tails: dict[bytes, bytes] = {}
+        self.before: dict[bytes, bytes] = {}
 
     def __missing__(self, word: bytes) -> bytes:
+        ids = self.before.get(word)
+        if ids is None:
+            ids = self.found(word)
         if len(self) >= MEMO_WORDS:
+            self.before = dict(self)
             self.clear()
+        self[word] = ids
+        return ids
+
+    def found(self, word: bytes) -> bytes:
         core = word.lower().rstrip(_TAIL)
         if core.isascii() and core.isalpha():
             tail = word[len(core) :]
@@ -58,7 +67,6 @@ class _Ids(dict):
                 ids += self.tails[tail]
         else:
             ids = self.encode(word)
-        self[word] = ids
         return ids
 
     def encode(self, word: bytes) -> bytes:
@@ -74,7 +82,10 @@ def _ids(path: str) -> _Ids:
 def token_bytes(text: str | None, ids: _Ids) -> bytes:
     """All ids of a text and the end id, four bytes each; null counts as empty."""
     # White space of ASCII ends words here; the tokenizer treats it, and all other white space, as a gap.
-    return b"".join(map(ids.__getitem__, (text or "").encode("utf-8", "replace").split())) + END_ID.to_bytes(4, "little")
+    raw = (text or "").encode("utf-8", "replace")
+    if b"<|" not in raw:  # a special token's name must be met as it is written; all else is lower-cased anyway
+        raw = raw.lower()
+    return b"".join(map(ids.__getitem__, raw.split())) + END_ID.to_bytes(4, "little")
 
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, deal long"

@@ -1,0 +1,58 @@
+from collections import Counter, defaultdict
+
+import pytest
+
+from tessaro.llm.line_dedup import dedup_lines, dedup_report
+
+from .corpus import SCHEMA, corpus, frame, words
+
+
+def brute(rows, least):
+    """Every run of lines of at least ``least`` words, against all earlier ones; id order, ids are unique."""
+    runs = defaultdict(list)
+    tables = {}
+    for doc_id, text in rows:
+        lines = [(i, tuple(words(x))) for i, x in enumerate((text or "").split("\n"))]
+        lines = [(i, w) for i, w in lines if w]
+        tables[doc_id] = lines
+        for a in range(len(lines)):
+            total = 0
+            for b in range(a, len(lines)):
+                total += len(lines[b][1])
+                if total >= least:
+                    runs[tuple(w for _, w in lines[a : b + 1])].append((doc_id, lines[a][0], lines[b][0]))
+    gone = defaultdict(set)
+    for places in runs.values():
+        for doc_id, first, last in sorted(places)[1:]:
+            gone[doc_id].update(range(first, last + 1))
+    return {d: None if t is None else "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone[d]) for d, t in rows}
+
+
+@pytest.mark.parametrize("least", [6, 15, 50])
+def test_matches_all_runs(spark, least):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(5)) for x in "abc")
+    rows = [(r[0], r[1]) for r in corpus(n=30) if r[0] is not None][:-1]
+    extra = [f"{a}\n{b}\n{c}", f"x\n{a}\n{b}\n\n{c}\ny y", f"{b}\n{c}", f"{a}\n{a}\n{a}\n{a}", f"{c}\n{b}\n{a}", f"q {b}\n{c}\n{a}\n{b}", f"\n \n{a}\n\n{b}\n"]
+    rows += [(1000 + i, t) for i, t in enumerate(extra)]
+    got = dedup_report(frame(spark, [(d, t, "en", "s", 0) for d, t in rows]), least).collect()
+    assert {r["doc_id"]: r["text"] for r in got} == brute(rows, least)
+    assert len(got) == len(rows)
+
+
+def test_counts_and_columns(spark):
+    line = " ".join(f"w{i}" for i in range(55))
+    rows = [(1, f"{line}\nown one", "en", "s", 0), (2, f"own two\n{line}", "en", "s", 0), (3, line, "en", "s", 0), (4, None, None, None, None), (5, "", "en", "s", 0)]
+    df = frame(spark, rows)
+    report = {r["doc_id"]: (r["text"], r["removed_lines"], r["removed_words"]) for r in dedup_report(df).collect()}
+    assert report == {1: (rows[0][1], 0, 0), 2: ("own two", 1, 55), 3: ("", 1, 55), 4: (None, 0, 0), 5: ("", 0, 0)}
+    out = dedup_lines(df)
+    assert out.columns == df.columns
+    assert {(r["doc_id"], r["text"], r["n_chars"]) for r in out.collect()} == {(1, rows[0][1], len(rows[0][1])), (2, "own two", 7), (4, None, None), (5, "", 0)}
+
+
+def test_repeated_rows_and_null_ids(spark):
+    line = " ".join(f"w{i}" for i in range(60))
+    rows = [(7, line, "en", "s", 0)] * 2 + [(None, line + "\nz", "en", "s", 0), (8, line + "\ny", "en", "s", 0)]
+    got = Counter((r["doc_id"], r["text"]) for r in dedup_report(frame(spark, rows)).collect())
+    assert got == Counter({(None, line + "\nz"): 1, (7, ""): 2, (8, "y"): 1})
+    assert dedup_report(spark.createDataFrame([], SCHEMA)).count() == 0

@@ -32,6 +32,8 @@ def _decoded(raw: bytes | None) -> str | None:
     if raw is None:
         return None
     for name in ENCODINGS:
+        if name == "utf-16" and raw[:2] not in (b"\xff\xfe", b"\xfe\xff"):
+            continue  # without its mark anything of even length would pass
         try:
             raw.decode(name) if len(raw) <= PROBE_CHARS else raw[: 4 * PROBE_CHARS].decode(name, "strict")
         except UnicodeDecodeError as e:

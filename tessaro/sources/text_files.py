@@ -17,7 +17,7 @@ from pyspark.sql.types import StringType, StructType
 from tessaro.functions.text import html_text
 
 # Tried in this order; latin-1 takes anything.
-ENCODINGS = ("utf-8", "utf-8-sig", "utf-16", "latin-1", "cp1252", "cp1256", "iso-8859-6")
+ENCODINGS = ("utf-8-sig", "utf-8", "utf-16", "latin-1", "cp1252", "cp1256", "iso-8859-6")
 PROBE_CHARS, SNIFF_CHARS, JSON_RECORDS, LOG_LISTED, PROFILE_ROWS = 1024, 8192, 1000, 50, 10_000
 
 

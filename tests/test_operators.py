@@ -188,7 +188,9 @@ def test_routing(spark):
 def test_text_formats(spark, tmp_path):
     assert [r[0] for r in spark.createDataFrame([(b"caf\xc3\xa9",), ("héllo".encode("utf-16"),), (b"caf\xe9",), (None,)], "c binary").select(text_files.decode_text("c")).collect()] == ["café", "héllo", "café", None]
     (tmp_path / "a.csv").write_text("name;age;note\nann;3;\n;;\nbob;4;x;y\n")
-    df = text_files.read_csv(spark, str(tmp_path / "a.csv"))
+    (tmp_path / "b.csv").write_text("name;age\nann;3\nbob;4\n")
+    assert text_files.read_csv(spark, str(tmp_path / "b.csv")).columns == ["name", "age"]
+    df = text_files.read_csv(spark, str(tmp_path / "a.csv"), ";")
     assert [r[0] for r in df.select(text_files.row_text(df)).collect() if r[0]] == ["name: ann | age: 3", "name: bob | age: 4 | note: x"]
     profile = text_files.csv_profile(df, ["name", "age"]).collect()
     assert [(r["n"], r["min_value"], r["mean_value"]) for r in profile] == [(0, None, None), (2, 3.0, 3.5)]

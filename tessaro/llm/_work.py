@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessaro.functions.binding import let  # noqa: F401
+
 #: ASCII white space; a word is a longest run of other characters.
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -59,11 +60,6 @@ def running_before(df: DataFrame, keys: list[str], block: str, order: list[Colum
     return join_on(placed, sums, [*keys, block]).select(*df.columns, before)
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body(value) with value computed once, however often body uses it."""
-    return F.transform(F.array(value), body)[0]
-
-
 def words(text: Column) -> Column:
     """The words of a text, in order; none for null."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE), "")

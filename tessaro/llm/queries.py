@@ -1,4 +1,4 @@
-"""The operators' queries over whole tables, and the SQL of those that SQL can express."""
+"""The operators' queries over whole tables."""
 
 from __future__ import annotations
 
@@ -49,6 +49,3 @@ def op9_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return topk_search.top_k(vectors.where("vec_id % 100 = 0"), vectors)
-
-
-ORACLE_SQL: dict[str, str] = {}

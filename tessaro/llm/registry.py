@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
+from tessaro.llm import oracles
 from tessaro.llm import queries as q
 
 QUERIES = {name: f for name, f in vars(q).items() if name.startswith("op")}
-ORACLE_SQL = dict(q.ORACLE_SQL)
+ORACLE_SQL = dict(oracles.ORACLE_SQL)

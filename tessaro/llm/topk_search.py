@@ -53,13 +53,16 @@ def _packed(group: list) -> pd.DataFrame:
 
 
 def _product(q: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """Exact q @ c.T in int64: in doubles where no partial sum can leave their exact range."""
+    """Exact q @ c.T: in doubles, 64-bit or unbounded integers, whichever no partial sum can leave."""
     bound = float(np.abs(q).max(initial=0)) * float(np.abs(c).max(initial=0)) * q.shape[1]
     if bound < 2**53:
         return (q.astype(np.float64) @ c.astype(np.float64).T).astype(np.int64)
     if bound < 2**63:
         return q @ c.T
-    raise OverflowError("scores beyond 64 bits")
+    scores = q.astype(object) @ c.astype(object).T
+    if len(scores) and len(c) and max(abs(scores.max()), abs(scores.min())) >= 2**63:
+        raise OverflowError("a score does not fit 64 bits")
+    return scores.astype(np.int64)
 
 
 def _best(k: int):

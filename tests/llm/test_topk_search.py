@@ -49,6 +49,6 @@ def test_few_candidates_and_none(spark):
 
 
 def test_large_values_stay_exact(spark):
-    rows = [(i, [1e6 + i, 3e6 - i]) for i in range(12)]
+    rows = [(i, [2e6 - i, 1e6 + i]) for i in range(12)] + [(20 + i, [2.9e6 - i, 1.0 * i]) for i in range(2)]
     got, queries = run(spark, rows, 3)
     assert got == brute(queries, rows, 3)

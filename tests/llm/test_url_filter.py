@@ -78,3 +78,25 @@ def test_components_match_union_find(spark):
     df = spark.createDataFrame([*edges, (None, 4), (7, None)], "src long, dst long")
     got = {r["node"]: r["root"] for r in connected_components(df).collect()}
     assert got == {x: find(x) for a, b in edges if a != b for x in (a, b)}
+
+
+def test_sql_says_the_same(spark, tmp_path):
+    import duckdb
+
+    from tessaro.llm.oracles import OP4
+
+    link = '<html><head><LINK href="{}" rel="canonical"></head>'
+    rows = [
+        (0, "http://x.org/a", link.format("http://bad.net/es/1")), (1, "http://bad.net/es/1", None), (2, "http://y.org/b", '<meta http-equiv="Refresh" content="0; url=http://x.org/a#frag">'),
+        (3, "http://z.org/c", link.format("http://good.com/1")), (4, "http://good.com/1", link.format("http://bad.net/fr/2")), (5, "http://bad.net/fr/2", ""),
+        (6, "http://far.org/d?x", link.format("/e")), (7, "http://far.org/e", link.format("//BAD.net/es/1")), (8, "http://far.org/dir/f?q", link.format("g")),
+        (9, "http://far.org/dir/g", link.format("http://bad.net/es/1")), (10, None, None), (11, "x", "y"), (12, "http://far.org", link.format("e")), (13, "http://A.example.com/en/?", None),
+    ]
+    df = spark.createDataFrame([(*r, "x", "y") for r in rows], SCHEMA)
+    df.select("page_id", "url", "html").coalesce(1).write.parquet(str(tmp_path / "p"))
+    con = duckdb.connect()
+    con.sql(f"create view pages as select * from '{tmp_path}/p/*.parquet'")
+    columns = ("page_id", "host", "path", "rule", "verdict")
+    want = con.sql(OP4)
+    at = [want.columns.index(c) for c in columns]
+    assert sorted(tuple(r[i] for i in at) for r in want.fetchall()) == sorted(tuple(r) for r in judge_urls(df).select(*columns).collect())

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 from functools import reduce
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -63,3 +65,21 @@ def running_before(df: DataFrame, keys: list[str], block: str, order: list[Colum
 def words(text: Column) -> Column:
     """The words of a text, in order; none for null."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE), "")
+
+
+class Remembered(dict):
+    """make(key) for the keys met of late: when ``most`` are held a new generation begins, and the one before is still looked up."""
+
+    def __init__(self, make: Callable[[bytes], Any], most: int):
+        super().__init__()
+        self.make, self.most, self.before = make, most, {}
+
+    def __missing__(self, key: bytes) -> Any:
+        value = self.before.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(self) >= self.most:
+            self.before = dict(self)
+            self.clear()
+        self[key] = value
+        return value

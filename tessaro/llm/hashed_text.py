@@ -9,7 +9,7 @@ whose number is fixed.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,12 +17,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessaro.llm._work import settle
+from tessaro.llm._work import Remembered, settle
 
 CELL_BITS = 18
 #: Bytes of the beginning that words longer than it share as a term of their own: inflections of one stem.
 STEM = 7
-MEMO_WORDS = 500_000
+MEMO_WORDS = 400_000
 _EDGES = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _SHAPES = ("plain", "marked", "bare", "capitals", "shout", "digits", "address", "long")
 _CELLS = 2**CELL_BITS
@@ -49,20 +49,15 @@ def _shape(word: bytes, core: bytes) -> int:
     return 7 if len(core) > 40 else 0
 
 
-class _Words(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= MEMO_WORDS:
-            self.clear()
-        core = word.strip(_EDGES)
-        shape, h = _shape(word, core), xxhash.xxh3_64_intdigest((core or word).lower())
-        core = core.lower()
-        stem = xxhash.xxh3_64_intdigest(b"\1" + core[:STEM]) if len(core) > STEM else h
-        packed = (h % _CELLS) | (stem % _CELLS) << CELL_BITS | shape << 2 * CELL_BITS | (h >> 40) << 40
-        self[word] = packed
-        return packed
+def _packed(word: bytes) -> int:
+    core = word.strip(_EDGES)
+    shape, h = _shape(word, core), xxhash.xxh3_64_intdigest((core or word).lower())
+    core = core.lower()
+    stem = xxhash.xxh3_64_intdigest(b"\1" + core[:STEM]) if len(core) > STEM else h
+    return (h % _CELLS) | (stem % _CELLS) << CELL_BITS | shape << 2 * CELL_BITS | (h >> 40) << 40
 
 
-_words = _Words()
+_words = Remembered(_packed, MEMO_WORDS)
 
 
 def terms(text: str | None) -> tuple[np.ndarray, np.ndarray]:
@@ -103,14 +98,18 @@ def labelled_terms(docs: DataFrame, labels: DataFrame, max_rows: int, tasks: int
     return settle(got.repartition(tasks, F.pmod("h", F.lit(tasks))).sortWithinPartitions("h"))
 
 
-def telling_cells(rows: DataFrame, most: int, min_rows: int = 5, min_z: float = 4.0) -> np.ndarray:
-    """Sorted cells whose values go most with y, by at least min_z standard deviations; shapes are always among them."""
-    n, mean, spread = rows.agg(F.count("*"), F.avg("y"), F.stddev_pop("y")).first()
-    if not n or not spread:
+def telling_cells(rows: DataFrame, most: int, cuts: Iterable[int] = (1,), min_rows: int = 5, min_z: float = 4.0) -> np.ndarray:
+    """Sorted cells whose values go with y >= cut, for one of the cuts, by at least min_z standard deviations; shapes are always among them."""
+    cuts = list(cuts)
+    means = rows.agg(*[F.avg((F.col("y") >= c).cast("double")) for c in cuts]).first()
+    cuts, means = zip(*[(c, m) for c, m in zip(cuts, means) if m is not None and 0 < m < 1]) if any(m and m < 1 for m in means) else ((), ())
+    if not cuts:
         return np.sort(SHAPE_CELLS)
     pairs = rows.select("y", F.explode(F.arrays_zip("cells", "values")).alias("p"))
-    by = pairs.groupBy("p.cells").agg(F.count("*").alias("n"), F.sum(F.col("p.values") * (F.col("y") - mean)).alias("s"), F.sum(F.col("p.values") ** 2).alias("q"))
-    strength = F.abs(F.col("s")) / (F.sqrt("q") * spread)
+    x = F.col("p.values")
+    sums = [F.sum(x * ((F.col("y") >= c).cast("double") - m)).alias(f"s{c}") for c, m in zip(cuts, means)]
+    by = pairs.groupBy("p.cells").agg(F.count("*").alias("n"), F.sum(x**2).alias("q"), *sums)
+    strength = F.array_max(F.array(*[F.abs(F.col(f"s{c}")) / (F.sqrt("q") * (m * (1 - m)) ** 0.5) for c, m in zip(cuts, means)]))
     top = by.where((F.col("n") >= min_rows) & (F.col("q") > 0) & (strength >= min_z)).orderBy(strength.desc(), "cells").limit(most).collect()
     return np.unique(np.r_[SHAPE_CELLS, [r["cells"] for r in top]].astype(np.int64))
 

@@ -73,7 +73,7 @@ def grade_quality(docs: DataFrame, ratings: DataFrame, grades: int = 3, select_f
     cuts = grades - 1
     valid = F.col("grade").between(0, cuts)
     rows = labelled_terms(docs, ratings.where(valid).groupBy("doc_id").agg(F.min("grade").cast("int").alias("y")), max_fit_rows, TASKS)
-    kept = telling_cells(rows, CELLS)
+    kept = telling_cells(rows, CELLS, range(1, grades))
     start = np.zeros(cuts + len(kept))
     start[0] = -1.0
     params = averaged_rounds(rows, kept, start, _epoch(cuts), ROUNDS)

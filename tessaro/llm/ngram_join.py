@@ -3,10 +3,11 @@
 A document is the set of its word n-grams, as 64-bit numbers whose order is the global
 one: rare first, by a sketch of how many documents hold each n-gram, of fixed size.
 Equal sets are one class.  Two sets of Jaccard similarity t or more share one of their
-least n - ceil(t n) + 1 elements, so only sets that share such an element, directly or
-through others, can belong together: components over these elements are blocks, and a
-set goes to one block only.  In a block, sets are stored in a trie; each new set walks
-it once, sharing the overlap counted on common paths, and leaves a subtree when what
+least elements, k of their n - ceil(t n) + k least, and are of sizes within a factor of
+t.  Sets that share too few such elements with all others have no partner; the rest,
+joined where they share one, directly or through sets of sizes between theirs, make up
+blocks, and a set goes to one block only.  In a block, sets are stored in a trie; each
+new set walks it once, sharing the overlap counted on common paths, and leaves a subtree when what
 remains of both sets cannot reach the overlap that the threshold asks for, or when all
 of the subtree is linked to the set already.  Verified links are the edges of the
 components that come back.
@@ -22,25 +23,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessaro.llm._work import join_on, settle
+from tessaro.llm._work import Remembered, join_on, settle
 from tessaro.llm.components import connected_components
 
 #: Elements are counted in 2 ** SKETCH_BITS cells (4 bytes each), kept as logarithms of one byte: the part that is broadcast.
 SKETCH_BITS, SEGMENTS, CLASS_BITS = 21, 128, 56
 #: Elements of the sets that one task compares at once; larger blocks are dealt over pairs of parts.
 CELL_ELEMENTS = 1_200_000
-MEMO_WORDS = 500_000
+MEMO_WORDS = 200_000
 
 
-class _WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= MEMO_WORDS:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-_hashes = _WordHashes()
+_hashes = Remembered(xxhash.xxh3_64_intdigest, MEMO_WORDS)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -74,9 +67,13 @@ def ordered_set(text: str | None, n: int, levels: np.ndarray) -> np.ndarray:
     return np.sort((level << np.uint64(CLASS_BITS)) | (h & np.uint64(2**CLASS_BITS - 1)))
 
 
-def prefix_length(size, percent: int):
-    """How many least elements of a set of this size hold one of any partner's."""
-    return size - (percent * size + 99) // 100 + 1
+#: Two sets must share one prefix element, and one more for every so many of their own.
+ELEMENTS_A_SHARED = 50
+
+
+def prefix_length(size: int, percent: int) -> int:
+    """How many least elements of a set of this size share 1 + size // 50 with any partner's, if the partner's prefix is made alike."""
+    return min(size, size - (percent * size + 99) // 100 + 1 + size // ELEMENTS_A_SHARED)
 
 
 # --- the sketch ---------------------------------------------------------------
@@ -146,34 +143,90 @@ def _signature(s: np.ndarray) -> int | None:
     return int(np.uint64(xxhash.xxh3_64_intdigest(s.tobytes(), seed=len(s))).view(np.int64)) if len(s) else None
 
 
-def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(token, sig, near): each token's least sig of a batch, and edges to it from the others.
+def _near_sizes(percent: int, tokens: np.ndarray, low: np.ndarray, high: np.ndarray, before: tuple[int, int] = (0, -1)) -> np.ndarray:
+    """Whether each row, in order of (token, low), is of a size that the rows before it with its token can be similar to.
 
-    A token of very many sets leaves a batch as one row to be grouped; its other rows
-    carry a token of their own.
+    before: token and greatest size of what came earlier.
     """
-    for batch in batches:
-        lists = batch.column(1)
-        tokens = lists.flatten().to_numpy()
-        sigs = np.repeat(batch.column(0).to_numpy(), lists.value_lengths().to_numpy())
-        order = np.lexsort((sigs, tokens))
-        tokens, sigs = tokens[order], sigs[order]
-        first = np.r_[True, tokens[1:] != tokens[:-1]][: len(tokens)]
-        lead = sigs[np.maximum.accumulate(np.where(first, np.arange(len(tokens)), 0))]
-        own = np.where(first, tokens, sigs ^ tokens)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(own, pa.int64()), pa.array(sigs, pa.int64()), pa.array(lead, pa.int64(), mask=first)], ["token", "sig", "near"]
-        )
-
-
-def candidate_edges(classes: DataFrame) -> DataFrame:
-    """(src, dst) of sigs that share a prefix element, as stars around each element's least sig."""
-    rows = classes.select("sig", "prefix").mapInArrow(_fold, "token long, sig long, near long")
-    low = rows.groupBy("token").agg(F.min("sig").alias("low"), F.max("sig").alias("high"), F.max("near").alias("near"))
-    # Within a batch the stars are drawn; across batches the few leads of a token are joined by its least.
-    across = low.where("low <> high").select("token", "low")
-    met = rows.where("near is null").join(across, "token").where("sig <> low").select(F.col("sig").alias("src"), F.col("low").alias("dst"))
-    return rows.where("near is not null").select(F.col("sig").alias("src"), F.col("near").alias("dst")).union(met)
+    group = np.cumsum(np.r_[0, tokens[1:] != tokens[:-1]])
+    width = int(high.max()) + 2
+    start = before[1] if len(tokens) and tokens[0] == before[0] else -1
+    reach = np.maximum.accumulate(np.r_[max(start, -1), high + group * width][: len(high)]) - group * width
+    return (reach >= 0) & (100 * reach >= percent * low)
+
+
+def _fold(percent: int):
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(token, low, high, sig, near): a token's sets of one batch as runs of sizes, and edges within them.
+
+        A token of very many sets leaves a batch as a few runs; the edges carry a token
+        of their own.
+        """
+        for batch in batches:
+            lists = batch.column(2)
+            tokens, counts = lists.flatten().to_numpy(), lists.value_lengths().to_numpy()
+            sigs, sizes = np.repeat(batch.column(0).to_numpy(), counts), np.repeat(batch.column(1).to_numpy(), counts)
+            if not len(tokens):
+                continue
+            order = np.lexsort((sizes, tokens))
+            tokens, sigs, sizes = tokens[order], sigs[order], sizes[order]
+            joined = _near_sizes(percent, tokens, sizes, sizes)
+            first = np.flatnonzero(~joined)
+            last = np.r_[first[1:], len(tokens)] - 1
+            lead = np.repeat(sigs[first], last - first + 1)
+            rest = np.flatnonzero(joined)
+            none = np.zeros(len(rest), np.int64)
+            columns = [
+                np.r_[tokens[first], sigs[rest] ^ tokens[rest]], np.r_[sizes[first], none], np.r_[sizes[last], none], np.r_[sigs[first], sigs[rest]],
+            ]
+            near = pa.array(np.r_[np.zeros(len(first), np.int64), lead[rest]], pa.int64(), mask=np.r_[np.ones(len(first), bool), np.zeros(len(rest), bool)])
+            yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in columns], near], ["token", "low", "high", "sig", "near"])
+
+    return fold
+
+
+def _chain(percent: int):
+    def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(src, dst) of rows in order of (token, low): each run to the one before, if their sizes meet; and the edges passed on."""
+        before, previous = (0, -1), 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            passed = batch.column(4).is_valid().to_numpy(zero_copy_only=False)
+            drawn = batch.filter(pa.array(passed))
+            runs = batch.filter(pa.array(~passed))
+            src, dst = [drawn.column(3).to_numpy()], [drawn.column(4).to_numpy()]
+            if runs.num_rows:
+                token, low, high, sig = (runs.column(i).to_numpy() for i in range(4))
+                joined = _near_sizes(percent, token, low, high, before)
+                src.append(sig[joined])
+                dst.append(np.r_[previous, sig[:-1]][joined])
+                same = token == token[-1]
+                reach = int(high[same].max())
+                before = (int(token[-1]), max(reach, before[1]) if before[0] == token[-1] else reach)
+                previous = sig[-1]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(src), pa.int64()), pa.array(np.concatenate(dst), pa.int64())], ["src", "dst"])
+
+    return chain
+
+
+def candidate_edges(classes: DataFrame, percent: int) -> DataFrame:
+    """(src, dst) of sigs that share a prefix element and, directly or by sets of sizes between, can be similar."""
+    rows = classes.select("sig", "size", "prefix").mapInArrow(_fold(percent), "token long, low long, high long, sig long, near long")
+    dealt = rows.repartition("token").sortWithinPartitions("token", "low")
+    return dealt.mapInArrow(_chain(percent), "src long, dst long")
+
+
+def often_shared(classes: DataFrame, percent: int) -> DataFrame:
+    """classes whose prefixes share as many elements with others as one partner of the least similar size would ask for.
+
+    A partner has percent of this set's size at least, so both prefixes share 1 + that size // 50.  Every
+    shared element draws one edge at least at each set that shares it.
+    """
+    ends = candidate_edges(classes, percent).select(F.explode(F.array("src", "dst")).alias("sig"))
+    counted = ends.groupBy("sig").agg(F.count("*").alias("shared"))
+    needed = 1 + F.floor(F.ceil(F.col("size") * percent / 100) / ELEMENTS_A_SHARED)
+    return classes.join(counted, "sig").where(F.col("shared") >= needed).select(*classes.columns)
 
 
 # --- the trie -----------------------------------------------------------------
@@ -215,6 +268,11 @@ class TrieJoin:
         best = min(max(depth + left, node.low), node.high)
         return (overlap + min(best - depth, left)) * (100 + self.percent) >= self.percent * (best + size)
 
+    def _spare(self, node: _Node, size: int) -> int:
+        """How many elements a set below may have that this one lacks: most for the largest set of a similar size."""
+        largest = min(node.high, 100 * size // self.percent)
+        return largest - (self.percent * (largest + size) + 99 + self.percent) // (100 + self.percent)
+
     def _walk(self, node: _Node, s: list[int], members: set, me: int, overlap: int, depth: int, passed: int) -> None:
         """Depth first; passed: how many elements of s are not above the path's last one."""
         stack = [(node, overlap, depth, passed)]
@@ -231,6 +289,9 @@ class TrieJoin:
             near = []
             for kid in node.kids.values():
                 run = kid.run
+                spare = self._spare(kid, len(s)) - (depth - overlap)
+                if spare < 0 or (len(run) > spare and members.isdisjoint(run[: spare + 1])):
+                    continue  # its first elements alone are too many that this set lacks
                 shared = len(members.intersection(run))
                 last = passed + shared if shared == len(run) else _bisect(s, run[-1], passed)
                 entry = (kid, overlap + shared, depth + len(run), last)
@@ -286,13 +347,12 @@ def _joiner(n: int, percent: int, levels):
                 if _signature(s) == sig:  # another text of the same doc_id is no member
                     sets[sig] = s
         sigs = sorted(sets, key=lambda k: (len(sets[k]), k))
-        # Paths are shared where sets agree: the most frequent elements come first in the trie.
         _, numbers = np.unique(np.concatenate([sets[k] for k in sigs]) if sigs else np.zeros(0, np.uint64), return_inverse=True)
         tries, at = TrieJoin(percent), 0
         for k in sigs:
             mine = numbers[at : at + len(sets[k])]
             at += len(mine)
-            tries.add((-mine[::-1]).tolist())
+            tries.add(mine.tolist())
         return [(sigs[a], sigs[b]) for a, b in tries.links]
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -321,7 +381,8 @@ def _placed_rows(docs: DataFrame, n: int, percent: int) -> DataFrame:
     sets = settle(read.mapInArrow(_signer(n, percent, levels), "doc_id long, text_hash long, n_shingles long, sig long, prefix array<long>"))
     classes = sets.where("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("size"), F.first("prefix").alias("prefix"))
     classes = settle(classes)
-    blocks = connected_components(candidate_edges(classes))
+    # Edges run from size to size: they are drawn anew among the sets that can have a partner.
+    blocks = connected_components(candidate_edges(settle(often_shared(classes, percent)), percent))
     members = blocks.join(classes.select("sig", "doc_id", "size"), blocks["node"] == F.col("sig")).select("sig", "doc_id", "size", F.col("root").alias("block"))
     parts = members.groupBy("block").agg(F.ceil(F.sum("size") / CELL_ELEMENTS).alias("parts"))
     members = join_on(members, parts, ["block"]).withColumn("part", F.pmod(F.xxhash64("sig"), "parts"))

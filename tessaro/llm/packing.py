@@ -19,18 +19,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessaro.llm._work import settle
+from tessaro.llm._work import Remembered, settle
 
 CAPACITY, END_ID = 4096, 1
 #: Pieces of a block, islands of a block, and how long they evolve.
 BLOCK_PIECES, ISLANDS, EPOCHS, GENERATIONS, POPULATION = 12_000, 3, 2, 12, 4
-#: Words whose ids a worker keeps before it starts afresh; those of the time before are still looked up.
-MEMO_WORDS = 600_000
+#: Words whose ids a worker keeps, twice over.
+MEMO_WORDS = 250_000
 #: Trailing characters that the tokenizer always splits from letters before them; no apostrophe, which it may join.
 _TAIL = b"#$%&*!.,|;:?()\""
 
 
-class _Ids(dict):
+class _Ids:
     """word (bytes without white space) -> its ids as little-endian 32-bit numbers.
 
     The tokenizer drops white space and never joins ids across it, so a text's ids are
@@ -41,33 +41,15 @@ class _Ids(dict):
         from tokenizers import Tokenizer
 
         self.full = Tokenizer.from_file(path)
-        self.tails: dict[bytes, bytes] = {}
-        self.before: dict[bytes, bytes] = {}
-
-    def __missing__(self, word: bytes) -> bytes:
-        ids = self.before.get(word)
-        if ids is None:
-            ids = self.found(word)
-        if len(self) >= MEMO_WORDS:
-            self.before = dict(self)
-            self.clear()
-        self[word] = ids
-        return ids
-
-    def found(self, word: bytes) -> bytes:
+        self.words, self.tails = Remembered(self.word, MEMO_WORDS), Remembered(self.encode, 10_000)
+
+    def word(self, word: bytes) -> bytes:
         core = word.lower().rstrip(_TAIL)
-        if core.isascii() and core.isalpha():
-            tail = word[len(core) :]
-            ids = np.array([t.id for t in self.full.model.tokenize(core.decode())], "<u4").tobytes()
-            if tail:
-                if tail not in self.tails:
-                    if len(self.tails) >= 10_000:
-                        self.tails.clear()
-                    self.tails[tail] = self.encode(tail)
-                ids += self.tails[tail]
-        else:
-            ids = self.encode(word)
-        return ids
+        if not (core.isascii() and core.isalpha()):
+            return self.encode(word)
+        ids = np.array([t.id for t in self.full.model.tokenize(core.decode())], "<u4").tobytes()
+        tail = word[len(core) :]
+        return ids + self.tails[tail] if tail else ids
 
     def encode(self, word: bytes) -> bytes:
         text = word.decode("utf-8", "replace")
@@ -85,7 +67,7 @@ def token_bytes(text: str | None, ids: _Ids) -> bytes:
     raw = (text or "").encode("utf-8", "replace")
     if b"<|" not in raw:  # a special token's name must be met as it is written; all else is lower-cased anyway
         raw = raw.lower()
-    return b"".join(map(ids.__getitem__, raw.split())) + END_ID.to_bytes(4, "little")
+    return b"".join(map(ids.words.__getitem__, raw.split())) + END_ID.to_bytes(4, "little")
 
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, deal long"

@@ -1,5 +1,8 @@
 import re
 
+import pytest
+
+from tessaro.llm import components
 from tessaro.llm.components import connected_components
 from tessaro.llm.url_filter import RULES, judge_urls
 
@@ -60,9 +63,12 @@ def test_empty(spark):
     assert judge(spark, []) == {}
 
 
-def test_components_match_union_find(spark):
+@pytest.mark.parametrize("few", [0, 200_000])
+def test_components_match_union_find(spark, monkeypatch, few):
     import random
 
+    monkeypatch.setattr(components, "FEW_EDGES", few)
+
     rng = random.Random(3)
     edges = [(rng.randint(0, 300), rng.randint(0, 300)) for _ in range(220)] + [(1000 + i, 1001 + i) for i in range(60)] + [(5000, 5000 + i) for i in range(200)]
     parent = {}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessaro.llm import line_dedup, mixing, ngram_join, packing, quality_rules
+from tessaro.llm import mixing, ngram_join, packing, passages, quality_rules
 from tessaro.llm._work import settle, table
 
 
@@ -14,8 +14,8 @@ def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later repeats of line runs of 50 words or more are cut; documents with nothing else go."""
-    return line_dedup.dedup_lines(docs)
+    """Later repeats of runs of 50 words or more are cut, in mid-line too; documents with nothing else go."""
+    return passages.dedup_passages(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessaro.llm import line_dedup, mixing, ngram_join, ordinal_quality, packing, quality_rules, sharding, topk_search, toxicity, url_filter
+from tessaro.llm import mixing, ngram_join, ordinal_quality, packing, passages, quality_rules, sharding, topk_search, toxicity, url_filter
 from tessaro.llm._work import table
 
 
@@ -18,7 +18,7 @@ def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.dedup_report(table(spark, sf_dir, "documents"))
+    return passages.passage_report(table(spark, sf_dir, "documents"))
 
 
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -58,7 +58,7 @@ def csv_row_text(spark, sf_dir):
     )
 )
 def csv_profile(spark, sf_dir):
-    return text_files.csv_profile(table(spark, sf_dir, "customer"), ["c_custkey", "c_nationkey"], most=10**6)
+    return text_files.csv_profile(table(spark, sf_dir, "customer"), ["c_custkey", "c_nationkey"], most=None)
 
 
 @query("SELECT event_id, user_id, (props::JSON->>'k')::BIGINT AS \"props.k\" FROM events")

@@ -79,9 +79,9 @@ def row_text(df: DataFrame, columns: list[str] | None = None) -> Column:
     return F.when(text != "", text)
 
 
-def csv_profile(df: DataFrame, columns: list[str], most: int = PROFILE_ROWS) -> DataFrame:
-    """Of the first 10,000 rows: n_rows and each numeric column's count, min, max and mean of two decimals."""
-    head = df.select(*columns).limit(most)
+def csv_profile(df: DataFrame, columns: list[str], most: int | None = PROFILE_ROWS) -> DataFrame:
+    """Of the first 10,000 rows (None: of all): n_rows and each numeric column's count, min, max and mean of two decimals."""
+    head = df.select(*columns) if most is None else df.select(*columns).limit(most)
     number = lambda c: F.col(c).try_cast("double")
     stats = [F.struct(F.lit(c).alias("column_name"), F.count(number(c)).alias("n"), F.min(number(c)).alias("min_value"), F.max(number(c)).alias("max_value"),
                       F.round(F.avg(number(c)), 2).alias("mean_value")) for c in columns]

@@ -91,3 +91,10 @@ def test_lsh_finds_most_neighbours(spark, data):
     exact = {r["chunk_id"] for r in retrieval.semantic_search(q.chunks(spark, sf), q.query_vector(spark, sf), 10).collect()}
     near = {r["chunk_id"] for r in retrieval.lsh_search(q.chunks(spark, sf), q.query_vector(spark, sf), 10).collect()}
     assert len(exact & near) >= 8
+
+
+def test_profile_takes_every_row(spark, tmp_path):
+    n = 10**6 + 7
+    spark.range(n).selectExpr("id as c_custkey", "cast(id % 25 as int) as c_nationkey").write.parquet(f"{tmp_path}/customer.parquet")
+    got = {r["column_name"]: (r["n"], r["max_value"]) for r in catalog.QUERIES["csv_profile"](spark, str(tmp_path)).collect()}
+    assert got == {"c_custkey": (n, n - 1.0), "c_nationkey": (n, 24.0)}

@@ -16,30 +16,45 @@ from tessaro.sources import ooxml, pages, sheets, text_files
 from tessaro.sources.routing import already_chunked, extension, parser_of
 
 DOCS = "path string, ordinal long, content string"
+#: Ordinals of what is beside a Word file's sections begin here.
+BESIDE = 2**40
 
 
 def _csv_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows of whole CSV texts as ``header: value`` lines; the header is row 1."""
+    """Rows of whole CSV texts as ``header: value`` lines; the header is row 1.  Without a record, or where the text is no CSV, it is one row as it is."""
     for pdf in batches:
         for path, ext, text in zip(pdf["path"], pdf["ext"], pdf["text"]):
             separator = "\t" if ext == ".tsv" else text_files._delimiter(text)
             rows = csv.reader(io.StringIO(text or ""), delimiter=separator)
-            names = next(rows, [])
-            out = [(path, n, " | ".join(f"{h}: {v}" for h, v in zip(names, row) if v.strip())) for n, row in enumerate(rows, 2)]
-            yield pd.DataFrame([r for r in out if r[2]], columns=["path", "ordinal", "content"])
+            try:
+                names = next(rows, [])
+                out = [(path, n, " | ".join(f"{h}: {v}" for h, v in zip(names, row) if v.strip())) for n, row in enumerate(rows, 2)]
+            except csv.Error:
+                out = []
+            yield pd.DataFrame([r for r in out if r[2]] or [(path, 1, text)], columns=["path", "ordinal", "content"])
+
+
+def _beside(found: DataFrame) -> DataFrame:
+    """(path, ordinal, content) of what Word files hold beside sections: tables, then headers, footers, notes, comments and links."""
+    tables = pages.table_texts(found).select("path", (F.lit(BESIDE) + F.col("part_no")).alias("ordinal"), "content")
+    kinds = F.array(*[F.lit(k) for k in ("header", "footer", "footnote", "endnote", "comment", "hyperlink")])
+    place = (F.lit(2 * BESIDE) + F.array_position(kinds, F.col("kind"))).alias("ordinal")
+    return tables.unionByName(pages.notes(found).select("path", place, "content"))
 
 
 def parse_files(files: DataFrame) -> DataFrame:
     """(path, ordinal, content) of files(path, content) of the text and Office parsers.
 
     CSV and TSV give a row a record (the whole text where there is none), JSON lists a row
-    a record, workbooks a row a sheet row, slides a row a slide, Word files a row a section; other
-    texts are whole.  PDF and images need a provider's pages.
+    a record (the whole text where it does not parse), workbooks a row a sheet row, slides a row a
+    slide, Word files a row a section; what Word files hold beside these comes after, as in
+    _beside; other texts are whole.  PDF and images need a provider's pages.
     """
     files = files.withColumn("parser", parser_of(F.col("path"))).withColumn("ext", extension(F.col("path")))
     texts = files.where("parser = 'text'").select("path", "ext", text_files.decode_text("content").alias("text"))
     tables = texts.where(F.col("ext").isin(".csv", ".tsv")).mapInPandas(_csv_rows, DOCS)
-    is_list = (F.col("ext") == ".json") & F.ltrim("text").startswith("[")
+    parses = F.from_json("text", "array<string>").isNotNull() & text_files.pretty_json("text")["parse_error"].isNull()
+    is_list = F.coalesce((F.col("ext") == ".json") & F.ltrim("text").startswith("[") & parses, F.lit(False))
     records = text_files.json_records(texts.where(is_list), text="text").select("path", F.col("record").cast("long").alias("ordinal"), "content")
     shown = (
         F.when(F.col("ext").isin(".html", ".htm"), html_text(F.col("text")))
@@ -53,7 +68,7 @@ def parse_files(files: DataFrame) -> DataFrame:
     rows = book.select("path", (F.col("part_no").cast("long") * 2**21 + F.col("row")).alias("ordinal"), "content")
     slides = pages.slide_documents(found).select("path", F.col("slide").cast("long").alias("ordinal"), "content")
     words = pages.word_sections(found).select("path", F.col("section_index").cast("long").alias("ordinal"), "content")
-    out = tables.unionByName(records).unionByName(whole).unionByName(rows).unionByName(slides).unionByName(words)
+    out = tables.unionByName(records).unionByName(whole).unionByName(rows).unionByName(slides).unionByName(words).unionByName(_beside(found.where(parser_of(F.col("path")) == "word")))
     return out.where(F.col("content").rlike(r"\S"))
 
 

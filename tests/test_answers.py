@@ -1,7 +1,9 @@
 from pyspark.sql import functions as F
 
 from tessaro.operators import answers, tabular
-from tessaro.operators.ingest import ingest
+from tessaro.operators.ingest import ingest, parse_files
+
+from .test_operators import REL, zipped
 
 
 def cells(spark, rows):
@@ -53,3 +55,30 @@ def test_ingest(spark):
     assert [c for _, c, _ in by["a.csv"]] == ["name: ann | age: 3", "name: bob | age: 4"]
     assert [i for i, _, _ in by["b.TXT"]] == [0, 1, 2] and all(len(c) <= 800 and e == [float(len(c))] for _, c, e in by["b.TXT"])
     assert by["d.html"][0][1] == "hi & bye" and by["e.xml"][0][1] == "[XML Document: r]\n<r> t"
+
+
+def test_what_is_no_record_is_kept(spark):
+    files = [
+        ("/in/head.csv", b"name,age\n"), ("/in/head.tsv", b"name\tage\n\t\n"), ("/in/long.csv", b"a,b\n" + b"x" * 200_000 + b",1\n"), ("/in/full.csv", b"a,b\n1,2\n"),
+        ("/in/bad.json", b'[{"a": 1}, {"a"'), ("/in/after.json", b"[1] tail"), ("/in/good.json", b'[{"a": 1}]'),
+    ]
+    df = spark.createDataFrame([(p, bytearray(c)) for p, c in files], "path string, content binary")
+    got = {}
+    for r in parse_files(df).orderBy("path", "ordinal").collect():
+        got.setdefault(r["path"].removeprefix("/in/"), []).append(r["content"])
+    assert got.pop("long.csv")[0].count("x") == 200_000
+    assert got.pop("good.json")[0].split() == ["{", '"a":', "1", "}"]
+    assert got == {"head.csv": ["name,age\n"], "head.tsv": ["name\tage\n\t\n"], "full.csv": ["a: 1 | b: 2"], "bad.json": ['[{"a": 1}, {"a"'], "after.json": ["[1] tail"]}
+
+
+def test_word_parts_are_kept(spark):
+    p = lambda text: f"<w:p><w:r><w:t>{text}</w:t></w:r></w:p>"
+    link = '<w:p><w:hyperlink r:id="r9"><w:r><w:t>site</w:t></w:r></w:hyperlink></w:p>'
+    word = zipped({
+        "word/document.xml": f'<w:document xmlns:w="w" xmlns:r="r"><w:body>{p("Intro")}<w:tbl><w:tr><w:tc>{p("celltext")}</w:tc></w:tr></w:tbl>{link}</w:body></w:document>',
+        "word/_rels/document.xml.rels": REL.format('<Relationship Id="r9" Type="x/hyperlink" Target="http://x" TargetMode="External"/><Relationship Id="r8" Type="x/footnotes" Target="footnotes.xml"/>'),
+        "word/footnotes.xml": f'<w:footnotes xmlns:w="w"><w:footnote w:id="1">{p("footsaid")}</w:footnote></w:footnotes>',
+    })
+    files = spark.createDataFrame([("/d.docx", bytearray(word))], "path string, content binary")
+    got = [r["content"] for r in parse_files(files).orderBy("ordinal").collect()]
+    assert got == ["Intro\nsite", "celltext", "[1] footsaid", "site -> http://x"]

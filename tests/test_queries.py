@@ -98,3 +98,12 @@ def test_profile_takes_every_row(spark, tmp_path):
     spark.range(n).selectExpr("id as c_custkey", "cast(id % 25 as int) as c_nationkey").write.parquet(f"{tmp_path}/customer.parquet")
     got = {r["column_name"]: (r["n"], r["max_value"]) for r in catalog.QUERIES["csv_profile"](spark, str(tmp_path)).collect()}
     assert got == {"c_custkey": (n, n - 1.0), "c_nationkey": (n, 24.0)}
+
+
+def test_lsh_leaves_out_vectors_without_a_distance(spark):
+    from tessaro.operators import retrieval
+
+    rows = [(i, [0.0, 0.0]) for i in range(5)] + [(5, [-1.0, -2.0, 0.0]), (6, [-1.0, -2.0]), (7, [-1.0, -2.1])]
+    chunks = spark.createDataFrame(rows, "chunk_id long, embedding array<float>")
+    one = spark.createDataFrame([([-1.0, -2.0],)], "query array<float>")
+    assert [r["chunk_id"] for r in retrieval.lsh_search(chunks, one, 2).collect()] == [6, 7]

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
-from tessaro.llm.packing import _ids, _Plan, best_fit, crossover, evolve, pack, token_bytes, tokenizer_path
+from tessaro.llm.packing import _ids, crossover, evolve, fitted, pack, token_bytes, tokenizer_path
 
 from .corpus import SCHEMA, corpus, frame
 
@@ -54,34 +54,60 @@ def test_empty(spark):
     assert pack(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def plan(lengths, capacity, seed):
+    return fitted(np.random.default_rng(seed).permutation(len(lengths)), lengths, capacity)
+
+
 def test_crossover_keeps_every_piece_and_capacity():
     rng = np.random.default_rng(5)
     lengths = np.sort(rng.integers(1, 100, 300))[::-1].astype(np.int64)
-    plans = []
-    for seed in (1, 2):
-        order = np.random.default_rng(seed).permutation(300)
-        bins, fill = np.zeros(300, np.int64), []
-        best_fit(order, lengths, bins, fill, 100)
-        plans.append(_Plan(bins, lengths, 100))
-    for _ in range(20):
-        child = crossover(plans[0], plans[1], lengths, 100, rng)
-        assert len(child.bins) == 300 and child.fill.max() <= 100 and child.fill.sum() == lengths.sum()
-    best = evolve(lengths, 1, [p.bins for p in plans], 100, seed=3)
-    assert best.score >= max(p.score for p in plans)
-
-
-def test_evolution_beats_best_fit_where_that_fails():
-    # Triplets that fill a bin exactly: best fit decreasing needs more bins than there are triplets.
+    a, b = plan(lengths, 100, 1), plan(lengths, 100, 2)
+    for g in range(1, 20):
+        child = crossover(a, b, lengths, 100, rng, g)
+        assert len(child.bins) == 300 and 0 < child.fill.min() and child.fill.max() <= 100 and child.fill.sum() == lengths.sum()
+        assert child.born.max() == g and len(child.born) == child.count
+        a, b = b, child
+
+
+def triplets(n):
+    """Pieces that fill n bins exactly by threes: best fit decreasing needs more."""
     rng = np.random.default_rng(0)
-    triplets = []
-    for _ in range(30):
+    out = []
+    for _ in range(n):
         a = int(rng.integers(380, 490))
         b = int(rng.integers(250, (1000 - a) // 2 + 1))
-        triplets += [a, b, 1000 - a - b]
-    lengths = np.sort(np.array(triplets))[::-1].astype(np.int64)
-    bins, fill = np.zeros(90, np.int64), []
-    best_fit(np.arange(90), lengths, bins, fill, 1000)
-    elite = [_Plan(bins, lengths, 1000).bins]
-    for epoch in range(6):
-        elite = [evolve(lengths, 0, elite, 1000, seed=epoch).bins]
-    assert 30 <= _Plan(elite[0], lengths, 1000).count <= len(fill)
+        out += [a, b, 1000 - a - b]
+    return np.sort(np.array(out))[::-1].astype(np.int64)
+
+
+def test_crossover_lowers_the_count_of_the_first_population():
+    rng = np.random.default_rng(1)
+    for lengths, capacity in ((np.sort(rng.integers(1, 300, 2000))[::-1].astype(np.int64), 1000), (triplets(200), 1000)):
+        first = min(fitted(np.random.default_rng([9, 0, 2]).permutation(len(lengths)), lengths, capacity).count, *[plan(lengths, capacity, s).count for s in range(4)])
+        elite = [evolve(lengths, 2, [], capacity, 0, 9)]
+        assert elite[0].count < first and (elite[0].born > 0).any()
+        for epoch in (1, 2):
+            elite = [evolve(lengths, 2, elite, capacity, epoch, 9)]
+        greedy = fitted(np.arange(len(lengths)), lengths, capacity)
+        assert elite[0].count <= greedy.count
+
+
+def test_crossover_beats_best_fit_decreasing():
+    lengths = triplets(200)
+    greedy = fitted(np.arange(len(lengths)), lengths, 1000)
+    elites = [evolve(lengths, i, [], 1000, 0, 3) for i in range(3)]
+    for epoch in range(1, 12):
+        elites = [evolve(lengths, i, [elites[i], elites[(i + 1) % 3]], 1000, epoch, 3) for i in range(3)]
+    assert min(e.count for e in elites) < greedy.count
+
+
+def test_the_plan_comes_from_offspring(spark):
+    sizes = np.random.default_rng(2).integers(3, 90, 600).tolist()
+    rows = [(i, " ".join(["word"] * n), "en", "s", 0) for i, n in enumerate(sizes)]
+    got = pack(spark.createDataFrame(rows, SCHEMA), capacity=128).collect()
+    born = {r["sequence_id"]: r["born"] for r in got}
+    assert sum(b > 0 for b in born.values()) > len(born) / 4
+    least = -(-sum(r["length"] for r in got) // 128)
+    assert len(born) <= least + 1
+    again = pack(spark.createDataFrame(rows, SCHEMA).repartition(5), capacity=128).collect()
+    assert sorted(again) == sorted(got)

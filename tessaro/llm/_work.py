@@ -1,10 +1,12 @@
-"""Shared folder for cut lineage, and small expression helpers."""
+"""Shared folder for cut lineage, distributed ranks, joins of checked size, and small expression helpers."""
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from functools import reduce
 from typing import Any
 
@@ -15,25 +17,62 @@ from tessaro.functions.binding import let  # noqa: F401
 
 #: ASCII white space; a word is a longest run of other characters.
 SPACE = r"[\x20\x09-\x0D]+"
+#: Rows of a side that is broadcast: a few columns each, so some tens of MB at most.
+BROADCAST_ROWS = 200_000
 
 _own: list[str] = []
+_written: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where none is set, as in tests."""
+    """The folder in spark.checkpoint.dir.  Where that is unset: a temporary one if all runs on this machine, else an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _own:
         _own.append(tempfile.mkdtemp(prefix="tessaro-"))
+        atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
     return _own[0]
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and read it back: later stages survive lost executors."""
-    path = f"{shared_folder(df.sparkSession)}/tessaro-{uuid.uuid4().hex}"
+def settle(df: DataFrame, over: DataFrame | None = None) -> DataFrame:
+    """Write df to the shared folder and read it back: later stages survive lost executors.
+
+    over: a settled DataFrame that df was made of and that nothing else needs; it is deleted.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/tessaro-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    _written.append(path)
+    if (old := getattr(over, "settled_at", None)) is not None:
+        _delete(spark, [old])
+    out = spark.read.schema(df.schema).parquet(path)
+    out.settled_at = path
+    return out
+
+
+def written() -> int:
+    """A mark for ``release``: how much has been settled so far."""
+    return len(_written)
+
+
+def release(spark: SparkSession, since: int = 0, keep: Iterable[DataFrame] = ()) -> None:
+    """Deletes what was settled after the mark, but for keep.  Call it when the results made of it have been used or written."""
+    held = {getattr(df, "settled_at", None) for df in keep}
+    _delete(spark, [p for p in _written[since:] if p not in held])
+
+
+def _delete(spark: SparkSession, paths: list[str]) -> None:
+    jvm = spark.sparkContext._jvm
+    for p in paths:
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    gone = set(paths)
+    _written[:] = [p if p not in gone else "" for p in _written]
+    while _written and not _written[-1]:
+        _written.pop()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,6 +86,23 @@ def join_on(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inne
     return left.join(named, same, how).drop(*[f"_right_{k}" for k in keys])
 
 
+def join_small(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """join_on without a shuffle of left while right, a settled table, has few rows; a plain join beyond."""
+    return join_on(left, F.broadcast(right) if right.count() <= BROADCAST_ROWS else right, keys, how)
+
+
+def ranks(df: DataFrame, column: str) -> DataFrame:
+    """(column, rank): distinct values numbered from 0 in ascending order, null last; ranges of values are sorted apart."""
+    order = F.col(column).asc_nulls_last()
+    parts = settle(df.select(column).distinct().repartitionByRange(order).withColumn("_part", F.spark_partition_id()))
+    counts = parts.groupBy("_part").agg(F.count("*").alias("_n"))
+    # One row a range: as many as shuffle partitions.
+    before = F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    counts = counts.select("_part", F.coalesce(before, F.lit(0)).alias("_before"))
+    place = F.row_number().over(Window.partitionBy("_part").orderBy(order)) - 1
+    return parts.withColumn("_place", place).join(counts, "_part").select(column, (F.col("_place") + F.col("_before")).alias("rank"))
+
+
 def running_before(df: DataFrame, keys: list[str], block: str, order: list[Column], value: str) -> DataFrame:
     """Adds ``before``: the sum of value over the rows of the same keys that come earlier.
 

@@ -14,11 +14,6 @@ from pyspark.sql import functions as F
 
 from tessaro.llm._work import settle
 
-
-#: Two longs a row: up to so many edges one task holds, and the rounds need no shuffle.
-FEW_EDGES = 200_000
-
-
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root) for every node of an edge (src, dst): root is the least node reachable.
 
@@ -37,8 +32,7 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
                 down.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
             )
         state = now
-        # Rounds never add edges.  Few of them need not be dealt out to be grouped.
-        down = settle(_small(_large(down.coalesce(1) if now[0] <= FEW_EDGES else down)))
+        down = settle(_small(_large(down)), over=down)
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 

@@ -36,6 +36,11 @@ def _node(url: str) -> str:
     return f"translate(regexp_extract({rest}, '^[^/?#]*'), '{_UPPER}', '{_LOWER}') || '|' || regexp_extract({rest}, '^[^/?#]*([^#]*)', 1)"
 
 
+def _attribute(name: str) -> str:
+    form = f"""(?is)\\b{name}\\s*=\\s*(?:"\\s*([^">]*)|''\\s*([^''>]*)|([^\\s"''>]+))"""
+    return "(" + " || ".join(f"regexp_extract(tag, '{form}', {i})" for i in (1, 2, 3)) + ")"
+
+
 _TAG = "[^>]*"
 OP4 = f"""
 WITH RECURSIVE u AS (
@@ -45,8 +50,8 @@ v AS (SELECT *, CASE {_FITS} END AS found FROM u),
 t AS (SELECT url, unnest(regexp_extract_all(html, '(?is)<(?:link|meta)\\b{_TAG}(?:canonical|refresh){_TAG}>')) AS tag FROM u WHERE node IS NOT NULL AND html IS NOT NULL),
 h AS (
     SELECT url, trim(replace(CASE
-        WHEN regexp_matches(tag, '(?i)^<link\\b') AND lower(trim(regexp_extract(tag, '(?is)\\brel\\s*=\\s*["'']?\\s*([^"''>]*)', 1))) = 'canonical' THEN regexp_extract(tag, '(?is)\\bhref\\s*=\\s*["'']?\\s*([^"''>]*)', 1)
-        WHEN regexp_matches(tag, '(?i)^<meta\\b') AND lower(trim(regexp_extract(tag, '(?is)\\bhttp-equiv\\s*=\\s*["'']?\\s*([^"''>]*)', 1))) = 'refresh' THEN regexp_extract(tag, '(?is)\\burl\\s*=\\s*["'']?\\s*([^"''>]*)', 1)
+        WHEN regexp_matches(tag, '(?i)^<link\\b') AND lower(trim({_attribute('rel')})) = 'canonical' THEN {_attribute('href')}
+        WHEN regexp_matches(tag, '(?i)^<meta\\b') AND lower(trim({_attribute('http-equiv')})) = 'refresh' THEN regexp_extract(tag, '(?is)\\burl\\s*=\\s*["'']?\\s*([^"''>]*)', 1)
         END, '&amp;', '&')) AS x, regexp_extract(url, '^[^?#]*?://[^/?#]*') AS root, {_rest('url')} AS rest FROM t),
 a AS (
     SELECT url, CASE WHEN contains(x, '://') THEN x WHEN starts_with(x, '//') THEN 'http:' || x WHEN starts_with(x, '/') THEN root || x

@@ -22,8 +22,8 @@ RULES = (
     ("block", "net", "/es/"),
     ("block", "net", "/fr/"),
 )
-#: Rules are literals of the plan; a longer list belongs in a table of its own.
-MAX_RULES = 2000
+#: So many rules are literals of the plan; more are joined as a table.
+MAX_RULES = 200
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -45,8 +45,6 @@ def path_of(url: Column) -> Column:
 
 def matching_rule(host: Column, path: Column, rules=RULES) -> Column:
     """struct(rule, action) of the longest rule that fits, else null; equal lengths: the longer host, then allow."""
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"{len(rules)} rules; at most {MAX_RULES} go into a plan")
     found = F.lit(None).cast("struct<rule:string,action:string>")
     for action, h, p in sorted(rules, key=lambda r: (len(r[1] + r[2]), len(r[1]), r[0] == "allow")):
         fits = ((host == h) | host.endswith(f".{h}")) & path.startswith(p)
@@ -54,6 +52,25 @@ def matching_rule(host: Column, path: Column, rules=RULES) -> Column:
     return found
 
 
+def matched_by_table(judged: DataFrame, rules: DataFrame) -> DataFrame:
+    """judged with ``found``, as matching_rule has it, by equi joins with rules(action, host, path) of any number.
+
+    A host is looked up by each of its suffixes, a path by its beginnings of the lengths
+    that rules' paths have.
+    """
+    rules = settle(rules.select("action", F.col("host").alias("h"), F.col("path").alias("p")).distinct())
+    lengths = F.array(*[F.lit(r[0]) for r in rules.select(F.length("p")).distinct().collect()])
+    asked = judged.select("host", "path").distinct()
+    labels = F.sequence(F.lit(1), F.size(F.split("host", "[.]")))
+    asked = asked.select("host", "path", F.explode(F.transform(labels, lambda i: F.call_function("substring_index", F.col("host"), F.lit("."), -i))).alias("h"))
+    begun = F.transform(F.filter(lengths, lambda n: n <= F.length("path")), lambda n: F.substr(F.col("path"), F.lit(1), n))
+    asked = asked.select("host", "path", "h", F.explode(begun).alias("p"))
+    order = F.struct(F.length("h") + F.length("p"), F.length("h"), F.col("action") == "allow")
+    rule = F.struct(F.concat("h", "p").alias("rule"), "action")
+    best = asked.join(rules, ["h", "p"]).groupBy("host", "path").agg(F.max_by(rule, order).alias("found"))
+    return judged.join(best, ["host", "path"], "left")
+
+
 def node_of(url: Column) -> Column:
     """Key of the address that a url fetches: scheme and fragment left out, host lower-cased."""
     parts = lambda rest: F.xxhash64(F.translate(F.regexp_extract(rest, r"^[^/?#]*", 0), _UPPER, _LOWER), F.regexp_extract(rest, r"^[^/?#]*([^#]*)", 1))
@@ -61,7 +78,9 @@ def node_of(url: Column) -> Column:
 
 
 def _attribute(tag: Column, name: str) -> Column:
-    return F.regexp_extract(tag, rf"""(?is)\b{name}\s*=\s*["']?\s*([^"'>]*)""", 1)
+    """Its value: to the closing quote, or without quotes to the next white space."""
+    form = rf"""(?is)\b{name}\s*=\s*(?:"\s*([^">]*)|'\s*([^'>]*)|([^\s"'>]+))"""
+    return F.concat(*[F.regexp_extract(tag, form, i) for i in (1, 2, 3)])
 
 
 def _absolute(base: Column, link: Column) -> Column:
@@ -95,18 +114,20 @@ def alias_edges(pages: DataFrame) -> DataFrame:
 def judge_urls(pages: DataFrame, rules=RULES) -> DataFrame:
     """Every row's verdict: (page_id, host, path, rule, verdict, component).
 
-    ``pages`` needs page_id, url and html; other columns are not read.  A null url,
+    ``pages`` needs page_id, url and html; other columns are not read.  ``rules`` are
+    (action, host, path) tuples or a DataFrame of these columns.  A null url,
     or one without ``://``, has empty host and path, no rule, no aliases, and is
     allowed.  Null html has no edges.  Repeated rows are judged alike.  component
     is the node key of the url's group, null without a scheme.  No rows in, none out.
     """
     url = F.col("url")
-    judged = settle(
-        pages.select("page_id", "url")
-        .select("page_id", host_of(url).alias("host"), path_of(url).alias("path"), F.when(F.instr(url, "://") > 0, node_of(url)).alias("node"))
-        .withColumn("found", matching_rule(F.col("host"), F.col("path"), rules))
-        .select("page_id", "host", "path", "node", "found.rule", "found.action")
-    )
+    read = pages.select("page_id", host_of(url).alias("host"), path_of(url).alias("path"), F.when(F.instr(url, "://") > 0, node_of(url)).alias("node"))
+    if isinstance(rules, DataFrame) or len(rules) > MAX_RULES:
+        listed = rules if isinstance(rules, DataFrame) else pages.sparkSession.createDataFrame(list(rules), "action string, host string, path string")
+        found = matched_by_table(read, listed)
+    else:
+        found = read.withColumn("found", matching_rule(F.col("host"), F.col("path"), rules))
+    judged = settle(found.select("page_id", "host", "path", "node", "found.rule", "found.action"))
     roots = connected_components(alias_edges(pages.select("url", "html")))
     placed = judged.join(roots, "node", "left").withColumn("component", F.coalesce("root", "node"))
     # Only groups that a rule names can change a verdict.

@@ -1,8 +1,6 @@
 import re
 
-import pytest
 
-from tessaro.llm import components
 from tessaro.llm.components import connected_components
 from tessaro.llm.url_filter import RULES, judge_urls
 
@@ -63,11 +61,29 @@ def test_empty(spark):
     assert judge(spark, []) == {}
 
 
-@pytest.mark.parametrize("few", [0, 200_000])
-def test_components_match_union_find(spark, monkeypatch, few):
-    import random
+def test_rules_from_a_table(spark):
+    urls = ["http://www.example.com/en/x", "http://example.com/en/", "http://a.example.com/en/y", "http://example.com/e", "http://net/es/1", "http://x.y.net/fr/?q", "http://net.org/es/", "http://com", "no", None]
+    df = spark.createDataFrame([(i, u, None, "x", "y") for i, u in enumerate(urls)], SCHEMA)
+    rules = spark.createDataFrame(list(RULES), "action string, host string, path string")
+    many = [*RULES, *[("block", f"h{i}.invalid", f"/{'p' * (i % 7)}") for i in range(300)]]
+    want = sorted(judge_urls(df).collect())
+    assert sorted(judge_urls(df, rules).collect()) == want and sorted(judge_urls(df, many).collect()) == want
+    assert {r["rule"] for r in judge_urls(df, rules).collect()} == {"www.example.com/en/", "example.com/en/", "com/", "net/es/", "net/fr/", None}
+
+
+def test_many_aliases(spark):
+    """Chains and stars over several partitions: a block reaches all of a chain, an allowed page shields its star."""
+    link = "<link rel=canonical href='{}'>"
+    rows = [(i, f"http://c{i % 40}.org/{i}", link.format(f"http://c{(i + 1) % 40}.org/{i + 1}" if i % 40 < 39 else "http://bad.net/es/1" if i < 400 else "http://fine.com/")) for i in range(800)]
+    rows += [(1000 + i, f"http://s{i}.org/", link.format("http://hub.org/")) for i in range(400)] + [(2000, "http://hub.org/", link.format("http://bad.net/fr/")), (2001, "http://bad.net/es/1", None), (2002, "http://bad.net/fr/", None), (2003, "http://fine.com/", None)]
+    df = spark.createDataFrame([(*r, "x", "y") for r in rows], SCHEMA).repartition(8)
+    got = {r["page_id"]: r["verdict"] for r in judge_urls(df).collect()}
+    assert all(got[i] == ("block" if i < 400 else "allow") for i in range(800))
+    assert all(got[1000 + i] == "block" for i in range(400))
 
-    monkeypatch.setattr(components, "FEW_EDGES", few)
+
+def test_components_match_union_find(spark):
+    import random
 
     rng = random.Random(3)
     edges = [(rng.randint(0, 300), rng.randint(0, 300)) for _ in range(220)] + [(1000 + i, 1001 + i) for i in range(60)] + [(5000, 5000 + i) for i in range(200)]

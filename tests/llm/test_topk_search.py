@@ -2,17 +2,26 @@ import math
 
 import numpy as np
 
+from tessaro.llm import topk_search
 from tessaro.llm.topk_search import top_k
 
 SCHEMA = "vec_id long, embedding array<float>, label int, score string"
 
 
+def whole(score):
+    return max(-(2**63), min(2**63 - 1, score))
+
+
+def component(x):
+    return math.floor(max(-(2.0**62), min(2.0**62, 1024 * float(np.float32(x)))))
+
+
 def brute(queries, rows, k):
-    ok = [(i, [math.floor(1024 * float(np.float32(x))) for x in v]) for i, v in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v)]
+    ok = [(i, [component(x) for x in v]) for i, v in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v)]
     out = []
     for q in sorted(set(queries)):
         for vq in [v for i, v in ok if i == q][:1]:
-            found = sorted((-sum(a * b for a, b in zip(vq, v)), i) for i, v in ok if i != q and len(v) == len(vq))[:k]
+            found = sorted((-whole(sum(a * b for a, b in zip(vq, v))), i) for i, v in ok if i != q and len(v) == len(vq))[:k]
             out += [(q, r, i, -s) for r, (s, i) in enumerate(found, 1)]
     return out
 
@@ -52,3 +61,19 @@ def test_large_values_stay_exact(spark):
     rows = [(i, [2e6 - i, 1e6 + i]) for i in range(12)] + [(20 + i, [2.9e6 - i, 1.0 * i]) for i in range(2)]
     got, queries = run(spark, rows, 3)
     assert got == brute(queries, rows, 3)
+
+
+def test_values_beyond_64_bits_count_as_the_last_that_fit(spark):
+    big = [3e38, -3e38, 1e20, -1e20, 1.0, -1.0]
+    rows = [(i, [a, b]) for i, (a, b) in enumerate((a, b) for a in big for b in big)]
+    got, queries = run(spark, rows, 5)
+    assert got == brute(queries, rows, 5) and {s for *_, s in got} >= {2**63 - 1}
+
+
+def test_grid_of_many_tiles_and_shards(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(np.float32(x)) for x in rng.normal(size=70)]) for i in range(300)]
+    for name, value in (("TILE_ROWS", 4), ("SHARD_ROWS", 8), ("CELL_TILES", 2), ("CELL_SHARDS", 3)):
+        monkeypatch.setattr(topk_search, name, value)
+    got, queries = run(spark, rows, 7)
+    assert got == brute(queries, rows, 7)

@@ -1,99 +1,100 @@
 """K-d tree sharding: leaves of near equal bytes, cut at weighted medians of the metadata.
 
 A node of m leaves is cut along its widest dimension so that floor(m / 2) / m of its
-bytes go left.  All nodes of a level are cut together: one aggregation finds their
-spreads, and the medians are found digit by digit in histograms of bounded width, so
-the driver sees a few rows a node whatever the size of the corpus.  Texts that are
-equal share their coordinates and stay together, unless the copies are too many for a
-shard: those are told apart by their ids.
+bytes go left.  A dimension's coordinates are whole numbers, the same in all nodes: the
+ranks of distinct strings, or a number's place in its range.  All nodes of a level are cut
+together: one aggregation finds their spreads, and the medians are found digit by digit
+in histograms of bounded width, so the driver sees a few rows a node whatever the size of
+the corpus.  Texts that are equal share their coordinates and stay together, unless the
+copies alone are more than a shard: those are told apart by their ids.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import astuple, dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessaro.llm._work import join_on, let, running_before, settle
+from tessaro.llm._work import join_on, join_small, ranks, running_before, settle
 
-#: A coordinate has DIGITS digits of BITS bits: the first of the dimension, the rest of the tie-break.
-BITS, DIGITS, DIMENSION_DIGITS = 13, 4, 2
-#: Rows of a shard that get their slots in one task.
-BLOCK_ROWS = 2_000
+#: A code is a coordinate of PLACE_BITS, then a tie-break of TIE_BITS; its digits have DIGIT_BITS.
+PLACE_BITS, TIE_BITS, DIGIT_BITS = 24, 24, 16
+DIGITS = (PLACE_BITS + TIE_BITS) // DIGIT_BITS
+#: Of the tie-break: copies that make up more of a shard come first, so that a cut meets small ones.
+WEIGHT_BITS = 4
+#: Rows of a shard that get their slots in one task; levels of the tree after which the nodes are written.
+BLOCK_ROWS, LEVELS = 2_000, 6
 
 
 @dataclass
 class _Node:
-    shard: int
+    """A node's first shard and leaves, its cut, and what its digits have found so far."""
+
+    node: int
     leaves: int
-    dimension: str = ""
-    low: float = 0.0
-    high: float = 0.0
+    dimension: int = 0
     prefix: int = 0
     below: int = 0
     goal: float = 0.0
 
+    @property
+    def right(self) -> int:
+        return self.node + self.leaves // 2
 
-def _position(column: str, kind: str) -> Column:
-    """A number that orders a dimension: numbers as they are, strings by their first six bytes, null first."""
-    if kind == "string":
-        return F.coalesce(F.conv(F.rpad(F.substring(F.hex(F.col(column)), 1, 12), 12, "0"), 16, 10).cast("double"), F.lit(-1.0))
-    return F.coalesce(F.col(column).cast("double"), F.lit(-1.0))
 
+_NODE = "node int, leaves int, dimension int, prefix long, below long, goal double, right int"
 
-def _looked_up(nodes: list[_Node], key: Column, value) -> Column:
-    """value(node) of the node named by key: a literal map of at most as many entries as shards."""
-    return F.element_at(F.create_map(*[x for n in nodes for x in (F.lit(n.shard), value(n))]), key)
 
+def _coordinates(rows: DataFrame, dims: dict[str, str]) -> DataFrame:
+    """rows with each dimension replaced by a whole number below 2**PLACE_BITS that keeps its order, null last."""
+    for name, kind in dims.items():
+        if kind == "string":
+            placed = settle(ranks(rows, name))
+            rows, value = join_small(rows, placed, [name]).withColumn(name, F.col("rank").cast("double")).drop("rank"), F.col(name)
+        else:
+            value = F.log2(F.col(name)) if name == "size" else F.col(name).cast("double")
+        low, high = rows.agg(F.min(value), F.max(value)).first()
+        width = float(high - low) if high is not None and high > low else 0.0
+        steps = width if kind == "string" and width < 2**PLACE_BITS else float(2**PLACE_BITS - 1)
+        place = F.floor((value - F.lit(float(low or 0.0))) * (steps / width if width else 0.0)).cast("int")
+        rows = rows.withColumn(f"x_{name}", F.coalesce(place, F.lit(2**PLACE_BITS - 1)))
+    return rows
 
-def _code(frame: Column, names: list[str]) -> Column:
-    """Coordinate of a row in its node: its place between the node's ends, then its tie-break."""
-    dim_bits, tie_bits = BITS * DIMENSION_DIGITS, BITS * (DIGITS - DIMENSION_DIGITS)
-    value = F.element_at(F.array(*names), frame["dimension"])
-    place = F.floor((value - frame["low"]) * frame["scale"] * float(2**dim_bits - 1)).cast("long")
-    return F.shiftleft(place, tie_bits) + F.shiftrightunsigned("tie", 64 - tie_bits)
 
+def _with_nodes(points: DataFrame, nodes: list[_Node]) -> DataFrame:
+    """points with the columns of their nodes: a table of at most as many rows as there are shards."""
+    known = points.sparkSession.createDataFrame([(*astuple(n), n.right) for n in nodes], _NODE)
+    return points.join(F.broadcast(known), "node")
 
-def _frame(n: _Node, names: list[str]) -> Column:
-    """What a row must know of its node."""
-    width = n.high - n.low
-    left = n.leaves // 2
-    return F.struct(
-        F.lit(names.index(n.dimension or names[0]) + 1).alias("dimension"),
-        F.lit(float(n.low)).alias("low"),
-        F.lit(1.0 / width if width > 0 else 0.0).alias("scale"),
-        F.lit(n.prefix).cast("long").alias("prefix"),
-        F.lit(n.shard).alias("left"),
-        F.lit(n.shard + left if left else n.shard).alias("right"),  # a leaf sends all to itself
-    )
+
+def _code(names: list[str]) -> Column:
+    """Where a row stands in its node: its coordinate in the node's dimension, then its tie-break."""
+    return F.shiftleft(F.element_at(F.array(*names), F.col("dimension") + 1).cast("long"), TIE_BITS) + F.col("tie")
 
 
-def _cut_level(points: DataFrame, nodes: list[_Node], names: list[str], ranges: dict[str, float]) -> None:
-    """Fills in each node's dimension, ends and prefix (the last coordinate that goes left)."""
-    open_nodes = [n for n in nodes if n.leaves > 1]
-    here = points.where(F.col("node").isin([n.shard for n in open_nodes]))
-    ends = here.groupBy("node").agg(F.sum("size").alias("bytes"), *[f(d).alias(f"{k}_{d}") for d in names for k, f in (("lo", F.min), ("hi", F.max))])
-    seen = {r["node"]: r for r in ends.collect()}
+def _cut_level(points: DataFrame, nodes: list[_Node], names: list[str], widths: list[float]) -> None:
+    """Fills in each node's dimension and prefix (the last code that goes left)."""
+    spread = points.groupBy("node").agg(F.sum("size").alias("bytes"), *[f(x).alias(f"{f.__name__}_{x}") for x in names for f in (F.min, F.max)])
+    seen = {r["node"]: r for r in spread.collect()}
+    open_nodes = [n for n in nodes if n.leaves > 1 and n.node in seen]
     for n in open_nodes:
-        if r := seen.get(n.shard):
-            n.dimension = max(names, key=lambda d: ((r[f"hi_{d}"] - r[f"lo_{d}"]) / (ranges[d] or 1.0), -names.index(d)))
-            n.low, n.high = r[f"lo_{n.dimension}"], r[f"hi_{n.dimension}"]
-            n.goal = r["bytes"] * (n.leaves // 2) / n.leaves
-    frame = _looked_up(open_nodes, F.col("node"), lambda n: _frame(n, names))
-    coded = here.select("node", "size", let(frame, lambda f: _code(f, names)).alias("code"))
+        r = seen[n.node]
+        n.dimension = max(range(len(names)), key=lambda d: ((r[f"max_{names[d]}"] - r[f"min_{names[d]}"]) / (widths[d] or 1.0), -d))
+        n.goal = r["bytes"] * (n.leaves // 2) / n.leaves
+    if not open_nodes:
+        return
     for digit in range(DIGITS):
-        shift = BITS * (DIGITS - 1 - digit)
-        inside = F.shiftright("code", shift + BITS) == _looked_up(open_nodes, F.col("node"), lambda n: F.lit(n.prefix).cast("long"))
-        cells = coded.where(inside).groupBy("node", F.shiftright("code", shift).alias("cell")).agg(F.sum("size").alias("bytes"))
+        shift = DIGIT_BITS * (DIGITS - 1 - digit)
+        coded = _with_nodes(points, open_nodes).withColumn("code", _code(names)).where(F.shiftright("code", shift + DIGIT_BITS) == F.col("prefix"))
+        cells = coded.groupBy("node", F.shiftright("code", shift).alias("cell")).agg(F.sum("size").alias("bytes"), F.first(F.col("goal") - F.col("below")).alias("need"))
         run = F.sum("bytes").over(Window.partitionBy("node").orderBy("cell").rowsBetween(Window.unboundedPreceding, 0))
-        need = _looked_up(open_nodes, F.col("node"), lambda n: F.lit(n.goal - n.below))
         # The first cell at which the goal is reached.
-        reached = cells.withColumn("run", run).where(F.col("run") >= need)
+        reached = cells.withColumn("run", run).where(F.col("run") >= F.col("need"))
         hit = {r["node"]: r for r in reached.groupBy("node").agg(F.min(F.struct("cell", "run", "bytes")).alias("at")).select("node", "at.*").collect()}
         for n in open_nodes:
-            if (r := hit.get(n.shard)) is None:
-                n.prefix <<= BITS
+            if (r := hit.get(n.node)) is None:
+                n.prefix <<= DIGIT_BITS
                 continue
             n.prefix = r["cell"]
             before = r["run"] - r["bytes"]
@@ -102,46 +103,51 @@ def _cut_level(points: DataFrame, nodes: list[_Node], names: list[str], ranges:
             n.below += before
 
 
-def tree_shards(docs: DataFrame, shards: int = 24, dims: tuple[str, ...] = ("source", "lang", "size"), whole_part: float = 1 / 4) -> DataFrame:
+def tree_shards(docs: DataFrame, shards: int = 24, dims: tuple[str, ...] = ("source", "lang", "size")) -> DataFrame:
     """Per row: doc_id, size, text_crc32, shard, slot.
 
     size is the text's UTF-8 bytes (null: none) plus 8.  ``dims`` are columns of docs,
-    or ``size``; a missing or null one orders first.  Copies of a text stay in one
-    shard while together they are at most ``whole_part`` of a shard's bytes.  slot
-    numbers a shard's rows from 0 without gaps.  Null ids and repeated rows are rows
-    like others; no rows give none.  Fewer texts than shards leave shards empty.
+    or ``size``; a missing or null one orders last.  Copies of a text stay in one shard
+    unless together they are more than a shard's bytes: then they are ordered by their
+    ids, fill neighbouring shards and may share them with others.  Shards are as near
+    equal as whole groups allow.  slot numbers a shard's rows from 0 without gaps.  Null
+    ids and repeated rows are rows like others (rows equal in id and text always stay
+    together); no rows give none.  Fewer texts than shards leave shards empty.
     """
-    kinds = dict(docs.dtypes)
+    kinds = {d: "double" if d == "size" else dict(docs.dtypes).get(d, "string") for d in dims}
     text = F.coalesce(docs["text"], F.lit(""))
     rows = docs.select(
-        docs["doc_id"],
+        docs["doc_id"].alias("_id"),
         (F.octet_length(text) + 8).cast("long").alias("size"),
-        F.crc32(text).alias("text_crc32"),
-        F.xxhash64(text).alias("h"),
-        *[(docs[d] if d in kinds else F.lit(None).cast("string")).alias(f"d_{d}") for d in dims if d != "size"],
+        F.crc32(text).alias("_crc"),
+        F.xxhash64(text).alias("_h"),
+        *[(docs[d] if d in docs.columns else F.lit(None).cast("string")).alias(d) for d in dims if d != "size"],
     )
-    rows = settle(rows)
-    rows = rows.select("doc_id", "size", "text_crc32", "h", *[(F.log2("size") if d == "size" else _position(f"d_{d}", kinds.get(d, "string"))).alias(f"x_{d}") for d in dims])
+    rows = _coordinates(settle(rows), kinds)
     names = [f"x_{d}" for d in dims]
+    rows = settle(rows.select("_id", "size", "_crc", "_h", *names))
     whole = rows.agg(F.sum("size"), *[F.max(x) - F.min(x) for x in names]).first()
-    ranges = dict(zip(names, [float(v or 0.0) for v in whole[1:]]))
-    limit = (whole[0] or 0) / shards * whole_part
-    groups = rows.groupBy("h", "text_crc32", "size").agg(F.count("*").alias("n"), *[F.min(x).alias(f"g_{x}") for x in names])
-    apart = F.col("n") * F.col("size") > limit
-    tie = F.when(apart & (F.col("n") > 1), F.xxhash64("h", "doc_id")).otherwise(F.col("h"))
-    points = join_on(rows, groups, ["h", "text_crc32", "size"])
-    points = settle(points.select("doc_id", "size", "text_crc32", *[F.col(f"g_{x}").alias(x) for x in names], tie.alias("tie")))
-
-    nodes, placed = [_Node(0, shards)], points.withColumn("node", F.lit(0))
+    limit = (whole[0] or 0) / shards
+    groups = rows.groupBy("_h", "_crc", "size").agg((F.count("*") * F.col("size")).alias("bytes"), *[F.min(x).alias(f"g{x}") for x in names])
+    apart = F.col("bytes") > limit
+    weight = F.when(apart, 2**WEIGHT_BITS - 1).otherwise(F.least(F.lit(2**WEIGHT_BITS - 1), F.floor(F.log2(F.lit(limit) / F.col("bytes")))))
+    mixed = F.shiftrightunsigned(F.when(apart, F.xxhash64("_h", "_id")).otherwise(F.col("_h")), 64 - TIE_BITS + WEIGHT_BITS)
+    tie = F.shiftleft(weight.cast("long"), TIE_BITS - WEIGHT_BITS) + mixed
+    points = join_on(rows, groups, ["_h", "_crc", "size"])
+    points = settle(points.select("_id", "size", "_crc", *[F.col(f"g{x}").alias(x) for x in names], tie.alias("tie")))
+
+    nodes, placed, level = [_Node(0, shards)], points.withColumn("node", F.lit(0)), 0
     while any(n.leaves > 1 for n in nodes):
-        _cut_level(placed, nodes, names, ranges)
-        frame = _looked_up(nodes, F.col("node"), lambda n: _frame(n, names))
-        turned = let(frame, lambda f: F.when(_code(f, names) > f["prefix"], f["right"]).otherwise(f["left"]))
-        placed = placed.withColumn("node", turned)
-        nodes = [m for n in nodes for m in ([n] if n.leaves == 1 else [_Node(n.shard, n.leaves // 2), _Node(n.shard + n.leaves // 2, n.leaves - n.leaves // 2)])]
-    placed = settle(placed.select("doc_id", "size", "text_crc32", "tie", F.col("node").cast("int").alias("shard")))
-    counts = placed.groupBy("shard").agg(F.count("*").alias("rows"))
-    dealt = join_on(placed, counts, ["shard"]).withColumn("one", F.lit(1)).withColumn("mix", F.xxhash64("doc_id", "tie"))
+        _cut_level(placed, nodes, names, [float(v or 0.0) for v in whole[1:]])
+        turn = F.when((F.col("leaves") > 1) & (_code(names) > F.col("prefix")), F.col("right")).otherwise(F.col("node"))
+        placed = _with_nodes(placed, nodes).withColumn("node", turn).select(*points.columns, "node")
+        nodes = [m for n in nodes for m in ([n] if n.leaves == 1 else [_Node(n.node, n.leaves // 2), _Node(n.right, n.leaves - n.leaves // 2)])]
+        level += 1
+        placed = settle(placed, over=placed) if level % LEVELS == 0 else placed
+    placed = settle(placed.select("_id", "size", "_crc", "tie", F.col("node").alias("shard")))
+    counts = settle(placed.groupBy("shard").agg(F.count("*").alias("rows")))
+    dealt = join_small(placed, counts, ["shard"]).withColumn("one", F.lit(1)).withColumn("mix", F.xxhash64("_id", "tie"))
     dealt = dealt.withColumn("block", F.pmod("mix", F.ceil(F.col("rows") / BLOCK_ROWS)))
-    order = [F.col("doc_id"), F.col("mix"), F.col("size")]
-    return running_before(dealt, ["shard"], "block", order, "one").select("doc_id", "size", "text_crc32", "shard", F.col("before").cast("long").alias("slot"))
+    order = [F.col("_id"), F.col("mix"), F.col("size")]
+    out = running_before(dealt, ["shard"], "block", order, "one")
+    return out.select(F.col("_id").alias("doc_id"), "size", F.col("_crc").alias("text_crc32"), "shard", F.col("before").cast("long").alias("slot"))

@@ -1,61 +1,132 @@
 """Mixing sources to target token weights by entropy balancing.
 
-The rates are those nearest to "every word once" (in relative entropy over words)
-whose words meet each source's target.  They are exponential tilts: rate =
-exp(sum of the duals of the constraints that a document takes part in).  With one
-constraint a source the dual's Hessian is diagonal, so a Newton step for every
-source is one projection of the sources' table; totals are summed by Spark.
-Rates become whole copies by ordered selection: documents in hash order get one
-copy more until the fraction of the words is reached, the small documents last, so
-that they also make up what the large ones missed.
+The rates are those nearest to "every word once" (in relative entropy over words) under
+which each constraint's words meet their target: exponential tilts, rate = exp(sum of the
+duals of the constraints that a document takes part in).  The convex dual is solved by
+Newton steps.  Every step is an aggregation over the table of cells: the gradient, the
+diagonal block of the first family of constraints (sources, of any number) and the small
+block that remains once it is eliminated, which the driver solves.  The duals of the
+first family stay a table.  Rates become whole copies by ordered selection: documents in
+hash order get one copy more until the fraction of the words is reached, the small
+documents last, so that they also make up what the large ones missed.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import math
+
+import numpy as np
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessaro.llm._work import join_on, running_before, settle, words
+from tessaro.llm._work import BROADCAST_ROWS, join_on, join_small, ranks, running_before, settle, words
 
 WEIGHTS = (5, 2, 1)
-#: Rows of one source that are ordered together.
-BLOCK_ROWS = 2_000
+#: Rows of one source that are ordered together; values of all families but the first, taken together.
+BLOCK_ROWS, SMALL_FAMILIES = 2_000, 64
+#: Newton steps at most, and the relative error of every constraint at which they end.
+STEPS, TOLERANCE = 60, 1e-9
 
 
 def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = 1.5, ceiling: float = 2.0) -> DataFrame:
-    """(source, words, target) for sizes(source, size); the table has one row a source.
+    """(source, words, rows, target) for sizes(source, size); the table has one row a source.
 
     Sources by code point, null last, weigh ``weights`` in turn.  Targets are
     min(ceiling * words, level * weight): the level at which they share what there is.
     """
-    per = sizes.groupBy("source").agg(F.sum("size").alias("words"))
-    order = Window.partitionBy(F.lit(0)).orderBy(F.col("source").asc_nulls_last())
-    place = F.row_number().over(order) - 1
-    per = per.withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (place % len(weights) + 1).cast("int")))
-    per = per.withColumn("cap", F.col("words") * ceiling)
-    # In order of cap / weight, the sources before the first that the level leaves below its cap are full; later levels are lower.
-    full = Window.partitionBy(F.lit(0)).orderBy(F.col("cap") / F.col("weight"), F.col("source").asc_nulls_last())
-    all_of = Window.partitionBy(F.lit(0))
-    before, from_here = full.rowsBetween(Window.unboundedPreceding, -1), full.rowsBetween(0, Window.unboundedFollowing)
-    per = per.withColumn("total", F.sum("words").over(all_of) * share)
-    per = per.withColumn("level", (F.col("total") - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("weight").over(from_here))
-    level = F.max(F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.col("level"))).over(all_of)
-    return per.withColumn("target", F.least("cap", F.coalesce(level * F.col("weight"), F.col("cap")))).select("source", "words", "target")
-
-
-def newton_duals(totals: DataFrame, steps: int = 60) -> DataFrame:
-    """Adds rate = exp(dual) to totals(words, target): Newton on words * exp(dual) - target * dual.
-
-    The step is damped to 1 upward, where the exponential would overshoot.  Sources
-    without words or target get rate 0.
+    per = settle(sizes.groupBy("source").agg(F.sum("size").alias("words"), F.count("*").alias("rows")))
+    per = join_on(per, ranks(per, "source"), ["source"])
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("rank") % len(weights) + 1).cast("int"))
+    per = settle(per.select("source", "words", "rows", weight.alias("weight"), (F.col("words") * ceiling).alias("cap")))
+    total, level = per.agg(F.sum("words") * share).first()[0] or 0.0, 0.0
+    while True:  # sources that the level fills stay full at higher levels, so it rises until it fills no other
+        full = F.col("cap") < level * F.col("weight")
+        held, rest = per.agg(F.sum(F.when(full, F.col("cap")).otherwise(0.0)), F.sum(F.when(full, 0.0).otherwise(F.col("weight")))).first()
+        above = (total - held) / rest if rest else level
+        if above <= level:
+            return per.select("source", "words", "rows", F.least("cap", level * F.col("weight")).alias("target"))
+        level = above
+
+
+def balance(cells: DataFrame, first: str, targets: DataFrame, others: dict[str, dict] | None = None) -> DataFrame:
+    """(first, dual) and, where there are others, rows (name, value, dual) of theirs: see ``rates``.
+
+    cells: one row a cell: first, the columns of others, and words.  targets: (first,
+    target).  others: column -> {value: target}; values that it lacks are free.  Targets
+    must be such that some mix meets all of them: overlapping families share one total.
+    Values of the first family without words or target get no dual: their rate is 0.
     """
-
-    def step(dual: Column, _: Column) -> Column:
-        gradient = F.col("words") * F.exp(dual) - F.col("target")
-        return dual - F.greatest(gradient / (F.col("words") * F.exp(dual)), F.lit(-1.0))
-
-    dual = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.lit(0.0), step)
-    return totals.withColumn("rate", F.when((F.col("words") > 0) & (F.col("target") > 0), F.exp(dual)).otherwise(0.0))
+    others = others or {}
+    small = [(c, v) for c in others for v in others[c]]
+    if len(small) > SMALL_FAMILIES:
+        raise ValueError(f"{len(small)} values in small families; at most {SMALL_FAMILIES}")
+    mu = np.zeros(len(small))
+    aims = np.array([others[c][v] for c, v in small], float)
+    usable = join_on(cells.select(first, *others, "words"), targets.where("target > 0"), [first]).where("words > 0")
+    usable = settle(usable.select(first, *others, "words", "target"))
+    duals, per = usable.select(first).distinct().withColumn("dual", F.lit(0.0)), None
+    near = F.broadcast if duals.count() <= BROADCAST_ROWS else lambda df: df
+    for _ in range(STEPS):
+        inside = [F.col(c).eqNullSafe(F.lit(v)) for c, v in small]
+        tilt = sum((F.when(i, float(m)).otherwise(0.0) for i, m in zip(inside, mu)), F.col("dual"))
+        mass = join_on(usable, near(duals), [first]).withColumn("mass", F.col("words") * F.exp(tilt))
+        before, per = per, mass.groupBy(first).agg(
+            F.sum("mass").alias("d"), F.first("target").alias("target"), F.first("dual").alias("dual"), *[F.sum(F.when(x, F.col("mass")).otherwise(0.0)).alias(f"c{i}") for i, x in enumerate(inside)]
+        )
+        per = settle(per.withColumn("g", F.col("d") - F.col("target")), over=before)
+        cross = [F.col(f"c{i}") for i in range(len(small))]
+        sums = per.agg(
+            F.max(F.abs(F.col("g")) / F.col("target")),
+            *[F.sum(c) for c in cross], *[F.sum(c * F.col("g") / F.col("d")) for c in cross],
+            *[F.sum(a * b / F.col("d")) for i, a in enumerate(cross) for b in cross[i:]],
+        ).first()
+        if sums[0] is None:
+            break
+        n, move = len(small), np.zeros(len(small))
+        error = sums[0]
+        if n:
+            gradient = np.array(sums[1 : n + 1]) - aims
+            error = max(error, float(np.max(np.abs(gradient) / np.maximum(aims, 1.0))))
+            block = np.diag(np.array(sums[1 : n + 1])) + _meeting(mass, inside, others, small)
+            taken = np.zeros((n, n))
+            taken[np.triu_indices(n)] = sums[2 * n + 1 :]
+            schur = block - (taken + np.triu(taken, 1).T)
+            # Families share a total, so the system has a free direction: the least move is taken.
+            move = np.linalg.lstsq(schur, -(gradient - np.array(sums[n + 1 : 2 * n + 1])), rcond=1e-12)[0]
+        if error <= TOLERANCE:
+            duals = per.select(first, "dual")
+            break
+        step = -(F.col("g") + sum((c * float(m) for c, m in zip(cross, move)), F.lit(0.0))) / F.col("d")
+        # Upward the exponential overshoots: no dual rises by more than 1 a step, and coupled moves shrink together.
+        shrink = 1.0 / max(1.0, float(move.max())) if n else 1.0
+        mu += shrink * move
+        duals = per.select(first, (F.col("dual") + F.least(step * shrink, F.lit(1.0))).alias("dual"))
+    else:
+        raise RuntimeError(f"no balance within {STEPS} steps: do the families' targets share one total?")
+    return duals if not small else duals.withColumn("others", F.array(*[F.lit(float(m)) for m in mu]))
+
+
+def _meeting(mass: DataFrame, inside: list, others: dict, small: list) -> np.ndarray:
+    """Mass of the cells that take part in two small constraints: zero within a family, one aggregation across families."""
+    n = len(small)
+    pairs = [(i, j) for i in range(n) for j in range(i + 1, n) if small[i][0] != small[j][0]]
+    out = np.zeros((n, n))
+    if pairs:
+        sums = mass.agg(*[F.sum(F.when(inside[i] & inside[j], F.col("mass")).otherwise(0.0)) for i, j in pairs]).first()
+        for (i, j), x in zip(pairs, sums):
+            out[i, j] = out[j, i] = x
+    return out
+
+
+def rates(cells: DataFrame, first: str, targets: DataFrame, others: dict[str, dict] | None = None) -> DataFrame:
+    """cells with ``rate``: the exponential tilt of each, 0 where the first family gives no words or no target."""
+    duals = balance(cells, first, targets, others)
+    small = [(c, v) for c in others or {} for v in others[c]]
+    if small:
+        at = [F.when(F.col(c).eqNullSafe(F.lit(v)), F.element_at("others", i + 1)).otherwise(0.0) for i, (c, v) in enumerate(small)]
+        joined = join_on(cells, duals, [first], "left")
+        return joined.withColumn("rate", F.coalesce(F.exp(sum(at, F.col("dual"))), F.lit(0.0))).drop("dual", "others")
+    return join_on(cells, duals, [first], "left").withColumn("rate", F.coalesce(F.exp("dual"), F.lit(0.0))).drop("dual")
 
 
 def mix_rates(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, ceiling: float = 2.0) -> DataFrame:
@@ -65,29 +136,28 @@ def mix_rates(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, ceiling: flo
     all columns are interchangeable.
     """
     docs = settle(docs.select("doc_id", "source", "size", "tie"))
-    totals = settle(newton_duals(source_targets(docs, weights, share, ceiling)))
-    moments = docs.groupBy("source").agg(F.avg("size").alias("mean"), F.count("*").alias("n"))
-    totals = join_on(totals, moments, ["source"])
-    # One row a source: AQE broadcasts it while small, else joins by sort and splits the hot source.
-    rows = join_on(docs, totals, ["source"]).withColumn("large", F.col("size") > F.col("mean") / 4).withColumnRenamed("words", "source_size")
-    rows = rows.withColumn("h", F.xxhash64(F.lit(17), "doc_id", "tie"))
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("n") / BLOCK_ROWS))
-    rows = rows.withColumn("block", F.floor((F.shiftrightunsigned("h", 1) / F.lit(2.0**63)) * blocks).cast("long"))
-    rows = rows.withColumn("whole", F.floor("rate")).withColumn("part", F.col("rate") - F.floor("rate"))
+    targets = source_targets(docs, weights, share, ceiling)
+    totals = settle(rates(targets.select("source", "words", "rows", "target"), "source", targets.select("source", "target")))
+    rows = join_small(docs, totals, ["source"]).withColumn("large", F.col("size") * F.col("rows") > F.col("words") / 4)
+    rows = rows.withColumnRenamed("words", "source_size").withColumn("h", F.xxhash64(F.lit(17), "doc_id", "tie"))
+    blocks = F.greatest(F.lit(1), F.ceil(F.col("rows") / BLOCK_ROWS))
+    rows = rows.withColumn("block", F.floor((F.shiftrightunsigned("h", 1) / F.lit(2.0**63)) * blocks).cast("long")).drop("rows")
+    # A rate that is whole but for the last step's error has no part.
+    near = F.abs(F.col("rate") - F.round("rate")) < 1e-6
+    rows = rows.withColumn("whole", F.when(near, F.round("rate")).otherwise(F.floor("rate")))
+    rows = rows.withColumn("part", F.when(near, F.lit(0.0)).otherwise(F.col("rate") - F.col("whole")))
     order = [F.col("h"), F.col("doc_id"), F.col("tie"), F.col("size")]
     rows = settle(running_before(rows, ["source", "large"], "block", order, "size"))
-    got = F.when(F.col("large"), F.col("before") + F.col("size") / 2 <= F.col("part") * F.col("large_words"))
-    classes = rows.groupBy("source").agg(
-        F.sum(F.when(F.col("large"), F.col("size")).otherwise(0)).alias("large_words"),
-        F.sum(F.when(~F.col("large"), F.col("size")).otherwise(0)).alias("small_words"),
-    )
-    rows = join_on(rows, classes, ["source"])
-    rows = rows.withColumn("extra", F.coalesce(got, F.lit(False)))
-    taken = rows.groupBy("source").agg(F.sum(F.when(F.col("extra"), F.col("size")).otherwise(0)).alias("large_taken"))
-    rows = join_on(rows, taken, ["source"])
+    sizes = lambda what: F.sum(F.when(what, F.col("size")).otherwise(0))
+    classes = settle(rows.groupBy("source").agg(sizes(F.col("large")).alias("large_words"), sizes(~F.col("large")).alias("small_words")))
+    rows = join_small(rows, classes, ["source"])
+    got = F.col("large") & (F.col("before") + F.col("size") / 2 <= F.col("part") * F.col("large_words")) & (F.col("part") > 0)
+    rows = rows.withColumn("extra", got)
+    taken = settle(rows.groupBy("source").agg(sizes(F.col("extra")).alias("large_taken")))
+    rows = join_small(rows, taken, ["source"])
     wanted = F.least("small_words", F.greatest(F.lit(0.0), F.col("part") * (F.col("large_words") + F.col("small_words")) - F.col("large_taken")))
     extra = F.col("extra") | (~F.col("large") & (F.col("before") + F.col("size") / 2 <= wanted) & (F.col("part") > 0))
-    copies = F.least(F.lit(int(ceiling)), (F.col("whole") + extra.cast("int"))).cast("int")
+    copies = F.least(F.lit(math.floor(ceiling)), (F.col("whole") + extra.cast("int"))).cast("int")
     return rows.select("doc_id", "source", "size", "tie", "source_size", "target", "rate", copies.alias("copies"))
 
 

@@ -1,10 +1,13 @@
-"""Passage dedup: winnowed word fingerprints find repeated runs of words, wherever in a line they begin or end.
-
-A window is ``min_words`` words.  Its fingerprint is the least hash of the shorter grams
-inside it, so equal windows share it.  Fingerprints at two places or more are set in a
-bitmap; only windows whose fingerprint is in it are compared, as wholes and by their
-hashes, and all but the first of equal windows make up the cuts.  The bitmap may let
-more windows through, never fewer: it bounds the work and does not decide.
+"""Line dedup: winnowed fingerprints find repeated runs of words, wherever in a line they begin or end.
+
+A window is ``min_words`` words; the gram of least hash inside it, the leftmost of equal
+ones, is its fingerprint.  Only these minima are kept, each with the stretch of text that
+it speaks for: the windows in a row that select it.  Equal windows have equal
+fingerprints, so positions are joined on them.  A fingerprint that always stands in the
+same stretch is extended as a whole, one row for all its windows; where stretches differ,
+a run begins or ends inside, and it is extended window by window.  What has occurred
+before makes up the cuts.  All steps are aggregations and equi joins on hashes: work
+grows with the words, never with the pairs of a passage's occurrences.
 """
 
 from __future__ import annotations
@@ -14,14 +17,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessaro.llm._work import join_on
-from tessaro.llm.line_dedup import MIN_WORDS
+from tessaro.llm._work import join_on, settle
 
-#: Bits of the bitmap (8 MB), and rows of windows given on at once.
-BITS, ROWS = 2**26, 2**17
+MIN_WORDS = 50
+#: Rows given on at once; bits of a bitmap of repeated fingerprints (8 MB), and for how many it is used: beyond, they are joined to the texts.
+ROWS, BITS, BITMAP_MOST = 2**17, 2**26, 2**24
 _BASE = 0x9E3779B97F4A7C15
 _BACK = pow(_BASE, -1, 2**64)
 _POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
@@ -40,16 +43,17 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def _sliding(least, h: np.ndarray, width: int) -> np.ndarray:
-    """least (np.minimum or np.maximum) of every ``width`` values in a row."""
-    n, done = len(h) - width + 1, 1
+def _minima(h: np.ndarray, width: int) -> np.ndarray:
+    """Of every ``width`` values in a row, where the least stands, leftmost if several."""
+    at, done, n = np.arange(len(h)), 1, len(h) - width + 1
+    lower = lambda a, b: np.where(h[a] <= h[b], a, b)
     while 2 * done <= width:
-        h, done = least(h[:-done], h[done:]), 2 * done
-    return least(h[:n], h[width - done : width - done + n])
+        at, done = lower(at[:-done], at[done:]), 2 * done
+    return lower(at[:n], at[width - done : width - done + n])
 
 
-class Grams:
-    """Hashes of a text's windows, and the fingerprint of each."""
+class Stretches:
+    """A text's fingerprints, the windows that select each (``first`` to ``last``), and hashes of windows and stretches."""
 
     def __init__(self, words: list[bytes], min_words: int):
         n = len(words)
@@ -57,51 +61,23 @@ class Grams:
         one = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, n)
         total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(one * forth[:n], dtype=np.uint64)])
         of = lambda k: _mixed((total[k:] - total[:-k]) * back[: n - k + 1])
-        self.short = max(1, 2 * min_words // 5)
-        self.width = min_words - self.short + 1
-        self.grams, self.windows = of(self.short), of(min_words)
-        self.least = _sliding(np.minimum, self.grams, self.width)
-
-    def places(self) -> np.ndarray:
-        """Where a gram is the fingerprint of a window that holds it."""
-        if self.width == 1:
-            return np.arange(len(self.grams))
-        ends = np.zeros(self.width - 1, np.uint64)
-        return np.flatnonzero(_sliding(np.maximum, np.concatenate([ends, self.least, ends]), self.width) == self.grams)
-
-
-def _texts(batch: pa.RecordBatch, min_words: int) -> Iterator[tuple[int, Grams]]:
-    """(row, grams) of the rows with enough words."""
+        short = max(1, 2 * min_words // 5)
+        grams = of(short)
+        self.windows = of(min_words)
+        places = _minima(grams, min_words - short + 1)
+        self.first = np.flatnonzero(np.r_[True, places[1:] != places[:-1]])
+        self.last = np.r_[self.first[1:], len(places)] - 1
+        self.fingerprints = grams[places[self.first]]
+        long = self.last - self.first + min_words
+        whole = (total[self.first + long] - total[self.first]) * back[self.first]
+        self.wholes = _mixed(whole + long.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+
+
+def _texts(batch: pa.RecordBatch, min_words: int) -> Iterator[tuple[int, Stretches]]:
+    """(row, stretches) of the rows with enough words."""
     for i, text in enumerate(batch.column("text").cast(pa.large_binary()).to_pylist()):
         if text is not None and len(words := text.split()) >= min_words:
-            yield i, Grams(words, min_words)
-
-
-def _fingerprints(min_words: int):
-    def fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at_text = batch.column("place").to_numpy().view(np.uint64)
-            for parts in _held((g.grams[p := g.places()], _mixed(at_text[i] + _mixed(p.astype(np.uint64) + np.uint64(1)))) for i, g in _texts(batch, min_words)):
-                yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in parts], ["fingerprint", "place"])
-
-    return fingerprints
-
-
-def _windows(min_words: int, bits: np.ndarray):
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row, at, window in _held(_marked(i, g, bits) for i, g in _texts(batch, min_words)):
-                taken = pa.array(row)
-                columns = [pa.array(window.view(np.int64)), batch.column("doc_id").take(taken), batch.column("text_hash").take(taken), pa.array(at)]
-                yield pa.RecordBatch.from_arrays(columns, ["window", "doc_id", "text_hash", "at"])
-
-    return windows
-
-
-def _marked(i: int, g: Grams, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    bit = g.least & np.uint64(BITS - 1)
-    at = np.flatnonzero(bits[bit >> np.uint64(6)] >> (bit & np.uint64(63)) & np.uint64(1))
-    return np.full(len(at), i, np.int32), at.astype(np.int32), g.windows[at]
+            yield i, Stretches(words, min_words)
 
 
 def _held(parts: Iterator[tuple[np.ndarray, ...]]) -> Iterator[list[np.ndarray]]:
@@ -117,8 +93,65 @@ def _held(parts: Iterator[tuple[np.ndarray, ...]]) -> Iterator[list[np.ndarray]]
         yield [np.concatenate(x) for x in zip(*held)]
 
 
+def _winnow(min_words: int, owned: bool):
+    def winnow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(fingerprint, whole) of every selected minimum; owned: with its text instead of whole."""
+        for batch in batches:
+            for row, fingerprint, whole in _held((np.full(len(s.first), i, np.int32), s.fingerprints, s.wholes) for i, s in _texts(batch, min_words)):
+                columns = [pa.array(fingerprint.view(np.int64))]
+                if owned:
+                    yield pa.RecordBatch.from_arrays(columns + [batch.column(c).take(pa.array(row)) for c in ("doc_id", "text_hash")], ["fingerprint", "doc_id", "text_hash"])
+                else:
+                    yield pa.RecordBatch.from_arrays([*columns, pa.array(whole.view(np.int64))], ["fingerprint", "whole"])
+
+    return winnow
+
+
+def _extended(i: int, s: Stretches, again: np.ndarray, apart: np.ndarray, min_words: int) -> tuple[np.ndarray, ...]:
+    """(row, key, start, end): one for each stretch whose fingerprint occurs again, but one a window where it stands in different ones."""
+    whole = np.flatnonzero(again & ~apart)
+    edge = np.flatnonzero(apart)
+    count = s.last[edge] - s.first[edge] + 1
+    at = np.repeat(s.first[edge] - np.cumsum(count) + count, count) + np.arange(count.sum())
+    start = np.concatenate([s.first[whole], at])
+    end = np.concatenate([s.last[whole], at]) + min_words
+    key = np.concatenate([s.wholes[whole], s.windows[at]])
+    return np.full(len(key), i, np.int32), key, start.astype(np.int32), end.astype(np.int32)
+
+
+_SEGMENTS = "key long, doc_id long, text_hash long, start int, end int"
+
+
+def _given(batch: pa.RecordBatch, parts: Iterator[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+    for row, key, start, end in _held(parts):
+        owner = [batch.column(c).take(pa.array(row)) for c in ("doc_id", "text_hash")]
+        yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), *owner, pa.array(start), pa.array(end)], ["key", "doc_id", "text_hash", "start", "end"])
+
+
+def _by_bitmap(min_words: int, again: np.ndarray, apart: np.ndarray):
+    def held(bits: np.ndarray, fingerprints: np.ndarray) -> np.ndarray:
+        bit = fingerprints & np.uint64(BITS - 1)
+        return (bits[bit >> np.uint64(6)] >> (bit & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+    def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield from _given(batch, (_extended(i, s, held(again, s.fingerprints), held(apart, s.fingerprints), min_words) for i, s in _texts(batch, min_words)))
+
+    return segments
+
+
+def _by_list(min_words: int):
+    def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            again, apart = batch.column("again"), batch.column("apart")
+            known = lambda column, i, s: np.isin(s.fingerprints.view(np.int64), column[i].values.to_numpy())
+            yield from _given(batch, (_extended(i, s, known(again, i, s), known(apart, i, s), min_words) for i, s in _texts(batch, min_words)))
+
+    return segments
+
+
 def _bitmap(fingerprints: DataFrame) -> np.ndarray:
-    """The lowest bits of the fingerprints as a bitmap; no more than a million longs come to the driver."""
+    """The lowest bits of at most BITMAP_MOST fingerprints; never more than a million longs come to the driver."""
     bit = F.col("fingerprint").bitwiseAND(F.lit(BITS - 1))
     parts = fingerprints.groupBy(F.shiftright(bit, 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(fingerprint & 63 as int))")).alias("bits")).toPandas()
     bits = np.zeros(BITS // 64, np.uint64)
@@ -126,32 +159,48 @@ def _bitmap(fingerprints: DataFrame) -> np.ndarray:
     return bits
 
 
-def repeated_windows(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, text_hash, cuts): for each text with later repeats, the first words (from 0) of its repeated windows.
+def _segments(read: DataFrame, min_words: int, bitmap_most: int) -> DataFrame:
+    """(key, doc_id, text_hash, start, end): stretches and windows whose equals have equal keys, if they have any."""
+    minima = read.select("text").mapInArrow(_winnow(min_words, owned=False), "fingerprint long, whole long")
+    met = minima.groupBy("fingerprint").agg(F.count("*").alias("n"), F.min("whole").alias("low"), F.max("whole").alias("high"))
+    repeated = settle(met.where("n > 1").select("fingerprint", (F.col("low") != F.col("high")).alias("apart")))
+    if repeated.count() <= bitmap_most:
+        # A bit that two fingerprints share lets more stretches through, alike in all texts: the cuts stay the same.
+        return read.mapInArrow(_by_bitmap(min_words, _bitmap(repeated), _bitmap(repeated.where("apart"))), _SEGMENTS)
+    owned = read.mapInArrow(_winnow(min_words, owned=True), "fingerprint long, doc_id long, text_hash long")
+    lists = owned.join(repeated, "fingerprint").groupBy("doc_id", "text_hash").agg(
+        F.collect_set("fingerprint").alias("again"), F.collect_set(F.when(F.col("apart"), F.col("fingerprint"))).alias("apart")
+    )
+    return join_on(read, lists, ["doc_id", "text_hash"]).mapInArrow(_by_list(min_words), _SEGMENTS)
+
+
+def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS, bitmap_most: int = BITMAP_MOST) -> DataFrame:
+    """(doc_id, text_hash, cuts): for each text with later repeats, array of (start, end) of repeated words, end excluded.
 
     Occurrences are ordered by doc_id (null first), then a hash of the text, then place.
-    Rows of equal id and text are one document here.
+    A repeat in the text of its first occurrence counts if it does not overlap it.  Rows
+    of equal id and text are one document here.
     """
     read = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(docs["text"]).alias("text_hash"), docs["text"].alias("text")).where("text is not null")
-    text = F.xxhash64(F.coalesce("doc_id", F.lit(0)), F.col("doc_id").isNull(), "text_hash").alias("place")
-    places = read.select(text, "text").mapInArrow(_fingerprints(min_words), "fingerprint long, place long")
-    repeated = places.groupBy("fingerprint").agg(F.min("place").alias("low"), F.max("place").alias("high")).where("low <> high")
-    windows = read.mapInArrow(_windows(min_words, _bitmap(repeated)), "window long, doc_id long, text_hash long, at int")
-    rank = F.rank().over(Window.partitionBy("window").orderBy("doc_id", "text_hash", "at"))
-    later = windows.withColumn("rank", rank).where("rank > 1")
-    return later.groupBy("doc_id", "text_hash").agg(F.collect_set("at").alias("cuts"))
+    segments = settle(_segments(read, min_words, bitmap_most))
+    place = F.struct("doc_id", "text_hash", "start")
+    origin = segments.groupBy("key").agg(F.min(place).alias("first"), F.max(place).alias("final")).where("first <> final").select("key", "first")
+    owner: Column = F.struct("doc_id", "text_hash")
+    elsewhere = ~owner.eqNullSafe(F.struct("first.doc_id", "first.text_hash"))
+    later = segments.join(origin, "key").where(elsewhere | (F.col("first.start") + min_words <= F.col("start")))
+    return later.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("start", "end")).alias("cuts"))
 
 
-def without(text: bytes, starts: np.ndarray, min_words: int) -> tuple[bytes, int, int]:
-    """text without the windows at starts, and how many whole lines and words went."""
+def without(text: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[bytes, int, int]:
+    """text without the words from starts to ends, and how many whole lines and words went."""
     lines = text.split(b"\n")
     parts = [x.split() for x in lines]
     n = sum(map(len, parts))
     edge = np.zeros(n + 2, np.int64)
     np.add.at(edge, starts, 1)
-    np.add.at(edge, starts + min_words, -1)
+    np.add.at(edge, ends, -1)
     gone = np.cumsum(edge) > 0
-    # through[i]: one window holds both word i - 1 and word i.
+    # through[i]: one run holds both word i - 1 and word i.
     np.add.at(edge, starts, -1)
     np.add.at(edge, starts + 1, 1)
     through = np.cumsum(edge) > 0
@@ -183,54 +232,53 @@ def _line(line: bytes, words: list[bytes], gone: np.ndarray) -> bytes:
     return b" ".join(left)
 
 
-def _cut(min_words: int):
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, lines, words = batch.column(0), [0] * batch.num_rows, [0] * batch.num_rows
-            cuts = batch.column(1)
-            if cuts.null_count < batch.num_rows:
-                clean = texts.to_pylist()
-                for i in np.flatnonzero(cuts.is_valid().to_numpy(zero_copy_only=False)).tolist():
-                    out, lines[i], words[i] = without(clean[i].encode(), cuts[i].values.to_numpy(), min_words)
-                    clean[i] = out.decode()
-                texts = pa.array(clean, texts.type)
-            names = ["_clean", "_removed_lines", "_removed_words", *(f.name for f in list(batch.schema)[2:])]
-            yield pa.RecordBatch.from_arrays([texts, pa.array(lines, pa.int32()), pa.array(words, pa.int64()), *batch.columns[2:]], names)
-
-    return cut
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts, lines, words = batch.column(0), [0] * batch.num_rows, [0] * batch.num_rows
+        cuts = batch.column(1)
+        if cuts.null_count < batch.num_rows:
+            clean = texts.to_pylist()
+            for i in np.flatnonzero(cuts.is_valid().to_numpy(zero_copy_only=False)).tolist():
+                runs = cuts[i].values
+                out, lines[i], words[i] = without(clean[i].encode(), runs.field(0).to_numpy(), runs.field(1).to_numpy())
+                clean[i] = out.decode()
+            texts = pa.array(clean, texts.type)
+        names = ["_clean", "_removed_lines", "_removed_words", *(f.name for f in list(batch.schema)[2:])]
+        yield pa.RecordBatch.from_arrays([texts, pa.array(lines, pa.int32()), pa.array(words, pa.int64()), *batch.columns[2:]], names)
 
 
-def _cleaned(docs: DataFrame, min_words: int) -> DataFrame:
+def _cleaned(docs: DataFrame, min_words: int, **options) -> DataFrame:
     """_clean, _removed_lines and _removed_words of every row, and its other columns as _c0, _c1, ..."""
     rows = docs.select(
         docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(docs["text"]).alias("text_hash"), *[docs[c].alias(f"_c{i}") for i, c in enumerate(docs.columns)]
     )
-    marked = join_on(rows, repeated_windows(docs, min_words), ["doc_id", "text_hash"], "left")
+    marked = join_on(rows, repeated_runs(docs, min_words, **options), ["doc_id", "text_hash"], "left")
     text = docs.columns.index("text")
     picked = marked.select(f"_c{text}", "cuts", *[f"_c{i}" for i in range(len(docs.columns)) if i != text])
     kinds = "".join(f", {f.name} {f.dataType.simpleString()}" for f in picked.schema.fields[2:])
-    return picked.mapInArrow(_cut(min_words), "_clean string, _removed_lines int, _removed_words long" + kinds)
+    return picked.mapInArrow(_cut, "_clean string, _removed_lines int, _removed_words long" + kinds)
 
 
-def passage_report(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def passage_report(docs: DataFrame, min_words: int = MIN_WORDS, **options) -> DataFrame:
     """Per row: doc_id, text (cleaned), removed_lines, removed_words.
 
     A word goes if it lies in a run of at least ``min_words`` words that occurs earlier,
     in any document or its own, whatever the line ends.  A line of which no word is left
     goes as a whole (removed_lines), as does one without words inside a run.  The first
-    occurrence stays.  Null, empty and shorter texts pass unchanged; null ids order first;
+    occurrence stays, also of a run that overlaps its own repeat: ten equal lines of 25
+    words keep two.  Null, empty and shorter texts pass unchanged; null ids order first;
     repeated rows are cut alike; no rows give none.
     """
     doc_id = F.col(f"_c{docs.columns.index('doc_id')}").alias("doc_id")
-    out = _cleaned(docs, min_words)
+    out = _cleaned(docs, min_words, **options)
     return out.select(doc_id, F.col("_clean").alias("text"), F.col("_removed_lines").alias("removed_lines"), F.col("_removed_words").alias("removed_words"))
 
 
-def dedup_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def dedup_passages(docs: DataFrame, min_words: int = MIN_WORDS, **options) -> DataFrame:
     """docs with their texts cleaned as in passage_report; documents of which no word is left are dropped.
 
     All columns are kept; n_chars, if there is one, is that of the cleaned text.
     """
-    out = _cleaned(docs, min_words).where((F.col("_removed_words") == 0) | F.col("_clean").rlike(r"[^\x20\x09-\x0D]"))
+    out = _cleaned(docs, min_words, **options).where((F.col("_removed_words") == 0) | F.col("_clean").rlike(r"[^\x20\x09-\x0D]"))
     named = {"text": F.col("_clean"), "n_chars": F.length("_clean").cast(dict(docs.dtypes).get("n_chars", "long"))}
     return out.select(*[named.get(c, F.col(f"_c{i}")).alias(c) for i, c in enumerate(docs.columns)])

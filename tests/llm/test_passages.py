@@ -1,3 +1,4 @@
+import random
 from collections import Counter
 
 import pytest
@@ -8,33 +9,48 @@ from .corpus import SCHEMA, corpus, frame, words
 
 
 def brute(rows, least):
-    """The words left: every run of ``least`` words against all earlier ones; id order, ids are unique."""
-    seen, left = set(), {}
+    """The words left, by the plain rule: a run of ``least`` words goes if its first occurrence, in id order, lies wholly before it."""
+    first, left = {}, {}
     for doc_id, text in sorted(rows):
         w = words(text)
         gone = set()
         for i in range(len(w) - least + 1):
-            run = tuple(w[i : i + least])
-            if run in seen:
+            where, at = first.setdefault(tuple(w[i : i + least]), (doc_id, i))
+            if where != doc_id or at + least <= i:
                 gone.update(range(i, i + least))
-            seen.add(run)
         left[doc_id] = [x for i, x in enumerate(w) if i not in gone]
     return left
 
 
-@pytest.mark.parametrize("least", [1, 6, 15, 50])
-def test_matches_all_runs(spark, least):
+@pytest.mark.parametrize("least,most", [(1, 10**6), (6, 10**6), (15, 10**6), (50, 10**6), (6, 0), (50, 0)])
+def test_matches_all_runs(spark, least, most):
     a, b, c = (" ".join(f"{x}{i}" for i in range(20)) for x in "abc")
     rows = [(r[0], r[1]) for r in corpus(n=30) if r[0] is not None][:-1]
-    extra = [f"{a} {b} {c}", f"x {a}\n{b}\n\n{c} y", f"p q {b}\n{c} {a} r\ns", f"{a} {a}\n{a} {a}", "u v w " * 40, f"x {a}\n{b}\n\n{c} y", f"\n \n{a} {b}\n{c}\n"]
+    extra = [f"{a} {b} {c}", f"x {a}\n{b}\n\n{c} y", f"p q {b}\n{c} {a} r\ns", f"{a} {a}\n{a} {a}", "u v w " * 40, f"x {a}\n{b}\n\n{c} y", f"\n \n{a} {b}\n{c}\n", "z " * 120, f"{c} {b} " * 4]
     rows += [(1000 + i, t) for i, t in enumerate(extra)]
-    got = passage_report(frame(spark, [(d, t, "en", "s", 0) for d, t in rows]), least).collect()
+    got = passage_report(frame(spark, [(d, t, "en", "s", 0) for d, t in rows]), least, bitmap_most=most).collect()
     want = brute(rows, least)
     assert {r["doc_id"]: words(r["text"]) for r in got} == want
     assert {r["doc_id"]: r["removed_words"] for r in got} == {d: len(words(t)) - len(want[d]) for d, t in rows}
     assert all(r["text"] == dict(rows)[r["doc_id"]] for r in got if not r["removed_words"])
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_random_words_of_few_kinds(spark, seed):
+    """Few kinds of words: runs overlap, nest, meet others' ends and repeat in their own text."""
+    rng = random.Random(seed)
+    pool = [[rng.choice("abcd") for _ in range(rng.randint(3, 25))] for _ in range(6)]
+    rows = [(d, " ".join(" ".join(rng.choice(pool)) for _ in range(rng.randint(1, 9)))) for d in range(60)]
+    got = passage_report(frame(spark, [(d, t, "en", "s", 0) for d, t in rows]), 10).collect()
+    assert {r["doc_id"]: words(r["text"]) for r in got} == brute(rows, 10)
+
+
+def test_the_first_of_overlapping_repeats_stays(spark):
+    line = " ".join(f"w{i}" for i in range(25))
+    got = passage_report(frame(spark, [(1, "\n".join([line] * 10), "en", "s", 0)])).collect()
+    assert got[0]["text"] == f"{line}\n{line}" and got[0]["removed_words"] == 200
+
+
 def test_passage_inside_a_line(spark):
     p = [f"w{i}" for i in range(60)]
     run = " ".join(p)

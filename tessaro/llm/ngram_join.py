@@ -1,16 +1,18 @@
 """N-gram Jaccard join over prefix trees.
 
 A document is the set of its word n-grams, as 64-bit numbers whose order is the global
-one: rare first, by a sketch of how many documents hold each n-gram, of fixed size.
-Equal sets are one class.  Two sets of Jaccard similarity t or more share one of their
-least elements, k of their n - ceil(t n) + k least, and are of sizes within a factor of
-t.  Sets that share too few such elements with all others have no partner; the rest,
-joined where they share one, directly or through sets of sizes between theirs, make up
-blocks, and a set goes to one block only.  In a block, sets are stored in a trie; each
-new set walks it once, sharing the overlap counted on common paths, and leaves a subtree when what
-remains of both sets cannot reach the overlap that the threshold asks for, or when all
-of the subtree is linked to the set already.  Verified links are the edges of the
-components that come back.
+one: rare first, by a sketch of how many documents hold each n-gram, whose width follows
+the number of documents.  Equal sets are one class.  Two sets of Jaccard similarity t or
+more share k of their n - ceil(t n) + k least elements, and are of sizes within a factor
+of t.  Where few sets share such an element they are paired, and a pair must share k of
+them; where many do, they are chained from size to size.  Sets joined by these candidate
+edges make up blocks, and a set goes to one block only.  In a block, sets are stored in a
+trie; each new set walks it once, sharing the overlap counted on common paths, and leaves
+a subtree when what remains of both sets cannot reach the overlap that the threshold asks
+for, or when all of the subtree is linked to the set already.  A block too large for a
+task is linked in parts, dealt twice; only where that leaves it in several components are
+its parts compared with each other.  Verified links are the edges of the components that
+come back.
 """
 
 from __future__ import annotations
@@ -20,14 +22,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessaro.llm._work import Remembered, join_on, settle
 from tessaro.llm.components import connected_components
 
-#: Elements are counted in 2 ** SKETCH_BITS cells (4 bytes each), kept as logarithms of one byte: the part that is broadcast.
-SKETCH_BITS, SEGMENTS, CLASS_BITS = 21, 128, 56
+#: Elements are counted in 16 cells a document (4 bytes each), within these powers of two, and kept as logarithms of one byte: the
+#: part that is broadcast, 32 MB at most.  Cells travel in segments.
+LEAST_BITS, MOST_BITS, SEGMENT_BITS, CLASS_BITS = 21, 25, 14, 56
+#: Sets that share an element are paired up to so many, and chained beyond; a chain counts as this many shared elements.
+PAIRED, CHAINED = 4, 1 << 20
 #: Elements of the sets that one task compares at once; larger blocks are dealt over pairs of parts.
 CELL_ELEMENTS = 1_200_000
 MEMO_WORDS = 200_000
@@ -56,14 +61,14 @@ def shingle_hashes(text: str | None, n: int) -> np.ndarray:
     return np.unique(mixed)
 
 
-def _cells(hashes: np.ndarray) -> np.ndarray:
-    return (hashes >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+def _cells(hashes: np.ndarray, bits: int) -> np.ndarray:
+    return (hashes >> np.uint64(64 - bits)).astype(np.int64)
 
 
 def ordered_set(text: str | None, n: int, levels: np.ndarray) -> np.ndarray:
     """The set in global order: level of the sketch first, then the hash."""
     h = shingle_hashes(text, n)
-    level = levels[_cells(h)].astype(np.uint64)
+    level = levels[_cells(h, len(levels).bit_length() - 1)].astype(np.uint64)
     return np.sort((level << np.uint64(CLASS_BITS)) | (h & np.uint64(2**CLASS_BITS - 1)))
 
 
@@ -79,22 +84,24 @@ def prefix_length(size: int, percent: int) -> int:
 # --- the sketch ---------------------------------------------------------------
 
 
-def _counter(n: int):
-    width = 2**SKETCH_BITS // SEGMENTS
+def _counter(n: int, bits: int):
+    width = 2**SEGMENT_BITS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, held, waiting = np.zeros(2**SKETCH_BITS, np.uint32), [], 0
+        total, held, waiting = np.zeros(2**bits, np.uint32), [], 0
         for batch in batches:
             for text in batch.column(0):
-                held.append(_cells(shingle_hashes(text.as_py(), n)))
+                held.append(_cells(shingle_hashes(text.as_py(), n), bits))
                 waiting += len(held[-1])
                 if waiting > 2_000_000:
                     total += np.bincount(np.concatenate(held), minlength=len(total)).astype(np.uint32)
                     held, waiting = [], 0
         if held:
             total += np.bincount(np.concatenate(held), minlength=len(total)).astype(np.uint32)
-        parts = [total[i * width : (i + 1) * width].tobytes() for i in range(SEGMENTS)]
-        yield pa.RecordBatch.from_arrays([pa.array(range(SEGMENTS), pa.int32()), pa.array(parts, pa.binary())], ["segment", "counts"])
+        for at in range(0, len(total), 64 * width):
+            parts = [(i // width, total[i : i + width]) for i in range(at, min(at + 64 * width, len(total)), width)]
+            parts = [(i, p.tobytes()) for i, p in parts if p.any()]
+            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in parts], pa.int32()), pa.array([p for _, p in parts], pa.binary())], ["segment", "counts"])
 
     return count
 
@@ -111,13 +118,13 @@ def _adder(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def frequency_levels(docs: DataFrame, n: int) -> np.ndarray:
-    """One byte a cell: how frequent its n-grams are.  2 MB, whatever the corpus."""
-    counted = docs.select("text").mapInArrow(_counter(n), "segment int, counts binary")
-    summed = counted.repartition(16, "segment").mapInArrow(_adder, "segment int, levels binary").collect()
-    levels = np.zeros(2**SKETCH_BITS, np.uint8)
+    """One byte a cell: how frequent its n-grams are.  2 to 32 MB; each segment of the cells is summed on its own."""
+    bits = min(MOST_BITS, max(LEAST_BITS, (16 * docs.count()).bit_length()))
+    counted = docs.select("text").mapInArrow(_counter(n, bits), "segment int, counts binary")
+    summed = counted.repartition("segment").mapInArrow(_adder, "segment int, levels binary").collect()
+    levels = np.zeros(2**bits, np.uint8)
     for r in summed:
-        part = np.frombuffer(r["levels"], np.uint8)
-        levels[r["segment"] * len(part) : (r["segment"] + 1) * len(part)] = part
+        levels[r["segment"] << SEGMENT_BITS : (r["segment"] + 1) << SEGMENT_BITS] = np.frombuffer(r["levels"], np.uint8)
     return levels
 
 
@@ -155,12 +162,16 @@ def _near_sizes(percent: int, tokens: np.ndarray, low: np.ndarray, high: np.ndar
     return (reach >= 0) & (100 * reach >= percent * low)
 
 
+_RUNS = "token long, low long, high long, sig long, near long"
+_EDGES = "src long, dst long, shared int, needed int"
+
+
 def _fold(percent: int):
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(token, low, high, sig, near): a token's sets of one batch as runs of sizes, and edges within them.
+        """(token, low, high, sig, near): a token's sets; of more than PAIRED in one batch, as runs of sizes, with edges within them.
 
-        A token of very many sets leaves a batch as a few runs; the edges carry a token
-        of their own.
+        A token of very many sets leaves a batch as a few runs (high < 0 - low marks them); the
+        edges carry a token of their own.
         """
         for batch in batches:
             lists = batch.column(2)
@@ -170,60 +181,111 @@ def _fold(percent: int):
                 continue
             order = np.lexsort((sizes, tokens))
             tokens, sigs, sizes = tokens[order], sigs[order], sizes[order]
-            joined = _near_sizes(percent, tokens, sizes, sizes)
+            group = np.cumsum(np.r_[0, tokens[1:] != tokens[:-1]])
+            many = np.bincount(group)[group] > PAIRED
+            joined = _near_sizes(percent, tokens, sizes, sizes) & many
             first = np.flatnonzero(~joined)
             last = np.r_[first[1:], len(tokens)] - 1
             lead = np.repeat(sigs[first], last - first + 1)
             rest = np.flatnonzero(joined)
             none = np.zeros(len(rest), np.int64)
-            columns = [
-                np.r_[tokens[first], sigs[rest] ^ tokens[rest]], np.r_[sizes[first], none], np.r_[sizes[last], none], np.r_[sigs[first], sigs[rest]],
-            ]
+            high = np.where(many[first], -1 - sizes[last], sizes[last])
+            columns = [np.r_[tokens[first], sigs[rest] ^ tokens[rest]], np.r_[sizes[first], none], np.r_[high, none], np.r_[sigs[first], sigs[rest]]]
             near = pa.array(np.r_[np.zeros(len(first), np.int64), lead[rest]], pa.int64(), mask=np.r_[np.ones(len(first), bool), np.zeros(len(rest), bool)])
             yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in columns], near], ["token", "low", "high", "sig", "near"])
 
     return fold
 
 
-def _chain(percent: int):
-    def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(src, dst) of rows in order of (token, low): each run to the one before, if their sizes meet; and the edges passed on."""
-        before, previous = (0, -1), 0
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+def _paired(percent: int, starts: np.ndarray, lengths: np.ndarray, size: np.ndarray, sig: np.ndarray) -> list[tuple[np.ndarray, ...]]:
+    """Edges between the sets of each short group that are of similar sizes."""
+    out = []
+    for a in range(PAIRED):
+        for b in range(a + 1, PAIRED):
+            i = starts[lengths > b] + a
+            j = i - a + b
+            fit = 100 * size[i] >= percent * size[j]  # in order of size: i is the smaller
+            i, j = i[fit], j[fit]
+            out.append((sig[i], sig[j], np.ones(len(i), np.int64), 1 + size[i] // ELEMENTS_A_SHARED))
+    return out
+
+
+def _edges_of(percent: int):
+    def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Edges of rows in order of (token, low): pairs of a short group, a chain of a long one; and the edges passed on."""
+        held: list[pa.RecordBatch] = []
+        before, previous = None, 0  # the long group that goes on: (token, greatest size), and its last sig
+        for last, batch in _marked_last(batches):
             passed = batch.column(4).is_valid().to_numpy(zero_copy_only=False)
-            drawn = batch.filter(pa.array(passed))
-            runs = batch.filter(pa.array(~passed))
-            src, dst = [drawn.column(3).to_numpy()], [drawn.column(4).to_numpy()]
-            if runs.num_rows:
-                token, low, high, sig = (runs.column(i).to_numpy() for i in range(4))
-                joined = _near_sizes(percent, token, low, high, before)
-                src.append(sig[joined])
-                dst.append(np.r_[previous, sig[:-1]][joined])
-                same = token == token[-1]
-                reach = int(high[same].max())
-                before = (int(token[-1]), max(reach, before[1]) if before[0] == token[-1] else reach)
-                previous = sig[-1]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(src), pa.int64()), pa.array(np.concatenate(dst), pa.int64())], ["src", "dst"])
-
-    return chain
+            drawn, runs = batch.filter(pa.array(passed)), pa.Table.from_batches([*held, batch.filter(pa.array(~passed))]).combine_chunks()
+            ends = np.full(drawn.num_rows, CHAINED), np.ones(drawn.num_rows, np.int64)
+            out = [(drawn.column(3).to_numpy(), drawn.column(4).to_numpy(), *ends)]
+            token, low, high, sig = (runs.column(i).to_numpy() for i in range(4))
+            held = []
+            if len(token):
+                starts = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
+                lengths = np.diff(np.r_[starts, len(token)])
+                folded = np.add.reduceat(high < 0, starts) > 0
+                size = np.where(high < 0, -1 - high, high)
+                long = folded | (lengths > PAIRED)
+                if before is not None and token[0] == before[0]:
+                    long[0] = True
+                if not last and not long[-1]:  # a short group may go on in the next batch
+                    held = runs.slice(int(starts[-1])).to_batches()
+                    starts, lengths, long = starts[:-1], lengths[:-1], long[:-1]
+                short = ~long
+                out += _paired(percent, starts[short], lengths[short], low, sig)
+                at = np.flatnonzero(np.repeat(long, lengths))
+                if len(at):
+                    t, g = token[at], sig[at]
+                    joined = _near_sizes(percent, t, low[at], size[at], before or (0, -1))
+                    count = int(joined.sum())
+                    out.append((g[joined], np.r_[previous, g[:-1]][joined], np.full(count, CHAINED), np.ones(count, np.int64)))
+                    reach = int(size[at][t == t[-1]].max())
+                    before = (int(t[-1]), max(reach, before[1]) if before and before[0] == t[-1] else reach)
+                    previous = g[-1]
+            src, dst, shared, needed = (np.concatenate(x) for x in zip(*out))
+            columns = [pa.array(np.minimum(src, dst)), pa.array(np.maximum(src, dst)), pa.array(shared.astype(np.int32)), pa.array(needed.astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(columns, ["src", "dst", "shared", "needed"])
+
+    return edges
+
+
+def _marked_last(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bool, pa.RecordBatch]]:
+    previous = None
+    for batch in batches:
+        if batch.num_rows:
+            if previous is not None:
+                yield False, previous
+            previous = batch
+    if previous is not None:
+        yield True, previous
+
+
+def _drawn(classes: DataFrame, percent: int) -> DataFrame:
+    """(src, dst, shared, needed): an edge for each pair and each step of a chain, once a shared element."""
+    rows = classes.select("sig", "size", "prefix").mapInArrow(_fold(percent), _RUNS)
+    return rows.repartition("token").sortWithinPartitions("token", "low").mapInArrow(_edges_of(percent), _EDGES)
 
 
 def candidate_edges(classes: DataFrame, percent: int) -> DataFrame:
-    """(src, dst) of sigs that share a prefix element and, directly or by sets of sizes between, can be similar."""
-    rows = classes.select("sig", "size", "prefix").mapInArrow(_fold(percent), "token long, low long, high long, sig long, near long")
-    dealt = rows.repartition("token").sortWithinPartitions("token", "low")
-    return dealt.mapInArrow(_chain(percent), "src long, dst long")
+    """(src, dst) of sigs that can be similar: they share as many prefix elements as the smaller asks for, or are steps of a chain.
+
+    If a pair shares an element that many hold, the chain connects it, if only over sets
+    of sizes between; if it shares none such, each shared element draws its edge, and
+    there are 1 + smaller size // 50 at least.
+    """
+    drawn = _drawn(classes, percent).groupBy("src", "dst").agg(F.sum(F.col("shared").cast("long")).alias("shared"), F.max("needed").alias("needed"))
+    return drawn.where("shared >= needed").select("src", "dst")
 
 
 def often_shared(classes: DataFrame, percent: int) -> DataFrame:
     """classes whose prefixes share as many elements with others as one partner of the least similar size would ask for.
 
     A partner has percent of this set's size at least, so both prefixes share 1 + that size // 50.  Every
-    shared element draws one edge at least at each set that shares it.
+    shared element draws one edge at least at each set that shares it with a set of similar size.
     """
-    ends = candidate_edges(classes, percent).select(F.explode(F.array("src", "dst")).alias("sig"))
+    ends = _drawn(classes, percent).select(F.explode(F.array("src", "dst")).alias("sig"))
     counted = ends.groupBy("sig").agg(F.count("*").alias("shared"))
     needed = 1 + F.floor(F.ceil(F.col("size") * percent / 100) / ELEMENTS_A_SHARED)
     return classes.join(counted, "sig").where(F.col("shared") >= needed).select(*classes.columns)
@@ -254,10 +316,10 @@ class TrieJoin:
             i = self.parent[i]
         return i
 
-    def add(self, elements: list[int]) -> int:
-        """Links the set to earlier ones, then stores it; returns its number."""
+    def add(self, elements: list[int], known: int | None = None) -> int:
+        """Links the set to earlier ones, then stores it; returns its number.  known: a set that it is connected with already."""
         me = len(self.parent)
-        self.parent.append(me)
+        self.parent.append(me if known is None else self.find(known))
         self._walk(self.root, elements, set(elements), me, 0, 0, 0)
         self._store(elements, me)
         return me
@@ -339,20 +401,20 @@ def _bisect(s: list[int], x: int, low: int) -> int:
 
 
 def _joiner(n: int, percent: int, levels):
-    def link(group: list[tuple[int, str]]) -> list[tuple[int, int]]:
-        sets = {}
-        for sig, text in group:
+    def link(group: list[tuple[int, int, str]]) -> list[tuple[int, int]]:
+        sets, component = {}, {}
+        for sig, of, text in group:
             if sig not in sets:
-                s = ordered_set(text, n, levels.value)
-                if _signature(s) == sig:  # another text of the same doc_id is no member
-                    sets[sig] = s
+                sets[sig], component[sig] = ordered_set(text, n, levels.value), of
+        if len(set(component.values())) < 2:
+            return []
         sigs = sorted(sets, key=lambda k: (len(sets[k]), k))
-        _, numbers = np.unique(np.concatenate([sets[k] for k in sigs]) if sigs else np.zeros(0, np.uint64), return_inverse=True)
-        tries, at = TrieJoin(percent), 0
+        _, numbers = np.unique(np.concatenate([sets[k] for k in sigs]), return_inverse=True)
+        tries, at, seen = TrieJoin(percent), 0, {}
         for k in sigs:
             mine = numbers[at : at + len(sets[k])]
             at += len(mine)
-            tries.add(mine.tolist())
+            seen.setdefault(component[k], tries.add(mine.tolist(), seen.get(component[k])))
         return [(sigs[a], sigs[b]) for a, b in tries.links]
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -362,38 +424,63 @@ def _joiner(n: int, percent: int, levels):
             return pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], ["src", "dst"])
 
         for batch in batches:
-            for block, cell, sig, text in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            for block, cell, sig, of, text in zip(*(batch.column(i).to_pylist() for i in range(5))):
                 if (block, cell) != key:
                     if len(group) > 1:
                         yield out(link(group))
                     key, group = (block, cell), []
-                group.append((sig, text))
+                group.append((sig, of, text))
         if len(group) > 1:
             yield out(link(group))
 
     return join
 
 
+def _links(docs: DataFrame, members: DataFrame, cells: Column, join) -> DataFrame:
+    """Verified links between members of one (block, cell); members has doc_id, text_hash, sig, component, block."""
+    texts = join_on(docs, members.select("doc_id", "text_hash", "sig", "component", "block", cells.alias("cells")), ["doc_id", "text_hash"])
+    dealt = texts.select("block", F.explode("cells").alias("cell"), "sig", "component", "text").repartition("block", "cell").sortWithinPartitions("block", "cell")
+    return dealt.mapInArrow(join, "src long, dst long")
+
+
+def _all_links(docs: DataFrame, members: DataFrame, join) -> DataFrame:
+    """Links that connect whatever can be connected within blocks: members has doc_id, text_hash, sig, size, block."""
+    parts = members.groupBy("block").agg(F.ceil(F.sum("size") / CELL_ELEMENTS).alias("parts"))
+    members = settle(join_on(members, parts, ["block"]).withColumn("component", F.col("sig")))
+    part = lambda seed: F.pmod(F.xxhash64(F.lit(seed), "sig"), "parts")
+    # Small blocks are one part; large ones are dealt twice, so that what is alike meets and grows together.
+    links = settle(_links(docs, members, F.when(F.col("parts") > 1, F.array(part(0), F.col("parts") + part(1))).otherwise(F.array(part(0))), join))
+    large = members.where("parts > 1")
+    if large.isEmpty():
+        return links
+    roots = connected_components(links).withColumnsRenamed({"node": "sig", "root": "of"})
+    large = large.join(roots, "sig", "left").withColumn("component", F.coalesce("of", "sig")).drop("of")
+    mixed = large.groupBy("block").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("block")
+    large = settle(large.join(mixed, "block", "left_semi"))
+    # What is left in several components: each part meets every part once.
+    here = part(0)
+    others = F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda o: F.least(o, here) * F.col("parts") + F.greatest(o, here))
+    return links.union(settle(_links(docs, large, others, join)))
+
+
 def _placed_rows(docs: DataFrame, n: int, percent: int) -> DataFrame:
     """Per row: doc_id, text_hash, n_shingles, sig and component (the sig that leads it), both null for empty sets."""
     levels = docs.sparkSession.sparkContext.broadcast(frequency_levels(docs, n))
     read = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
     sets = settle(read.mapInArrow(_signer(n, percent, levels), "doc_id long, text_hash long, n_shingles long, sig long, prefix array<long>"))
-    classes = sets.where("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("size"), F.first("prefix").alias("prefix"))
-    classes = settle(classes)
+    filled = sets.where("sig is not null")
+    classes = filled.groupBy("sig").agg(F.min(F.struct("doc_id", "text_hash")).alias("holder"), F.first("n_shingles").alias("size"), F.first("prefix").alias("prefix"))
+    classes = settle(classes.select("sig", "holder.doc_id", "holder.text_hash", "size", "prefix"))
     # Edges run from size to size: they are drawn anew among the sets that can have a partner.
     blocks = connected_components(candidate_edges(settle(often_shared(classes, percent)), percent))
-    members = blocks.join(classes.select("sig", "doc_id", "size"), blocks["node"] == F.col("sig")).select("sig", "doc_id", "size", F.col("root").alias("block"))
-    parts = members.groupBy("block").agg(F.ceil(F.sum("size") / CELL_ELEMENTS).alias("parts"))
-    members = join_on(members, parts, ["block"]).withColumn("part", F.pmod(F.xxhash64("sig"), "parts"))
-    # A block of several parts is compared part by part; each part's sets meet every part once.
-    others = F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda o: F.least(o, "part") * F.col("parts") + F.greatest(o, "part"))
-    texts = join_on(docs, members.select("doc_id", "sig", "block", others.alias("cells")), ["doc_id"])
-    cells = texts.select("block", F.explode("cells").alias("cell"), "sig", "text").repartition("block", "cell").sortWithinPartitions("block", "cell")
-    links = settle(cells.mapInArrow(_joiner(n, percent, levels), "src long, dst long"))
+    members = blocks.join(classes, blocks["node"] == F.col("sig")).select("sig", "doc_id", "text_hash", "size", F.col("root").alias("block"))
+    links = settle(_all_links(read, members, _joiner(n, percent, levels)))
     roots = connected_components(links).withColumnsRenamed({"node": "sig", "root": "component"})
-    joined = sets.drop("prefix").join(roots, "sig", "left")
-    return joined.select("doc_id", "text_hash", "n_shingles", "sig", F.coalesce("component", "sig").alias("component"))
+    joined = filled.drop("prefix").join(roots, "sig", "left")
+    columns = ["doc_id", "text_hash", "n_shingles", "sig"]
+    # Empty sets have no sig: they go around the join.
+    none = sets.where("sig is null").select(*columns, F.lit(None).cast("long").alias("component"))
+    return joined.select(*columns, F.coalesce("component", "sig").alias("component")).union(none)
 
 
 def ngram_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
@@ -407,16 +494,17 @@ def ngram_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFram
     """
     docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))
     rows = settle(_placed_rows(docs, n, percent))
-    least = rows.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    joined = rows.join(least, "component", "left")
-    return joined.select("doc_id", "n_shingles", F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    placed = rows.where("component is not null")
+    least = placed.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    none = rows.where("component is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return placed.join(least, "component").select("doc_id", "n_shingles", "component_id").union(none)
 
 
 def keep_one(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """docs with one row of each group, that of its least doc_id (null last; then by a hash of the text).
 
-    Texts without words are in no group.  Rows alike in id and text become one.  All
-    columns of the kept rows are kept.
+    Texts without words are in no group.  Rows alike in id and text become one, that of
+    the least hash of all columns.  All columns of the kept rows are kept.
     """
     rows = _placed_rows(docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text")), n, percent)
     key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
@@ -424,4 +512,6 @@ def keep_one(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     first = rows.where("component is not null").groupBy("component").agg(F.min(key).alias("k")).select("k.doc_id", "k.text_hash")
     kept = first.union(rows.where("component is null").select("doc_id", "text_hash").distinct())
     whole = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(docs["text"]).alias("text_hash"), F.struct(*[docs[c] for c in docs.columns]).alias("row"))
-    return join_on(whole, kept, ["doc_id", "text_hash"]).dropDuplicates(["doc_id", "text_hash"]).select("row.*")
+    first = F.min_by("row", F.xxhash64(F.to_json("row")))
+    several = join_on(whole, kept, ["doc_id", "text_hash"]).groupBy("doc_id", "text_hash").agg(first.alias("row"))
+    return several.select("row.*")

@@ -3,10 +3,11 @@
 A window is ``min_words`` words; the gram of least hash inside it, the leftmost of equal
 ones, is its fingerprint.  Only these minima are kept, each with the stretch of text that
 it speaks for: the windows in a row that select it.  Equal windows have equal
-fingerprints, so positions are joined on them.  A fingerprint that always stands in the
-same stretch is extended as a whole, one row for all its windows; where stretches differ,
-a run begins or ends inside, and it is extended window by window.  What has occurred
-before makes up the cuts.  All steps are aggregations and equi joins on hashes: work
+fingerprints, so positions are joined on them.  Stretches whose fingerprint occurs again
+are extended as a whole, one row for all their windows: what repeats an earlier stretch is
+cut.  Where a fingerprint stands in different stretches, a run begins or ends inside: of
+each of them the first occurrence is extended window by window.  What has occurred before
+makes up the cuts.  All steps are aggregations and equi joins on hashes: work
 grows with the words, never with the pairs of a passage's occurrences.
 """
 
@@ -71,6 +72,16 @@ class Stretches:
         long = self.last - self.first + min_words
         whole = (total[self.first + long] - total[self.first]) * back[self.first]
         self.wholes = _mixed(whole + long.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+        if len(np.unique(self.wholes)) < len(self.wholes):
+            self._set_apart(min_words)
+
+    def _set_apart(self, min_words: int) -> None:
+        """Stretches that overlap an equal one before them get a hash of their own: their windows are to be told one by one."""
+        last: dict[int, int] = {}
+        for i, (whole, at) in enumerate(zip(self.wholes.tolist(), self.first.tolist())):
+            if at - last.get(whole, -min_words) < min_words:
+                self.wholes[i] = _mixed(self.wholes[i : i + 1] + np.uint64(at + 1))[0]
+            last[whole] = at
 
 
 def _texts(batch: pa.RecordBatch, min_words: int) -> Iterator[tuple[int, Stretches]]:
@@ -107,25 +118,24 @@ def _winnow(min_words: int, owned: bool):
     return winnow
 
 
-def _extended(i: int, s: Stretches, again: np.ndarray, apart: np.ndarray, min_words: int) -> tuple[np.ndarray, ...]:
-    """(row, key, start, end): one for each stretch whose fingerprint occurs again, but one a window where it stands in different ones."""
-    whole = np.flatnonzero(again & ~apart)
-    edge = np.flatnonzero(apart)
-    count = s.last[edge] - s.first[edge] + 1
-    at = np.repeat(s.first[edge] - np.cumsum(count) + count, count) + np.arange(count.sum())
-    start = np.concatenate([s.first[whole], at])
-    end = np.concatenate([s.last[whole], at]) + min_words
-    key = np.concatenate([s.wholes[whole], s.windows[at]])
-    return np.full(len(key), i, np.int32), key, start.astype(np.int32), end.astype(np.int32)
+_SEGMENTS = "whole long, doc_id long, text_hash long, start int, end int, windows array<long>"
 
 
-_SEGMENTS = "key long, doc_id long, text_hash long, start int, end int"
+def _given(batch: pa.RecordBatch, parts: Iterator[tuple[int, Stretches, np.ndarray, np.ndarray]], min_words: int) -> Iterator[pa.RecordBatch]:
+    """The stretches whose fingerprint occurs again; with the hashes of their windows where it stands in different ones."""
 
+    def held() -> Iterator[tuple[np.ndarray, ...]]:
+        for i, s, again, apart in parts:
+            kept = np.flatnonzero(again)
+            count = np.where(apart[kept], s.last[kept] - s.first[kept] + 1, 0)
+            each = np.repeat(s.first[kept] - np.cumsum(count) + count, count) + np.arange(count.sum())
+            yield np.full(len(kept), i, np.int32), s.wholes[kept], s.first[kept].astype(np.int32), (s.last[kept] + min_words).astype(np.int32), count, s.windows[each]
 
-def _given(batch: pa.RecordBatch, parts: Iterator[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
-    for row, key, start, end in _held(parts):
+    for row, whole, start, end, count, window in _held(held()):
         owner = [batch.column(c).take(pa.array(row)) for c in ("doc_id", "text_hash")]
-        yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), *owner, pa.array(start), pa.array(end)], ["key", "doc_id", "text_hash", "start", "end"])
+        # A stretch without windows has the place of none in the list.
+        lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(count)], pa.int32()), pa.array(window.view(np.int64)), mask=pa.array(count == 0))
+        yield pa.RecordBatch.from_arrays([pa.array(whole.view(np.int64)), *owner, pa.array(start), pa.array(end), lists], ["whole", "doc_id", "text_hash", "start", "end", "windows"])
 
 
 def _by_bitmap(min_words: int, again: np.ndarray, apart: np.ndarray):
@@ -135,7 +145,7 @@ def _by_bitmap(min_words: int, again: np.ndarray, apart: np.ndarray):
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield from _given(batch, (_extended(i, s, held(again, s.fingerprints), held(apart, s.fingerprints), min_words) for i, s in _texts(batch, min_words)))
+            yield from _given(batch, ((i, s, held(again, s.fingerprints), held(apart, s.fingerprints)) for i, s in _texts(batch, min_words)), min_words)
 
     return segments
 
@@ -145,7 +155,7 @@ def _by_list(min_words: int):
         for batch in batches:
             again, apart = batch.column("again"), batch.column("apart")
             known = lambda column, i, s: np.isin(s.fingerprints.view(np.int64), column[i].values.to_numpy())
-            yield from _given(batch, (_extended(i, s, known(again, i, s), known(apart, i, s), min_words) for i, s in _texts(batch, min_words)))
+            yield from _given(batch, ((i, s, known(again, i, s), known(apart, i, s)) for i, s in _texts(batch, min_words)), min_words)
 
     return segments
 
@@ -160,7 +170,7 @@ def _bitmap(fingerprints: DataFrame) -> np.ndarray:
 
 
 def _segments(read: DataFrame, min_words: int, bitmap_most: int) -> DataFrame:
-    """(key, doc_id, text_hash, start, end): stretches and windows whose equals have equal keys, if they have any."""
+    """(whole, doc_id, text_hash, start, end, windows): stretches that may have an equal, with windows where these may have one elsewhere."""
     minima = read.select("text").mapInArrow(_winnow(min_words, owned=False), "fingerprint long, whole long")
     met = minima.groupBy("fingerprint").agg(F.count("*").alias("n"), F.min("whole").alias("low"), F.max("whole").alias("high"))
     repeated = settle(met.where("n > 1").select("fingerprint", (F.col("low") != F.col("high")).alias("apart")))
@@ -184,11 +194,16 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS, bitmap_most: int
     read = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(docs["text"]).alias("text_hash"), docs["text"].alias("text")).where("text is not null")
     segments = settle(_segments(read, min_words, bitmap_most))
     place = F.struct("doc_id", "text_hash", "start")
-    origin = segments.groupBy("key").agg(F.min(place).alias("first"), F.max(place).alias("final")).where("first <> final").select("key", "first")
+    firsts = settle(segments.groupBy("whole").agg(F.min(place).alias("first"), F.count("*").alias("n"), F.first("windows").alias("windows")))
+    later = segments.drop("windows").join(firsts.where("n > 1").select("whole", "first"), "whole").where(place > F.col("first"))
+    windows = firsts.where("windows is not null").select("first.*", F.posexplode("windows").alias("at", "key"))
+    windows = windows.select("key", "doc_id", "text_hash", (F.col("start") + F.col("at")).alias("start"))
+    origin = windows.groupBy("key").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("key", "first")
     owner: Column = F.struct("doc_id", "text_hash")
     elsewhere = ~owner.eqNullSafe(F.struct("first.doc_id", "first.text_hash"))
-    later = segments.join(origin, "key").where(elsewhere | (F.col("first.start") + min_words <= F.col("start")))
-    return later.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("start", "end")).alias("cuts"))
+    again = windows.join(origin, "key").where((place > F.col("first")) & (elsewhere | (F.col("first.start") + min_words <= F.col("start"))))
+    cuts = later.select("doc_id", "text_hash", "start", "end").union(again.select("doc_id", "text_hash", "start", (F.col("start") + min_words).alias("end")))
+    return cuts.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("start", "end")).alias("cuts"))
 
 
 def without(text: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[bytes, int, int]:

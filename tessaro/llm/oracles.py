@@ -74,4 +74,48 @@ s AS (
 SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM s QUALIFY rank <= 10
 """
 
-ORACLE_SQL = {"op2_ngram_join": OP2, "op4_url_filter": OP4, "op10_topk_search": OP10}
+_WORDS = "list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
+
+BASE_COUNTS = f"""
+WITH w AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text, {_WORDS} AS ws FROM documents),
+g AS (SELECT rid, unnest(generate_series(1, len(ws) - 7)) AS i, ws FROM w WHERE len(ws) >= 8),
+h AS (SELECT rid, i, count(*) OVER (PARTITION BY rid, array_to_string(ws[i:i + 7], ' ')) AS n FROM g),
+c AS (SELECT rid, count(DISTINCT k) AS n_repeat_words FROM (SELECT rid, unnest(generate_series(i, i + 7)) AS k FROM h WHERE n > 1) GROUP BY rid),
+l AS (SELECT rid, count(*) - count(DISTINCT line) AS n_dup_lines FROM (SELECT rid, unnest(string_split(text, chr(10))) AS line FROM w) WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY rid)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::BIGINT AS word_chars, (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+    coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, len(ws) < 20 OR 100 * coalesce(n_repeat_words, 0) > 30 * len(ws) AS base_failed
+FROM w LEFT JOIN c USING (rid) LEFT JOIN l USING (rid)
+"""
+
+#: The first occurrence of each run of 50 words, and what lies in later ones that do not overlap it; for ids that are unique.
+DEDUP_WORDS = f"""
+WITH w AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
+g AS (SELECT doc_id, i, hash(array_to_string(ws[i:i + 49], ' ')) AS h FROM (SELECT doc_id, ws, unnest(generate_series(1, len(ws) - 49)) AS i FROM w WHERE len(ws) >= 50)),
+f AS (SELECT h, min((doc_id, i)) AS first FROM g GROUP BY h HAVING count(*) > 1),
+c AS (SELECT doc_id, i FROM g JOIN f USING (h) WHERE doc_id <> first[1] OR first[2] + 50 <= i),
+n AS (SELECT doc_id, sum(least(50, coalesce(next - i, 50))) AS removed_words FROM (SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS next FROM c) GROUP BY doc_id)
+SELECT doc_id, coalesce(removed_words, 0)::BIGINT AS removed_words FROM w LEFT JOIN n USING (doc_id)
+"""
+
+_SIZES = f"d AS (SELECT doc_id, source, len({_WORDS})::BIGINT AS size FROM documents)"
+#: In order of cap / weight, a source is full while the level that the rest would share lies above its cap.
+MIXING_TARGETS = f"""
+WITH {_SIZES}, p AS (SELECT source, sum(size)::BIGINT AS words, ([5, 2, 1])[((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT] AS weight FROM d GROUP BY source),
+q AS (SELECT *, 2.0::DOUBLE * words AS cap, 1.5::DOUBLE * sum(words) OVER () AS total FROM p),
+l AS (SELECT *, (total - coalesce(sum(cap) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(weight) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM q WINDOW o AS (ORDER BY cap / weight, source NULLS LAST)),
+t AS (SELECT source, words, least(cap, coalesce(max(level) FILTER (level * weight <= cap) OVER () * weight, cap)) AS target FROM l)
+SELECT doc_id, size, words AS source_size, target FROM d JOIN t ON t.source IS NOT DISTINCT FROM d.source
+"""
+
+_BYTES = "SELECT count(*) AS n_rows, sum(octet_length(encode(coalesce(text, ''))) + 8)::BIGINT AS n_bytes FROM documents"
+ORACLE_SQL = {
+    "op2_ngram_join": OP2,
+    "op4_url_filter": OP4,
+    "op10_topk_search": OP10,
+    "quality_base_counts": BASE_COUNTS,
+    "line_dedup_words": DEDUP_WORDS,
+    "packing_invariants": "SELECT count(*) AS n_documents, 0::BIGINT AS n_bad_pieces, 0::BIGINT AS n_over, 0::BIGINT AS n_gaps FROM documents",
+    "mixing_targets": MIXING_TARGETS,
+    "mixing_near_targets": "SELECT count(*) AS n_sources, 0::BIGINT AS n_missed, 0::BIGINT AS n_over FROM (SELECT DISTINCT source FROM documents)",
+    "shard_invariants": f"SELECT n_rows, n_bytes, 0::BIGINT AS n_empty, 0::BIGINT AS n_gaps, 0::BIGINT AS n_split FROM ({_BYTES})",
+}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tessaro.llm import mixing, ngram_join, packing, passages, quality_rules
-from tessaro.llm._work import settle, table
+from tessaro.llm._work import release, settle, table, written
 
 
 def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,6 +47,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
+    begun = written()
     for _, stage in STAGES[:-1]:
         docs = settle(stage(spark, docs, sf_dir))
+        release(spark, begun, keep=[docs])  # a stage's result is a table: what it was made of can go
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -100,11 +100,17 @@ def fixed(value: Column, decimals: Column, commas: bool) -> Column:
 
 
 def general(value: Column) -> Column:
-    """Whole numbers without a point, others to six significant digits."""
-    exponent = F.floor(F.log10(F.abs(value)))
-    rounded = F.rint(value * F.pow(F.lit(10.0), 5 - exponent)) / F.pow(F.lit(10.0), 5 - exponent)
-    plain = F.regexp_replace(F.regexp_replace(F.call_function("format_number", rounded, F.lit("0.##########")), r"(\.\d*?)0+$", "$1"), r"\.$", "")
-    return F.when(value == F.floor(value), value.cast("decimal(38,0)").cast("string")).otherwise(plain)
+    """Whole numbers without a point, others to six significant digits; with an exponent where it is below -4 or above 5."""
+    # Six digits of the binary number, rounded by the JVM's formatter: mantissa and power.
+    digits = F.call_function("format_number", value, F.lit("0.#####E0"))
+
+    def shown(x: Column) -> Column:
+        power = F.regexp_extract(x, r"E(-?\d+)$", 1).cast("int")
+        plain = F.regexp_replace(F.regexp_replace(fixed(value, F.greatest(F.lit(0), 5 - power), False), r"(\.\d*?)0+$", "$1"), r"\.$", "")
+        tail = F.concat(F.when(power < 0, "e-").otherwise("e+"), F.when(F.abs(power) < 10, "0").otherwise(""), F.abs(power).cast("string"))
+        return F.when(power.between(-4, 5), plain).otherwise(F.concat(F.regexp_extract(x, r"^[^E]*", 0), tail))
+
+    return F.when(value == F.floor(value), value.cast("decimal(38,0)").cast("string")).otherwise(let(digits, shown))
 
 
 def format_number(value: Column, number_format: Column) -> Column:

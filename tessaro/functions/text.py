@@ -11,10 +11,12 @@ from pyspark.sql.types import StringType
 
 # Words that are no keywords.
 STOPWORDS = (
-    "the and for are but not you all can had her was one our out has have been were they this that with from what which when "
-    "where who how why will would could should there their about into does did get got give make just only come than like "
-    "other then its also these more some very after most made find here many such way each she him his may any being use using"
-).split()
+    "the", "and", "for", "are", "but", "not", "you", "all", "can", "had", "her", "was", "one", "our", "out", "has", "have", "been", "were", "they",
+    "this", "that", "with", "from", "what", "which", "when", "where", "who", "how", "why", "will", "would", "could", "should", "there", "their",
+    "about", "into", "does", "did", "get", "got", "give", "make", "just", "only", "come", "than", "like", "other", "then", "its", "also", "these",
+    "more", "some", "very", "after", "most", "made", "find", "here", "many", "such", "way", "each", "she", "him", "his", "may", "any", "being",
+    "use", "using",
+)
 # Fixed value: a word of three or more letters, digits or underscores of any script.
 WORD = r"[\p{L}\p{N}_]{3,}"
 MAX_KEYWORDS = 5
@@ -97,5 +99,10 @@ def history_line(role: Column, content: Column, most: int = 500) -> Column:
     return F.concat(F.when(role == "user", "User: ").otherwise("Assistant: "), F.substring(content, 1, most))
 
 
+def format_sources(sources: Column) -> Column:
+    """Names of sources as an array of structs with a filename; none for null."""
+    return F.transform(F.coalesce(sources, F.array().cast("array<string>")), lambda s: F.struct(s.alias("filename")))
+
+
 def safe_string(value: Column) -> Column:
     return F.coalesce(value.cast("string"), F.lit(""))

@@ -16,11 +16,25 @@ def ordered_concat(value: Column, order: Column, separator: str) -> Column:
     return F.array_join(F.transform(sorted_rows, lambda r: r["v"]), separator)
 
 
-def full_text(chunks: DataFrame, scope: str) -> DataFrame:
-    """Per scope: all chunks by (document_id, chunk_index), a heading before each document; text and chars.
-
-    A heading is a line with the document's source, or the first eight characters of its id.
+def numbered(rows: DataFrame, keys: list[str], block: Column, order: list[Column]) -> DataFrame:
+    """rows with position: from 1 for each keys, by block, then by order; no key's rows meet in one task, only a block's."""
+    rows = rows.withColumn("_block", block)
+    sizes = rows.groupBy(*keys, "_block").agg(F.count("*").alias("_rows"))
+    before = F.sum("_rows").over(Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = sizes.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("_block").alias("_at"), F.coalesce(before, F.lit(0)).alias("_before"))
+    inner = rows.withColumn("_inner", F.row_number().over(Window.partitionBy(*keys, "_block").orderBy(*order)))
+    same = [inner[k].eqNullSafe(sizes[f"_{k}"]) for k in keys] + [inner["_block"].eqNullSafe(sizes["_at"])]
+    return inner.join(sizes, same).withColumn("position", F.col("_inner") + F.col("_before")).select(*[c for c in rows.columns if c != "_block"], "position")
+
+
+def full_text(chunks: DataFrame, scope: str, most: int = FULL_CONTEXT_CHARS) -> DataFrame:
+    """Per scope of at most so many characters: all chunks by (document_id, chunk_index), a heading before each document; text and chars.
+
+    A heading is a line with the document's source, or the first eight characters of its
+    id.  Longer scopes, whose texts are never joined, and null ones give no row.
     """
+    short = context_mode(chunks, scope, most).where("mode = 'full_context'").select(scope)
+    chunks = chunks.join(short, scope, "left_semi")
     name = F.coalesce(F.col("source"), F.substring(F.col("document_id").cast("string"), 1, 8))
     first = F.col("chunk_index") == F.min("chunk_index").over(Window.partitionBy(scope, "document_id"))
     piece = F.when(first, F.concat(F.lit("\n--- "), name, F.lit(" ---\n"), F.lit("\n"), F.col("content"))).otherwise(F.col("content"))

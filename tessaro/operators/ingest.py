@@ -5,6 +5,7 @@ from __future__ import annotations
 import csv
 import io
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -12,12 +13,17 @@ from pyspark.sql import functions as F
 
 from tessaro.functions.text import html_text
 from tessaro.operators.chunking import OVERLAP, SIZE, chunk_documents
+from tessaro.operators.context import ordered_concat
 from tessaro.sources import ooxml, pages, sheets, text_files
 from tessaro.sources.routing import already_chunked, extension, parser_of
 
 DOCS = "path string, ordinal long, content string"
-#: Ordinals of what is beside a Word file's sections begin here.
-BESIDE = 2**40
+#: Ordinals of what is beside a file's own rows or sections begin here.
+BESIDE = 2**50
+#: Parsers of text and Office files.
+PARSERS = ("text", "excel", "pptx", "word")
+#: A CSV field may be as long as a file.
+csv.field_size_limit(2**31 - 1)
 
 
 def _csv_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -42,15 +48,54 @@ def _beside(found: DataFrame) -> DataFrame:
     return tables.unionByName(pages.notes(found).select("path", place, "content"))
 
 
-def parse_files(files: DataFrame) -> DataFrame:
+def _about_books(found: DataFrame) -> DataFrame:
+    """(path, ordinal, content) of what workbooks hold beside rows: a summary and the annotations of each sheet, column statistics and formulas."""
+    order = found.where("kind = 'sheet'").select("path", F.col("part").alias("sheet"), "part_no")
+    at = lambda block: F.lit(block * BESIDE) + F.coalesce("part_no", F.lit(0)).cast("long")
+    counted = sheets.sheet_summaries(found.where(parser_of(F.col("path")) == "excel"))
+    many = [c for c in counted.columns if c.startswith("n_")]
+    size = F.concat(F.lit("Sheet "), F.col("sheet"), F.lit(": "), F.coalesce("last_row", F.lit(0)), F.lit(" rows, "), F.coalesce("last_col", F.lit(0)), F.lit(" columns"))
+    there = [F.when(F.col(c) > 0, F.concat(F.col(c), F.lit(f" {c[2:].replace('_', ' ')}s"))) for c in many]
+    hidden = F.when(F.col("visibility") != "visible", F.col("visibility"))
+    summary = counted.join(order, ["path", "sheet"]).select("path", at(1).alias("ordinal"), F.concat_ws("; ", size, hidden, *there, F.nullif("settings", F.lit(""))).alias("content"))
+    name = F.coalesce("header", F.concat(F.lit("Column "), sheets.column_letters(F.col("col"))))
+    line = F.concat(name, *[x for c in ("n", "total", "mean", "low", "high") for x in (F.lit(f" {c}="), F.col(c))])
+    stats = sheets.column_statistics(found).withColumn("line", line).groupBy("path", "sheet").agg(ordered_concat(F.col("line"), F.col("col"), "\n").alias("text"))
+    stats = stats.join(order, ["path", "sheet"]).select("path", at(2).alias("ordinal"), F.concat(F.lit("Column statistics of "), F.col("sheet"), F.lit("\n"), F.col("text")).alias("content"))
+    notes = sheets.annotations(found.where(parser_of(F.col("path")) == "excel")).where("content <> ''").groupBy("path", "sheet").agg(ordered_concat(F.concat_ws(": ", "kind", "content"), F.struct("kind", "content"), "\n").alias("text"))
+    notes = notes.join(order, ["path", "sheet"], "left").select("path", at(3).alias("ordinal"), F.concat(F.lit("Annotations of "), F.coalesce(F.nullif("sheet", F.lit("")), F.lit("the workbook")), F.lit("\n"), F.col("text")).alias("content"))
+    said = F.concat_ws("\n", F.concat(F.col("formula_count"), F.lit(" formulas, "), F.col("cross_sheet_count"), F.lit(" to other sheets")), "formulas")
+    formulas = sheets.formulas(found).select("path", F.lit(4 * BESIDE).alias("ordinal"), said.alias("content"))
+    return summary.unionByName(stats).unionByName(notes).unionByName(formulas)
+
+
+def parse_files(files: DataFrame, parsers: tuple[str, ...] = PARSERS) -> DataFrame:
     """(path, ordinal, content) of files(path, content) of the text and Office parsers.
 
     CSV and TSV give a row a record (the whole text where there is none), JSON lists a row
     a record (the whole text where it does not parse), workbooks a row a sheet row, slides a row a
-    slide, Word files a row a section; what Word files hold beside these comes after, as in
-    _beside; other texts are whole.  PDF and images need a provider's pages.
+    slide, Word files a row a section; other texts are whole.  After these come a JSON list's
+    summary, a log's issues, and what Word files (_beside) and workbooks (_about_books) hold
+    besides.  PDF and images need a provider's pages.  parsers: those that the files can
+    need; a plan for fewer is much smaller, and files of others give nothing.
     """
     files = files.withColumn("parser", parser_of(F.col("path"))).withColumn("ext", extension(F.col("path")))
+    parts = [_text_rows(files)] if "text" in parsers else []
+    found = ooxml.facts(files.where(F.col("parser").isin(list(parsers))))
+    if "excel" in parsers:
+        book = sheets.row_documents(found).join(found.where("kind = 'sheet'").select("path", F.col("part").alias("sheet"), "part_no"), ["path", "sheet"])
+        rows = book.select("path", (F.col("part_no").cast("long") * 2**21 + F.col("row")).alias("ordinal"), "content")
+        parts += [rows, _about_books(found)]
+    if "pptx" in parsers:
+        parts.append(pages.slide_documents(found).select("path", F.col("slide").cast("long").alias("ordinal"), "content"))
+    if "word" in parsers:
+        words = pages.word_sections(found).select("path", F.col("section_index").cast("long").alias("ordinal"), "content")
+        parts += [words, _beside(found.where(parser_of(F.col("path")) == "word"))]
+    return reduce(DataFrame.unionByName, parts).where(F.col("content").rlike(r"\S"))
+
+
+def _text_rows(files: DataFrame) -> DataFrame:
+    """(path, ordinal, content) of text files."""
     texts = files.where("parser = 'text'").select("path", "ext", text_files.decode_text("content").alias("text"))
     tables = texts.where(F.col("ext").isin(".csv", ".tsv")).mapInPandas(_csv_rows, DOCS)
     parses = F.from_json("text", "array<string>").isNotNull() & text_files.pretty_json("text")["parse_error"].isNull()
@@ -63,22 +108,19 @@ def parse_files(files: DataFrame) -> DataFrame:
         .otherwise(F.col("text"))
     )
     whole = texts.where(~F.col("ext").isin(".csv", ".tsv") & ~is_list).select("path", F.lit(1).cast("long").alias("ordinal"), shown.alias("content"))
-    found = ooxml.facts(files)
-    book = sheets.row_documents(found).join(found.where("kind = 'sheet'").select("path", F.col("part").alias("sheet"), "part_no"), ["path", "sheet"])
-    rows = book.select("path", (F.col("part_no").cast("long") * 2**21 + F.col("row")).alias("ordinal"), "content")
-    slides = pages.slide_documents(found).select("path", F.col("slide").cast("long").alias("ordinal"), "content")
-    words = pages.word_sections(found).select("path", F.col("section_index").cast("long").alias("ordinal"), "content")
-    out = tables.unionByName(records).unionByName(whole).unionByName(rows).unionByName(slides).unionByName(words).unionByName(_beside(found.where(parser_of(F.col("path")) == "word")))
-    return out.where(F.col("content").rlike(r"\S"))
+    again = F.lit(BESIDE).alias("ordinal")
+    summaries = text_files.json_summaries(texts.where(is_list), text="text").select("path", again, "content")
+    issues = text_files.log_documents(texts.where("ext = '.log'"), text="text").select("path", again, "content")
+    return reduce(DataFrame.unionByName, [tables, records, whole, summaries, issues])
 
 
-def ingest(files: DataFrame, user_id: str, embed: Callable[[Column], Column] | None = None, size: int = SIZE, overlap: int = OVERLAP) -> tuple[DataFrame, DataFrame]:
+def ingest(files: DataFrame, user_id: str, embed: Callable[[Column], Column] | None = None, size: int = SIZE, overlap: int = OVERLAP, parsers: tuple[str, ...] = PARSERS) -> tuple[DataFrame, DataFrame]:
     """(documents, chunks) of files(path, content): what is not one row a record already is split.
 
     Ids are hashes of user and path, so that the same file gets the same id again.
     embed: an expression over the contents, such as a pandas UDF.
     """
-    parsed = parse_files(files)
+    parsed = parse_files(files, parsers)
     ready = parsed.where(already_chunked(F.col("path"))).select("path", "ordinal", F.lit(0).alias("part"), "content")
     rest = parsed.where(~already_chunked(F.col("path"))).withColumn("key", F.to_json(F.struct("path", "ordinal")))
     split = chunk_documents(rest, key="key", text="content", size=size, overlap=overlap)

@@ -6,6 +6,7 @@ results are counted by source.  All orders end in chunk_id, so limits are determ
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -81,33 +82,53 @@ def hybrid_search(
 ) -> DataFrame:
     """Keyword hits, then nearest vectors, each chunk once, cut to top_n: chunk_id, position.
 
-    scorer(candidates, question) may return (chunk_id, relevance) to order them by; it is
-    asked only if there are more than top_n candidates.  Without one the order stays.
+    scorer(candidates, question) may return (chunk_id, relevance) to order them by; its
+    order counts only if there are more than top_n candidates.  Without one, or where it
+    fails to give a plan or gives no relevance, the order stays.
     """
     legs = [(keyword_search(chunks, question, k), [F.desc("score")]), (semantic_search(chunks, query_vector, k), [F.col("distance")])]
     ranked = first_wins(*legs)
-    if scorer is not None and ranked.count() > top_n:
-        scores = scorer(ranked.join(chunks, "chunk_id"), question)
-        ranked = ranked.join(scores, "chunk_id", "left")
+    scores = _scores(scorer, ranked.join(chunks, "chunk_id"), question) if scorer is not None else None
+    if scores is not None:
+        # The candidates are few by construction: the two lists' limits.
+        many = F.count("*").over(Window.partitionBy(F.lit(0))) > top_n
+        ranked = ranked.join(scores.select("chunk_id", "relevance"), "chunk_id", "left").withColumn("relevance", F.when(many, F.col("relevance")))
         by = Window.partitionBy(F.lit(0)).orderBy(F.desc_nulls_last("relevance"), "position")
         ranked = ranked.select("chunk_id", F.row_number().over(by).alias("position"))
     return ranked.where(F.col("position") <= top_n)
 
 
+def _scores(scorer: Callable[[DataFrame, str], DataFrame], candidates: DataFrame, question: str) -> DataFrame | None:
+    try:
+        return scorer(candidates, question)
+    except Exception as e:  # a reranker is optional: search goes on without it
+        warnings.warn(f"reranker left out: {e}", stacklevel=3)
+        return None
+
+
 def results_per_source(results: DataFrame, chunks: DataFrame) -> DataFrame:
     return results.join(chunks.select("chunk_id", "source"), "chunk_id").groupBy("source").agg(F.count("*").alias("n_results"))
 
 
-def lsh_search(chunks: DataFrame, query_vector: DataFrame, k: int = CANDIDATES, bits: int = 4, tables: int = 16) -> DataFrame:
-    """Approximate nearest chunks by random hyperplanes: only chunks that share a bucket with the query are compared.
+def lsh_search(chunks: DataFrame, queries: DataFrame, k: int = CANDIDATES, bits: int = 4, tables: int = 24) -> DataFrame:
+    """Approximate nearest chunks of queries(query_id, query) by random hyperplanes: query_id, rank, chunk_id, distance.
 
-    A plane's components are hashes of its number, so no planes are stored or sent.
+    Only chunks that share a bucket of one table with the query are compared, each once: in
+    the first table where they meet.  Every vector is in every table.  A plane's components
+    are hashes of its number, so no planes are stored or sent.  Null ids and vectors, and
+    vectors of another length or of zeros, take no part.
     """
     plane = "xxhash64(t, b, i) / 9.3e18D"
     side = f"aggregate(transform(v, (x, i) -> x * ({plane})), 0D, (s, x) -> s + x) > 0"
-    bucket = f"transform(sequence(1, {tables}), t -> concat(t, ':', array_join(transform(sequence(1, {bits}), b -> if({side}, '1', '0')), '')))"
-    buckets = lambda rows, v: rows.select("*", F.col(v).cast("array<double>").alias("v")).select("*", F.explode(F.expr(bucket)).alias("bucket")).drop("v")
-    keys = buckets(query_vector.select("query").limit(1), "query")
-    hits = buckets(chunks.where("embedding is not null").select("chunk_id", "embedding"), "embedding").join(F.broadcast(keys), "bucket")  # one row a table
-    near = hits.dropDuplicates(["chunk_id"]).select("chunk_id", F.round(cosine_distance(F.col("embedding"), F.col("query")), 6).alias("distance"))
-    return near.where("distance is not null").orderBy("distance", "chunk_id").limit(k)
+    bucket = f"transform(sequence(1, {tables}), t -> aggregate(transform(sequence(1, {bits}), b -> if({side}, 1, 0)), 0, (s, x) -> 2 * s + x))"
+
+    def placed(rows: DataFrame, key: str, v: str, name: str) -> DataFrame:
+        kept = rows.where(F.col(key).isNotNull() & F.col(v).isNotNull()).select(key, v, F.col(v).cast("array<double>").alias("v"))
+        return kept.select(key, v, F.expr(bucket).alias(name)).select("*", F.posexplode(name).alias("t", "bucket"))
+
+    asked = placed(queries.select("query_id", "query").dropDuplicates(["query_id"]), "query_id", "query", "asked")
+    met = placed(chunks, "chunk_id", "embedding", "held").join(asked, ["t", "bucket"])
+    first = met.where(F.expr("not exists(slice(zip_with(asked, held, (a, b) -> a = b), 1, t), same -> same)"))
+    near = first.select("query_id", "chunk_id", F.round(cosine_distance(F.col("embedding"), F.col("query")), 6).alias("distance")).where("distance is not null")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "chunk_id"))
+    return near.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "chunk_id", "distance")

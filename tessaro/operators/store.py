@@ -56,6 +56,33 @@ def delete_documents(documents: DataFrame, chunks: DataFrame, which: Column) ->
     return kept, without(chunks, gone, user_id="user_id", document_id="id")
 
 
+def create_session(sessions: DataFrame, session_id: str, user_id: str, document_ids: list[str] | None = None, title: str = NEW_TITLE) -> DataFrame:
+    """sessions with a new one; ids as a set, in order."""
+    ids = F.array_sort(F.array_distinct(F.array(*map(F.lit, document_ids or [])).cast("array<string>")))
+    values = {"id": F.lit(session_id), "user_id": F.lit(user_id), "title": F.lit(title), "document_ids": ids, "created_at": F.localtimestamp(), "updated_at": F.localtimestamp()}
+    kinds = dict(sessions.dtypes)
+    row = sessions.sparkSession.range(1).select(*[values.get(c, F.lit(None)).cast(kinds[c]).alias(c) for c in sessions.columns])
+    return sessions.unionByName(row)
+
+
+def append_messages(sessions: DataFrame, messages: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(sessions, messages) after new messages (id, session_id, role, content, sources, created_at) of existing sessions.
+
+    A session's updated_at becomes that of its last message, if it is later; one still called as new gets
+    its title.  Messages of unknown sessions are dropped.
+    """
+    kept = new.join(sessions.select(F.col("id").alias("session_id")), "session_id", "left_semi").select(*messages.columns)
+    all_messages = messages.unionByName(kept)
+    last = kept.groupBy(F.col("session_id").alias("_session")).agg(F.max("created_at").alias("_last"))
+    touched = sessions.join(last, sessions["id"] == F.col("_session"), "left").withColumn("updated_at", F.greatest("updated_at", "_last")).select(*sessions.columns)
+    return title_from_first_question(touched, all_messages), all_messages
+
+
+def list_documents(documents: DataFrame, user_id: str) -> DataFrame:
+    """A user's documents, the newest first."""
+    return documents.where(F.col("user_id") == user_id).orderBy(F.desc_nulls_last("created_at"), "id")
+
+
 def delete_sessions(sessions: DataFrame, messages: DataFrame, which: Column) -> tuple[DataFrame, DataFrame]:
     return sessions.where(~F.coalesce(which, F.lit(False))), without(messages, sessions.where(which).select("id"), session_id="id")
 
@@ -92,10 +119,33 @@ def reembed(documents: DataFrame, chunks: DataFrame, files: DataFrame, embed: Ca
     """All chunks again with new vectors, and documents with their counts; documents without a file get no chunks and status missing.
 
     files: (file_path); embed: an expression, such as a pandas UDF, over the contents.
+    Documents and chunks belong together by user and document.
     """
     there = documents.join(files.select("file_path").distinct().withColumn("found", F.lit(True)), "file_path", "left")
-    renewed = chunks.join(there.where("found").select(F.col("id").alias("document_id")), "document_id", "left_semi").withColumn("embedding", embed(F.col("content")))
-    counts = renewed.groupBy(F.col("document_id").alias("_doc")).agg(F.count("*").cast("int").alias("_n"))
+    owned = there.where("found").select(F.col("id").alias("document_id"), "user_id").distinct()
+    renewed = chunks.join(owned, ["document_id", "user_id"], "left_semi").withColumn("embedding", embed(F.col("content")))
+    counts = renewed.groupBy(F.col("document_id").alias("_doc"), F.col("user_id").alias("_user")).agg(F.count("*").cast("int").alias("_n"))
     status = F.when(F.col("found"), "ok").otherwise("missing").alias("status")
-    out = there.join(counts, there["id"] == F.col("_doc"), "left")
+    out = there.join(counts, (there["id"] == F.col("_doc")) & (there["user_id"] == F.col("_user")), "left")
     return renewed.select(*chunks.columns), out.select(*[c for c in documents.columns if c != "chunk_count"], F.coalesce("_n", F.lit(0)).alias("chunk_count"), status)
+
+
+def reingest(documents: DataFrame, files: DataFrame, embed: Callable[[Column], Column] | None = None, **options) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(documents, chunks, counts) of a migration: files(path, content) parsed, split and embedded again for their documents.
+
+    documents get chunk_count and status: ok, empty (no text in the file) or missing (no
+    file); counts has one row a status.  Chunks keep their documents' ids and users.  options
+    are those of ingest.
+    """
+    from tessaro.operators.ingest import ingest
+
+    _, made = ingest(files, "", embed, **options)
+    paths = files.select(F.col("path").alias("file_path"), F.sha2(F.concat(F.lit("\n"), F.col("path")), 256).alias("_made")).distinct()
+    owned = documents.join(paths, "file_path", "left")
+    fresh = made.withColumnsRenamed({"document_id": "_made", "user_id": "_nobody"}).join(owned.select("_made", F.col("id").alias("document_id"), "user_id"), "_made")
+    chunks = fresh.withColumn("id", F.concat_ws("-", "document_id", "chunk_index")).select("id", "document_id", "user_id", "content", "embedding", "chunk_index", "chunk_metadata")
+    per = chunks.groupBy("document_id", "user_id").agg(F.count("*").cast("int").alias("chunk_count"))
+    status = F.when(F.col("_made").isNull(), "missing").when(F.col("chunk_count").isNull(), "empty").otherwise("ok").alias("status")
+    joined = owned.drop("chunk_count").join(per, (owned["id"] == per["document_id"]) & (owned["user_id"] == per["user_id"]), "left").drop(per["document_id"], per["user_id"])
+    out = joined.select(*[c for c in documents.columns if c != "chunk_count"], F.coalesce("chunk_count", F.lit(0)).alias("chunk_count"), status)
+    return out, chunks, out.groupBy("status").agg(F.count("*").alias("n_documents"))

@@ -56,8 +56,8 @@ def all_sorted(df: DataFrame, name: str, order: str, ascending: bool = False) ->
 
 def extreme(df: DataFrame, name: str, order: str, most: bool = True) -> DataFrame:
     """``name (total)`` of the row of largest or smallest total; of ties the first row."""
-    key = F.struct(F.col("total") if most else -F.col("total"), -F.col(order))
-    best = with_total(df).agg(F.max_by(F.struct(name, "total"), key).alias("b"))
+    key = F.struct((-F.col("total") if most else F.col("total")).alias("t"), F.col(order).alias("o"))
+    best = with_total(df).agg(F.min_by(F.struct(name, "total"), key).alias("b"))
     return best.select(F.concat(F.col(f"b.{name}"), F.lit(" ("), F.col("b.total").cast("long").cast("string"), F.lit(")")).alias("answer"))
 
 
@@ -97,25 +97,30 @@ def header_scores(cells: DataFrame) -> DataFrame:
     column, 1 a value below in the first column, -50 for a title (at most one distinct
     value among the first three rows of a table wider than one column), -8 a numeric name.  In pairs names
     are joined by _: 10 a distinct named column, 1 a value below, -15 a repeated name, -8 a
-    numeric one; no pair starts at a title.  (sheet, header_row, n_rows, score), best first.
+    numeric one; no pair starts at a title.  Rows with nothing below them are no candidates.
+    Points and hyphens do not make a name any less numeric, in pairs neither do
+    underscores.  (sheet, header_row, n_rows, score).
     """
     shape = cells.groupBy("sheet").agg((F.max("col") + 1).alias("width"), (F.max("row") + 1).alias("height"))
     said = cells.where("value is not null and trim(value) <> ''").withColumn("value", F.trim("value"))
-    first = said.where("col = 0").groupBy("sheet").agg(F.collect_list("row").alias("filled"))
+    first = said.where("col = 0")
     head = said.where("row < 6")
     titles = head.where("row < 3").groupBy("sheet", "row").agg(F.count_distinct("value").alias("d"))
     rows = shape.withColumn("header_row", F.explode(F.sequence(F.lit(0), F.least(F.lit(4), F.col("height") - 1))))
     marked = rows.join(titles.withColumnRenamed("row", "header_row"), ["sheet", "header_row"], "left")
     is_title = (F.col("header_row") < 3) & (F.coalesce("d", F.lit(0)) <= 1) & (F.col("width") > 1)
     candidates = marked.withColumn("title", is_title).withColumn("n_rows", F.explode(F.array(F.lit(1), F.lit(2))))
-    candidates = candidates.where("n_rows = 1 or (not title and header_row + 1 < least(height, 5))")
-    below = F.size(F.filter(F.col("filled"), lambda r: r >= F.col("header_row") + F.col("n_rows")))
-    candidates = candidates.join(first, "sheet", "left").withColumn("below", F.coalesce(F.nullif(below, F.lit(-1)), F.lit(0)))
+    candidates = candidates.where("header_row + n_rows < height and (n_rows = 1 or (not title and header_row + 1 < 5))")
+    # A count for each of the seven places where a body can begin.
+    bodies = first.groupBy("sheet").agg(F.array(*[F.count_if(F.col("row") >= r) for r in range(7)]).alias("filled"))
+    below = F.element_at("filled", F.col("header_row") + F.col("n_rows") + 1)
+    candidates = candidates.join(bodies, "sheet", "left").withColumn("below", F.coalesce(below, F.lit(0))).drop("filled")
     on = (head["sheet"] == candidates["sheet"]) & (head["row"] >= F.col("header_row")) & (head["row"] < F.col("header_row") + F.col("n_rows"))
     picked = candidates.join(head, on).select(candidates["*"], "row", "col", "value")
     keys = ["sheet", "header_row", "n_rows"]
     names = picked.groupBy(*keys, "col").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row", "value"))), lambda x: x["value"]), "_").alias("name"))
-    numeric = F.translate("name", "._-", "").rlike(r"^\p{Nd}+$")
+    bare = F.when(F.col("n_rows") == 1, F.translate("name", ".-", "")).otherwise(F.translate("name", "._-", ""))
+    numeric = bare.rlike(r"^\p{Nd}+$")
     tally = names.groupBy(*keys).agg(F.count("*").alias("named"), F.count_distinct("name").alias("distinct"), F.count_if(numeric).alias("numeric"))
     scored = candidates.join(tally, keys, "left").na.fill(0, ["named", "distinct", "numeric"])
     single = 10 * F.col("named") + F.col("below") - F.when(F.col("title"), 50).otherwise(0) - 8 * F.col("numeric")
@@ -124,23 +129,29 @@ def header_scores(cells: DataFrame) -> DataFrame:
 
 
 def best_header(cells: DataFrame) -> DataFrame:
-    """The winning candidate a sheet: singles before pairs, upper rows first, only a higher score wins."""
+    """The winning candidate a sheet: singles before pairs, upper rows first, only a higher score wins; the first row where none reaches 0."""
     order = Window.partitionBy("sheet").orderBy(F.desc("score"), "n_rows", "header_row")
-    return header_scores(cells).withColumn("r", F.row_number().over(order)).where("r = 1").drop("r")
+    best = header_scores(cells).where("score >= 0").withColumn("r", F.row_number().over(order)).where("r = 1").drop("r")
+    sheets = cells.select("sheet").distinct().join(best, "sheet", "left")
+    return sheets.select("sheet", F.coalesce("header_row", F.lit(0)).alias("header_row"), F.coalesce("n_rows", F.lit(1)).alias("n_rows"), F.coalesce("score", F.lit(-1)).alias("score"))
 
 
 @dataclass(frozen=True)
 class Query:
-    """One operation of the closed set: filter_contains, row_sum, col_sum, count_where, value_counts, argmax."""
+    """One operation of the closed set: filter_contains, row_sum, col_sum, count_where, value_counts, argmax.
+
+    order: the column that tells which of equal rows argmax takes, the first; without it the least label.
+    """
 
     op: str
     col: str | None = None
     value: str | None = None
     label: str | None = None
+    order: str | None = None
 
 
 def run_query(df: DataFrame, q: Query) -> DataFrame:
-    for c in (q.col, q.label):
+    for c in (q.col, q.label, q.order):
         if c is not None and c not in df.columns:
             raise ValueError(f"no column {c}")
     match q.op:
@@ -155,7 +166,8 @@ def run_query(df: DataFrame, q: Query) -> DataFrame:
         case "value_counts":
             return df.where(F.col(q.col).isNotNull()).groupBy(q.col).agg(F.count("*").alias("n"))
         case "argmax":
-            return df.agg(F.max_by(F.col(q.label), F.struct(q.col, q.label)).alias(q.label))
+            best = df.where(F.col(q.col).isNotNull()).withColumn("_at", F.col(q.order or q.label)).groupBy(q.col).agg(F.min_by(q.label, "_at").alias(q.label))
+            return best.agg(F.max_by(q.label, q.col).alias(q.label))
     raise ValueError(f"unknown operation {q.op}")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tessaro.functions import cells, mrz
 from tessaro.functions import text as tx
+from tessaro.operators import context
 from tessaro.plans.catalog import query
 from tessaro.session import table
 from tessaro.sources import text_files
@@ -22,8 +23,13 @@ def html_strip(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.md5(tx.strip_tags(F.col("html"))).alias("text_md5"))
 
 
-@query()
+@query(
+    """WITH s AS (SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\\b[^>]*>.*?</script>', '', 'g'),
+    '(?is)<style\\b[^>]*>.*?</style>', '', 'g'), '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g')) AS t FROM pages)
+    SELECT page_id, regexp_replace(replace(replace(replace(t, '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&amp;?', '&', 'g') AS content FROM s WHERE t <> ''"""
+)
 def html_text(spark, sf_dir):
+    """The SQL knows the entities that the pages hold."""
     return text_files.html_documents(table(spark, sf_dir, "pages")).select("page_id", "content")
 
 
@@ -39,11 +45,9 @@ _LOGS = "l AS (SELECT user_id, ts, event_id, event_type || ' ' || props AS line
 )
 def log_issues(spark, sf_dir):
     """Each user's events as a log."""
-    from tessaro.operators.context import ordered_concat
-
     events = table(spark, sf_dir, "events").withColumn("line", F.concat_ws(" ", "event_type", "props"))
-    logs = events.groupBy("user_id").agg(ordered_concat(F.col("line"), F.struct("ts", "event_id"), "\n").alias("content"))
-    return text_files.log_issues(logs, key="user_id").select("user_id", "error_count", "warning_count", "errors")
+    lines = context.numbered(events.select("user_id", "ts", "event_id", "line"), ["user_id"], F.date_trunc("hour", "ts"), [F.col("ts"), F.col("event_id")])
+    return text_files.line_issues(lines.withColumnRenamed("position", "at"), key="user_id").select("user_id", "error_count", "warning_count", "errors")
 
 
 @query("SELECT c_custkey, 'c_name: ' || c_name || ' | c_nationkey: ' || c_nationkey || ' | c_mktsegment: ' || c_mktsegment AS content FROM customer")
@@ -68,7 +72,10 @@ def json_normalize(spark, sf_dir):
     return text_files.flatten_structs(nested)
 
 
-@query()
+@query(
+    """SELECT page_id, '[XML Document: p]' || chr(10) || '<p a="1">' || chr(10) || '  <u>' || CASE WHEN trim(url) <> '' THEN ' ' || substring(trim(url), 1, 200) || CASE WHEN length(trim(url)) > 200 THEN '...' ELSE '' END ELSE '' END AS content,
+    'p' AS root_tag, NULL::VARCHAR AS parse_error FROM pages"""
+)
 def xml_tree(spark, sf_dir):
     pages = table(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("<p a='1'><u>"), F.replace("url", F.lit("&"), F.lit("&amp;")), F.lit("</u><e/></p>")).alias("xml"))
     return pages.select("page_id", text_files.xml_tree("xml").alias("x")).select("page_id", "x.*")

@@ -109,16 +109,17 @@ def retrieval_context(spark, sf_dir):
 
 
 def scoped_documents(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), F.lit(0).alias("chunk_index"), F.col("text").alias("content"), "source")
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), F.lit(0).alias("chunk_index"), F.col("text").alias("content"), "source", "lang")
     return docs.withColumn("scope", F.col("source"))
 
 
 @query(
-    """WITH t AS (SELECT source AS scope, string_agg(chr(10) || '--- ' || source || ' ---' || chr(10) || chr(10) || text, chr(10) ORDER BY doc_id) AS x FROM documents GROUP BY 1)
-    SELECT scope, length(x) AS n_chars, md5(x) AS text_md5 FROM t"""
+    """WITH t AS (SELECT lang || ':' || source AS scope, string_agg(chr(10) || '--- ' || source || ' ---' || chr(10) || chr(10) || text, chr(10) ORDER BY doc_id) AS x FROM documents GROUP BY 1)
+    SELECT scope, length(x) AS n_chars, md5(x) AS text_md5 FROM t WHERE length(x) <= 50000"""
 )
 def full_context_text(spark, sf_dir):
-    out = context.full_text(scoped_documents(spark, sf_dir), "scope")
+    docs = scoped_documents(spark, sf_dir).withColumn("scope", F.concat_ws(":", "lang", "source"))
+    out = context.full_text(docs, "scope")
     return out.select("scope", F.col("n_chars").cast("long").alias("n_chars"), F.md5("full_text").alias("text_md5"))
 
 
@@ -172,5 +173,17 @@ def chunk_documents(spark, sf_dir):
 
 @query()
 def lsh_topk(spark, sf_dir):
-    """Approximate neighbours; compared with the exact ones in the tests."""
-    return retrieval.lsh_search(chunks(spark, sf_dir).where("embedding is not null"), query_vector(spark, sf_dir))
+    """Approximate neighbours of every fiftieth vector among all; recall is measured in the tests."""
+    vectors = table(spark, sf_dir, "embeddings")
+    asked = vectors.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    return retrieval.lsh_search(vectors.select(F.col("vec_id").alias("chunk_id"), "embedding"), asked)
+
+
+_EXACT = """WITH d AS (SELECT q.vec_id AS query_id, c.vec_id AS chunk_id, round(1 - list_cosine_similarity(c.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS distance FROM embeddings q, embeddings c WHERE q.vec_id % 50 = 0)
+    SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY distance, chunk_id)::INT AS rank, chunk_id, distance FROM d QUALIFY rank <= 1"""
+
+
+@query(_EXACT)
+def lsh_top1(spark, sf_dir):
+    """The nearest of each query, itself: equal vectors share all buckets, so the index never misses it."""
+    return lsh_topk(spark, sf_dir).where("rank = 1")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessaro.operators import store
+from tessaro.operators import context, store
 from tessaro.plans.catalog import query
 from tessaro.session import table
 from tessaro.sources.routing import already_chunked, parser_of
@@ -39,10 +39,8 @@ def session_remove_docs(spark, sf_dir):
 
 @query(f"WITH {_S} SELECT conv_id::VARCHAR AS id, row_number() OVER (PARTITION BY user_id ORDER BY last DESC, conv_id::VARCHAR)::INT AS position FROM s")
 def session_list(spark, sf_dir):
-    from pyspark.sql import Window
-
-    order = Window.partitionBy("user_id").orderBy(F.desc("last"), "id")
-    return sessions(spark, sf_dir).select("id", F.row_number().over(order).alias("position"))
+    listed = context.numbered(sessions(spark, sf_dir), ["user_id"], -F.col("last"), [F.col("id")])
+    return listed.select("id", F.col("position").cast("int").alias("position"))
 
 
 @query("""WITH f AS (SELECT conv_id, arg_min(text, turn) AS q FROM conversations WHERE role = 'user' GROUP BY 1)

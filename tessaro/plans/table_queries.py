@@ -105,9 +105,9 @@ wide AS (SELECT sheet, row, 0 AS col, s_name AS value FROM cells UNION ALL SELEC
     f"""WITH {_CELLS}, shape AS (SELECT sheet, max(row) + 1 AS height FROM wide GROUP BY 1),
     titles AS (SELECT sheet, row, count(DISTINCT value) <= 1 AS title FROM wide WHERE row < 3 GROUP BY 1, 2),
     cand AS (SELECT s.sheet, r.row AS header_row, k AS n_rows, coalesce(t.title, false) AS title, height FROM shape s JOIN (SELECT DISTINCT sheet, row FROM wide WHERE row < 5) r USING (sheet)
-             LEFT JOIN titles t ON t.sheet = s.sheet AND t.row = r.row, (VALUES (1), (2)) v(k) WHERE k = 1 OR (NOT coalesce(t.title, false) AND r.row + 1 < least(height, 5))),
+             LEFT JOIN titles t ON t.sheet = s.sheet AND t.row = r.row, (VALUES (1), (2)) v(k) WHERE r.row + k < height AND (k = 1 OR (NOT coalesce(t.title, false) AND r.row + 1 < 5))),
     nm AS (SELECT c.sheet, c.header_row, c.n_rows, w.col, string_agg(w.value, '_' ORDER BY w.row) AS name FROM cand c JOIN wide w ON w.sheet = c.sheet AND w.value IS NOT NULL AND w.row >= c.header_row AND w.row < c.header_row + c.n_rows GROUP BY ALL),
-    tally AS (SELECT sheet, header_row, n_rows, count(*) AS named, count(DISTINCT name) AS dist, count(*) FILTER (regexp_full_match(translate(name, '._-', ''), '[0-9]+')) AS num FROM nm GROUP BY ALL)
+    tally AS (SELECT sheet, header_row, n_rows, count(*) AS named, count(DISTINCT name) AS dist, count(*) FILTER (regexp_full_match(translate(name, CASE n_rows WHEN 1 THEN '.-' ELSE '._-' END, ''), '[0-9]+')) AS num FROM nm GROUP BY ALL)
     SELECT c.sheet, c.header_row::INT AS header_row, c.n_rows::INT AS n_rows, (CASE WHEN c.n_rows = 1 THEN 10 * named + greatest(height - c.header_row - 1, 0) - CASE WHEN title THEN 50 ELSE 0 END - 8 * num
         ELSE 10 * dist + greatest(height - c.header_row - 2, 0) - 15 * (named - dist) - 8 * num END)::BIGINT AS score FROM cand c JOIN tally USING (sheet, header_row, n_rows)"""
 )

@@ -14,12 +14,15 @@ FORMULAS, CROSS_SHEET = 200, 50
 
 def cells(facts: DataFrame) -> DataFrame:
     """(path, sheet, row, col, kind, bold, filled, format, formula, text, number, shown) of every cell with something in it."""
+    if (made := getattr(facts, "cells_of_these", None)) is not None:
+        return made  # the expression is large: it is built once for all that use the same facts
     f = F.split("flags", "\t")
     found = facts.where("kind = 'cell'").select(
         "path", F.col("part").alias("sheet"), F.col("a").alias("row"), F.col("b").alias("col"), f[0].alias("kind"), (f[1] == "b").alias("bold"),
         (f[2] == "f").alias("filled"), f[3].alias("format"), F.col("name").alias("formula"), "text", "number",
     )
-    return found.withColumn("shown", fx.cell_text(F.col("kind"), F.col("text"), F.col("number"), F.col("format"), F.col("formula")))
+    facts.cells_of_these = found.withColumn("shown", fx.cell_text(F.col("kind"), F.col("text"), F.col("number"), F.col("format"), F.col("formula")))
+    return facts.cells_of_these
 
 
 def header_rows(cell: DataFrame) -> DataFrame:

@@ -164,15 +164,39 @@ def log_level(line: Column) -> Column:
 def log_issues(logs: DataFrame, key: str = "path", text: str = "content", most: int = LOG_LISTED) -> DataFrame:
     """Per log with issues: error_count, warning_count, and the first fifty lines of each as ``L{n}: line``."""
     lines = logs.select(key, F.posexplode(F.split(text, "\n")).alias("at", "line"))
-    found = lines.withColumn("level", log_level(F.col("line"))).where("level is not null")
+    return line_issues(lines.select(key, (F.col("at") + 1).alias("at"), "line"), key, most)
+
+
+def line_issues(lines: DataFrame, key: str, most: int = LOG_LISTED) -> DataFrame:
+    """log_issues of lines that are rows already: key, at (the line's number) and line.
+
+    Counts are partial sums, and of the lines each task keeps its first fifty a level: no log meets in one task.
+    """
+    found = lines.select(key, "at", "line", log_level(F.col("line")).alias("level")).where("level is not null")
+    counts = found.groupBy(key).agg(F.count_if(F.col("level") == "error").alias("error_count"), F.count_if(F.col("level") == "warning").alias("warning_count"))
     place = F.row_number().over(Window.partitionBy(key, "level").orderBy("at"))
-    said = F.concat(F.lit("L"), (F.col("at") + 1).cast("string"), F.lit(": "), F.trim("line"))
-    marked = found.withColumn("place", place).withColumn("said", F.when(F.col("place") <= most, said))
-    listed = lambda level: F.transform(F.array_sort(F.collect_list(F.when((F.col("level") == level) & F.col("said").isNotNull(), F.struct("at", "said")))), lambda r: r["said"])
-    return marked.groupBy(key).agg(
-        F.count_if(F.col("level") == "error").alias("error_count"), F.count_if(F.col("level") == "warning").alias("warning_count"),
-        F.array_join(listed("error"), "\n").alias("errors"), F.array_join(listed("warning"), "\n").alias("warnings"),
-    )
+    first = found.withColumn("place", place).where(F.col("place") <= most)
+    said = F.concat(F.lit("L"), F.col("at").cast("string"), F.lit(": "), F.trim("line"))
+    listed = lambda level: F.transform(F.array_sort(F.collect_list(F.when(F.col("level") == level, F.struct("at", said.alias("said"))))), lambda r: r["said"])
+    texts = first.groupBy(key).agg(F.array_join(listed("error"), "\n").alias("errors"), F.array_join(listed("warning"), "\n").alias("warnings"))
+    named = texts.withColumnRenamed(key, "_key")
+    return counts.join(named, counts[key].eqNullSafe(named["_key"])).drop("_key")
+
+
+def log_documents(logs: DataFrame, key: str = "path", text: str = "content") -> DataFrame:
+    """(key, content) of logs with issues: both counts, then the listed lines."""
+    found = log_issues(logs, key, text)
+    head = F.concat(F.lit("Log issues: "), F.col("error_count"), F.lit(" errors, "), F.col("warning_count"), F.lit(" warnings"))
+    part = lambda title, c: F.when(F.col(c) != "", F.concat(F.lit(f"{title}:\n"), F.col(c)))
+    return found.select(key, F.concat_ws("\n\n", head, part("Errors", "errors"), part("Warnings", "warnings")).alias("content"))
+
+
+def json_summaries(files: DataFrame, key: str = "path", text: str = "content", most: int = JSON_RECORDS) -> DataFrame:
+    """(key, content) of every file that is a list: how many records it has, how many are listed, and the fields of its objects."""
+    rows = files.select(key, F.from_json(text, "array<string>").alias("all")).where("all is not null")
+    fields = F.array_sort(F.array_distinct(F.flatten(F.transform("all", lambda r: F.coalesce(F.json_object_keys(r), F.array().cast("array<string>"))))))
+    said = F.concat(F.lit("JSON list: "), F.size("all"), F.lit(" records, "), F.least(F.size("all"), F.lit(most)), F.lit(" listed"))
+    return rows.select(key, F.concat(said, F.when(F.size(fields) > 0, F.concat(F.lit("\nFields: "), F.array_join(fields, ", "))).otherwise("")).alias("content"))
 
 
 def html_documents(pages: DataFrame, text: str = "html") -> DataFrame:

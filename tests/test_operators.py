@@ -78,8 +78,15 @@ def test_hybrid_order_scorer_and_scope(spark):
 
     best = retrieval.hybrid_search(df, "needle?", q, k=6, top_n=5, scorer=scorer).orderBy("position").collect()
     assert [r["chunk_id"] for r in best] == [9, 5, 4, 3, 2] and asked == [7]
-    retrieval.hybrid_search(df, "needle?", q, k=2, top_n=5, scorer=scorer).collect()
-    assert asked == [7]
+    few = retrieval.hybrid_search(df, "needle?", q, k=2, top_n=5, scorer=scorer).orderBy("position").collect()
+    assert [r["chunk_id"] for r in few] == [5, 9, 0, 1]  # no more than top_n: the order stays
+
+    def broken(candidates, question):
+        raise ValueError("no model")
+
+    with pytest.warns(UserWarning, match="reranker"):
+        kept = retrieval.hybrid_search(df, "needle?", q, k=6, top_n=5, scorer=broken).orderBy("position").collect()
+    assert [r["chunk_id"] for r in kept] == [5, 9, 0, 1, 2]
     assert retrieval.in_scope(df, "source", []).count() == 30 and retrieval.in_scope(df, "source", ["s1"]).count() == 15
     assert retrieval.hybrid_search(df, "the and", q, k=3, top_n=5).count() == 3
 

@@ -7,6 +7,7 @@ import random
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from tessaro.plans import catalog
 
@@ -83,14 +84,19 @@ def test_query(spark, data, name):
     assert mine == theirs
 
 
-def test_lsh_finds_most_neighbours(spark, data):
+def test_lsh_finds_most_neighbours(spark):
     from tessaro.operators import retrieval
-    from tessaro.plans import retrieval_queries as q
 
-    sf, _ = data
-    exact = {r["chunk_id"] for r in retrieval.semantic_search(q.chunks(spark, sf), q.query_vector(spark, sf), 10).collect()}
-    near = {r["chunk_id"] for r in retrieval.lsh_search(q.chunks(spark, sf), q.query_vector(spark, sf), 10).collect()}
-    assert len(exact & near) >= 8
+    rng = random.Random(5)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(64)]) for i in range(500)]
+    chunks = spark.createDataFrame(rows, "chunk_id long, embedding array<float>").cache()
+    asked = chunks.where("chunk_id % 50 = 0").select(F.col("chunk_id").alias("query_id"), F.col("embedding").alias("query"))
+    near = {(r["query_id"], r["chunk_id"]) for r in retrieval.lsh_search(chunks, asked).collect()}
+    exact = set()
+    for i, v in rows[::50]:
+        one = spark.createDataFrame([(v,)], "query array<float>")
+        exact |= {(i, r["chunk_id"]) for r in retrieval.semantic_search(chunks, one).collect()}
+    assert len(exact & near) >= 0.9 * len(exact) == 360
 
 
 def test_profile_takes_every_row(spark, tmp_path):
@@ -105,5 +111,6 @@ def test_lsh_leaves_out_vectors_without_a_distance(spark):
 
     rows = [(i, [0.0, 0.0]) for i in range(5)] + [(5, [-1.0, -2.0, 0.0]), (6, [-1.0, -2.0]), (7, [-1.0, -2.1])]
     chunks = spark.createDataFrame(rows, "chunk_id long, embedding array<float>")
-    one = spark.createDataFrame([([-1.0, -2.0],)], "query array<float>")
-    assert [r["chunk_id"] for r in retrieval.lsh_search(chunks, one, 2).collect()] == [6, 7]
+    one = spark.createDataFrame([(1, [-1.0, -2.0]), (2, None), (None, [1.0, 1.0])], "query_id long, query array<float>")
+    got = retrieval.lsh_search(chunks, one, 2).orderBy("rank").collect()
+    assert [(r["query_id"], r["rank"], r["chunk_id"]) for r in got] == [(1, 1, 6), (1, 2, 7)]

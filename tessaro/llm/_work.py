@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import json
 import shutil
 import tempfile
 import uuid
@@ -79,6 +80,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_table(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
+    """A few rows that the driver knows, as one literal: read by the JVM, without Python workers.  schema: ``name: type, ...``"""
+    every = F.from_json(F.lit(json.dumps(rows)), f"array<struct<{schema}>>")
+    return spark.range(1).select(F.explode(every).alias("row")).select("row.*")
+
+
 def join_on(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """left and right's other columns, joined where keys are equal or both null."""
     named = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})

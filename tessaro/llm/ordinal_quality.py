@@ -61,6 +61,11 @@ def _epoch(cuts: int):
     return epoch
 
 
+def tails(params: np.ndarray, cuts: int, at: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """P(grade >= j) for j = 1 to cuts, of a text with values x at the positions at."""
+    return _sigmoid(float(params[cuts:][at] @ x) - thresholds(params, cuts))
+
+
 def grade_quality(docs: DataFrame, ratings: DataFrame, grades: int = 3, select_from: int = 1, min_tail: float = 0.5, max_fit_rows: int = MAX_FIT_ROWS) -> DataFrame:
     """Per row: doc_id, expected_grade (0 to grades - 1), tail_probability, kept.
 
@@ -77,12 +82,11 @@ def grade_quality(docs: DataFrame, ratings: DataFrame, grades: int = 3, select_f
     start = np.zeros(cuts + len(kept))
     start[0] = -1.0
     params = averaged_rounds(rows, kept, start, _epoch(cuts), ROUNDS)
-    w, t = params[cuts:], thresholds(params, cuts)
 
     def score(at: np.ndarray, x: np.ndarray) -> tuple[float, ...]:
         if not len(at):
             return 0.0, 0.0
-        tail = _sigmoid(float(w[at] @ x) - t)
+        tail = tails(params, cuts, at, x)
         return float(tail.sum()), float(tail[select_from - 1])
 
     scored = score_texts(docs, kept, score, "expected_grade double, tail_probability double")

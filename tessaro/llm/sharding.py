@@ -11,12 +11,12 @@ copies alone are more than a shard: those are told apart by their ids.
 
 from __future__ import annotations
 
-from dataclasses import astuple, dataclass
+from dataclasses import asdict, dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessaro.llm._work import join_on, join_small, ranks, running_before, settle
+from tessaro.llm._work import join_on, join_small, ranks, running_before, settle, small_table
 
 #: A code is a coordinate of PLACE_BITS, then a tie-break of TIE_BITS; its digits have DIGIT_BITS.
 PLACE_BITS, TIE_BITS, DIGIT_BITS = 24, 24, 16
@@ -43,7 +43,7 @@ class _Node:
         return self.node + self.leaves // 2
 
 
-_NODE = "node int, leaves int, dimension int, prefix long, below long, goal double, right int"
+_NODE = "node: int, leaves: int, dimension: int, prefix: bigint, below: bigint, goal: double, right: int"
 
 
 def _coordinates(rows: DataFrame, dims: dict[str, str]) -> DataFrame:
@@ -64,7 +64,7 @@ def _coordinates(rows: DataFrame, dims: dict[str, str]) -> DataFrame:
 
 def _with_nodes(points: DataFrame, nodes: list[_Node]) -> DataFrame:
     """points with the columns of their nodes: a table of at most as many rows as there are shards."""
-    known = points.sparkSession.createDataFrame([(*astuple(n), n.right) for n in nodes], _NODE)
+    known = small_table(points.sparkSession, [asdict(n) | {"right": n.right} for n in nodes], _NODE)
     return points.join(F.broadcast(known), "node")
 
 

@@ -49,6 +49,13 @@ def _epoch(rows: Rows, params: np.ndarray, turn: int) -> np.ndarray:
     return params
 
 
+def logit(params: np.ndarray, at: np.ndarray, x: np.ndarray) -> float:
+    """Of a text with values x at the positions at: pairs in linear time, as half of (square of sums - sum of squares)."""
+    w, v = _split(params)
+    vx = v[at] * x[:, None]
+    return float(params[0]) + float(w[at] @ x) + 0.5 * float((vx.sum(0) ** 2).sum() - (vx**2).sum())
+
+
 def held_out() -> Column:
     """Rows whose labels are never learned from."""
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
@@ -69,13 +76,9 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, max_fit_rows: int = MAX_F
     start = np.random.default_rng(0).normal(0, 0.05, 1 + len(kept) * (1 + FACTORS))
     start[: 1 + len(kept)] = 0
     params = averaged_rounds(rows, kept, start, _epoch, ROUNDS)
-    w, v = _split(params)
-    bias = float(params[0])
 
     def score(at: np.ndarray, x: np.ndarray) -> tuple[float, ...]:
-        vx = v[at] * x[:, None]
-        logit = bias + float(w[at] @ x) + 0.5 * float((vx.sum(0) ** 2).sum() - (vx**2).sum())
-        return (float(1 / (1 + np.exp(-np.clip(logit, -30, 30)))),)
+        return (float(1 / (1 + np.exp(-np.clip(logit(params, at, x), -30, 30)))),)
 
     scored = score_texts(docs, kept, score, "score double")
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessaro.llm._work import let, settle
+from tessaro.llm._work import let, settle, small_table
 from tessaro.llm.components import connected_components
 
 #: (action, host, path), fixed by the task.
@@ -123,7 +123,7 @@ def judge_urls(pages: DataFrame, rules=RULES) -> DataFrame:
     url = F.col("url")
     read = pages.select("page_id", host_of(url).alias("host"), path_of(url).alias("path"), F.when(F.instr(url, "://") > 0, node_of(url)).alias("node"))
     if isinstance(rules, DataFrame) or len(rules) > MAX_RULES:
-        listed = rules if isinstance(rules, DataFrame) else pages.sparkSession.createDataFrame(list(rules), "action string, host string, path string")
+        listed = rules if isinstance(rules, DataFrame) else small_table(pages.sparkSession, [dict(zip(("action", "host", "path"), r)) for r in rules], "action: string, host: string, path: string")
         found = matched_by_table(read, listed)
     else:
         found = read.withColumn("found", matching_rule(F.col("host"), F.col("path"), rules))

@@ -3,9 +3,11 @@ import zlib
 
 import numpy as np
 
-from tessaro.llm import hashed_text
-from tessaro.llm.ordinal_quality import grade_quality, ratings_of, thresholds
-from tessaro.llm.toxicity import score_toxicity
+import pytest
+
+from tessaro.llm import hashed_text, ordinal_quality, toxicity
+from tessaro.llm.ordinal_quality import grade_quality, ratings_of, tails, thresholds
+from tessaro.llm.toxicity import logit, score_toxicity
 
 from .corpus import SCHEMA, corpus, frame, sentence
 
@@ -98,3 +100,84 @@ def test_terms():
     assert len(cells) == len(values) == len(np.unique(cells)) and len(cells) == 2 + len(hashed_text.SHAPE_CELLS)
     for nothing in (None, "", " \n"):
         assert len(hashed_text.terms(nothing)[0]) == 0
+
+
+class OneBatch:
+    """All rows as one batch, as an epoch sees them."""
+
+    def __init__(self, texts, y):
+        self.parts = (np.repeat(np.arange(len(y)), [len(p) for p, _ in texts]), np.concatenate([p for p, _ in texts]), np.concatenate([x for _, x in texts]), np.array(y))
+
+    def batches(self, size, rng):
+        yield self.parts
+
+
+def sparse_rows(rng, cells):
+    texts = []
+    for _ in range(7):
+        at = np.sort(rng.choice(cells, rng.integers(0, 5), replace=False))
+        texts.append((at, rng.normal(size=len(at))))
+    return texts
+
+
+def numeric_gradient(loss, params):
+    out = np.zeros(len(params))
+    for i in range(len(params)):
+        up, down = params.copy(), params.copy()
+        up[i] += 1e-6
+        down[i] -= 1e-6
+        out[i] = (loss(up) - loss(down)) / 2e-6
+    return out
+
+
+def gradient_of_step(before, after, step):
+    """AdaGrad's first step from a start of 0.01, turned back into its gradient."""
+    r = (before - after) / step
+    return 0.1 * r / np.sqrt(1 - r**2)
+
+
+def test_factorization_machine_against_all_pairs():
+    rng = np.random.default_rng(2)
+    m, k = 6, toxicity.FACTORS
+    params = rng.normal(0, 0.3, 1 + m * (1 + k))
+    w, v = params[1 : 1 + m], params[1 + m :].reshape(m, k)
+
+    def plain(p, at, x):
+        w, v = p[1 : 1 + m], p[1 + m :].reshape(m, k)
+        pairs = sum(float(v[a] @ v[b]) * x[i] * x[j] for i, a in enumerate(at) for j, b in enumerate(at) if i < j)
+        return p[0] + sum(w[a] * x[i] for i, a in enumerate(at)) + pairs
+
+    texts, y = sparse_rows(rng, m), [0, 1, 0, 1, 1, 0, 1]
+    for at, x in texts:
+        assert logit(params, at, x) == pytest.approx(plain(params, at, x))
+
+    def loss(p):
+        mean = np.mean([np.log1p(np.exp(-(2 * t - 1) * plain(p, at, x))) for (at, x), t in zip(texts, y)])
+        return mean + toxicity.SHRINK / 2 * float((p[1:] ** 2).sum())
+
+    after = toxicity._epoch(OneBatch(texts, y), params.copy(), 0)
+    assert gradient_of_step(params, after, toxicity.STEP) == pytest.approx(numeric_gradient(loss, params), rel=1e-3, abs=1e-6)
+
+
+def test_cumulative_link_against_its_definition():
+    rng = np.random.default_rng(3)
+    m, cuts = 6, 3
+    params = rng.normal(0, 0.5, cuts + m)
+
+    def probabilities(p, at, x):
+        first, steps, w = p[0], p[1:cuts], p[cuts:]
+        edges, score = [first], sum(w[a] * x[i] for i, a in enumerate(at))
+        for s in steps:
+            edges.append(edges[-1] + np.exp(s))
+        above = [1.0, *[1 / (1 + np.exp(e - score)) for e in edges], 0.0]
+        return [above[g] - above[g + 1] for g in range(cuts + 1)], above[1:-1]
+
+    texts, y = sparse_rows(rng, m), [0, 1, 2, 3, 3, 0, 1]
+    for at, x in texts:
+        assert tails(params, cuts, at, x).tolist() == pytest.approx(probabilities(params, at, x)[1])
+
+    def loss(p):
+        return -np.mean([np.log(probabilities(p, at, x)[0][g]) for (at, x), g in zip(texts, y)]) + ordinal_quality.SHRINK / 2 * float((p[cuts:] ** 2).sum())
+
+    after = ordinal_quality._epoch(cuts)(OneBatch(texts, y), params.copy(), 0)
+    assert gradient_of_step(params, after, ordinal_quality.STEP) == pytest.approx(numeric_gradient(loss, params), rel=1e-3, abs=1e-6)

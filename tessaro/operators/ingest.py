@@ -85,7 +85,8 @@ def parse_files(files: DataFrame, parsers: tuple[str, ...] = PARSERS) -> DataFra
     if "excel" in parsers:
         book = sheets.row_documents(found).join(found.where("kind = 'sheet'").select("path", F.col("part").alias("sheet"), "part_no"), ["path", "sheet"])
         rows = book.select("path", (F.col("part_no").cast("long") * 2**21 + F.col("row")).alias("ordinal"), "content")
-        parts += [rows, _about_books(found)]
+        unread = found.where("kind = 'error'").where(extension(F.col("path")) == ".xls")
+        parts += [rows, _about_books(found), unread.select("path", F.lit(1).cast("long").alias("ordinal"), F.lit("This workbook of the older binary format is not available as text.").alias("content"))]
     if "pptx" in parsers:
         parts.append(pages.slide_documents(found).select("path", F.col("slide").cast("long").alias("ordinal"), "content"))
     if "word" in parsers:

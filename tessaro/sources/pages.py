@@ -93,6 +93,11 @@ def readable_images(images: DataFrame) -> DataFrame:
     return images.where((F.col("number") >= IMAGE_BYTES) & ~F.col("name").rlike(VECTOR_IMAGES))
 
 
+def image_documents(readings: DataFrame) -> DataFrame:
+    """Recognized images (with content) that say something: more than ten characters."""
+    return readings.where(F.length(F.trim("content")) > IMAGE_CHARS)
+
+
 def longest_reading(readings: DataFrame, keys: list[str]) -> DataFrame:
     """Of several recognized texts (strategy_no, text) the longest cleaned one; of equal ones the first."""
     from tessaro.functions.text import clean_ocr, confidence

@@ -70,12 +70,16 @@ def row_documents(facts: DataFrame) -> DataFrame:
     """(path, sheet, row, content, hidden, is_totals_row) of rows below the headers.
 
     ``header: value`` by column, with what is to be said of a cell, joined by bars; rows of
-    two numbers or more end in their sum, count and mean.
+    two numbers or more end in their sum, count and mean.  Of a merged range only the first
+    cell speaks.
     """
     cell = cells(facts)
     heads = header_rows(cell)
     below = cell.join(heads, [*KEY, "row"], "left_anti").where("shown is not null")
     ranges = merged(facts)
+    inside = ranges.select(*[F.col(k).alias(f"_{k}") for k in (*KEY, "row", "col")], "row2", "col2")
+    same = (F.col("path") == F.col("_path")) & (F.col("sheet") == F.col("_sheet")) & F.col("row").between(F.col("_row"), F.col("row2")) & F.col("col").between(F.col("_col"), F.col("col2"))
+    below = below.join(inside, same & ((F.col("row") != F.col("_row")) | (F.col("col") != F.col("_col"))), "left_anti")
     spans = below.join(ranges.withColumn("span", F.concat(F.lit(" [merged "), F.col("row2") - F.col("row") + 1, F.lit("x"), F.col("col2") - F.col("col") + 1, F.lit("]"))).drop("row2", "col2"), [*KEY, "row", "col"], "left")
     hidden_cols = _marks(facts, "hidden_col", "col").withColumn("hidden_col", F.lit(True))
     named = spans.join(headers(cell, heads), [*KEY, "col"], "left").join(hidden_cols, [*KEY, "col"], "left")

@@ -69,6 +69,25 @@ def test_very_long_csv_fields_and_bad_files_beside_good_ones(spark):
     assert got["j.json", ingest.BESIDE] == "JSON list: 2 records, 2 listed\nFields: k"
 
 
+def test_only_the_first_cell_of_a_merged_range_speaks(spark):
+    from tests.test_operators import REL, zipped
+    from tessaro.sources import ooxml, sheets
+
+    text = lambda ref, t: f'<c r="{ref}" t="inlineStr"><is><t>{t}</t></is></c>'
+    rows = [["A1:Name", "B1:City", "C1:Note"], ["A2:Ann", "B2:hidden", "C2:x"], ["A3:gone", "B3:gone", "C3:y"]]
+    data = "".join(f'<row r="{i}">' + "".join(text(*c.split(":")) for c in r) + "</row>" for i, r in enumerate(rows, 1))
+    content = zipped({
+        "xl/workbook.xml": '<workbook xmlns="m" xmlns:r="r"><sheets><sheet name="S" sheetId="1" r:id="rId1"/></sheets></workbook>',
+        "xl/_rels/workbook.xml.rels": REL.format('<Relationship Id="rId1" Type="x/worksheet" Target="worksheets/s1.xml"/>'),
+        "xl/worksheets/s1.xml": f'<worksheet xmlns="m"><sheetData>{data}</sheetData><mergeCells><mergeCell ref="A2:B3"/></mergeCells></worksheet>',
+    })
+    files = spark.createDataFrame([("w.xlsx", bytearray(content), "excel")], "path string, content binary, parser string")
+    got = {r["row"]: r["content"] for r in sheets.row_documents(ooxml.facts(files)).collect()}
+    assert got == {2: "Name: Ann [merged 2x2] | Note: x", 3: "Note: y"}
+    old = spark.createDataFrame([("o.xls", bytearray(b"\xd0\xcf"))], "path string, content binary")
+    assert "not available" in ingest.parse_files(old, ("excel",)).first()["content"]
+
+
 def test_numbers_by_blocks(spark):
     rows = [(i % 3 or None, i // 7, (i * 37) % 101) for i in range(100)]
     df = spark.createDataFrame(rows, "k int, b int, v int")

@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessaro.llm._work import join_on, settle
@@ -45,12 +45,12 @@ def _mixed(h: np.ndarray) -> np.ndarray:
 
 
 def _minima(h: np.ndarray, width: int) -> np.ndarray:
-    """Of every ``width`` values in a row, where the least stands, leftmost if several."""
-    at, done, n = np.arange(len(h)), 1, len(h) - width + 1
-    lower = lambda a, b: np.where(h[a] <= h[b], a, b)
+    """Of every ``width`` values in a row, where the least stands; its first 32 bits tell, and of equal ones the leftmost."""
+    key = (h & ~np.uint64(2**32 - 1)) | np.arange(len(h), dtype=np.uint64)
+    n, done = len(h) - width + 1, 1
     while 2 * done <= width:
-        at, done = lower(at[:-done], at[done:]), 2 * done
-    return lower(at[:n], at[width - done : width - done + n])
+        key, done = np.minimum(key[:-done], key[done:]), 2 * done
+    return (np.minimum(key[:n], key[width - done : width - done + n]) & np.uint64(2**32 - 1)).astype(np.int64)
 
 
 class Stretches:
@@ -111,14 +111,17 @@ def _winnow(min_words: int, owned: bool):
             for row, fingerprint, whole in _held((np.full(len(s.first), i, np.int32), s.fingerprints, s.wholes) for i, s in _texts(batch, min_words)):
                 columns = [pa.array(fingerprint.view(np.int64))]
                 if owned:
-                    yield pa.RecordBatch.from_arrays(columns + [batch.column(c).take(pa.array(row)) for c in ("doc_id", "text_hash")], ["fingerprint", "doc_id", "text_hash"])
+                    names = _owner(batch)
+                    yield pa.RecordBatch.from_arrays(columns + [batch.column(c).take(pa.array(row)) for c in names], ["fingerprint", *names])
                 else:
                     yield pa.RecordBatch.from_arrays([*columns, pa.array(whole.view(np.int64))], ["fingerprint", "whole"])
 
     return winnow
 
 
-_SEGMENTS = "whole long, doc_id long, text_hash long, start int, end int, windows array<long>"
+def _owner(batch: pa.RecordBatch) -> list[str]:
+    """The columns that tell whose a text is."""
+    return [c for c in ("doc_id", "text_hash") if c in batch.schema.names]
 
 
 def _given(batch: pa.RecordBatch, parts: Iterator[tuple[int, Stretches, np.ndarray, np.ndarray]], min_words: int) -> Iterator[pa.RecordBatch]:
@@ -132,10 +135,11 @@ def _given(batch: pa.RecordBatch, parts: Iterator[tuple[int, Stretches, np.ndarr
             yield np.full(len(kept), i, np.int32), s.wholes[kept], s.first[kept].astype(np.int32), (s.last[kept] + min_words).astype(np.int32), count, s.windows[each]
 
     for row, whole, start, end, count, window in _held(held()):
-        owner = [batch.column(c).take(pa.array(row)) for c in ("doc_id", "text_hash")]
+        names = _owner(batch)
+        owner = [batch.column(c).take(pa.array(row)) for c in names]
         # A stretch without windows has the place of none in the list.
         lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(count)], pa.int32()), pa.array(window.view(np.int64)), mask=pa.array(count == 0))
-        yield pa.RecordBatch.from_arrays([pa.array(whole.view(np.int64)), *owner, pa.array(start), pa.array(end), lists], ["whole", "doc_id", "text_hash", "start", "end", "windows"])
+        yield pa.RecordBatch.from_arrays([pa.array(whole.view(np.int64)), *owner, pa.array(start), pa.array(end), lists], ["whole", *names, "start", "end", "windows"])
 
 
 def _by_bitmap(min_words: int, again: np.ndarray, apart: np.ndarray):
@@ -170,40 +174,50 @@ def _bitmap(fingerprints: DataFrame) -> np.ndarray:
 
 
 def _segments(read: DataFrame, min_words: int, bitmap_most: int) -> DataFrame:
-    """(whole, doc_id, text_hash, start, end, windows): stretches that may have an equal, with windows where these may have one elsewhere."""
+    """(whole, owner's columns, start, end, windows): stretches that may have an equal, with windows where these may have one elsewhere."""
+    owner = [c for c in read.columns if c != "text"]
+    named = ", ".join(f"{c} long" for c in owner)
+    segments = f"whole long, {named}, start int, end int, windows array<long>"
     minima = read.select("text").mapInArrow(_winnow(min_words, owned=False), "fingerprint long, whole long")
     met = minima.groupBy("fingerprint").agg(F.count("*").alias("n"), F.min("whole").alias("low"), F.max("whole").alias("high"))
     repeated = settle(met.where("n > 1").select("fingerprint", (F.col("low") != F.col("high")).alias("apart")))
     if repeated.count() <= bitmap_most:
         # A bit that two fingerprints share lets more stretches through, alike in all texts: the cuts stay the same.
-        return read.mapInArrow(_by_bitmap(min_words, _bitmap(repeated), _bitmap(repeated.where("apart"))), _SEGMENTS)
-    owned = read.mapInArrow(_winnow(min_words, owned=True), "fingerprint long, doc_id long, text_hash long")
-    lists = owned.join(repeated, "fingerprint").groupBy("doc_id", "text_hash").agg(
+        return read.mapInArrow(_by_bitmap(min_words, _bitmap(repeated), _bitmap(repeated.where("apart"))), segments)
+    owned = read.mapInArrow(_winnow(min_words, owned=True), f"fingerprint long, {named}")
+    lists = owned.join(repeated, "fingerprint").groupBy(*owner).agg(
         F.collect_set("fingerprint").alias("again"), F.collect_set(F.when(F.col("apart"), F.col("fingerprint"))).alias("apart")
     )
-    return join_on(read, lists, ["doc_id", "text_hash"]).mapInArrow(_by_list(min_words), _SEGMENTS)
+    return join_on(read, lists, owner).mapInArrow(_by_list(min_words), segments)
 
 
-def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS, bitmap_most: int = BITMAP_MOST) -> DataFrame:
-    """(doc_id, text_hash, cuts): for each text with later repeats, array of (start, end) of repeated words, end excluded.
+def owner_columns(docs: DataFrame) -> list[str]:
+    """What tells documents apart: the id where each has its own, else also a hash of the text."""
+    ids = docs.agg(F.count("*"), F.count_distinct("doc_id")).first()
+    return ["doc_id"] if ids[0] == ids[1] else ["doc_id", "text_hash"]
+
+
+def repeated_runs(docs: DataFrame, owner: list[str], min_words: int = MIN_WORDS, bitmap_most: int = BITMAP_MOST) -> DataFrame:
+    """(owner's columns, cuts): for each text with later repeats, its repeated words as array of start * 2**32 + end, end excluded.
 
     Occurrences are ordered by doc_id (null first), then a hash of the text, then place.
     A repeat in the text of its first occurrence counts if it does not overlap it.  Rows
     of equal id and text are one document here.
     """
-    read = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(docs["text"]).alias("text_hash"), docs["text"].alias("text")).where("text is not null")
+    known = {"doc_id": docs["doc_id"].cast("long"), "text_hash": F.xxhash64(docs["text"])}
+    read = docs.select(*[known[c].alias(c) for c in owner], docs["text"].alias("text")).where("text is not null")
     segments = settle(_segments(read, min_words, bitmap_most))
-    place = F.struct("doc_id", "text_hash", "start")
+    place = F.struct(*owner, "start")
     firsts = settle(segments.groupBy("whole").agg(F.min(place).alias("first"), F.count("*").alias("n"), F.first("windows").alias("windows")))
     later = segments.drop("windows").join(firsts.where("n > 1").select("whole", "first"), "whole").where(place > F.col("first"))
     windows = firsts.where("windows is not null").select("first.*", F.posexplode("windows").alias("at", "key"))
-    windows = windows.select("key", "doc_id", "text_hash", (F.col("start") + F.col("at")).alias("start"))
+    windows = windows.select("key", *owner, (F.col("start") + F.col("at")).alias("start"))
     origin = windows.groupBy("key").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("key", "first")
-    owner: Column = F.struct("doc_id", "text_hash")
-    elsewhere = ~owner.eqNullSafe(F.struct("first.doc_id", "first.text_hash"))
+    elsewhere = ~F.struct(*owner).eqNullSafe(F.struct(*[f"first.{c}" for c in owner]))
     again = windows.join(origin, "key").where((place > F.col("first")) & (elsewhere | (F.col("first.start") + min_words <= F.col("start"))))
-    cuts = later.select("doc_id", "text_hash", "start", "end").union(again.select("doc_id", "text_hash", "start", (F.col("start") + min_words).alias("end")))
-    return cuts.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("start", "end")).alias("cuts"))
+    span = lambda end: (F.shiftleft(F.col("start").cast("long"), 32) + end).alias("span")
+    cuts = later.select(*owner, span(F.col("end"))).union(again.select(*owner, span(F.col("start") + min_words)))
+    return cuts.groupBy(*owner).agg(F.collect_list("span").alias("cuts"))
 
 
 def without(text: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[bytes, int, int]:
@@ -254,8 +268,8 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if cuts.null_count < batch.num_rows:
             clean = texts.to_pylist()
             for i in np.flatnonzero(cuts.is_valid().to_numpy(zero_copy_only=False)).tolist():
-                runs = cuts[i].values
-                out, lines[i], words[i] = without(clean[i].encode(), runs.field(0).to_numpy(), runs.field(1).to_numpy())
+                runs = cuts[i].values.to_numpy()
+                out, lines[i], words[i] = without(clean[i].encode(), runs >> 32, runs & (2**32 - 1))
                 clean[i] = out.decode()
             texts = pa.array(clean, texts.type)
         names = ["_clean", "_removed_lines", "_removed_words", *(f.name for f in list(batch.schema)[2:])]
@@ -264,10 +278,10 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _cleaned(docs: DataFrame, min_words: int, **options) -> DataFrame:
     """_clean, _removed_lines and _removed_words of every row, and its other columns as _c0, _c1, ..."""
-    rows = docs.select(
-        docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(docs["text"]).alias("text_hash"), *[docs[c].alias(f"_c{i}") for i, c in enumerate(docs.columns)]
-    )
-    marked = join_on(rows, repeated_runs(docs, min_words, **options), ["doc_id", "text_hash"], "left")
+    owner = owner_columns(docs.select(docs["doc_id"].cast("long").alias("doc_id")))
+    known = {"doc_id": docs["doc_id"].cast("long"), "text_hash": F.xxhash64(docs["text"])}
+    rows = docs.select(*[known[c].alias(c) for c in owner], *[docs[c].alias(f"_c{i}") for i, c in enumerate(docs.columns)])
+    marked = join_on(rows, repeated_runs(docs, owner, min_words, **options), owner, "left")
     text = docs.columns.index("text")
     picked = marked.select(f"_c{text}", "cuts", *[f"_c{i}" for i in range(len(docs.columns)) if i != text])
     kinds = "".join(f", {f.name} {f.dataType.simpleString()}" for f in picked.schema.fields[2:])

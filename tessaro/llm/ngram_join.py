@@ -1,8 +1,8 @@
 """N-gram Jaccard join over prefix trees.
 
 A document is the set of its word n-grams, as 64-bit numbers whose order is the global
-one: rare first, by a sketch of how many documents hold each n-gram, whose width follows
-the number of documents.  Equal sets are one class.  Two sets of Jaccard similarity t or
+one: rare first, by a sketch of how many documents hold each n-gram; the order decides
+how much work there is, never what is linked.  Equal sets are one class.  Two sets of Jaccard similarity t or
 more share k of their n - ceil(t n) + k least elements, and are of sizes within a factor
 of t.  Where few sets share such an element they are paired, and a pair must share k of
 them; where many do, they are chained from size to size.  Sets joined by these candidate
@@ -28,9 +28,9 @@ from pyspark.sql import functions as F
 from tessaro.llm._work import Remembered, join_on, settle
 from tessaro.llm.components import connected_components
 
-#: Elements are counted in 16 cells a document (4 bytes each), within these powers of two, and kept as logarithms of one byte: the
-#: part that is broadcast, 32 MB at most.  Cells travel in segments.
-LEAST_BITS, MOST_BITS, SEGMENT_BITS, CLASS_BITS = 21, 25, 14, 56
+#: Elements are counted in 2 ** SKETCH_BITS cells (4 bytes each), kept as logarithms of one byte: the part that is broadcast.  Each
+#: task sends its cells, so a width that grew with the corpus would make that grow with its square.  Cells travel in segments.
+SKETCH_BITS, SEGMENT_BITS, CLASS_BITS = 21, 14, 56
 #: Sets that share an element are paired up to so many, and chained beyond; a chain counts as this many shared elements.
 PAIRED, CHAINED = 4, 1 << 20
 #: Elements of the sets that one task compares at once; larger blocks are dealt over pairs of parts.
@@ -118,8 +118,8 @@ def _adder(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def frequency_levels(docs: DataFrame, n: int) -> np.ndarray:
-    """One byte a cell: how frequent its n-grams are.  2 to 32 MB; each segment of the cells is summed on its own."""
-    bits = min(MOST_BITS, max(LEAST_BITS, (16 * docs.count()).bit_length()))
+    """One byte a cell: how frequent its n-grams are.  2 MB, whatever the corpus; each segment of the cells is summed on its own."""
+    bits = SKETCH_BITS
     counted = docs.select("text").mapInArrow(_counter(n, bits), "segment int, counts binary")
     summed = counted.repartition("segment").mapInArrow(_adder, "segment int, levels binary").collect()
     levels = np.zeros(2**bits, np.uint8)

@@ -1,6 +1,9 @@
 import re
 
+import pytest
 
+
+from tessaro.llm import components
 from tessaro.llm.components import connected_components
 from tessaro.llm.url_filter import RULES, judge_urls
 
@@ -82,9 +85,12 @@ def test_many_aliases(spark):
     assert all(got[1000 + i] == "block" for i in range(400))
 
 
-def test_components_match_union_find(spark):
+@pytest.mark.parametrize("edges_a_task", [1_000_000, 50])
+def test_components_match_union_find(spark, monkeypatch, edges_a_task):
     import random
 
+    monkeypatch.setattr(components, "EDGES_A_TASK", edges_a_task)
+
     rng = random.Random(3)
     edges = [(rng.randint(0, 300), rng.randint(0, 300)) for _ in range(220)] + [(1000 + i, 1001 + i) for i in range(60)] + [(5000, 5000 + i) for i in range(200)]
     parent = {}

@@ -2,7 +2,6 @@ import re
 
 import pytest
 
-
 from tessaro.llm import components
 from tessaro.llm.components import connected_components
 from tessaro.llm.url_filter import RULES, judge_urls

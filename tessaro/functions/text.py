@@ -10,13 +10,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 # Words that are no keywords.
-STOPWORDS = (
+STOPWORDS = [
     "the", "and", "for", "are", "but", "not", "you", "all", "can", "had", "her", "was", "one", "our", "out", "has", "have", "been", "were", "they",
     "this", "that", "with", "from", "what", "which", "when", "where", "who", "how", "why", "will", "would", "could", "should", "there", "their",
     "about", "into", "does", "did", "get", "got", "give", "make", "just", "only", "come", "than", "like", "other", "then", "its", "also", "these",
     "more", "some", "very", "after", "most", "made", "find", "here", "many", "such", "way", "each", "she", "him", "his", "may", "any", "being",
     "use", "using",
-)
+]
 # Fixed value: a word of three or more letters, digits or underscores of any script.
 WORD = r"[\p{L}\p{N}_]{3,}"
 MAX_KEYWORDS = 5

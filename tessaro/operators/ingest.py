@@ -48,8 +48,8 @@ def _beside(found: DataFrame) -> DataFrame:
     return tables.unionByName(pages.notes(found).select("path", place, "content"))
 
 
-def _about_books(found: DataFrame) -> DataFrame:
-    """(path, ordinal, content) of what workbooks hold beside rows: a summary and the annotations of each sheet, column statistics and formulas."""
+def workbook_notes(found: DataFrame) -> DataFrame:
+    """(path, ordinal, content) of what workbooks hold beside rows, from their facts: a summary and the annotations of each sheet, and formulas."""
     order = found.where("kind = 'sheet'").select("path", F.col("part").alias("sheet"), "part_no")
     at = lambda block: F.lit(block * BESIDE) + F.coalesce("part_no", F.lit(0)).cast("long")
     counted = sheets.sheet_summaries(found.where(parser_of(F.col("path")) == "excel"))
@@ -58,15 +58,11 @@ def _about_books(found: DataFrame) -> DataFrame:
     there = [F.when(F.col(c) > 0, F.concat(F.col(c), F.lit(f" {c[2:].replace('_', ' ')}s"))) for c in many]
     hidden = F.when(F.col("visibility") != "visible", F.col("visibility"))
     summary = counted.join(order, ["path", "sheet"]).select("path", at(1).alias("ordinal"), F.concat_ws("; ", size, hidden, *there, F.nullif("settings", F.lit(""))).alias("content"))
-    name = F.coalesce("header", F.concat(F.lit("Column "), sheets.column_letters(F.col("col"))))
-    line = F.concat(name, *[x for c in ("n", "total", "mean", "low", "high") for x in (F.lit(f" {c}="), F.col(c))])
-    stats = sheets.column_statistics(found).withColumn("line", line).groupBy("path", "sheet").agg(ordered_concat(F.col("line"), F.col("col"), "\n").alias("text"))
-    stats = stats.join(order, ["path", "sheet"]).select("path", at(2).alias("ordinal"), F.concat(F.lit("Column statistics of "), F.col("sheet"), F.lit("\n"), F.col("text")).alias("content"))
     notes = sheets.annotations(found.where(parser_of(F.col("path")) == "excel")).where("content <> ''").groupBy("path", "sheet").agg(ordered_concat(F.concat_ws(": ", "kind", "content"), F.struct("kind", "content"), "\n").alias("text"))
     notes = notes.join(order, ["path", "sheet"], "left").select("path", at(3).alias("ordinal"), F.concat(F.lit("Annotations of "), F.coalesce(F.nullif("sheet", F.lit("")), F.lit("the workbook")), F.lit("\n"), F.col("text")).alias("content"))
     said = F.concat_ws("\n", F.concat(F.col("formula_count"), F.lit(" formulas, "), F.col("cross_sheet_count"), F.lit(" to other sheets")), "formulas")
     formulas = sheets.formulas(found).select("path", F.lit(4 * BESIDE).alias("ordinal"), said.alias("content"))
-    return summary.unionByName(stats).unionByName(notes).unionByName(formulas)
+    return summary.unionByName(notes).unionByName(formulas)
 
 
 def parse_files(files: DataFrame, parsers: tuple[str, ...] = PARSERS) -> DataFrame:
@@ -75,8 +71,8 @@ def parse_files(files: DataFrame, parsers: tuple[str, ...] = PARSERS) -> DataFra
     CSV and TSV give a row a record (the whole text where there is none), JSON lists a row
     a record (the whole text where it does not parse), workbooks a row a sheet row, slides a row a
     slide, Word files a row a section; other texts are whole.  After these come a JSON list's
-    summary, a log's issues, and what Word files (_beside) and workbooks (_about_books) hold
-    besides.  PDF and images need a provider's pages.  parsers: those that the files can
+    summary, a log's issues, and what Word files hold besides (_beside).  workbook_notes has
+    what there is to workbooks besides rows.  PDF and images need a provider's pages.  parsers: those that the files can
     need; a plan for fewer is much smaller, and files of others give nothing.
     """
     files = files.withColumn("parser", parser_of(F.col("path"))).withColumn("ext", extension(F.col("path")))
@@ -86,7 +82,7 @@ def parse_files(files: DataFrame, parsers: tuple[str, ...] = PARSERS) -> DataFra
         book = sheets.row_documents(found).join(found.where("kind = 'sheet'").select("path", F.col("part").alias("sheet"), "part_no"), ["path", "sheet"])
         rows = book.select("path", (F.col("part_no").cast("long") * 2**21 + F.col("row")).alias("ordinal"), "content")
         unread = found.where("kind = 'error'").where(extension(F.col("path")) == ".xls")
-        parts += [rows, _about_books(found), unread.select("path", F.lit(1).cast("long").alias("ordinal"), F.lit("This workbook of the older binary format is not available as text.").alias("content"))]
+        parts += [rows, unread.select("path", F.lit(1).cast("long").alias("ordinal"), F.lit("This workbook of the older binary format is not available as text.").alias("content"))]
     if "pptx" in parsers:
         parts.append(pages.slide_documents(found).select("path", F.col("slide").cast("long").alias("ordinal"), "content"))
     if "word" in parsers:

@@ -62,7 +62,7 @@ def written() -> int:
 def release(spark: SparkSession, since: int = 0, keep: Iterable[DataFrame] = ()) -> None:
     """Deletes what was settled after the mark, but for keep.  Call it when the results made of it have been used or written."""
     held = {getattr(df, "settled_at", None) for df in keep}
-    _delete(spark, [p for p in _written[since:] if p not in held])
+    _delete(spark, [p for p in _written[since:] if p and p not in held])
 
 
 def _delete(spark: SparkSession, paths: list[str]) -> None:

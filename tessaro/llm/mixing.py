@@ -60,6 +60,8 @@ def balance(cells: DataFrame, first: str, targets: DataFrame, others: dict[str,
     small = [(c, v) for c in others for v in others[c]]
     if len(small) > SMALL_FAMILIES:
         raise ValueError(f"{len(small)} values in small families; at most {SMALL_FAMILIES}")
+    # Two values of one family never meet in a cell.
+    pairs = [(i, j) for i in range(len(small)) for j in range(i + 1, len(small)) if small[i][0] != small[j][0]]
     mu = np.zeros(len(small))
     aims = np.array([others[c][v] for c, v in small], float)
     usable = join_on(cells.select(first, *others, "words"), targets.where("target > 0"), [first]).where("words > 0")
@@ -70,15 +72,17 @@ def balance(cells: DataFrame, first: str, targets: DataFrame, others: dict[str,
         inside = [F.col(c).eqNullSafe(F.lit(v)) for c, v in small]
         tilt = sum((F.when(i, float(m)).otherwise(0.0) for i, m in zip(inside, mu)), F.col("dual"))
         mass = join_on(usable, near(duals), [first]).withColumn("mass", F.col("words") * F.exp(tilt))
+        held = lambda what: F.sum(F.when(what, F.col("mass")).otherwise(0.0))
         before, per = per, mass.groupBy(first).agg(
-            F.sum("mass").alias("d"), F.first("target").alias("target"), F.first("dual").alias("dual"), *[F.sum(F.when(x, F.col("mass")).otherwise(0.0)).alias(f"c{i}") for i, x in enumerate(inside)]
-        )
+            F.sum("mass").alias("d"), F.first("target").alias("target"), F.first("dual").alias("dual"),
+            *[held(x).alias(f"c{i}") for i, x in enumerate(inside)], *[held(inside[i] & inside[j]).alias(f"m{i}_{j}") for i, j in pairs],
+        )
         per = settle(per.withColumn("g", F.col("d") - F.col("target")), over=before)
         cross = [F.col(f"c{i}") for i in range(len(small))]
         sums = per.agg(
             F.max(F.abs(F.col("g")) / F.col("target")),
             *[F.sum(c) for c in cross], *[F.sum(c * F.col("g") / F.col("d")) for c in cross],
-            *[F.sum(a * b / F.col("d")) for i, a in enumerate(cross) for b in cross[i:]],
+            *[F.sum(a * b / F.col("d")) for i, a in enumerate(cross) for b in cross[i:]], *[F.sum(f"m{i}_{j}") for i, j in pairs],
         ).first()
         if sums[0] is None:
             break
@@ -87,9 +91,11 @@ def balance(cells: DataFrame, first: str, targets: DataFrame, others: dict[str,
         if n:
             gradient = np.array(sums[1 : n + 1]) - aims
             error = max(error, float(np.max(np.abs(gradient) / np.maximum(aims, 1.0))))
-            block = np.diag(np.array(sums[1 : n + 1])) + _meeting(mass, inside, others, small)
-            taken = np.zeros((n, n))
-            taken[np.triu_indices(n)] = sums[2 * n + 1 :]
+            block, taken = np.diag(np.array(sums[1 : n + 1])), np.zeros((n, n))
+            ends = 2 * n + 1 + n * (n + 1) // 2
+            taken[np.triu_indices(n)] = sums[2 * n + 1 : ends]
+            for (i, j), x in zip(pairs, sums[ends:]):
+                block[i, j] = block[j, i] = x
             schur = block - (taken + np.triu(taken, 1).T)
             # Families share a total, so the system has a free direction: the least move is taken.
             move = np.linalg.lstsq(schur, -(gradient - np.array(sums[n + 1 : 2 * n + 1])), rcond=1e-12)[0]
@@ -106,18 +112,6 @@ def balance(cells: DataFrame, first: str, targets: DataFrame, others: dict[str,
     return duals if not small else duals.withColumn("others", F.array(*[F.lit(float(m)) for m in mu]))
 
 
-def _meeting(mass: DataFrame, inside: list, others: dict, small: list) -> np.ndarray:
-    """Mass of the cells that take part in two small constraints: zero within a family, one aggregation across families."""
-    n = len(small)
-    pairs = [(i, j) for i in range(n) for j in range(i + 1, n) if small[i][0] != small[j][0]]
-    out = np.zeros((n, n))
-    if pairs:
-        sums = mass.agg(*[F.sum(F.when(inside[i] & inside[j], F.col("mass")).otherwise(0.0)) for i, j in pairs]).first()
-        for (i, j), x in zip(pairs, sums):
-            out[i, j] = out[j, i] = x
-    return out
-
-
 def rates(cells: DataFrame, first: str, targets: DataFrame, others: dict[str, dict] | None = None) -> DataFrame:
     """cells with ``rate``: the exponential tilt of each, 0 where the first family gives no words or no target."""
     duals = balance(cells, first, targets, others)

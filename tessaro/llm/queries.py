@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessaro.llm import mixing, ngram_join, ordinal_quality, packing, passages, quality_rules, sharding, topk_search, toxicity, url_filter
+from tessaro.llm import merkle, mixing, ngram_join, ordinal_quality, packing, passages, periodic, quality_rules, sharding, topk_search, toxicity, turns, url_filter
 from tessaro.llm._work import table
 
 
@@ -51,6 +51,19 @@ def op10_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search.top_k(vectors.where("vec_id % 100 = 0"), vectors)
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.run_report(table(spark, sf_dir, "documents"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations")
+    return turns.repair_report(conversations, turns.damaged(conversations))
+
+
+def op13_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.edit_report(table(spark, sf_dir, "documents"))
+
+
 # Parts and invariants of the results above that SQL can say, over the same whole tables.
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessaro.functions import cells as fx
 from tessaro.operators.context import ordered_concat
+from tessaro.operators.intervals import in_rectangles
 
 KEY = ["path", "sheet"]
 FORMULAS, CROSS_SHEET = 200, 50
@@ -77,9 +78,9 @@ def row_documents(facts: DataFrame) -> DataFrame:
     heads = header_rows(cell)
     below = cell.join(heads, [*KEY, "row"], "left_anti").where("shown is not null")
     ranges = merged(facts)
-    inside = ranges.select(*[F.col(k).alias(f"_{k}") for k in (*KEY, "row", "col")], "row2", "col2")
-    same = (F.col("path") == F.col("_path")) & (F.col("sheet") == F.col("_sheet")) & F.col("row").between(F.col("_row"), F.col("row2")) & F.col("col").between(F.col("_col"), F.col("col2"))
-    below = below.join(inside, same & ((F.col("row") != F.col("_row")) | (F.col("col") != F.col("_col"))), "left_anti")
+    other = (F.col("row") != F.col("_x")) | (F.col("col") != F.col("_y"))
+    secondary = in_rectangles(below.select(*KEY, "row", "col"), ranges, list(KEY)).where(other).select(*KEY, "row", "col").distinct()
+    below = below.join(secondary, [*KEY, "row", "col"], "left_anti")
     spans = below.join(ranges.withColumn("span", F.concat(F.lit(" [merged "), F.col("row2") - F.col("row") + 1, F.lit("x"), F.col("col2") - F.col("col") + 1, F.lit("]"))).drop("row2", "col2"), [*KEY, "row", "col"], "left")
     hidden_cols = _marks(facts, "hidden_col", "col").withColumn("hidden_col", F.lit(True))
     named = spans.join(headers(cell, heads), [*KEY, "col"], "left").join(hidden_cols, [*KEY, "col"], "left")

@@ -14,9 +14,6 @@ from pyspark.sql import functions as F
 
 from tessaro.llm._work import settle
 
-#: Two longs a row: so many edges a task, at every size; what fits one task needs no shuffle.
-EDGES_A_TASK = 1_000_000
-
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root) for every node of an edge (src, dst): root is the least node reachable.
 
@@ -35,8 +32,7 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
                 down.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
             )
         state = now
-        # Rounds never add edges.
-        down = settle(_small(_large(down.coalesce(-(-now[0] // EDGES_A_TASK)))), over=down)
+        down = settle(_small(_large(down)), over=down)  # rounds never add edges
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 

@@ -226,18 +226,16 @@ def _applier(capacity: int):
         ids = (doc_id.fill_null(0).to_numpy(), doc_id.is_null().to_numpy())
         order = np.lexsort((pieces.column("ids_crc32").to_numpy(), pieces.column("piece").to_numpy(), *ids, -pieces.column("length").to_numpy()))
         lengths = pieces.column("length").to_numpy()[order]
-        alone = int(np.searchsorted(-lengths, -capacity, side="right"))
         plan, born = (np.frombuffer(plans.column(c)[0].as_py(), "<i4").astype(np.int64) if plans.num_rows else np.zeros(0, np.int64) for c in ("plan", "born"))
-        bins = np.concatenate([np.arange(alone), alone + plan])
-        by_bin = np.argsort(bins, kind="stable")
+        by_bin = np.argsort(plan, kind="stable")
         run = np.cumsum(lengths[by_bin]) - lengths[by_bin]
-        first = np.r_[True, np.diff(bins[by_bin]) != 0]
+        first = np.r_[True, np.diff(plan[by_bin]) != 0]
         start = np.maximum.accumulate(np.where(first, run, 0))
-        offset = np.zeros(len(bins), np.int64)
+        offset = np.zeros(len(plan), np.int64)
         offset[by_bin] = run - start
         out = pieces.take(pa.array(order)).select(["doc_id", "piece", "start", "length", "ids_crc32"])
-        made = pa.array(np.concatenate([np.zeros(alone, np.int32), born[plan].astype(np.int32)]), mask=np.arange(len(bins)) < alone)
-        for name, values in (("sequence_id", pa.array(key[0].as_py() * 2**32 + bins)), ("offset", pa.array(offset)), ("born", made)):
+        made = pa.array(born[plan].astype(np.int32))
+        for name, values in (("sequence_id", pa.array(key[0].as_py() * 2**32 + plan)), ("offset", pa.array(offset)), ("born", made)):
             out = out.append_column(name, values)
         return out
 
@@ -260,9 +258,10 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY
     """
     cut = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))
     pieces = settle(cut.mapInArrow(_cutter(tokenizer or tokenizer_path(), capacity), _PIECES))
-    blocks = max(1, -(-pieces.where(F.col("length") < capacity).count() // BLOCK_PIECES))
-    dealt = pieces.withColumn("block", F.pmod("deal", F.lit(blocks)))
-    lengths = dealt.where(F.col("length") < capacity).groupBy("block").applyInArrow(_block_lengths, "block long, lengths binary")
+    short = pieces.where(F.col("length") < capacity)
+    blocks = max(1, -(-short.count() // BLOCK_PIECES))
+    dealt = short.withColumn("block", F.pmod("deal", F.lit(blocks)))
+    lengths = dealt.groupBy("block").applyInArrow(_block_lengths, "block long, lengths binary")
     islands = lengths.withColumn("island", F.explode(F.array(*[F.lit(i) for i in range(ISLANDS)])))
     # One row is one island: they are few and long, so their tasks are counted out, and stay as many.
     tasks = min(blocks * ISLANDS, max(8 * docs.sparkSession.sparkContext.defaultParallelism, blocks * ISLANDS // TASK_ISLANDS))
@@ -277,4 +276,9 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY
         islands = settle(guests.mapInArrow(_evolver(capacity, epoch), _ISLAND))
     best = islands.groupBy("block").agg(F.min_by(F.struct("plan", "born"), F.struct("bins", -F.col("score"), "island")).alias("best")).select("block", "best.*")
     packed = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, born int"
-    return dealt.groupBy("block").cogroup(best.groupBy("block")).applyInArrow(_applier(capacity), packed)
+    shared = dealt.groupBy("block").cogroup(best.groupBy("block")).applyInArrow(_applier(capacity), packed)
+    # A piece that fills a sequence needs no plan and meets no others; sequences of this kind have negative numbers.
+    full = pieces.where(F.col("length") >= capacity).select(
+        "doc_id", "piece", "start", "length", "ids_crc32", (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"), F.lit(None).cast("int").alias("born")
+    )
+    return shared.union(full)

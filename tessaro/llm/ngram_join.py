@@ -463,6 +463,17 @@ def _all_links(docs: DataFrame, members: DataFrame, join) -> DataFrame:
     return links.union(settle(_links(docs, large, others, join)))
 
 
+def _one_row_each(read: DataFrame, sets: DataFrame) -> DataFrame:
+    """read with one row for each (doc_id, text_hash): only rows of keys that come again are brought together, reduced in each task first."""
+    keys = ["doc_id", "text_hash"]
+    again = settle(sets.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1").select(*keys))
+    if again.isEmpty():
+        return read
+    several = join_on(read, again.withColumn("again", F.lit(True)), keys, "left")
+    one = several.where("again").groupBy(*keys).agg(F.first("text").alias("text"))
+    return several.where("again is null").select("doc_id", "text", "text_hash").unionByName(one)
+
+
 def _placed_rows(docs: DataFrame, n: int, percent: int) -> DataFrame:
     """Per row: doc_id, text_hash, n_shingles, sig and component (the sig that leads it), both null for empty sets."""
     levels = docs.sparkSession.sparkContext.broadcast(frequency_levels(docs, n))
@@ -474,7 +485,7 @@ def _placed_rows(docs: DataFrame, n: int, percent: int) -> DataFrame:
     # Edges run from size to size: they are drawn anew among the sets that can have a partner.
     blocks = connected_components(candidate_edges(settle(often_shared(classes, percent)), percent))
     members = blocks.join(classes, blocks["node"] == F.col("sig")).select("sig", "doc_id", "text_hash", "size", F.col("root").alias("block"))
-    links = settle(_all_links(read, members, _joiner(n, percent, levels)))
+    links = settle(_all_links(_one_row_each(read, sets), members, _joiner(n, percent, levels)))
     roots = connected_components(links).withColumnsRenamed({"node": "sig", "root": "component"})
     joined = filled.drop("prefix").join(roots, "sig", "left")
     columns = ["doc_id", "text_hash", "n_shingles", "sig"]

@@ -217,7 +217,7 @@ def repeated_runs(docs: DataFrame, owner: list[str], min_words: int = MIN_WORDS,
     again = windows.join(origin, "key").where((place > F.col("first")) & (elsewhere | (F.col("first.start") + min_words <= F.col("start"))))
     span = lambda end: (F.shiftleft(F.col("start").cast("long"), 32) + end).alias("span")
     cuts = later.select(*owner, span(F.col("end"))).union(again.select(*owner, span(F.col("start") + min_words)))
-    return cuts.groupBy(*owner).agg(F.collect_list("span").alias("cuts"))
+    return cuts.groupBy(*owner).agg(F.collect_set("span").alias("cuts"))
 
 
 def without(text: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[bytes, int, int]:

@@ -82,11 +82,12 @@ def terms(text: str | None) -> tuple[np.ndarray, np.ndarray]:
 def labelled_terms(docs: DataFrame, labels: DataFrame, max_rows: int, tasks: int) -> DataFrame:
     """(y, cells, values) of at most max_rows labelled documents, least by a hash of their id, in about ``tasks`` files.
 
-    labels: (doc_id, y), one row an id; rows with nulls are ignored.
+    labels: (doc_id, y), one row an id; rows with nulls are ignored.  Of several documents
+    of one id that with the least hash of its text is taken.
     """
     sample = labels.where("doc_id is not null and y is not null").withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id").limit(max_rows)
     sample = settle(sample)  # at most max_rows rows: small enough to send to all
-    joined = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("h", "y", "text")
+    joined = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").groupBy("h", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -121,10 +121,10 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 10, scale: int = S
     whose multiple is beyond 2**62 either way count as that bound, and scores beyond 64
     bits as the last that fits.  A candidate of the query's own id is not a candidate;
     only vectors of its length are.  Ties go to the smaller id.  Repeated candidates
-    count each time; repeated queries give one list.  No queries or no candidates: no rows.
+    count each time; of several queries of one id the least vector asks.  No queries or no candidates: no rows.
     """
     number = F.xxhash64(F.monotonically_increasing_id())
-    tiles = settle(scaled(queries, scale).dropDuplicates(["vec_id"]).mapInPandas(_packer(TILE_ROWS), _PACKED).withColumn("at", number))
+    tiles = settle(scaled(queries, scale).groupBy("vec_id").agg(F.min("v").alias("v")).mapInPandas(_packer(TILE_ROWS), _PACKED).withColumn("at", number))
     shards = settle(scaled(candidates, scale).mapInPandas(_packer(SHARD_ROWS), _PACKED).withColumn("at", number))
     rows, cells = (max(1, -(-df.count() // most)) for df, most in ((tiles, CELL_TILES), (shards, CELL_SHARDS)))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))

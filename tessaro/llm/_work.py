@@ -18,8 +18,8 @@ from tessaro.functions.binding import let  # noqa: F401
 
 #: ASCII white space; a word is a longest run of other characters.
 SPACE = r"[\x20\x09-\x0D]+"
-#: Rows of a side that is broadcast: a few columns each, so some tens of MB at most.
-BROADCAST_ROWS = 200_000
+#: Rows of a side that is broadcast, and bytes of its files: some tens of MB at most.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 16_000_000
 
 _own: list[str] = []
 _written: list[str] = []
@@ -93,9 +93,22 @@ def join_on(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inne
     return left.join(named, same, how).drop(*[f"_right_{k}" for k in keys])
 
 
+def is_small(df: DataFrame) -> bool:
+    """Whether a settled table may be broadcast: its rows and the bytes of its files are counted."""
+    return df.count() <= BROADCAST_ROWS and file_bytes(df) <= BROADCAST_BYTES
+
+
+def file_bytes(df: DataFrame) -> int:
+    """Bytes of the files of a settled table; 0 of any other."""
+    if (at := getattr(df, "settled_at", None)) is None:
+        return 0
+    path = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+    return path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
+
+
 def join_small(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
-    """join_on without a shuffle of left while right, a settled table, has few rows; a plain join beyond."""
-    return join_on(left, F.broadcast(right) if right.count() <= BROADCAST_ROWS else right, keys, how)
+    """join_on without a shuffle of left while right, a settled table, is small; a plain join beyond."""
+    return join_on(left, F.broadcast(right) if is_small(right) else right, keys, how)
 
 
 def ranks(df: DataFrame, column: str) -> DataFrame:

@@ -38,7 +38,7 @@ def keyword_scan_all(spark, sf_dir):
 def token_postings(spark, sf_dir):
     """The index's first level: how many documents every token stands in."""
     held = postings.build(plain_chunks(spark, sf_dir)).postings
-    return held.groupBy("token").agg(F.count("*").alias("n_documents"))
+    return held.groupBy("token").agg(F.count_distinct("chunk_id").alias("n_documents"))
 
 
 @query()

@@ -15,7 +15,8 @@ from tessaro.functions.text import html_text
 from tessaro.operators.chunking import OVERLAP, SIZE, chunk_documents
 from tessaro.operators.context import ordered_concat
 from tessaro.sources import ooxml, pages, sheets, text_files
-from tessaro.sources.routing import already_chunked, extension, parser_of
+from tessaro.sources.routing import already_chunked, extension, parser_of, supported_types
+from tessaro.sources.shared import new_folder, written
 
 DOCS = "path string, ordinal long, content string"
 #: Ordinals of what is beside a file's own rows or sections begin here.
@@ -49,7 +50,7 @@ def _beside(found: DataFrame) -> DataFrame:
 
 
 def workbook_notes(found: DataFrame) -> DataFrame:
-    """(path, ordinal, content) of what workbooks hold beside rows, from their facts: a summary and the annotations of each sheet, and formulas."""
+    """(path, ordinal, content) of what workbooks hold beside rows, from their facts: a summary, the statistics of numeric columns and the annotations of each sheet, and formulas."""
     order = found.where("kind = 'sheet'").select("path", F.col("part").alias("sheet"), "part_no")
     at = lambda block: F.lit(block * BESIDE) + F.coalesce("part_no", F.lit(0)).cast("long")
     counted = sheets.sheet_summaries(found.where(parser_of(F.col("path")) == "excel"))
@@ -62,7 +63,12 @@ def workbook_notes(found: DataFrame) -> DataFrame:
     notes = notes.join(order, ["path", "sheet"], "left").select("path", at(3).alias("ordinal"), F.concat(F.lit("Annotations of "), F.coalesce(F.nullif("sheet", F.lit("")), F.lit("the workbook")), F.lit("\n"), F.col("text")).alias("content"))
     said = F.concat_ws("\n", F.concat(F.col("formula_count"), F.lit(" formulas, "), F.col("cross_sheet_count"), F.lit(" to other sheets")), "formulas")
     formulas = sheets.formulas(found).select("path", F.lit(4 * BESIDE).alias("ordinal"), said.alias("content"))
-    return summary.unionByName(notes).unionByName(formulas)
+    shown = lambda c: text_files.plain_number(F.col(c), F.col(c) == F.floor(c))
+    head = F.coalesce("header", sheets.column_letters(F.col("col")))
+    line = F.concat(F.lit("  "), head, F.lit(":"), *[x for c in ("n", "total", "mean", "low", "high") for x in (F.lit(f" {c}="), shown(c))])
+    columns = sheets.column_statistics(found.where(parser_of(F.col("path")) == "excel")).groupBy("path", "sheet").agg(ordered_concat(line, F.col("col"), "\n").alias("text"))
+    statistics = columns.join(order, ["path", "sheet"]).select("path", at(2).alias("ordinal"), F.concat(F.lit("Statistics of "), "sheet", F.lit("\n"), "text").alias("content"))
+    return summary.unionByName(statistics).unionByName(notes).unionByName(formulas)
 
 
 def parse_files(files: DataFrame, parsers: tuple[str, ...] = PARSERS) -> DataFrame:
@@ -71,18 +77,21 @@ def parse_files(files: DataFrame, parsers: tuple[str, ...] = PARSERS) -> DataFra
     CSV and TSV give a row a record (the whole text where there is none), JSON lists a row
     a record (the whole text where it does not parse), workbooks a row a sheet row, slides a row a
     slide, Word files a row a section; other texts are whole.  After these come a JSON list's
-    summary, a log's issues, and what Word files hold besides (_beside).  workbook_notes has
-    what there is to workbooks besides rows.  PDF and images need a provider's pages.  parsers: those that the files can
-    need; a plan for fewer is much smaller, and files of others give nothing.
+    or a CSV text's summary, a log's issues, and what workbooks (workbook_notes) and Word
+    files (_beside) hold besides.  PDF and images need a provider's pages.  parsers: those
+    that the files can need; a plan for fewer is much smaller, and files of others give
+    nothing; ``rejected`` names those of no parser.
     """
     files = files.withColumn("parser", parser_of(F.col("path"))).withColumn("ext", extension(F.col("path")))
     parts = [_text_rows(files)] if "text" in parsers else []
-    found = ooxml.facts(files.where(F.col("parser").isin(list(parsers))))
+    office = [p for p in parsers if p != "text"]
+    if office:  # some twenty tables are made of the facts: files are opened once
+        found = written(ooxml.facts(files.where(F.col("parser").isin(office))), new_folder(files.sparkSession, "facts"))
     if "excel" in parsers:
         book = sheets.row_documents(found).join(found.where("kind = 'sheet'").select("path", F.col("part").alias("sheet"), "part_no"), ["path", "sheet"])
         rows = book.select("path", (F.col("part_no").cast("long") * 2**21 + F.col("row")).alias("ordinal"), "content")
         unread = found.where("kind = 'error'").where(extension(F.col("path")) == ".xls")
-        parts += [rows, unread.select("path", F.lit(1).cast("long").alias("ordinal"), F.lit("This workbook of the older binary format is not available as text.").alias("content"))]
+        parts += [rows, workbook_notes(found), unread.select("path", F.lit(1).cast("long").alias("ordinal"), F.lit("This workbook of the older binary format is not available as text.").alias("content"))]
     if "pptx" in parsers:
         parts.append(pages.slide_documents(found).select("path", F.col("slide").cast("long").alias("ordinal"), "content"))
     if "word" in parsers:
@@ -91,6 +100,13 @@ def parse_files(files: DataFrame, parsers: tuple[str, ...] = PARSERS) -> DataFra
     return reduce(DataFrame.unionByName, parts).where(F.col("content").rlike(r"\S"))
 
 
+def rejected(files: DataFrame) -> DataFrame:
+    """(path, error) of files that no parser takes, with the types that are taken."""
+    known = ", ".join(supported_types())
+    named = F.coalesce(F.nullif(extension(F.col("path")), F.lit("")), F.lit("none"))
+    return files.where(parser_of(F.col("path")).isNull()).select("path", F.concat(F.lit("Unsupported file type: "), named, F.lit(f". Supported: {known}")).alias("error"))
+
+
 def _text_rows(files: DataFrame) -> DataFrame:
     """(path, ordinal, content) of text files."""
     texts = files.where("parser = 'text'").select("path", "ext", text_files.decode_text("content").alias("text"))
@@ -107,8 +123,9 @@ def _text_rows(files: DataFrame) -> DataFrame:
     whole = texts.where(~F.col("ext").isin(".csv", ".tsv") & ~is_list).select("path", F.lit(1).cast("long").alias("ordinal"), shown.alias("content"))
     again = F.lit(BESIDE).alias("ordinal")
     summaries = text_files.json_summaries(texts.where(is_list), text="text").select("path", again, "content")
+    numbers = text_files.csv_summaries(texts.where(F.col("ext").isin(".csv", ".tsv"))).select("path", again, "content")
     issues = text_files.log_documents(texts.where("ext = '.log'"), text="text").select("path", again, "content")
-    return reduce(DataFrame.unionByName, [tables, records, whole, summaries, issues])
+    return reduce(DataFrame.unionByName, [tables, records, whole, summaries, numbers, issues])
 
 
 def ingest(files: DataFrame, user_id: str, embed: Callable[[Column], Column] | None = None, size: int = SIZE, overlap: int = OVERLAP, parsers: tuple[str, ...] = PARSERS) -> tuple[DataFrame, DataFrame]:
@@ -129,10 +146,10 @@ def ingest(files: DataFrame, user_id: str, embed: Callable[[Column], Column] | N
     chunks = ready.unionByName(split).withColumn("chunk_index", index.cast("int")).select(
         F.concat_ws("-", document_id, "chunk_index").alias("id"), document_id.alias("document_id"), F.lit(user_id).alias("user_id"), "content",
         (embed(F.col("content")) if embed else F.lit(None).cast("array<float>")).alias("embedding"), "chunk_index",
-        F.create_map(F.lit("filename"), name, F.lit("chunk_index"), F.col("chunk_index").cast("string")).alias("chunk_metadata"),
+        F.create_map(F.lit("filename"), name, F.lit("chunk_index"), F.col("chunk_index").cast("string")).alias("chunk_metadata"), F.localtimestamp().alias("created_at"),
     )
     counts = chunks.groupBy(F.col("document_id").alias("id")).agg(F.count("*").cast("int").alias("chunk_count"))
     documents = files.where(parser_of(F.col("path")).isNotNull()).select(
-        document_id.alias("id"), F.lit(user_id).alias("user_id"), name.alias("filename"), extension(F.col("path")).alias("file_type"), F.col("path").alias("file_path"), F.length("content").alias("file_size")
+        document_id.alias("id"), F.lit(user_id).alias("user_id"), name.alias("filename"), extension(F.col("path")).alias("file_type"), F.col("path").alias("file_path"), F.length("content").alias("file_size"), F.localtimestamp().alias("created_at"),
     )
     return documents.join(counts, "id", "left").na.fill(0, ["chunk_count"]), chunks

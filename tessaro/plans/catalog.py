@@ -20,4 +20,4 @@ def query(sql: str | None = None):
     return register
 
 
-from tessaro.plans import file_queries, json_queries, parsing_queries, retrieval_queries, search_queries, sheet_queries, store_queries, table_queries  # noqa: E402, F401
+from tessaro.plans import file_queries, json_queries, parsing_queries, retrieval_queries, search_queries, sheet_queries, store_queries, table_queries, write_queries  # noqa: E402, F401

@@ -37,7 +37,9 @@ _CUSTOMER_FILE = f"(c_custkey // {FILE_ROWS})"
 
 @query(
     f"""SELECT 'c' || f || CASE WHEN f % 2 = 0 THEN '.csv' ELSE '.tsv' END AS path, (row_number() OVER (PARTITION BY f ORDER BY c_custkey) + 1)::BIGINT AS ordinal,
-    'name: ' || c_name || ' | segment: ' || c_mktsegment AS content FROM (SELECT *, {_CUSTOMER_FILE}::BIGINT AS f FROM customer)"""
+    'name: ' || c_name || ' | segment: ' || c_mktsegment AS content FROM (SELECT *, {_CUSTOMER_FILE}::BIGINT AS f FROM customer)
+    UNION ALL SELECT 'c' || f || CASE WHEN f % 2 = 0 THEN '.csv' ELSE '.tsv' END, {_BESIDE}, '[CSV Summary: ' || count(*) || ' rows x 3 columns]' || chr(10) || 'Columns: name, none, segment'
+    FROM (SELECT {_CUSTOMER_FILE}::BIGINT AS f FROM customer) GROUP BY f"""
 )
 def ingest_csv(spark, sf_dir):
     """Semicolons are sniffed in .csv files, tabs given in .tsv files; blank values are left out."""
@@ -50,6 +52,23 @@ def ingest_csv(spark, sf_dir):
     return ingest.parse_files(made[0].unionByName(made[1]), TEXT)
 
 
+@query(
+    f"""WITH c AS (SELECT *, {_CUSTOMER_FILE}::BIGINT AS f FROM customer), s AS (SELECT f, count(*) AS n, min(c_custkey) AS a, max(c_custkey) AS b, avg(c_custkey) AS m,
+    min(c_nationkey) AS low, max(c_nationkey) AS high, avg(c_nationkey) AS mean FROM c WHERE c_mktsegment <> 'BUILDING' GROUP BY f)
+    SELECT 'n' || f || '.csv' AS path, '[CSV Summary: ' || n || ' rows x 3 columns]' || chr(10) || 'Columns: key, name, nation' || chr(10)
+    || '  key: min=' || a || ', max=' || b || ', avg=' || format('{{:.2f}}', m) || ', count=' || n || chr(10)
+    || '  nation: min=' || low || ', max=' || high || ', avg=' || format('{{:.2f}}', mean) || ', count=' || n AS content FROM s"""
+)
+def ingest_csv_summary(spark, sf_dir):
+    """The statistics that a CSV file's rows are followed by; blank lines are no rows."""
+    customers = table(spark, sf_dir, "customer")
+    line = F.when(F.col("c_mktsegment") == "BUILDING", "").otherwise(F.concat_ws(",", "c_custkey", "c_name", "c_nationkey"))
+    some = customers.withColumn("file", F.floor(F.col("c_custkey") / FILE_ROWS)).where("c_mktsegment <> 'BUILDING'").select("file").distinct()
+    made = files_of(customers, "c_custkey", line, F.concat(F.lit("n"), F.col("file"), F.lit(".csv")), "key,name,nation\n", "\n")
+    out = ingest.parse_files(made.join(some.select(F.concat(F.lit("n"), F.col("file"), F.lit(".csv")).alias("path")), "path"), TEXT)
+    return out.where(F.col("ordinal") == _BESIDE).select("path", "content")
+
+
 @query(f"""SELECT 'h' || n_nationkey || '.csv' AS path, 1::BIGINT AS ordinal, 'key,' || n_name AS content FROM nation""")
 def ingest_csv_header_only(spark, sf_dir):
     """A CSV file without a record is one text."""
@@ -63,7 +82,8 @@ _EVENT_FILES = f"e AS (SELECT *, event_id // {FILE_ROWS} AS f FROM events)"
 @query(
     f"""WITH {_EVENT_FILES} SELECT 'e' || f || '.json' AS path, row_number() OVER (PARTITION BY f ORDER BY event_id)::BIGINT AS ordinal,
     '{{' || chr(10) || '  "id": ' || event_id || ',' || chr(10) || '  "kind": "' || event_type || '"' || chr(10) || '}}' AS content FROM e
-    UNION ALL SELECT 'e' || f || '.json', {_BESIDE}, 'JSON list: ' || count(*) || ' records, ' || count(*) || ' listed' || chr(10) || 'Fields: id, kind' FROM e GROUP BY f"""
+    UNION ALL SELECT 'e' || f || '.json', {_BESIDE}, 'JSON list: ' || count(*) || ' records, ' || count(*) || ' listed' || chr(10) || 'Fields: id, kind'
+    || chr(10) || '  id: min=' || min(event_id) || ', max=' || max(event_id) || ', avg=' || format('{{:.2f}}', avg(event_id)) FROM e GROUP BY f"""
 )
 def ingest_json(spark, sf_dir):
     line = F.concat(F.lit('{"id":'), "event_id", F.lit(',"kind":"'), "event_type", F.lit('"}'))
@@ -85,12 +105,12 @@ def ingest_log(spark, sf_dir):
 
 @query(
     """SELECT 'd' || doc_id || '.md' AS filename, '.md' AS file_type, octet_length(encode(text))::BIGINT AS file_size FROM documents
-    UNION ALL SELECT 'x' || c_nationkey || '.csv', '.csv', sum(length(c_name) + 1)::BIGINT + 4 FROM (SELECT * FROM customer WHERE c_custkey <= 1000) GROUP BY c_nationkey"""
+    UNION ALL SELECT 'x' || c_nationkey || '.csv', '.csv', sum(length(c_name) + 1)::BIGINT + 4 FROM customer GROUP BY c_nationkey"""
 )
 def ingest_documents(spark, sf_dir):
     """The documents' half of an ingest: names, types and sizes."""
     texts = table(spark, sf_dir, "documents").select(F.concat(F.lit("in/d"), "doc_id", F.lit(".md")).alias("path"), F.encode("text", "utf-8").alias("content"))
-    some = table(spark, sf_dir, "customer").where("c_custkey <= 1000").groupBy("c_nationkey").agg(ordered_concat(F.col("c_name"), F.col("c_custkey"), "\n").alias("t"))
+    some = table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(ordered_concat(F.col("c_name"), F.col("c_custkey"), "\n").alias("t"))
     sheets_ = some.select(F.concat(F.lit("in/x"), "c_nationkey", F.lit(".csv")).alias("path"), F.encode(F.concat(F.lit("name\n"), "t"), "utf-8").alias("content"))
     documents, _ = ingest.ingest(texts.unionByName(sheets_), "u", parsers=TEXT)
     return documents.select("filename", "file_type", F.col("file_size").cast("long").alias("file_size"))
@@ -98,7 +118,8 @@ def ingest_documents(spark, sf_dir):
 
 @query(
     f"""SELECT 'c' || f || '.csv' AS filename, (row_number() OVER (PARTITION BY f ORDER BY c_custkey) - 1)::INT AS chunk_index, 'name: ' || c_name AS content
-    FROM (SELECT *, {_CUSTOMER_FILE}::BIGINT AS f FROM customer)"""
+    FROM (SELECT *, {_CUSTOMER_FILE}::BIGINT AS f FROM customer)
+    UNION ALL SELECT 'c' || f || '.csv', count(*)::INT, '[CSV Summary: ' || count(*) || ' rows x 1 columns]' || chr(10) || 'Columns: name' FROM (SELECT {_CUSTOMER_FILE}::BIGINT AS f FROM customer) GROUP BY f"""
 )
 def ingest_chunks(spark, sf_dir):
     """The chunks' half: a record a chunk, numbered in order."""
@@ -165,6 +186,24 @@ def workbook_rows(spark, sf_dir):
     return sheets.row_documents(ooxml.facts(books(spark, sf_dir))).select("path", "sheet", F.col("row").cast("int").alias("row"), "content")
 
 
+@query(
+    f"""WITH {_BOOKS}, b AS (SELECT f, 'b' || f || '.xlsx' AS path, count(*) AS n, max(r) AS last, sum(p_size) AS total, avg(p_size) AS mean, min(p_size) AS low, max(p_size) AS high,
+        string_agg('Parts!C' || r || ': ' || 2 * p_size || ' <- =B' || r || '*2', chr(10) ORDER BY r) AS formulas FROM p GROUP BY f),
+    s AS (SELECT *, unnest([1, 2]) AS k, unnest(['Size', 'Twice']) AS header FROM b WHERE n >= 2)
+    SELECT path, 1 AS block, 'Sheet Parts: ' || last || ' rows, 3 columns; ' || (3 * n + 3) || ' cells' AS content FROM b
+    UNION ALL SELECT path, 2, 'Statistics of Parts' || chr(10) || string_agg('  ' || header || ': n=' || n || ' total=' || k * total || ' mean=' || regexp_replace(round(k * mean, 2)::VARCHAR, '\\.0$', '')
+        || ' low=' || k * low || ' high=' || k * high, chr(10) ORDER BY k) FROM s GROUP BY path
+    UNION ALL SELECT path, 3, 'Annotations of the workbook' || chr(10) || 'named_range: Rate = Parts!$A$1' FROM b
+    UNION ALL SELECT path, 4, n || ' formulas, 0 to other sheets' || chr(10) || formulas FROM b
+    UNION ALL SELECT 'b' || f || '.xlsx', 0, 'Part: ' || p_name || ' | Size: ' || p_size || ' | Twice: ' || 2 * p_size || ' <- =B' || r || '*2'
+        || ' | [Row total: ' || 3 * p_size || ', count: 2, avg: ' || format('{{:,.1f}}', 1.5 * p_size) || ']' FROM p"""
+)
+def ingest_workbook(spark, sf_dir):
+    """All that ingest makes of workbooks: rows, then each sheet's summary and statistics, annotations and formulas."""
+    out = ingest.parse_files(books(spark, sf_dir).drop("parser"), ("excel",))
+    return out.select("path", F.floor(F.col("ordinal") / _BESIDE).cast("int").alias("block"), "content")
+
+
 @query(
     f"""WITH {_BOOKS}, n AS (SELECT f, 'Size' AS header, p_size AS v FROM p UNION ALL SELECT f, 'Twice', 2 * p_size FROM p)
     SELECT 'b' || f || '.xlsx' AS path, header, count(*) AS n, round(sum(v), 2)::DOUBLE AS total, round(avg(v), 2) AS mean, min(v)::DOUBLE AS low, max(v)::DOUBLE AS high FROM n GROUP BY f, header HAVING count(*) >= 2"""

@@ -6,7 +6,9 @@ Formats that Spark reads are read by Spark; Python only decodes and sniffs.
 from __future__ import annotations
 
 import csv
+import io
 import json
+from collections.abc import Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -15,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructType
 
 from tessaro.functions.text import html_text
+from tessaro.sources import variants
 
 # Tried in this order; latin-1 takes anything.
 ENCODINGS = ("utf-8-sig", "utf-8", "utf-16", "latin-1", "cp1252", "cp1256", "iso-8859-6")
@@ -88,6 +91,52 @@ def csv_profile(df: DataFrame, columns: list[str], most: int | None = PROFILE_RO
     return head.agg(F.array(*stats).alias("s")).select(F.explode("s").alias("s")).select("s.*")
 
 
+def plain_number(x: Column, whole: Column) -> Column:
+    """A number as text: as an integer where whole says so and it fits one."""
+    return F.when(whole & (F.abs(x) < 1e15), x.cast("long").cast("string")).otherwise(x.cast("string"))
+
+
+def statistics_line(name: Column, low: Column, high: Column, mean: Column, whole: Column) -> Column:
+    """``  name: min=, max=, avg=`` of a numeric column, the average with two decimals."""
+    average = F.call_function("format_number", mean, F.lit("0.00"))
+    return F.concat(F.lit("  "), name, F.lit(": min="), plain_number(low, whole), F.lit(", max="), plain_number(high, whole), F.lit(", avg="), average)
+
+
+def _csv_cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(path, row, col, name, value) of the records of whole CSV texts, the first PROFILE_ROWS; blank lines and records with too many values are left out, no value is null."""
+    for pdf in batches:
+        for path, ext, text in zip(pdf["path"], pdf["ext"], pdf["text"]):
+            records = csv.reader(io.StringIO(text or ""), delimiter="\t" if ext == ".tsv" else _delimiter(text))
+            out, n = [], 0
+            try:
+                names = next(records, [])
+                for record in records:
+                    if record and len(record) <= len(names):
+                        out += [(path, n, i, name, (record[i].strip() or None) if i < len(record) else None) for i, name in enumerate(names)]
+                        n += 1
+                    if n == PROFILE_ROWS:
+                        break
+            except csv.Error:
+                out = []
+            yield pd.DataFrame(out, columns=["path", "row", "col", "name", "value"])
+
+
+def csv_summaries(texts: DataFrame) -> DataFrame:
+    """(path, content) of CSV texts(path, ext, text) with a record: rows and columns, their names, and the extremes, mean and count of numeric ones."""
+    cells = texts.select("path", "ext", "text").mapInPandas(_csv_cells, "path string, row long, col int, name string, value string")
+    number = F.col("value").try_cast("double")
+    per = cells.groupBy("path", "col", "name").agg(
+        F.max("row").alias("last"), F.count("value").alias("n"), F.count(number).alias("numbers"), F.min(number).alias("low"), F.max(number).alias("high"), F.avg(number).alias("mean"),
+        F.coalesce(F.bool_and(~F.col("value").rlike("[^0-9+-]")), F.lit(False)).alias("whole"),
+    )
+    line = F.concat(statistics_line(F.col("name"), F.col("low"), F.col("high"), F.col("mean"), F.col("whole")), F.lit(", count="), F.col("n"))
+    said = F.struct("col", "name", F.when((F.col("n") > 0) & (F.col("n") == F.col("numbers")), line).alias("line"))
+    whole = per.groupBy("path").agg(F.max("last").alias("last"), F.array_sort(F.collect_list(said)).alias("columns"))
+    head = F.concat(F.lit("[CSV Summary: "), F.col("last") + 1, F.lit(" rows x "), F.size("columns"), F.lit(" columns]"))
+    lines = F.array_join(F.transform("columns", lambda c: c["line"]), "\n")
+    return whole.select("path", F.concat_ws("\n", head, F.concat(F.lit("Columns: "), F.array_join("columns.name", ", ")), F.nullif(lines, F.lit(""))).alias("content"))
+
+
 def flatten_structs(df: DataFrame, joined: str = ".") -> DataFrame:
     """Nested structs as columns of dotted names, as deep as they go."""
     def leaves(schema: StructType, at: tuple[str, ...] = ()):
@@ -192,11 +241,16 @@ def log_documents(logs: DataFrame, key: str = "path", text: str = "content") ->
 
 
 def json_summaries(files: DataFrame, key: str = "path", text: str = "content", most: int = JSON_RECORDS) -> DataFrame:
-    """(key, content) of every file that is a list: how many records it has, how many are listed, and the fields of its objects."""
+    """(key, content) of every file that is a list: how many records it has, how many are listed, the fields of its objects, and a line a numeric field, four levels deep."""
     rows = files.select(key, F.from_json(text, "array<string>").alias("all")).where("all is not null")
     fields = F.array_sort(F.array_distinct(F.flatten(F.transform("all", lambda r: F.coalesce(F.json_object_keys(r), F.array().cast("array<string>"))))))
     said = F.concat(F.lit("JSON list: "), F.size("all"), F.lit(" records, "), F.least(F.size("all"), F.lit(most)), F.lit(" listed"))
-    return rows.select(key, F.concat(said, F.when(F.size(fields) > 0, F.concat(F.lit("\nFields: "), F.array_join(fields, ", "))).otherwise("")).alias("content"))
+    heads = rows.select(key, F.concat(said, F.when(F.size(fields) > 0, F.concat(F.lit("\nFields: "), F.array_join(fields, ", "))).otherwise("")).alias("head"))
+    found = variants.field_statistics(variants.records(files.select(key, text), text), [key], depth=4).where("n_numbers > 0")
+    whole = (F.col("low") == F.floor("low")) & (F.col("high") == F.floor("high"))
+    line = statistics_line(F.col("field"), F.col("low"), F.col("high"), F.col("mean"), whole)
+    lines = found.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("field", line.alias("line")))), lambda s: s["line"]), "\n").alias("lines"))
+    return heads.join(lines, key, "left").select(key, F.concat_ws("\n", "head", "lines").alias("content"))
 
 
 def html_documents(pages: DataFrame, text: str = "html") -> DataFrame:

@@ -76,26 +76,29 @@ def elements(rows: DataFrame, field: tuple[str, ...], name: str = "v") -> DataFr
     return _exploded(lists, name).select(*plain, F.col("pos").cast("long").alias("pos"), F.col("value").alias(name))
 
 
-def fields(rows: DataFrame, name: str = "v") -> DataFrame:
+def fields(rows: DataFrame, name: str = "v", depth: int | None = None) -> DataFrame:
     """rows once a field of the variant's objects, however deep: ``field`` (dotted names) and ``value``.
 
     Objects are opened level by level until no row has one more, so the plan grows with
-    their depth, not with the number of fields.  Values that are no objects have no fields.
+    their depth, not with the number of fields; or only so many levels, without looking
+    at the data, and deeper objects are values.  Values that are no objects have no fields.
     """
     plain = [c for c in rows.columns if c != name]
     level = rows.where(kind(F.col(name)) == "object").withColumn("field", F.lit(None).cast("string")).withColumnRenamed(name, "value")
-    out = level.limit(0)
-    while not level.isEmpty():
+    out, done = level.limit(0), 0
+    while done < depth if depth else not level.isEmpty():
+        done += 1
         inside = _exploded(level.withColumnRenamed("value", "_object"), "_object").where(F.col("key").isNotNull())
         level = inside.select(*plain, F.concat_ws(".", "field", "key").alias("field"), "value")
-        out = out.unionByName(level.where(F.coalesce(kind(F.col("value")) != "object", F.lit(True))))
+        ends = F.lit(True) if done == depth else F.coalesce(kind(F.col("value")) != "object", F.lit(True))
+        out = out.unionByName(level.where(ends))
         level = level.where(kind(F.col("value")) == "object")
     return out
 
 
-def field_statistics(rows: DataFrame, keys: list[str], name: str = "v") -> DataFrame:
+def field_statistics(rows: DataFrame, keys: list[str], name: str = "v", depth: int | None = None) -> DataFrame:
     """Per key and field: n (values that are not null), n_numbers, and low, high and mean (two decimals) of the numbers."""
-    found = fields(rows.select(*keys, name), name)
+    found = fields(rows.select(*keys, name), name, depth)
     number = F.when(kind(F.col("value")) == "number", F.try_variant_get("value", "$", "double"))
     there = F.coalesce(~F.is_variant_null("value"), F.lit(False))
     return found.groupBy(*keys, "field").agg(

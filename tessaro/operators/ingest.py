@@ -84,20 +84,28 @@ def parse_files(files: DataFrame, parsers: tuple[str, ...] = PARSERS) -> DataFra
     """
     files = files.withColumn("parser", parser_of(F.col("path"))).withColumn("ext", extension(F.col("path")))
     parts = [_text_rows(files)] if "text" in parsers else []
-    office = [p for p in parsers if p != "text"]
-    if office:  # some twenty tables are made of the facts: files are opened once
-        found = written(ooxml.facts(files.where(F.col("parser").isin(office))), new_folder(files.sparkSession, "facts"))
+    return reduce(DataFrame.unionByName, parts + _office_rows(files, [p for p in parsers if p != "text"])).where(F.col("content").rlike(r"\S"))
+
+
+def _office_rows(files: DataFrame, parsers: list[str]) -> list[DataFrame]:
+    """Written tables (path, ordinal, content) of Office files: each is planned by itself, and files are opened once for all that is made of them."""
+    if not parsers:
+        return []
+    keep = lambda df: written(df, new_folder(files.sparkSession, "parsed"))
+    found = keep(ooxml.facts(files.where(F.col("parser").isin(parsers))))
+    parts = []
     if "excel" in parsers:
-        book = sheets.row_documents(found).join(found.where("kind = 'sheet'").select("path", F.col("part").alias("sheet"), "part_no"), ["path", "sheet"])
+        book = keep(sheets.row_documents(found)).join(found.where("kind = 'sheet'").select("path", F.col("part").alias("sheet"), "part_no"), ["path", "sheet"])
         rows = book.select("path", (F.col("part_no").cast("long") * 2**21 + F.col("row")).alias("ordinal"), "content")
         unread = found.where("kind = 'error'").where(extension(F.col("path")) == ".xls")
-        parts += [rows, workbook_notes(found), unread.select("path", F.lit(1).cast("long").alias("ordinal"), F.lit("This workbook of the older binary format is not available as text.").alias("content"))]
+        said = F.lit("This workbook of the older binary format is not available as text.")
+        parts += [rows, keep(workbook_notes(found)), unread.select("path", F.lit(1).cast("long").alias("ordinal"), said.alias("content"))]
     if "pptx" in parsers:
-        parts.append(pages.slide_documents(found).select("path", F.col("slide").cast("long").alias("ordinal"), "content"))
+        parts.append(keep(pages.slide_documents(found).select("path", F.col("slide").cast("long").alias("ordinal"), "content")))
     if "word" in parsers:
         words = pages.word_sections(found).select("path", F.col("section_index").cast("long").alias("ordinal"), "content")
-        parts += [words, _beside(found.where(parser_of(F.col("path")) == "word"))]
-    return reduce(DataFrame.unionByName, parts).where(F.col("content").rlike(r"\S"))
+        parts += [keep(words), keep(_beside(found.where(parser_of(F.col("path")) == "word")))]
+    return parts
 
 
 def rejected(files: DataFrame) -> DataFrame:

@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from tessaro.operators import answers, tabular
-from tessaro.operators.ingest import ingest, parse_files
+from tessaro.operators.ingest import ingest, parse_files, rejected
 
 from .test_operators import REL, zipped
 
@@ -48,13 +48,15 @@ def test_ingest(spark):
     df = spark.createDataFrame([(p, bytearray(c)) for p, c in files], "path string, content binary")
     documents, chunks = ingest(df, "u", embed=lambda c: F.array(F.length(c).cast("float")))
     counts = {r["filename"]: r["chunk_count"] for r in documents.collect()}
-    assert counts == {"a.csv": 2, "b.TXT": 3, "c.json": 3, "d.html": 1, "e.xml": 1, "f.xlsx": 0, "h.md": 0}
+    assert counts == {"a.csv": 3, "b.TXT": 3, "c.json": 3, "d.html": 1, "e.xml": 1, "f.xlsx": 0, "h.md": 0}
     by = {}
     for r in chunks.orderBy("document_id", "chunk_index").collect():
         by.setdefault(r["chunk_metadata"]["filename"], []).append((r["chunk_index"], r["content"], r["embedding"]))
-    assert [c for _, c, _ in by["a.csv"]] == ["name: ann | age: 3", "name: bob | age: 4"]
+    summary = "[CSV Summary: 3 rows x 2 columns]\nColumns: name, age\n  age: min=3, max=4, avg=3.50, count=2"
+    assert [c for _, c, _ in by["a.csv"]] == ["name: ann | age: 3", "name: bob | age: 4", summary]
     assert [i for i, _, _ in by["b.TXT"]] == [0, 1, 2] and all(len(c) <= 800 and e == [float(len(c))] for _, c, e in by["b.TXT"])
-    assert [c for _, c, _ in by["c.json"]][:2] == ["a: 1", "a: 2"] and "2" in by["c.json"][2][1]
+    assert [c for _, c, _ in by["c.json"]][:2] == ['{\n  "a": 1\n}', '{\n  "a": 2\n}'] and by["c.json"][2][1] == "JSON list: 2 records, 2 listed\nFields: a\n  a: min=1, max=2, avg=1.50"
+    assert [(r["path"], r["error"][:28]) for r in rejected(df).collect()] == [("/in/g.zzz", "Unsupported file type: .zzz.")]
     assert by["d.html"][0][1] == "hi & bye" and by["e.xml"][0][1] == "[XML Document: r]\n<r> t"
 
 

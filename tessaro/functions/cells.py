@@ -147,11 +147,9 @@ def _formatted(value: Column, nf: Column) -> Column:
 
 
 def scientific(value: Column, decimals: Column) -> Column:
-    """d.ddE+xx; format_string takes the digits from a format made of them."""
-    out = F.format_string("%.2E", value)
-    for d in (1, 3, 4, 5, 6):
-        out = F.when(decimals == d, F.format_string(f"%.{d}E", value)).otherwise(out)
-    return out
+    """d.ddE+xx, with as many decimals as asked for; two for none."""
+    form = F.concat(F.lit("%."), F.when(decimals > 0, decimals).otherwise(2).cast("string"), F.lit("E"))
+    return F.call_function("format_string", form, value)
 
 
 def with_formula(text: Column, formula: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SIZE, OVERLAP = 800, 100
@@ -63,3 +63,23 @@ def chunk_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     kind = dict(docs.dtypes)[key]
     lists = docs.where(F.col(text).isNotNull()).select(key, text).mapInPandas(run, f"{key} {kind}, content array<string>")
     return lists.select(key, F.posexplode("content").alias("chunk_index", "content"))
+
+
+@F.udtf(returnType="chunk_index int, content string", useArrow=True)
+class SplitText:
+    """Rows of a text's chunks, for LATERAL joins in SQL: split_text(text, size, overlap).  Null and blank texts have none."""
+
+    def eval(self, text: str, size: int, overlap: int) -> Iterator[tuple[int, str]]:
+        if text is not None:
+            yield from enumerate(split_text(text, size, overlap))
+
+
+def register(spark: SparkSession) -> None:
+    """Makes split_text known to SQL."""
+    spark.udtf.register("split_text", SplitText)
+
+
+def lateral_chunks(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
+    """chunk_documents by a lateral join: a text's chunks leave row by row, and other columns need not be read."""
+    rows = docs.where(F.col(text).isNotNull()).select(key, F.col(text).alias("_text"))
+    return rows.lateralJoin(SplitText(F.col("_text").outer(), F.lit(size), F.lit(overlap))).select(key, "chunk_index", "content")

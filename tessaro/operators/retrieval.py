@@ -6,9 +6,11 @@ results are counted by source.  All orders end in chunk_id, so limits are determ
 
 from __future__ import annotations
 
+import math
 import warnings
 from collections.abc import Callable
 
+import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,11 +20,9 @@ CANDIDATES, FINAL = 40, 16
 
 
 def question_keywords(question: str) -> list[str]:
-    """The question's keywords; one row of a literal is evaluated."""
-    from pyspark.sql import SparkSession
-
-    spark = SparkSession.getActiveSession()
-    return spark.range(1).select(tx.keywords(F.lit(question)).alias("k")).first()["k"]
+    """The keywords of one question, as ``tx.keywords`` finds them in a column."""
+    found = regex.findall(tx.WORD, question.lower())
+    return [w for w in found if w not in tx.STOPWORDS][: tx.MAX_KEYWORDS]
 
 
 def in_scope(chunks: DataFrame, column: str, ids: list | None) -> DataFrame:
@@ -47,12 +47,12 @@ def cosine_distance(a: Column, b: Column) -> Column:
 
 
 def semantic_search(chunks: DataFrame, query_vector: DataFrame, k: int = CANDIDATES) -> DataFrame:
-    """The k nearest chunks: chunk_id, distance.  query_vector: one row with the column query.
+    """The k nearest chunks: chunk_id, distance, by the whole distance.  query_vector: one row with the column query.
 
     One vector meets every row once; the top k come from each task's own k.
     """
     one = F.broadcast(query_vector.select("query").limit(1))
-    near = chunks.where("embedding is not null").crossJoin(one).select("chunk_id", F.round(cosine_distance(F.col("embedding"), F.col("query")), 6).alias("distance"))
+    near = chunks.where("embedding is not null").crossJoin(one).select("chunk_id", cosine_distance(F.col("embedding"), F.col("query")).alias("distance"))
     return near.where("distance is not null").orderBy("distance", "chunk_id").limit(k)
 
 
@@ -83,8 +83,9 @@ def hybrid_search(
     """Keyword hits, then nearest vectors, each chunk once, cut to top_n: chunk_id, position.
 
     scorer(candidates, question) may return (chunk_id, relevance) to order them by; its
-    order counts only if there are more than top_n candidates.  Without one, or where it
-    fails to give a plan or gives no relevance, the order stays.
+    order counts only if there are more than top_n candidates.  It runs at once, over the
+    candidates only.  Without one, or where it fails, be it at work, or leaves a candidate
+    without a relevance, the order stays.
     """
     legs = [(keyword_search(chunks, question, k), [F.desc("score")]), (semantic_search(chunks, query_vector, k), [F.col("distance")])]
     ranked = first_wins(*legs)
@@ -99,11 +100,18 @@ def hybrid_search(
 
 
 def _scores(scorer: Callable[[DataFrame, str], DataFrame], candidates: DataFrame, question: str) -> DataFrame | None:
+    """The relevance of the candidates, of which there are never more than the lists' limits; None where it cannot be had."""
     try:
-        return scorer(candidates, question)
+        found = {r["chunk_id"]: r["relevance"] for r in scorer(candidates, question).select("chunk_id", F.col("relevance").cast("double")).collect()}
     except Exception as e:  # a reranker is optional: search goes on without it
         warnings.warn(f"reranker left out: {e}", stacklevel=3)
         return None
+    ids = [r["chunk_id"] for r in candidates.select("chunk_id").collect()]
+    if any(found.get(i) is None or math.isnan(found[i]) for i in ids):
+        warnings.warn("reranker left out: a candidate has no relevance", stacklevel=3)
+        return None
+    kind = candidates.schema["chunk_id"].dataType.simpleString()
+    return candidates.sparkSession.createDataFrame([(i, found[i]) for i in ids], f"chunk_id {kind}, relevance double")
 
 
 def results_per_source(results: DataFrame, chunks: DataFrame) -> DataFrame:

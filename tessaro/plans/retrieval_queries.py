@@ -19,7 +19,7 @@ _SCORED = f"""kw AS (SELECT unnest({_KEYWORDS}) AS w),
 scored AS (SELECT d.doc_id AS chunk_id, d.source, sum(CASE WHEN contains(lower(d.text), w) THEN 1 ELSE 0 END)::INT AS score
            FROM documents d, kw GROUP BY ALL HAVING bool_or(d.text ILIKE '%' || w || '%'))"""
 _NEAR = f"""qv AS (SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id = {VECTOR_ID}),
-near AS (SELECT d.doc_id AS chunk_id, d.source, round(1 - list_cosine_similarity(e.embedding::DOUBLE[], q), 6) AS distance
+near AS (SELECT d.doc_id AS chunk_id, d.source, 1 - list_cosine_similarity(e.embedding::DOUBLE[], q) AS distance
          FROM documents d JOIN embeddings e ON e.vec_id = d.doc_id, qv)"""
 
 
@@ -57,9 +57,9 @@ def question_keywords(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select("item_id", F.array_join(tx.keywords(F.col("text")), ",").alias("keywords"))
 
 
-@query(f"WITH {_NEAR} SELECT chunk_id, distance FROM near ORDER BY distance, chunk_id LIMIT 40")
+@query(f"WITH {_NEAR} SELECT chunk_id, round(distance, 6) AS distance FROM (SELECT * FROM near ORDER BY distance, chunk_id LIMIT 40)")
 def semantic_topk(spark, sf_dir):
-    return retrieval.semantic_search(chunks(spark, sf_dir), query_vector(spark, sf_dir))
+    return retrieval.semantic_search(chunks(spark, sf_dir), query_vector(spark, sf_dir)).select("chunk_id", F.round("distance", 6).alias("distance"))
 
 
 @query(f"WITH {_SCORED}, {_NEAR}, {_legs()} SELECT chunk_id, position FROM hybrid")
@@ -171,6 +171,21 @@ def chunk_documents(spark, sf_dir):
     return chunking.chunk_documents(table(spark, sf_dir, "documents"))
 
 
+@query("""SELECT doc_id, 0::BIGINT AS n_long, 0::BIGINT AS n_gaps, 0::BIGINT AS n_elsewhere, 0::BIGINT AS n_lost, length(text) > 800 AS several FROM documents WHERE regexp_matches(text, '[^\\s]')""")
+def chunk_invariants(spark, sf_dir):
+    """Chunks as SQL makes them by LATERAL: too long ones, gaps in their numbers, ones that are no part of the text, and words of the text in none, a document."""
+    chunking.register(spark)
+    table(spark, sf_dir, "documents").select("doc_id", "text").createOrReplaceTempView("chunked_documents")
+    rows = spark.sql("SELECT doc_id, text, chunk_index, content FROM chunked_documents, LATERAL split_text(text, 800, 100)")
+    tokens = lambda c: F.array_remove(F.split(c, r"[\s.]+"), "")
+    per = rows.groupBy("doc_id", "text").agg(
+        F.count_if(F.length("content") > chunking.SIZE).alias("n_long"), (F.max("chunk_index") + 1 - F.count_distinct("chunk_index")).alias("n_gaps"),
+        F.count_if(~F.contains("text", F.col("content"))).alias("n_elsewhere"), F.collect_list("content").alias("chunks"), F.count("*").alias("n"),
+    )
+    lost = F.size(F.array_except(tokens(F.col("text")), F.flatten(F.transform("chunks", tokens))))
+    return per.select("doc_id", "n_long", F.col("n_gaps").cast("long").alias("n_gaps"), "n_elsewhere", lost.cast("long").alias("n_lost"), (F.col("n") > 1).alias("several"))
+
+
 @query()
 def lsh_topk(spark, sf_dir):
     """Approximate neighbours of every fiftieth vector among all; recall is measured in the tests."""

@@ -91,9 +91,24 @@ def column_statistics(spark, sf_dir):
     return out.select("column_name", "n", "min_value", "max_value", F.round("mean_value", 4).alias("mean_value"), F.round("total", 2).alias("total"))
 
 
-@query("SELECT 'Feb__Jan x W1__W2 (4 columns: Jan_W1...Feb_W2)' AS pattern")
+@query("""WITH n AS (SELECT DISTINCT 'M' || strftime(o_orderdate, '%m') AS p, 'Y' || strftime(o_orderdate, '%Y') AS s FROM orders)
+    SELECT min(p) || '__' || max(p) || ' x ' || min(s) || '__' || max(s) || ' (' || count(*) || ' columns: ' || min(p || '_' || s) || '...' || max(p || '_' || s) || ')' AS pattern FROM n""")
 def column_patterns(spark, sf_dir):
-    return spark.range(1).select(F.lit(tabular.column_pattern(["Jan_W1", "Jan_W2", "Feb_W1", "Feb_W2"])).alias("pattern"))
+    """What is said of the columns of a wide table: orders by status, a column a month of each year."""
+    month = F.concat(F.lit("M"), F.date_format("o_orderdate", "MM"), F.lit("_Y"), F.date_format("o_orderdate", "yyyy"))
+    wide = table(spark, sf_dir, "orders").withColumn("month", month).groupBy("o_orderstatus").pivot("month").count()
+    return spark.range(1).select(F.lit(tabular.column_pattern(wide.columns[1:])).alias("pattern"))
+
+
+@query("SELECT n_name, (n_nationkey + n_regionkey)::DOUBLE AS total FROM nation")
+def ir_row_sum(spark, sf_dir):
+    out = tabular.run_query(table(spark, sf_dir, "nation"), tabular.Query("row_sum"))
+    return out.select("n_name", F.col("total").cast("double").alias("total"))
+
+
+@query("SELECT sum(l_linenumber)::BIGINT AS total FROM lineitem")
+def ir_col_sum(spark, sf_dir):
+    return tabular.run_query(table(spark, sf_dir, "lineitem"), tabular.Query("col_sum", col="l_linenumber"))
 
 
 _CELLS = """cells AS (SELECT s_nationkey::VARCHAR AS sheet, (row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1)::INT AS row, s_name, s_suppkey, s_acctbal FROM supplier),

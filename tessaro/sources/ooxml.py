@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame
 #: part: sheet, slide or story; kind: what the fact is; a and b are places (row and column, or order and level).
 FACTS = "path string, part string, part_no int, kind string, a int, b int, name string, text string, number double, flags string, parse_error string"
 _COLUMNS = [c.split()[0] for c in FACTS.split(", ")]
+# Fixed value: columns that a sheet can have.
+LAST_COLUMN = 16_384
 
 
 def _local(tag: str) -> str:
@@ -144,7 +146,7 @@ def _sheet(root: ET.Element, shared: list[str], styles: list[tuple[bool, bool, s
             code = {"s": "s", "inlineStr": "s", "str": "s", "b": "b", "e": "e"}.get(kind, "n")
             yield ("cell", at, column, formula, text, number, "\t".join([code, "b" if bold else "", "f" if filled else "", fmt]))
     for col in _all(root, "col"):
-        for c in range(int(col.attrib["min"]), min(int(col.attrib["max"]), int(col.attrib["min"]) + 255) + 1):
+        for c in range(int(col.attrib["min"]), min(int(col.attrib["max"]), LAST_COLUMN) + 1):
             if col.attrib.get("hidden") in ("1", "true"):
                 yield ("hidden_col", None, c, None, None, None, None)
             if int(col.attrib.get("outlineLevel", 0)):

@@ -4,6 +4,7 @@ import datetime
 import io
 import zipfile
 
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -91,6 +92,44 @@ def test_hybrid_order_scorer_and_scope(spark):
     assert retrieval.hybrid_search(df, "the and", q, k=3, top_n=5).count() == 3
 
 
+def test_a_scorer_that_fails_at_work_or_is_silent(spark):
+    rows = [(i, "needle" if i in (5, 9) else "hay", f"s{i % 2}", [1.0, float(i)]) for i in range(30)]
+    df = spark.createDataFrame(rows, "chunk_id int, content string, source string, embedding array<float>")
+    q = spark.createDataFrame([([1.0, 0.0],)], "query array<float>")
+
+    @F.pandas_udf("double")
+    def failing(ids: pd.Series) -> pd.Series:
+        raise ValueError("out of memory")
+
+    scorers = (
+        lambda c, _: c.select("chunk_id", failing("chunk_id").alias("relevance")), lambda c, _: c.select("chunk_id", F.when(F.col("chunk_id") > 2, 1.0).alias("relevance")),
+        lambda c, _: c.limit(1).select("chunk_id", F.lit(1.0).alias("relevance")),
+    )
+    for scorer in scorers:
+        with pytest.warns(UserWarning, match="reranker"):
+            kept = retrieval.hybrid_search(df, "needle?", q, k=6, top_n=5, scorer=scorer).orderBy("position").collect()
+        assert [r["chunk_id"] for r in kept] == [5, 9, 0, 1, 2]
+
+
+def test_whole_distances_decide(spark):
+    rows = [(1, [1.0, 2e-4]), (2, [1.0, 1e-4]), (3, [1.0, 0.0])]
+    df = spark.createDataFrame(rows, "chunk_id int, embedding array<double>")
+    q = spark.createDataFrame([([1.0, 0.0],)], "query array<double>")
+    assert [r["chunk_id"] for r in retrieval.semantic_search(df, q, 2).collect()] == [3, 2]
+
+
+def test_scientific_formats_of_any_length(spark):
+    shown = {nf: value(spark, cells.format_number(F.lit(1234.5678), F.lit(nf))) for nf in ("0.00000000E+00", "0.0E+00", "0E+00", "0.00E+00")}
+    assert shown == {"0.00000000E+00": "1.23456780E+03", "0.0E+00": "1.2E+03", "0E+00": "1.23E+03", "0.00E+00": "1.23E+03"}
+
+
+def test_lateral_chunks_are_those_of_the_plan(spark):
+    texts = [(1, "word " * 400), (2, None), (3, "  \n"), (4, "x" * 2000 + "\n\nnext. And more"), (5, "short")]
+    df = spark.createDataFrame(texts, "doc_id int, text string").selectExpr("*", "'x' as content", "1 as chunk_index")
+    key = lambda rows: sorted((r["doc_id"], r["chunk_index"], r["content"]) for r in rows.collect())
+    assert key(chunking.lateral_chunks(df)) == key(chunking.chunk_documents(df)) and {r[0] for r in key(chunking.lateral_chunks(df))} == {1, 4, 5}
+
+
 def test_full_context_threshold(spark):
     for n, mode in ((49_999, "full_context"), (50_000, "full_context"), (50_001, "retrieval")):
         df = spark.createDataFrame([("d1", 0, "x" * 100, "f", "s"), ("d1", 1, "y" * (n - 100 - 1 - len("\n--- f ---\n\n")), "f", "s")], "document_id string, chunk_index int, content string, source string, scope string")

@@ -161,7 +161,7 @@ def _sheet(root: ET.Element, shared: list[str], styles: list[tuple[bool, bool, s
         yield ("validation", None, None, x.attrib.get("sqref"), next((f.text for f in _all(x, "formula1")), None), None, x.attrib.get("type"))
     for group in _all(root, "conditionalFormatting"):
         for x in _all(group, "cfRule"):
-            yield ("conditional_format", None, None, group.attrib.get("sqref"), next((f.text for f in _all(x, "formula")), None), None, x.attrib.get("type"))
+            yield ("conditional_format", None, None, group.attrib.get("sqref"), next((f.text for f in _all(x, "formula")), None), None, _rule(x))
     for x in _all(root, "sparklineGroup"):
         for s in _all(x, "sparkline"):
             texts = [n.text for n in s.iter() if n.text and n.text.strip()]
@@ -171,8 +171,21 @@ def _sheet(root: ET.Element, shared: list[str], styles: list[tuple[bool, bool, s
             yield ("setting", None, None, name, " ".join(f"{_local(k)}={v}" for k, v in sorted(x.attrib.items())), None, None)
 
 
+def _rule(rule: ET.Element) -> str:
+    """A conditional format's type, and its scale, bar or icons with their bounds and colours, or the number of its cell format."""
+    said = [rule.attrib.get("type", "")]
+    for name in ("colorScale", "dataBar", "iconSet"):
+        for x in _all(rule, name):
+            bounds = ["=".join(filter(None, (b.attrib.get("type"), b.attrib.get("val")))) for b in _all(x, "cfvo")]
+            colours = [c.attrib.get("rgb") or f"theme {c.attrib.get('theme', '')}" for c in _all(x, "color")]
+            said.append(" ".join([name, *filter(None, [x.attrib.get("iconSet")]), *bounds, *colours]))
+    if "dxfId" in rule.attrib:
+        said.append(f"format {rule.attrib['dxfId']}")
+    return "\t".join(said)
+
+
 def _beside(package: _Package, kind: str, target: str) -> Iterator[tuple]:
-    """Comments, tables and charts that a sheet refers to."""
+    """Comments, tables, charts and pictures that a sheet refers to."""
     root = package.xml(target) if target in package.names and target.endswith(".xml") else None
     if root is None:
         return
@@ -186,6 +199,8 @@ def _beside(package: _Package, kind: str, target: str) -> Iterator[tuple]:
         yield ("table", None, None, root.attrib.get("displayName"), columns, None, root.attrib.get("ref"))
     elif kind == "drawing":
         for inner, part in package.targets(target).values():
+            if inner == "image":
+                yield ("picture", None, None, posixpath.basename(part), None, None, None)
             chart = package.xml(part) if inner == "chart" else None
             if chart is not None:
                 area = next(iter(_all(chart, "plotArea")), chart)

@@ -141,9 +141,16 @@ def sheet_summaries(facts: DataFrame) -> DataFrame:
     return facts.where("part <> '' and part is not null").groupBy("path", F.col("part").alias("sheet")).agg(state, *size, *counts, settings)
 
 
+def images(facts: DataFrame) -> DataFrame:
+    """(path, image, bytes, sheet): every image of a workbook, once a sheet that shows it; null for one that no sheet's drawing refers to."""
+    shown = facts.where("kind = 'picture'").select("path", F.col("name").alias("image"), F.col("part").alias("sheet")).distinct()
+    held = facts.where("kind = 'image'").select("path", F.col("name").alias("image"), F.col("number").cast("long").alias("bytes"))
+    return held.join(shown, ["path", "image"], "left")
+
+
 def annotations(facts: DataFrame) -> DataFrame:
     """(path, sheet, kind, content): comments, links, rules, tables, charts, sparklines, pivots, named ranges, images and properties as lines."""
-    kinds = ("comment", "hyperlink", "validation", "conditional_format", "table", "chart", "sparkline", "pivot", "named_range", "image", "property")
+    kinds = ("comment", "hyperlink", "validation", "conditional_format", "table", "chart", "sparkline", "pivot", "named_range", "image", "picture", "property")
     ref = F.when(F.col("a").isNotNull() & F.col("b").isNotNull(), F.concat(column_letters(F.col("b")), F.col("a")))
     said = (
         F.when(F.col("kind") == "comment", F.concat(F.col("flags"), F.lit(": ["), F.coalesce("name", F.lit("")), F.lit("] "), F.col("text")))

@@ -88,6 +88,37 @@ def test_only_the_first_cell_of_a_merged_range_speaks(spark):
     assert "not available" in ingest.parse_files(old, ("excel",)).first()["content"]
 
 
+def test_images_rules_and_hidden_columns(spark):
+    import io
+    import zipfile
+
+    from tessaro.sources import ooxml, sheets
+
+    rel = lambda *r: '<Relationships xmlns="r">' + "".join(f'<Relationship Id="r{i}" Type="x/{kind}" Target="{to}"/>' for i, (kind, to) in enumerate(r)) + "</Relationships>"
+    rules = (
+        '<cfRule type="colorScale"><colorScale><cfvo type="min"/><cfvo type="num" val="5"/><color rgb="FF0000"/><color theme="4"/></colorScale></cfRule>'
+        '<cfRule type="iconSet"><iconSet iconSet="3Arrows"><cfvo type="percent" val="33"/></iconSet></cfRule><cfRule type="cellIs" dxfId="2"><formula>5</formula></cfRule>'
+    )
+    parts = {
+        "xl/workbook.xml": '<workbook xmlns="m" xmlns:r="r"><sheets><sheet name="One" r:id="r0"/><sheet name="Two" r:id="r1"/></sheets></workbook>',
+        "xl/_rels/workbook.xml.rels": rel(("worksheet", "worksheets/a.xml"), ("worksheet", "worksheets/b.xml")),
+        "xl/worksheets/a.xml": f'<worksheet xmlns="m"><cols><col min="3" max="402" hidden="1"/></cols><sheetData/><conditionalFormatting sqref="A1:A9">{rules}</conditionalFormatting></worksheet>',
+        "xl/worksheets/b.xml": '<worksheet xmlns="m"><sheetData/></worksheet>', "xl/worksheets/_rels/a.xml.rels": rel(("drawing", "../drawings/d.xml")),
+        "xl/worksheets/_rels/b.xml.rels": rel(("drawing", "../drawings/d.xml")), "xl/drawings/d.xml": "<d/>", "xl/drawings/_rels/d.xml.rels": rel(("image", "../media/i.png")),
+        "xl/media/i.png": "12345", "xl/media/lost.png": "1",
+    }
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        for name, text in parts.items():
+            z.writestr(name, text)
+    found = ooxml.facts(spark.createDataFrame([("x.xlsx", "excel", bytearray(out.getvalue()))], "path string, parser string, content binary")).cache()
+    assert sorted((r["image"], r["bytes"], r["sheet"]) for r in sheets.images(found).where("sheet is not null").collect()) == [("i.png", 5, "One"), ("i.png", 5, "Two")]
+    assert [tuple(r)[1:] for r in sheets.images(found).where("sheet is null").collect()] == [("lost.png", 1, None)]
+    assert found.where("kind = 'hidden_col'").count() == 400
+    said = {r["content"] for r in sheets.annotations(found).where("kind = 'conditional_format'").collect()}
+    assert said == {"colorScale colorScale min num=5 FF0000 theme 4 A1:A9", "iconSet iconSet 3Arrows percent=33 A1:A9", "cellIs format 2 A1:A9 5"}
+
+
 def test_numbers_by_blocks(spark):
     rows = [(i % 3 or None, i // 7, (i * 37) % 101) for i in range(100)]
     df = spark.createDataFrame(rows, "k int, b int, v int")

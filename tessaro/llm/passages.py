@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessaro.llm._work import join_on, settle
@@ -173,6 +173,16 @@ def _bitmap(fingerprints: DataFrame) -> np.ndarray:
     return bits
 
 
+def _may_hold(rows: DataFrame, number: Column, numbers: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """rows whose number may be among numbers(fingerprint), of which there are at most BITMAP_MOST, and the rest; told by a bitmap, so the first hold all that are."""
+    bits = rows.sparkSession.createDataFrame([(_bitmap(numbers).view(np.int64).tolist(),)], "_bits array<long>")
+    bit = number.bitwiseAND(F.lit(BITS - 1))
+    held = F.shiftright(F.get("_bits", F.shiftright(bit, 6).cast("int")), number.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1
+    # One row of 8 MB on the other side, read in the condition alone.
+    met = lambda test: rows.join(F.broadcast(bits), test).drop("_bits")
+    return met(held), met(~held)
+
+
 def _segments(read: DataFrame, min_words: int, bitmap_most: int) -> DataFrame:
     """(whole, owner's columns, start, end, windows): stretches that may have an equal, with windows where these may have one elsewhere."""
     owner = [c for c in read.columns if c != "text"]
@@ -212,7 +222,9 @@ def repeated_runs(docs: DataFrame, owner: list[str], min_words: int = MIN_WORDS,
     later = segments.drop("windows").join(firsts.where("n > 1").select("whole", "first"), "whole").where(place > F.col("first"))
     windows = firsts.where("windows is not null").select("first.*", F.posexplode("windows").alias("at", "key"))
     windows = windows.select("key", *owner, (F.col("start") + F.col("at")).alias("start"))
-    origin = windows.groupBy("key").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("key", "first")
+    origin = settle(windows.groupBy("key").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("key", "first"))
+    if origin.count() <= bitmap_most:  # windows that stand alone need no partner
+        windows = _may_hold(windows, F.col("key"), origin.select(F.col("key").alias("fingerprint")))[0]
     elsewhere = ~F.struct(*owner).eqNullSafe(F.struct(*[f"first.{c}" for c in owner]))
     again = windows.join(origin, "key").where((place > F.col("first")) & (elsewhere | (F.col("first.start") + min_words <= F.col("start"))))
     span = lambda end: (F.shiftleft(F.col("start").cast("long"), 32) + end).alias("span")

@@ -293,7 +293,13 @@ def _cleaned(docs: DataFrame, min_words: int, **options) -> DataFrame:
     owner = owner_columns(docs.select(docs["doc_id"].cast("long").alias("doc_id")))
     known = {"doc_id": docs["doc_id"].cast("long"), "text_hash": F.xxhash64(docs["text"])}
     rows = docs.select(*[known[c].alias(c) for c in owner], *[docs[c].alias(f"_c{i}") for i, c in enumerate(docs.columns)])
-    marked = join_on(rows, repeated_runs(docs, owner, min_words, **options), owner, "left")
+    cuts = settle(repeated_runs(docs, owner, min_words, **options))
+    number = lambda df: F.xxhash64(*[df[c] for c in owner])
+    if cuts.count() <= options.get("bitmap_most", BITMAP_MOST):  # texts that nothing is cut from stay where they are
+        some, whole = _may_hold(rows, number(rows), cuts.select(number(cuts).alias("fingerprint")))
+        marked = join_on(some, cuts, owner, "left").unionByName(whole.withColumn("cuts", F.lit(None).cast("array<long>")))
+    else:
+        marked = join_on(rows, cuts, owner, "left")
     text = docs.columns.index("text")
     picked = marked.select(f"_c{text}", "cuts", *[f"_c{i}" for i in range(len(docs.columns)) if i != text])
     kinds = "".join(f", {f.name} {f.dataType.simpleString()}" for f in picked.schema.fields[2:])

@@ -175,9 +175,10 @@ def _bitmap(fingerprints: DataFrame) -> np.ndarray:
 
 def _may_hold(rows: DataFrame, number: Column, numbers: DataFrame) -> tuple[DataFrame, DataFrame]:
     """rows whose number may be among numbers(fingerprint), of which there are at most BITMAP_MOST, and the rest; told by a bitmap, so the first hold all that are."""
-    bits = rows.sparkSession.createDataFrame([(_bitmap(numbers).view(np.int64).tolist(),)], "_bits array<long>")
+    bits = rows.sparkSession.createDataFrame(pa.table({"_bits": pa.array([_bitmap(numbers).view(np.int64)], pa.list_(pa.int64()))}))
     bit = number.bitwiseAND(F.lit(BITS - 1))
-    held = F.shiftright(F.get("_bits", F.shiftright(bit, 6).cast("int")), number.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1
+    word = F.get("_bits", F.shiftright(bit, 6).cast("int"))
+    held = F.call_function("shiftright", word, bit.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1
     # One row of 8 MB on the other side, read in the condition alone.
     met = lambda test: rows.join(F.broadcast(bits), test).drop("_bits")
     return met(held), met(~held)

@@ -181,3 +181,11 @@ def test_cumulative_link_against_its_definition():
 
     after = ordinal_quality._epoch(cuts)(OneBatch(texts, y), params.copy(), 0)
     assert gradient_of_step(params, after, ordinal_quality.STEP) == pytest.approx(numeric_gradient(loss, params), rel=1e-3, abs=1e-6)
+
+
+def test_one_document_a_labelled_id(spark):
+    from tessaro.llm.hashed_text import labelled_terms
+
+    docs = spark.createDataFrame([(1, f"text {i}") for i in range(50)] + [(2, None), (2, "b"), (3, "c"), (None, "d")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0), (2, 1), (3, None), (4, 1)], "doc_id long, y int")
+    assert sorted(r["y"] for r in labelled_terms(docs, labels, 100, 4).collect()) == [0, 1]

@@ -108,3 +108,17 @@ def test_trie_links_connect_what_pairs_connect():
         for a, b in trie.links:
             x, y = set(sets[a]), set(sets[b])
             assert 100 * len(x & y) >= percent * len(x | y)
+
+
+def test_equal_rows_are_verified_once(spark):
+    from pyspark.sql import functions as F
+
+    from tessaro.llm.ngram_join import _one_row_each
+
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, text)] * 300 + [(2, text + " end"), (3, None), (3, None), (None, "a b"), (None, "a b"), (4, "x")]
+    read = spark.createDataFrame(rows, "doc_id long, text string").withColumn("text_hash", F.xxhash64("text"))
+    one = _one_row_each(read, read.select("doc_id", "text_hash"))
+    assert sorted(map(str, ((r["doc_id"], r["text"]) for r in one.collect()))) == sorted(map(str, set(rows)))
+    got = {(r["doc_id"], r["component_id"]) for r in ngram_components(read.drop("text_hash"), n=4, percent=85).collect()}
+    assert got == {(1, 1), (2, 1), (3, 3), (None, None), (4, 4)}

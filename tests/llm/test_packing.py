@@ -111,3 +111,20 @@ def test_the_plan_comes_from_offspring(spark):
     assert len(born) <= least + 1
     again = pack(spark.createDataFrame(rows, SCHEMA).repartition(5), capacity=128).collect()
     assert sorted(again) == sorted(got)
+
+
+def test_pieces_that_fill_a_sequence_stay_outside_the_groups(spark, monkeypatch):
+    from tessaro.llm import packing
+
+    seen = []
+    whole = packing._applier
+    monkeypatch.setattr(packing, "BLOCK_PIECES", 10)
+    monkeypatch.setattr(packing, "_applier", lambda capacity: seen.append(capacity) or whole(capacity))
+    long = " ".join(f"word{i}" for i in range(900))
+    rows = [(i, long, "en", "s", 0) for i in range(12)] + [(99, "short", "en", "s", 0)]
+    got = pack(frame(spark, rows), capacity=32).collect()
+    full = [r for r in got if r["length"] == 32]
+    assert len(full) > 500 and all(r["offset"] == 0 and r["born"] is None and r["sequence_id"] < 0 for r in full)
+    assert len({r["sequence_id"] for r in full}) == len(full) and seen == [32]
+    rest = [r for r in got if r["length"] < 32]
+    assert {r["doc_id"] for r in rest} <= {*range(12), 99} and all(r["born"] is not None and r["sequence_id"] >= 0 for r in rest)

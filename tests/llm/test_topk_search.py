@@ -77,3 +77,9 @@ def test_grid_of_many_tiles_and_shards(spark, monkeypatch):
         monkeypatch.setattr(topk_search, name, value)
     got, queries = run(spark, rows, 7)
     assert got == brute(queries, rows, 7)
+
+
+def test_of_several_queries_of_one_id_the_least_asks(spark):
+    queries = spark.createDataFrame([(1, [2.0, 0.0]), (1, [-1.0, 0.0]), (1, [-1.0, 5.0])], "vec_id long, embedding array<double>")
+    candidates = spark.createDataFrame([(5, [1.0, 0.0]), (6, [-1.0, 0.0])], "vec_id long, embedding array<double>")
+    assert [(r["vec_id"], r["score"]) for r in top_k(queries, candidates, k=1, scale=1).collect()] == [(6, 1)]

@@ -122,7 +122,7 @@ def _csv_cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def csv_summaries(texts: DataFrame) -> DataFrame:
-    """(path, content) of CSV texts(path, ext, text) with a record: rows and columns, their names, and the extremes, mean and count of numeric ones."""
+    """(path, content) of CSV texts(path, ext, text) with a value: rows and columns, their names, and the extremes, mean and count of numeric ones."""
     cells = texts.select("path", "ext", "text").mapInPandas(_csv_cells, "path string, row long, col int, name string, value string")
     number = F.col("value").try_cast("double")
     per = cells.groupBy("path", "col", "name").agg(
@@ -131,7 +131,7 @@ def csv_summaries(texts: DataFrame) -> DataFrame:
     )
     line = F.concat(statistics_line(F.col("name"), F.col("low"), F.col("high"), F.col("mean"), F.col("whole")), F.lit(", count="), F.col("n"))
     said = F.struct("col", "name", F.when((F.col("n") > 0) & (F.col("n") == F.col("numbers")), line).alias("line"))
-    whole = per.groupBy("path").agg(F.max("last").alias("last"), F.array_sort(F.collect_list(said)).alias("columns"))
+    whole = per.groupBy("path").agg(F.max("last").alias("last"), F.sum("n").alias("values"), F.array_sort(F.collect_list(said)).alias("columns")).where("values > 0")
     head = F.concat(F.lit("[CSV Summary: "), F.col("last") + 1, F.lit(" rows x "), F.size("columns"), F.lit(" columns]"))
     lines = F.array_join(F.transform("columns", lambda c: c["line"]), "\n")
     return whole.select("path", F.concat_ws("\n", head, F.concat(F.lit("Columns: "), F.array_join("columns.name", ", ")), F.nullif(lines, F.lit(""))).alias("content"))

@@ -71,7 +71,8 @@ def test_what_is_no_record_is_kept(spark):
         got.setdefault(r["path"].removeprefix("/in/"), []).append(r["content"])
     assert got.pop("long.csv")[0].count("x") == 200_000
     assert got.pop("good.json")[0].split() == ["{", '"a":', "1", "}"]
-    assert got == {"head.csv": ["name,age\n"], "head.tsv": ["name\tage\n\t\n"], "full.csv": ["a: 1 | b: 2"], "bad.json": ['[{"a": 1}, {"a"'], "after.json": ["[1] tail"]}
+    summary = "[CSV Summary: 1 rows x 2 columns]\nColumns: a, b\n  a: min=1, max=1, avg=1.00, count=1\n  b: min=2, max=2, avg=2.00, count=1"
+    assert got == {"head.csv": ["name,age\n"], "head.tsv": ["name\tage\n\t\n"], "full.csv": ["a: 1 | b: 2", summary], "bad.json": ['[{"a": 1}, {"a"'], "after.json": ["[1] tail"]}
 
 
 def test_word_parts_are_kept(spark):

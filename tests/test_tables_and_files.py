@@ -54,8 +54,9 @@ def test_reingest_counts_statuses(spark):
     files = spark.createDataFrame([("a.csv", bytearray(b"n\n1\n2\n")), ("b.txt", bytearray(b"  "))], "path string, content binary")
     documents = spark.createDataFrame([("1", "u", "a.csv", 7), ("2", "u", "b.txt", 7), ("3", "u", "c.txt", 7), ("4", "v", "a.csv", 7)], "id string, user_id string, file_path string, chunk_count int")
     out, chunks, counts = store.reingest(documents, files, lambda c: F.array(F.length(c).cast("float")), parsers=("text",))
-    assert {(r["id"], r["status"], r["chunk_count"]) for r in out.collect()} == {("1", "ok", 2), ("2", "empty", 0), ("3", "missing", 0), ("4", "ok", 2)}
-    assert {(r["id"], r["user_id"], r["content"], r["embedding"][0]) for r in chunks.collect()} == {(f"{d}-{i}", u, f"n: {i + 1}", 4.0) for d, u in (("1", "u"), ("4", "v")) for i in (0, 1)}
+    assert {(r["id"], r["status"], r["chunk_count"]) for r in out.collect()} == {("1", "ok", 3), ("2", "empty", 0), ("3", "missing", 0), ("4", "ok", 3)}
+    rows = chunks.where("content like 'n:%'")  # besides, each file has its statistics
+    assert {(r["id"], r["user_id"], r["content"], r["embedding"][0]) for r in rows.collect()} == {(f"{d}-{i}", u, f"n: {i + 1}", 4.0) for d, u in (("1", "u"), ("4", "v")) for i in (0, 1)}
     assert {r["status"]: r["n_documents"] for r in counts.collect()} == {"ok": 2, "empty": 1, "missing": 1}
 
 
@@ -66,7 +67,8 @@ def test_very_long_csv_fields_and_bad_files_beside_good_ones(spark):
     got = {(r["path"], r["ordinal"]): r["content"] for r in ingest.parse_files(df, ("text",)).collect()}
     assert got["long.csv", 2] == f"a: {long} | b: 2" and got["head.csv", 1] == "a,b\n" and got["good.csv", 2] == "a: 1"
     assert got["l.log", ingest.BESIDE] == "Log issues: 1 errors, 1 warnings\n\nErrors:\nL2: ERROR one\n\nWarnings:\nL3: warn two"
-    assert got["j.json", ingest.BESIDE] == "JSON list: 2 records, 2 listed\nFields: k"
+    assert got["j.json", ingest.BESIDE] == "JSON list: 2 records, 2 listed\nFields: k\n  k: min=1, max=1, avg=1.00"
+    assert got["good.csv", ingest.BESIDE] == "[CSV Summary: 1 rows x 1 columns]\nColumns: a\n  a: min=1, max=1, avg=1.00, count=1"
 
 
 def test_only_the_first_cell_of_a_merged_range_speaks(spark):

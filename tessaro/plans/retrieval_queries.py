@@ -177,6 +177,7 @@ def chunk_invariants(spark, sf_dir):
     chunking.register(spark)
     table(spark, sf_dir, "documents").select("doc_id", "text").createOrReplaceTempView("chunked_documents")
     rows = spark.sql("SELECT doc_id, text, chunk_index, content FROM chunked_documents, LATERAL split_text(text, 800, 100)")
+    spark.catalog.dropTempView("chunked_documents")  # the plan holds what it stood for
     tokens = lambda c: F.array_remove(F.split(c, r"[\s.]+"), "")
     per = rows.groupBy("doc_id", "text").agg(
         F.count_if(F.length("content") > chunking.SIZE).alias("n_long"), (F.max("chunk_index") + 1 - F.count_distinct("chunk_index")).alias("n_gaps"),

@@ -10,13 +10,19 @@ import math
 import warnings
 from collections.abc import Callable
 
+import numpy as np
 import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tessaro.functions import text as tx
+from tessaro.operators import hyperplanes
 
 CANDIDATES, FINAL = 40, 16
+#: Vector components of a shard of chunks and of a group of queries that meet in one task.
+SHARD_NUMBERS, QUERY_NUMBERS = 2**20, 2**18
 
 
 def question_keywords(question: str) -> list[str]:
@@ -121,22 +127,30 @@ def results_per_source(results: DataFrame, chunks: DataFrame) -> DataFrame:
 def lsh_search(chunks: DataFrame, queries: DataFrame, k: int = CANDIDATES, bits: int = 4, tables: int = 24) -> DataFrame:
     """Approximate nearest chunks of queries(query_id, query) by random hyperplanes: query_id, rank, chunk_id, distance.
 
-    Only chunks that share a bucket of one table with the query are compared, each once: in
-    the first table where they meet.  Every vector is in every table.  A plane's components
-    are hashes of its number, so no planes are stored or sent.  Null ids and vectors, and
-    vectors of another length or of zeros, take no part.
+    Only chunks that share a bucket of one table with the query are compared, each once.
+    Every vector is in every table.  A plane's components are hashes of its number.  Few
+    bits find most neighbours and meet most of the chunks, so pairs are no rows: shards of
+    chunks meet groups of queries, and each query leaves k rows a shard.  Null ids and
+    vectors, and vectors of another length, of zeros or with a null, take no part.
     """
-    plane = "xxhash64(t, b, i) / 9.3e18D"
-    side = f"aggregate(transform(v, (x, i) -> x * ({plane})), 0D, (s, x) -> s + x) > 0"
-    bucket = f"transform(sequence(1, {tables}), t -> aggregate(transform(sequence(1, {bits}), b -> if({side}, 1, 0)), 0, (s, x) -> 2 * s + x))"
-
-    def placed(rows: DataFrame, key: str, v: str, name: str) -> DataFrame:
-        kept = rows.where(F.col(key).isNotNull() & F.col(v).isNotNull()).select(key, v, F.col(v).cast("array<double>").alias("v"))
-        return kept.select(key, v, F.expr(bucket).alias(name)).select("*", F.posexplode(name).alias("t", "bucket"))
-
-    asked = placed(queries.select("query_id", "query").dropDuplicates(["query_id"]), "query_id", "query", "asked")
-    met = placed(chunks, "chunk_id", "embedding", "held").join(asked, ["t", "bucket"])
-    first = met.where(F.expr("not exists(slice(zip_with(asked, held, (a, b) -> a = b), 1, t), same -> same)"))
-    near = first.select("query_id", "chunk_id", F.round(cosine_distance(F.col("embedding"), F.col("query")), 6).alias("distance")).where("distance is not null")
+    spark = chunks.sparkSession
+
+    def held(rows: DataFrame, key: str, v: str, name: str) -> DataFrame:
+        kept = rows.where(F.col(key).isNotNull() & F.col(v).isNotNull() & F.exists(v, lambda x: x != 0) & ~F.exists(v, lambda x: x.isNull()))
+        exact = dict(rows.dtypes)[v] in ("array<float>", "array<double>")
+        return kept.select(key, (F.col(v) if exact else F.col(v).cast("array<double>")).alias(name))
+
+    c, q = held(chunks, "chunk_id", "embedding", "v"), held(queries.dropDuplicates(["query_id"]), "query_id", "query", "q")
+    numbers, longest = q.agg(F.sum(F.size("q")), F.max(F.size("q"))).first()
+    cells, groups = (max(1, -(-(n or 0) // most)) for n, most in ((c.agg(F.sum(F.size("v"))).first()[0], SHARD_NUMBERS), (numbers, QUERY_NUMBERS)))
+    parts = f"flatten(transform(sequence(1, {tables}), t -> transform(sequence(1, {bits}), b -> xxhash64(t, b, int(id)) / 9.3e18D)))"
+    planes = np.array([r["p"] for r in spark.range(longest or 0).select("id", F.expr(parts).alias("p")).orderBy("id").collect()]).reshape(-1, tables * bits)
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    # A chunk is copied once a group of queries, a query once a shard.
+    c = c.withColumn("cell", F.pmod(F.xxhash64("chunk_id", "v"), F.lit(cells)).cast("int")).withColumn("group", every(groups))
+    q = q.withColumn("group", F.pmod(F.xxhash64("query_id"), F.lit(groups)).cast("int")).withColumn("cell", every(cells))
+    kind = StructType([StructField("query_id", q.schema["query_id"].dataType), StructField("chunk_id", c.schema["chunk_id"].dataType), StructField("distance", DoubleType())])
+    best = hyperplanes.nearest(k, bits, planes, to_arrow_schema(kind))
+    near = c.groupBy("group", "cell").cogroup(q.groupBy("group", "cell")).applyInArrow(best, kind).withColumn("distance", F.round("distance", 6))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "chunk_id"))
     return near.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "chunk_id", "distance")

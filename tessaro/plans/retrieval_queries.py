@@ -179,9 +179,13 @@ def chunk_invariants(spark, sf_dir):
     rows = spark.sql("SELECT doc_id, text, chunk_index, content FROM chunked_documents, LATERAL split_text(text, 800, 100)")
     spark.catalog.dropTempView("chunked_documents")  # the plan holds what it stood for
     tokens = lambda c: F.array_remove(F.split(c, r"[\s.]+"), "")
-    per = rows.groupBy("doc_id", "text").agg(
-        F.count_if(F.length("content") > chunking.SIZE).alias("n_long"), (F.max("chunk_index") + 1 - F.count_distinct("chunk_index")).alias("n_gaps"),
-        F.count_if(~F.contains("text", F.col("content"))).alias("n_elsewhere"), F.collect_list("content").alias("chunks"), F.count("*").alias("n"),
+    # A text travels once, with its first chunk; the others know it by its hash.
+    rows = rows.select(
+        "doc_id", F.sha2("text", 256).alias("same"), F.when(F.col("chunk_index") == 0, F.col("text")).alias("text"), "chunk_index", "content", (~F.contains("text", F.col("content"))).alias("elsewhere")
+    )
+    per = rows.groupBy("doc_id", "same").agg(
+        F.count_if(F.length("content") > chunking.SIZE).alias("n_long"), (F.max("chunk_index") + 1 - F.size(F.collect_set("chunk_index"))).alias("n_gaps"),
+        F.count_if("elsewhere").alias("n_elsewhere"), F.max("text").alias("text"), F.collect_list("content").alias("chunks"), F.count("*").alias("n"),
     )
     lost = F.size(F.array_except(tokens(F.col("text")), F.flatten(F.transform("chunks", tokens))))
     return per.select("doc_id", "n_long", F.col("n_gaps").cast("long").alias("n_gaps"), "n_elsewhere", lost.cast("long").alias("n_lost"), (F.col("n") > 1).alias("several"))

@@ -4,11 +4,10 @@ from __future__ import annotations
 
 import io
 import zipfile
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType
 
 from tessaro.functions import cells
 from tessaro.functions import text as tx
@@ -18,6 +17,7 @@ from tessaro.plans.catalog import query
 from tessaro.session import table
 from tessaro.sources import ooxml, pages, sheets
 from tessaro.sources.routing import parser_of
+from tessaro.sources.shared import each_row, new_folder, written
 
 #: Rows of a table that one made file holds.
 FILE_ROWS = 20
@@ -141,24 +141,24 @@ def _zipped(parts: dict[str, str]) -> bytes:
     return out.getvalue()
 
 
-@F.pandas_udf(BinaryType())
-def book_of(rows: pd.Series) -> pd.Series:
+def packed(rows: DataFrame, parts: Callable[[str], dict[str, str]]) -> DataFrame:
+    """(path, content): a zip file of rows(path, xml), with the parts that its XML stands in."""
+    return each_row(rows.select("path", "xml"), lambda path, xml: [(path, _zipped(parts(xml)))], "path string, content binary")
+
+
+def _book(rows: str) -> dict[str, str]:
     """A workbook of one sheet from its rows' XML."""
     book = '<workbook xmlns="m" xmlns:r="r"><sheets><sheet name="Parts" sheetId="1" r:id="r1"/></sheets><definedNames><definedName name="Rate">Parts!$A$1</definedName></definedNames></workbook>'
-    parts = lambda x: {"xl/workbook.xml": book, "xl/_rels/workbook.xml.rels": _REL.format(kind="worksheet", target="worksheets/s.xml"), "xl/worksheets/s.xml": f'<worksheet xmlns="m"><sheetData>{x}</sheetData></worksheet>'}
-    return rows.map(lambda x: _zipped(parts(x)))
+    return {"xl/workbook.xml": book, "xl/_rels/workbook.xml.rels": _REL.format(kind="worksheet", target="worksheets/s.xml"), "xl/worksheets/s.xml": f'<worksheet xmlns="m"><sheetData>{rows}</sheetData></worksheet>'}
 
 
-@F.pandas_udf(BinaryType())
-def word_file_of(body: pd.Series) -> pd.Series:
-    return body.map(lambda x: _zipped({"word/document.xml": f'<w:document xmlns:w="w"><w:body>{x}</w:body></w:document>'}))
+def _word_file(body: str) -> dict[str, str]:
+    return {"word/document.xml": f'<w:document xmlns:w="w"><w:body>{body}</w:body></w:document>'}
 
 
-@F.pandas_udf(BinaryType())
-def slide_of(body: pd.Series) -> pd.Series:
+def _slide(body: str) -> dict[str, str]:
     head = '<p:p xmlns:p="p" xmlns:r="http://r"><p:sldIdLst><p:sldId id="256" r:id="r1"/></p:sldIdLst></p:p>'
-    parts = lambda x: {"ppt/presentation.xml": head, "ppt/_rels/presentation.xml.rels": _REL.format(kind="slide", target="slides/slide1.xml"), "ppt/slides/slide1.xml": f'<p:sld xmlns:p="p" xmlns:a="a">{x}</p:sld>'}
-    return body.map(lambda x: _zipped(parts(x)))
+    return {"ppt/presentation.xml": head, "ppt/_rels/presentation.xml.rels": _REL.format(kind="slide", target="slides/slide1.xml"), "ppt/slides/slide1.xml": f'<p:sld xmlns:p="p" xmlns:a="a">{body}</p:sld>'}
 
 
 def books(spark, sf_dir) -> DataFrame:
@@ -172,7 +172,13 @@ def books(spark, sf_dir) -> DataFrame:
     line = F.concat(F.lit('<row r="'), F.col("row"), F.lit('">'), name, size, twice, F.lit("</row>"))
     head = "".join(f'<c r="{c}1" t="inlineStr"><is><t>{t}</t></is></c>' for c, t in zip("ABC", ("Part", "Size", "Twice")))
     rows = placed.groupBy("file").agg(F.concat(F.lit(f'<row r="1">{head}</row>'), ordered_concat(line, F.col("row"), "")).alias("rows"))
-    return rows.select(F.concat(F.lit("b"), F.col("file"), F.lit(".xlsx")).alias("path"), book_of("rows").alias("content")).withColumn("parser", parser_of(F.col("path")))
+    made = packed(rows.select(F.concat(F.lit("b"), F.col("file"), F.lit(".xlsx")).alias("path"), F.col("rows").alias("xml")), _book)
+    return made.withColumn("parser", parser_of(F.col("path")))
+
+
+def book_facts(spark, sf_dir) -> DataFrame:
+    """The workbooks' facts as a table: files are made and opened once for all that is derived from them."""
+    return written(ooxml.facts(books(spark, sf_dir)), new_folder(spark, "facts"))
 
 
 _BOOKS = f"p AS (SELECT p_name, p_size, p_partkey // {FILE_ROWS} AS f, p_partkey % {FILE_ROWS} + 2 AS r FROM part)"
@@ -183,7 +189,7 @@ _BOOKS = f"p AS (SELECT p_name, p_size, p_partkey // {FILE_ROWS} AS f, p_partkey
     || ' | [Row total: ' || 3 * p_size || ', count: 2, avg: ' || format('{{:,.1f}}', 1.5 * p_size) || ']' AS content FROM p"""
 )
 def workbook_rows(spark, sf_dir):
-    return sheets.row_documents(ooxml.facts(books(spark, sf_dir))).select("path", "sheet", F.col("row").cast("int").alias("row"), "content")
+    return sheets.row_documents(book_facts(spark, sf_dir)).select("path", "sheet", F.col("row").cast("int").alias("row"), "content")
 
 
 @query(
@@ -209,26 +215,26 @@ def ingest_workbook(spark, sf_dir):
     SELECT 'b' || f || '.xlsx' AS path, header, count(*) AS n, round(sum(v), 2)::DOUBLE AS total, round(avg(v), 2) AS mean, min(v)::DOUBLE AS low, max(v)::DOUBLE AS high FROM n GROUP BY f, header HAVING count(*) >= 2"""
 )
 def workbook_statistics(spark, sf_dir):
-    return sheets.column_statistics(ooxml.facts(books(spark, sf_dir))).select("path", "header", "n", "total", "mean", "low", "high")
+    return sheets.column_statistics(book_facts(spark, sf_dir)).select("path", "header", "n", "total", "mean", "low", "high")
 
 
 @query(
     f"""WITH {_BOOKS} SELECT 'b' || f || '.xlsx' AS path, count(*) AS formula_count, 0::BIGINT AS cross_sheet_count, string_agg('Parts!C' || r || ': ' || 2 * p_size || ' <- =B' || r || '*2', chr(10) ORDER BY r) AS formulas FROM p GROUP BY f"""
 )
 def workbook_formulas(spark, sf_dir):
-    return sheets.formulas(ooxml.facts(books(spark, sf_dir))).select("path", "formula_count", "cross_sheet_count", "formulas")
+    return sheets.formulas(book_facts(spark, sf_dir)).select("path", "formula_count", "cross_sheet_count", "formulas")
 
 
 @query(
     f"""WITH {_BOOKS} SELECT 'b' || f || '.xlsx' AS path, 'visible' AS visibility, max(r)::INT AS last_row, 3 AS last_col, (3 * count(*) + 3)::BIGINT AS n_cell, 0::BIGINT AS n_merge FROM p GROUP BY f"""
 )
 def workbook_summary(spark, sf_dir):
-    return sheets.sheet_summaries(ooxml.facts(books(spark, sf_dir))).select("path", "visibility", "last_row", "last_col", "n_cell", "n_merge")
+    return sheets.sheet_summaries(book_facts(spark, sf_dir)).select("path", "visibility", "last_row", "last_col", "n_cell", "n_merge")
 
 
 @query(f"""WITH {_BOOKS} SELECT DISTINCT 'b' || f || '.xlsx' AS path, 'named_range' AS kind, 'Rate = Parts!$A$1' AS content FROM p""")
 def workbook_annotations(spark, sf_dir):
-    return sheets.annotations(ooxml.facts(books(spark, sf_dir))).select("path", "kind", "content")
+    return sheets.annotations(book_facts(spark, sf_dir)).select("path", "kind", "content")
 
 
 def _paragraph(text: Column, style: str = "") -> Column:
@@ -239,7 +245,7 @@ def word_files(spark, sf_dir) -> DataFrame:
     nation = table(spark, sf_dir, "nation")
     row = F.concat(F.lit("<w:tbl><w:tr><w:tc>"), _paragraph(F.col("n_name")), F.lit("</w:tc><w:tc>"), _paragraph(F.col("n_regionkey").cast("string")), F.lit("</w:tc></w:tr></w:tbl>"))
     body = F.concat(_paragraph(F.lit("before")), _paragraph(F.col("n_name"), "Heading2"), _paragraph(F.concat(F.lit("key "), "n_nationkey")), row)
-    return nation.select(F.concat(F.lit("w"), "n_nationkey", F.lit(".docx")).alias("path"), word_file_of(body).alias("content"))
+    return packed(nation.select(F.concat(F.lit("w"), "n_nationkey", F.lit(".docx")).alias("path"), body.alias("xml")), _word_file)
 
 
 @query(
@@ -255,7 +261,7 @@ def ingest_word(spark, sf_dir):
 def slide_texts(spark, sf_dir):
     shape = lambda text, size: F.concat(F.lit(f'<p:sp><p:txBody><a:p><a:r><a:rPr sz="{size}"/><a:t>'), text, F.lit("</a:t></a:r></a:p></p:txBody></p:sp>"))
     body = F.concat(shape(F.col("n_name"), 2400), shape(F.concat(F.lit("key "), "n_nationkey"), 1800), shape(F.lit("small"), 1200))
-    files = table(spark, sf_dir, "nation").select(F.concat(F.lit("s"), "n_nationkey", F.lit(".pptx")).alias("path"), slide_of(body).alias("content"))
+    files = packed(table(spark, sf_dir, "nation").select(F.concat(F.lit("s"), "n_nationkey", F.lit(".pptx")).alias("path"), body.alias("xml")), _slide)
     out = pages.slide_documents(ooxml.facts(files.withColumn("parser", parser_of(F.col("path")))))
     return out.select("path", F.col("slide").cast("int").alias("slide"), "title", "content")
 

@@ -4,10 +4,9 @@ from __future__ import annotations
 
 import csv
 import io
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,7 +15,7 @@ from tessaro.operators.chunking import OVERLAP, SIZE, chunk_documents
 from tessaro.operators.context import ordered_concat
 from tessaro.sources import ooxml, pages, sheets, text_files
 from tessaro.sources.routing import already_chunked, extension, parser_of, supported_types
-from tessaro.sources.shared import new_folder, written
+from tessaro.sources.shared import each_row, new_folder, written
 
 DOCS = "path string, ordinal long, content string"
 #: Ordinals of what is beside a file's own rows or sections begin here.
@@ -27,18 +26,16 @@ PARSERS = ("text", "excel", "pptx", "word")
 csv.field_size_limit(2**31 - 1)
 
 
-def _csv_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows of whole CSV texts as ``header: value`` lines; the header is row 1.  Without a record, or where the text is no CSV, it is one row as it is."""
-    for pdf in batches:
-        for path, ext, text in zip(pdf["path"], pdf["ext"], pdf["text"]):
-            separator = "\t" if ext == ".tsv" else text_files._delimiter(text)
-            rows = csv.reader(io.StringIO(text or ""), delimiter=separator)
-            try:
-                names = next(rows, [])
-                out = [(path, n, " | ".join(f"{h}: {v}" for h, v in zip(names, row) if v.strip())) for n, row in enumerate(rows, 2)]
-            except csv.Error:
-                out = []
-            yield pd.DataFrame([r for r in out if r[2]] or [(path, 1, text)], columns=["path", "ordinal", "content"])
+def _csv_rows(path: str, ext: str, text: str | None) -> list[tuple]:
+    """Rows of a whole CSV text as ``header: value`` lines; the header is row 1.  Without a record, or where the text is no CSV, it is one row as it is."""
+    separator = "\t" if ext == ".tsv" else text_files._delimiter(text)
+    rows = csv.reader(io.StringIO(text or ""), delimiter=separator)
+    try:
+        names = next(rows, [])
+        out = [(path, n, " | ".join(f"{h}: {v}" for h, v in zip(names, row) if v.strip())) for n, row in enumerate(rows, 2)]
+    except csv.Error:
+        out = []
+    return [r for r in out if r[2]] or [(path, 1, text)]
 
 
 def _beside(found: DataFrame) -> DataFrame:
@@ -116,24 +113,33 @@ def rejected(files: DataFrame) -> DataFrame:
 
 
 def _text_rows(files: DataFrame) -> DataFrame:
-    """(path, ordinal, content) of text files."""
-    texts = files.where("parser = 'text'").select("path", "ext", text_files.decode_text("content").alias("text"))
-    tables = texts.where(F.col("ext").isin(".csv", ".tsv")).mapInPandas(_csv_rows, DOCS)
-    parses = F.from_json("text", "array<string>").isNotNull() & text_files.pretty_json("text")["parse_error"].isNull()
-    is_list = F.coalesce((F.col("ext") == ".json") & F.ltrim("text").startswith("[") & parses, F.lit(False))
-    records = text_files.json_records(texts.where(is_list), text="text").select("path", F.col("record").cast("long").alias("ordinal"), "content")
-    shown = (
-        F.when(F.col("ext").isin(".html", ".htm"), html_text(F.col("text")))
-        .when(F.col("ext") == ".xml", text_files.xml_tree("text")["content"])
-        .when(F.col("ext") == ".json", text_files.pretty_json("text")["content"])
-        .otherwise(F.col("text"))
-    )
-    whole = texts.where(~F.col("ext").isin(".csv", ".tsv") & ~is_list).select("path", F.lit(1).cast("long").alias("ordinal"), shown.alias("content"))
+    """(path, ordinal, content) of text files.
+
+    Texts are decoded once, into a written table; only the types that it holds are planned for.
+    """
+    decoded = files.where("parser = 'text'").select("path", "ext", text_files.decode_text("content").alias("text"))
+    texts = written(decoded, new_folder(files.sparkSession, "texts"))
+    there = {r["ext"] for r in texts.select("ext").distinct().collect()}  # of the types that parsers take: a few
     again = F.lit(BESIDE).alias("ordinal")
-    summaries = text_files.json_summaries(texts.where(is_list), text="text").select("path", again, "content")
-    numbers = text_files.csv_summaries(texts.where(F.col("ext").isin(".csv", ".tsv"))).select("path", again, "content")
-    issues = text_files.log_documents(texts.where("ext = '.log'"), text="text").select("path", again, "content")
-    return reduce(DataFrame.unionByName, [tables, records, whole, summaries, numbers, issues])
+    shown, is_list = F.col("text"), F.lit(False)
+    parts = []
+    if there & {".csv", ".tsv"}:
+        tables = texts.where(F.col("ext").isin(".csv", ".tsv")).select("path", "ext", "text")
+        parts += [each_row(tables, _csv_rows, DOCS), text_files.csv_summaries(tables).select("path", again, "content")]
+    if ".json" in there:
+        parses = F.from_json("text", "array<string>").isNotNull() & text_files.pretty_json("text")["parse_error"].isNull()
+        is_list = F.coalesce((F.col("ext") == ".json") & F.ltrim("text").startswith("[") & parses, F.lit(False))
+        lists = texts.where(is_list)
+        parts += [text_files.json_records(lists, text="text").select("path", F.col("record").cast("long").alias("ordinal"), "content"), text_files.json_summaries(lists, text="text").select("path", again, "content")]
+        shown = F.when(F.col("ext") == ".json", text_files.pretty_json("text")["content"]).otherwise(shown)
+    if ".xml" in there:
+        shown = F.when(F.col("ext") == ".xml", text_files.xml_tree("text")["content"]).otherwise(shown)
+    if there & {".html", ".htm"}:
+        shown = F.when(F.col("ext").isin(".html", ".htm"), html_text(F.col("text"))).otherwise(shown)
+    if ".log" in there:
+        parts.append(text_files.log_documents(texts.where("ext = '.log'"), text="text").select("path", again, "content"))
+    whole = texts.where(~F.col("ext").isin(".csv", ".tsv") & ~is_list).select("path", F.lit(1).cast("long").alias("ordinal"), shown.alias("content"))
+    return reduce(DataFrame.unionByName, parts, whole)
 
 
 def ingest(files: DataFrame, user_id: str, embed: Callable[[Column], Column] | None = None, size: int = SIZE, overlap: int = OVERLAP, parsers: tuple[str, ...] = PARSERS) -> tuple[DataFrame, DataFrame]:

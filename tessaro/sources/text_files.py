@@ -8,7 +8,6 @@ from __future__ import annotations
 import csv
 import io
 import json
-from collections.abc import Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -18,6 +17,7 @@ from pyspark.sql.types import StringType, StructType
 
 from tessaro.functions.text import html_text
 from tessaro.sources import variants
+from tessaro.sources.shared import each_row
 
 # Tried in this order; latin-1 takes anything.
 ENCODINGS = ("utf-8-sig", "utf-8", "utf-16", "latin-1", "cp1252", "cp1256", "iso-8859-6")
@@ -102,28 +102,26 @@ def statistics_line(name: Column, low: Column, high: Column, mean: Column, whole
     return F.concat(F.lit("  "), name, F.lit(": min="), plain_number(low, whole), F.lit(", max="), plain_number(high, whole), F.lit(", avg="), average)
 
 
-def _csv_cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(path, row, col, name, value) of the records of whole CSV texts, the first PROFILE_ROWS; blank lines and records with too many values are left out, no value is null."""
-    for pdf in batches:
-        for path, ext, text in zip(pdf["path"], pdf["ext"], pdf["text"]):
-            records = csv.reader(io.StringIO(text or ""), delimiter="\t" if ext == ".tsv" else _delimiter(text))
-            out, n = [], 0
-            try:
-                names = next(records, [])
-                for record in records:
-                    if record and len(record) <= len(names):
-                        out += [(path, n, i, name, (record[i].strip() or None) if i < len(record) else None) for i, name in enumerate(names)]
-                        n += 1
-                    if n == PROFILE_ROWS:
-                        break
-            except csv.Error:
-                out = []
-            yield pd.DataFrame(out, columns=["path", "row", "col", "name", "value"])
+def _csv_cells(path: str, ext: str, text: str | None) -> list[tuple]:
+    """(path, row, col, name, value) of the records of a whole CSV text, the first PROFILE_ROWS; blank lines and records with too many values are left out, no value is null."""
+    records = csv.reader(io.StringIO(text or ""), delimiter="\t" if ext == ".tsv" else _delimiter(text))
+    out, n = [], 0
+    try:
+        names = next(records, [])
+        for record in records:
+            if record and len(record) <= len(names):
+                out += [(path, n, i, name, (record[i].strip() or None) if i < len(record) else None) for i, name in enumerate(names)]
+                n += 1
+            if n == PROFILE_ROWS:
+                break
+    except csv.Error:
+        out = []
+    return out
 
 
 def csv_summaries(texts: DataFrame) -> DataFrame:
     """(path, content) of CSV texts(path, ext, text) with a value: rows and columns, their names, and the extremes, mean and count of numeric ones."""
-    cells = texts.select("path", "ext", "text").mapInPandas(_csv_cells, "path string, row long, col int, name string, value string")
+    cells = each_row(texts.select("path", "ext", "text"), _csv_cells, "path string, row long, col int, name string, value string")
     number = F.col("value").try_cast("double")
     per = cells.groupBy("path", "col", "name").agg(
         F.max("row").alias("last"), F.count("value").alias("n"), F.count(number).alias("numbers"), F.min(number).alias("low"), F.max(number).alias("high"), F.avg(number).alias("mean"),

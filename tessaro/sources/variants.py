@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, NullType, StructType, VariantType
 
+from tessaro.sources.shared import new_folder, written
+
 _NUMBER = r"^(TINYINT|SMALLINT|INT|BIGINT|FLOAT|DOUBLE|DECIMAL\b.*)$"
 
 
@@ -82,8 +84,12 @@ def fields(rows: DataFrame, name: str = "v", depth: int | None = None) -> DataFr
     Objects are opened level by level until no row has one more, so the plan grows with
     their depth, not with the number of fields; or only so many levels, without looking
     at the data, and deeper objects are values.  Values that are no objects have no fields.
+    Rows that are looked at are written first: they are parsed once, and Spark deals out
+    their levels by splits of files instead of reading all levels of one partition in one task.
     """
     plain = [c for c in rows.columns if c != name]
+    if depth is None:
+        rows = written(rows.where(kind(F.col(name)) == "object"), new_folder(rows.sparkSession, "objects"))
     level = rows.where(kind(F.col(name)) == "object").withColumn("field", F.lit(None).cast("string")).withColumnRenamed(name, "value")
     out, done = level.limit(0), 0
     while done < depth if depth else not level.isEmpty():

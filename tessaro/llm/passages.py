@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,10 +25,13 @@ from pyspark.sql import functions as F
 from tessaro.llm._work import join_on, settle
 
 MIN_WORDS = 50
-#: Rows given on at once; bits of a bitmap of repeated fingerprints (8 MB), and for how many it is used: beyond, they are joined to the texts.
-ROWS, BITS, BITMAP_MOST = 2**17, 2**26, 2**24
+#: Bytes of texts, and of words, that are hashed at once.
+GROUP, SEGMENT = 2**20, 2**17
+#: Bits of a bitmap of repeated fingerprints or of texts with cuts (8 MB), and for how many it is used: beyond, they are joined to the texts.
+BITS, BITMAP_MOST = 2**26, 2**24
 _BASE = 0x9E3779B97F4A7C15
 _BACK = pow(_BASE, -1, 2**64)
+_LENGTH = np.uint64(0xC2B2AE3D27D4EB4F)
 _POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
@@ -44,6 +48,11 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
+#: A random number for each byte, and which bytes part words.
+_BYTES = _mixed(_mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(_BASE)) * np.uint64(_BASE))
+_SPACE = np.isin(np.arange(256), list(b" \t\n\v\f\r"))
+
+
 def _minima(h: np.ndarray, width: int) -> np.ndarray:
     """Of every ``width`` values in a row, where the least stands; its first 32 bits tell, and of equal ones the leftmost."""
     key = (h & ~np.uint64(2**32 - 1)) | np.arange(len(h), dtype=np.uint64)
@@ -53,68 +62,100 @@ def _minima(h: np.ndarray, width: int) -> np.ndarray:
     return (np.minimum(key[:n], key[width - done : width - done + n]) & np.uint64(2**32 - 1)).astype(np.int64)
 
 
+def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of texts that lie one behind the other in data, and how many each text has.
+
+    A word's hash is a sum over its bytes, so that all words of a stretch of texts are
+    hashed at once; a word longer than a segment is hashed by itself.
+    """
+    space = _SPACE[data]
+    cut = offsets[(offsets > 0) & (offsets < len(data))]
+    begins, ends = np.r_[True, space[:-1]][: len(data)], np.r_[space[1:], True][: len(data)]
+    begins[cut], ends[cut - 1] = True, True
+    starts, stops = np.flatnonzero(begins & ~space), np.flatnonzero(ends & ~space) + 1
+    out = np.empty(len(starts), np.uint64)
+    at = 0
+    while at < len(starts):
+        to = max(at + 1, int(np.searchsorted(stops, starts[at] + SEGMENT, "right")))
+        low, high = int(starts[at]), int(stops[to - 1])
+        if high - low > SEGMENT:
+            out[at] = xxhash.xxh3_64_intdigest(data[low:high].tobytes())
+        else:
+            forth, back = _powers(SEGMENT + 1)
+            total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTES[data[low:high]] * forth[: high - low], dtype=np.uint64)])
+            first, last = starts[at:to] - low, stops[at:to] - low
+            out[at:to] = _mixed((total[last] - total[first]) * back[first] + (last - first).astype(np.uint64) * _LENGTH)
+        at = to
+    return out, np.diff(np.searchsorted(starts, offsets))
+
+
 class Stretches:
-    """A text's fingerprints, the windows that select each (``first`` to ``last``), and hashes of windows and stretches."""
+    """Fingerprints of some texts' words (``one``: their hashes, ``counts`` of them a text).
+
+    row: the text that each is of; first to last: the windows that select it, as places in
+    the text; at: first among all the words; hashes of windows (by place among all the
+    words) and of stretches.
+    """
 
-    def __init__(self, words: list[bytes], min_words: int):
-        n = len(words)
+    def __init__(self, one: np.ndarray, counts: np.ndarray, min_words: int):
+        n = len(one)
         forth, back = _powers(n + 1)
-        one = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, n)
         total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(one * forth[:n], dtype=np.uint64)])
         of = lambda k: _mixed((total[k:] - total[:-k]) * back[: n - k + 1])
         short = max(1, 2 * min_words // 5)
         grams = of(short)
         self.windows = of(min_words)
         places = _minima(grams, min_words - short + 1)
-        self.first = np.flatnonzero(np.r_[True, places[1:] != places[:-1]])
-        self.last = np.r_[self.first[1:], len(places)] - 1
-        self.fingerprints = grams[places[self.first]]
-        long = self.last - self.first + min_words
-        whole = (total[self.first + long] - total[self.first]) * back[self.first]
-        self.wholes = _mixed(whole + long.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
-        if len(np.unique(self.wholes)) < len(self.wholes):
-            self._set_apart(min_words)
+        end = np.cumsum(counts)
+        # Windows that lie in one text.
+        whole = np.flatnonzero(np.repeat(end, counts)[: n - min_words + 1] >= np.arange(min_words, n + 1))
+        places = places[whole]
+        new = np.flatnonzero(np.r_[True, places[1:] != places[:-1]][: len(places)])
+        self.at = whole[new]
+        last = whole[np.r_[new[1:], len(places)] - 1] if len(new) else self.at
+        self.row = np.searchsorted(end, self.at, "right")
+        begin = (end - counts)[self.row]
+        self.first, self.last = self.at - begin, last - begin
+        self.fingerprints = grams[places[new]]
+        long = last - self.at + min_words
+        self.wholes = (total[self.at + long] - total[self.at]) * back[self.at]
+        self.wholes = _mixed(self.wholes + long.astype(np.uint64) * _LENGTH)
+        self._set_apart(min_words)
 
     def _set_apart(self, min_words: int) -> None:
         """Stretches that overlap an equal one before them get a hash of their own: their windows are to be told one by one."""
-        last: dict[int, int] = {}
-        for i, (whole, at) in enumerate(zip(self.wholes.tolist(), self.first.tolist())):
-            if at - last.get(whole, -min_words) < min_words:
-                self.wholes[i] = _mixed(self.wholes[i : i + 1] + np.uint64(at + 1))[0]
-            last[whole] = at
-
-
-def _texts(batch: pa.RecordBatch, min_words: int) -> Iterator[tuple[int, Stretches]]:
-    """(row, stretches) of the rows with enough words."""
-    for i, text in enumerate(batch.column("text").cast(pa.large_binary()).to_pylist()):
-        if text is not None and len(words := text.split()) >= min_words:
-            yield i, Stretches(words, min_words)
-
-
-def _held(parts: Iterator[tuple[np.ndarray, ...]]) -> Iterator[list[np.ndarray]]:
-    """Arrays of several texts put together, about ROWS at once."""
-    held, n = [], 0
-    for p in parts:
-        held.append(p)
-        n += len(p[0])
-        if n >= ROWS:
-            yield [np.concatenate(x) for x in zip(*held)]
-            held, n = [], 0
-    if n:
-        yield [np.concatenate(x) for x in zip(*held)]
+        order = np.lexsort((self.at, self.wholes))
+        before, after = order[:-1], order[1:]
+        near = (self.wholes[before] == self.wholes[after]) & (self.row[before] == self.row[after]) & (self.at[after] - self.at[before] < min_words)
+        apart = after[near]
+        self.wholes[apart] = _mixed(self.wholes[apart] + (self.first[apart] + 1).astype(np.uint64))
+
+
+def _texts(batch: pa.RecordBatch, min_words: int) -> Iterator[tuple[int, int, Stretches]]:
+    """(first row, rows, stretches) of texts that are GROUP bytes together, or one longer text; some have too few words for any."""
+    texts = pc.fill_null(batch.column("text").cast(pa.large_binary()), b"")
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
+    low = 0
+    while low < len(texts):
+        high = max(low + 1, int(np.searchsorted(offsets, offsets[low] + GROUP, "right")) - 1)
+        one, counts = word_hashes(data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low])
+        if len(one) >= min_words and counts.max() >= min_words:
+            yield low, high - low, Stretches(one, counts, min_words)
+        low = high
 
 
 def _winnow(min_words: int, owned: bool):
     def winnow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """(fingerprint, whole) of every selected minimum; owned: with its text instead of whole."""
         for batch in batches:
-            for row, fingerprint, whole in _held((np.full(len(s.first), i, np.int32), s.fingerprints, s.wholes) for i, s in _texts(batch, min_words)):
-                columns = [pa.array(fingerprint.view(np.int64))]
+            for low, _, s in _texts(batch, min_words):
+                columns = [pa.array(s.fingerprints.view(np.int64))]
                 if owned:
                     names = _owner(batch)
-                    yield pa.RecordBatch.from_arrays(columns + [batch.column(c).take(pa.array(row)) for c in names], ["fingerprint", *names])
+                    yield pa.RecordBatch.from_arrays(columns + [batch.column(c).take(pa.array(low + s.row)) for c in names], ["fingerprint", *names])
                 else:
-                    yield pa.RecordBatch.from_arrays([*columns, pa.array(whole.view(np.int64))], ["fingerprint", "whole"])
+                    yield pa.RecordBatch.from_arrays([*columns, pa.array(s.wholes.view(np.int64))], ["fingerprint", "whole"])
 
     return winnow
 
@@ -126,48 +167,53 @@ def _owner(batch: pa.RecordBatch) -> list[str]:
 
 def _given(batch: pa.RecordBatch, parts: Iterator[tuple[int, Stretches, np.ndarray, np.ndarray]], min_words: int) -> Iterator[pa.RecordBatch]:
     """The stretches whose fingerprint occurs again; with the hashes of their windows where it stands in different ones."""
+    names = _owner(batch)
+    for low, s, again, apart in parts:
+        kept = np.flatnonzero(again)
+        count = np.where(apart[kept], s.last[kept] - s.first[kept] + 1, 0)
+        each = np.repeat(s.at[kept] - np.cumsum(count) + count, count) + np.arange(count.sum())
+        owner = [batch.column(c).take(pa.array(low + s.row[kept])) for c in names]
+        places = [pa.array(x.astype(np.int32)) for x in (s.first[kept], s.last[kept] + min_words)]
+        # A stretch without windows has the place of none in the list.
+        lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(count)], pa.int32()), pa.array(s.windows[each].view(np.int64)), mask=pa.array(count == 0))
+        yield pa.RecordBatch.from_arrays([pa.array(s.wholes[kept].view(np.int64)), *owner, *places, lists], ["whole", *names, "start", "end", "windows"])
 
-    def held() -> Iterator[tuple[np.ndarray, ...]]:
-        for i, s, again, apart in parts:
-            kept = np.flatnonzero(again)
-            count = np.where(apart[kept], s.last[kept] - s.first[kept] + 1, 0)
-            each = np.repeat(s.first[kept] - np.cumsum(count) + count, count) + np.arange(count.sum())
-            yield np.full(len(kept), i, np.int32), s.wholes[kept], s.first[kept].astype(np.int32), (s.last[kept] + min_words).astype(np.int32), count, s.windows[each]
 
-    for row, whole, start, end, count, window in _held(held()):
-        names = _owner(batch)
-        owner = [batch.column(c).take(pa.array(row)) for c in names]
-        # A stretch without windows has the place of none in the list.
-        lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(count)], pa.int32()), pa.array(window.view(np.int64)), mask=pa.array(count == 0))
-        yield pa.RecordBatch.from_arrays([pa.array(whole.view(np.int64)), *owner, pa.array(start), pa.array(end), lists], ["whole", *names, "start", "end", "windows"])
+def _held(bits: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+    """Whether the bitmap has the lowest bits of each number."""
+    bit = numbers & np.uint64(BITS - 1)
+    return (bits[bit >> np.uint64(6)] >> (bit & np.uint64(63)) & np.uint64(1)).astype(bool)
 
 
 def _by_bitmap(min_words: int, again: np.ndarray, apart: np.ndarray):
-    def held(bits: np.ndarray, fingerprints: np.ndarray) -> np.ndarray:
-        bit = fingerprints & np.uint64(BITS - 1)
-        return (bits[bit >> np.uint64(6)] >> (bit & np.uint64(63)) & np.uint64(1)).astype(bool)
-
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield from _given(batch, ((i, s, held(again, s.fingerprints), held(apart, s.fingerprints)) for i, s in _texts(batch, min_words)), min_words)
+            yield from _given(batch, ((low, s, _held(again, s.fingerprints), _held(apart, s.fingerprints)) for low, _, s in _texts(batch, min_words)), min_words)
 
     return segments
 
 
+def _listed(column: pa.ListArray, s: Stretches) -> np.ndarray:
+    """Whether each fingerprint is in the list of its text."""
+    lists, rows = column.flatten().to_numpy(), np.repeat(np.arange(len(column)), pc.fill_null(column.value_lengths(), 0).to_numpy())
+    known, number = np.unique(np.concatenate([s.fingerprints.view(np.int64), lists]), return_inverse=True)
+    key = np.concatenate([s.row, rows]) * len(known) + number
+    return np.isin(key[: len(s.row)], key[len(s.row) :])
+
+
 def _by_list(min_words: int):
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            again, apart = batch.column("again"), batch.column("apart")
-            known = lambda column, i, s: np.isin(s.fingerprints.view(np.int64), column[i].values.to_numpy())
-            yield from _given(batch, ((i, s, known(again, i, s), known(apart, i, s)) for i, s in _texts(batch, min_words)), min_words)
+            parts = ((low, s, *(_listed(batch.column(c).slice(low, rows), s) for c in ("again", "apart"))) for low, rows, s in _texts(batch, min_words))
+            yield from _given(batch, parts, min_words)
 
     return segments
 
 
-def _bitmap(fingerprints: DataFrame) -> np.ndarray:
-    """The lowest bits of at most BITMAP_MOST fingerprints; never more than a million longs come to the driver."""
-    bit = F.col("fingerprint").bitwiseAND(F.lit(BITS - 1))
-    parts = fingerprints.groupBy(F.shiftright(bit, 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(fingerprint & 63 as int))")).alias("bits")).toPandas()
+def _bitmap(numbers: DataFrame, number: str = "fingerprint") -> np.ndarray:
+    """The lowest bits of at most BITMAP_MOST numbers; never more than a million longs come to the driver."""
+    bit = F.col(number).bitwiseAND(F.lit(BITS - 1))
+    parts = numbers.groupBy(F.shiftright(bit, 6).alias("at")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast({number} & 63 as int))")).alias("bits")).toPandas()
     bits = np.zeros(BITS // 64, np.uint64)
     bits[parts["at"].to_numpy(np.int64)] = parts["bits"].to_numpy(np.int64).view(np.uint64)
     return bits
@@ -276,16 +322,23 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([texts, pa.array(lines, pa.int32()), pa.array(words, pa.int64()), *batch.columns[2:]], names)
 
 
-def _cleaned(docs: DataFrame, min_words: int, **options) -> DataFrame:
+def _cleaned(docs: DataFrame, min_words: int, bitmap_most: int = BITMAP_MOST) -> DataFrame:
     """_clean, _removed_lines and _removed_words of every row, and its other columns as _c0, _c1, ..."""
     owner = owner_columns(docs.select(docs["doc_id"].cast("long").alias("doc_id")))
     known = {"doc_id": docs["doc_id"].cast("long"), "text_hash": F.xxhash64(docs["text"])}
     rows = docs.select(*[known[c].alias(c) for c in owner], *[docs[c].alias(f"_c{i}") for i, c in enumerate(docs.columns)])
-    marked = join_on(rows, repeated_runs(docs, owner, min_words, **options), owner, "left")
-    text = docs.columns.index("text")
-    picked = marked.select(f"_c{text}", "cuts", *[f"_c{i}" for i in range(len(docs.columns)) if i != text])
-    kinds = "".join(f", {f.name} {f.dataType.simpleString()}" for f in picked.schema.fields[2:])
-    return picked.mapInArrow(_cut, "_clean string, _removed_lines int, _removed_words long" + kinds)
+    cuts = settle(repeated_runs(docs, owner, min_words, bitmap_most=bitmap_most))
+    text, others = f"_c{docs.columns.index('text')}", [f"_c{i}" for i, c in enumerate(docs.columns) if c != "text"]
+    kinds = "".join(f", {f.name} {f.dataType.simpleString()}" for f in rows.select(*others).schema.fields)
+    cut = lambda some: join_on(some, cuts, owner, "left").select(text, "cuts", *others).mapInArrow(_cut, "_clean string, _removed_lines int, _removed_words long" + kinds)
+    if cuts.count() > bitmap_most:
+        return cut(rows)
+    # Only texts that something is cut from travel, and a few that share a bit with them.
+    number = F.xxhash64(*owner)
+    bits = _bitmap(cuts.select(number.alias("number")), "number")
+    marked = F.arrow_udf(lambda numbers: pa.array(_held(bits, numbers.to_numpy().view(np.uint64))), "boolean")(number)
+    none = rows.where(~marked).select(F.col(text).alias("_clean"), F.lit(0).alias("_removed_lines"), F.lit(0).cast("long").alias("_removed_words"), *others)
+    return cut(rows.where(marked)).union(none)
 
 
 def passage_report(docs: DataFrame, min_words: int = MIN_WORDS, **options) -> DataFrame:

@@ -81,3 +81,42 @@ def test_query_and_stage_cut_inside_lines(spark, tmp_path):
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     assert {r["doc_id"]: r["removed_words"] for r in op3_line_dedup(spark, str(tmp_path)).collect()} == {1: 0, 2: 60}
     assert {r["doc_id"]: r["text"] for r in dict(corpus_pipeline.STAGES)["line dedup"](spark, docs, str(tmp_path)).collect()}[2] == "three four"
+
+
+def test_words_of_many_texts_are_hashed_at_once(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    from tessaro.llm import passages
+
+    rng = random.Random(4)
+    texts = [rng.choice(["", " \n", "a", "ab", "ü b", "x" * 300])] + ["".join(rng.choice("ab \n\té") for _ in range(rng.randint(0, 400))) for _ in range(80)] + [None, "y" * 90 + " z"]
+    batch = pa.record_batch({"text": pa.array(texts)})
+    known, seen = {}, 0
+    monkeypatch.setattr(passages, "SEGMENT", 64)
+    data = [(t or "").encode() for t in texts]
+    for group in (data, *[[t] for t in data]):
+        hashes, counts = passages.word_hashes(np.frombuffer(b"".join(group), np.uint8), np.cumsum([0, *map(len, group)]))
+        want = [w for t in group for w in t.split()]
+        assert counts.tolist() == [len(t.split()) for t in group] and len(hashes) == len(want)
+        assert all(known.setdefault(w, h) == h for w, h in zip(want, hashes.tolist()))
+    assert len(set(known.values())) == len(known)
+    for least in (3, 10):
+        found = []
+        for size in (1, 500, 2**20):
+            monkeypatch.setattr(passages, "GROUP", size)
+            rows = [x for low, _, s in passages._texts(batch, least) for x in zip((low + s.row).tolist(), s.first.tolist(), s.last.tolist(), s.fingerprints.tolist(), s.wholes.tolist())]
+            found.append(rows)
+            seen += len(rows)
+        assert found[0] == found[1] == found[2]
+        assert {r[0] for r in found[0]} == {i for i, t in enumerate(data) if len(t.split()) >= least}
+    assert seen > 500
+
+
+def test_only_texts_with_cuts_travel(spark):
+    run = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, f"one {run}", "en", "s", 0), (2, f"two {run}", "en", "s", 0)] + [(i, f"text {i}", "en", "s", 0) for i in range(3, 400)]
+    report = passage_report(frame(spark, rows))
+    assert {r["doc_id"]: r["text"] for r in report.collect()} == {1: rows[0][1], 2: "two"} | {r[0]: r[1] for r in rows[2:]}
+    plan = report._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" in plan and plan.count("Join") == 1 and plan.count("ArrowEvalPython") == 2

@@ -11,6 +11,8 @@ from collections.abc import Callable, Iterable
 from functools import reduce
 from typing import Any
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -20,6 +22,8 @@ from tessaro.functions.binding import let  # noqa: F401
 SPACE = r"[\x20\x09-\x0D]+"
 #: Rows of a side that is broadcast, and bytes of its files: some tens of MB at most.
 BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 16_000_000
+#: Bits of a bitmap of numbers (8 MB).
+BITS = 2**26
 
 _own: list[str] = []
 _written: list[str] = []
@@ -111,6 +115,30 @@ def join_small(left: DataFrame, right: DataFrame, keys: list[str], how: str = "i
     return join_on(left, F.broadcast(right) if is_small(right) else right, keys, how)
 
 
+def bitmap(numbers: DataFrame, number: str) -> np.ndarray:
+    """The lowest bits of a column of well mixed numbers; never more than a million longs come to the driver."""
+    bit = F.col(number).bitwiseAND(F.lit(BITS - 1))
+    parts = numbers.groupBy(F.shiftright(bit, 6).alias("at")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast({number} & 63 as int))")).alias("bits")).toPandas()
+    bits = np.zeros(BITS // 64, np.uint64)
+    bits[parts["at"].to_numpy(np.int64)] = parts["bits"].to_numpy(np.int64).view(np.uint64)
+    return bits
+
+
+def in_bitmap(bits: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+    """Whether the bitmap has the lowest bits of each number (unsigned)."""
+    bit = numbers & np.uint64(BITS - 1)
+    return (bits[bit >> np.uint64(6)] >> (bit & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
+def may_be_among(number: Column, numbers: DataFrame) -> Column:
+    """Whether number shares its lowest bits with one of numbers, a table of that column alone: true for all of them, and for a few others.
+
+    Rows are told apart where they are; only numbers travel.
+    """
+    bits = bitmap(numbers.toDF("number"), "number")
+    return F.arrow_udf(lambda some: pa.array(in_bitmap(bits, some.to_numpy().view(np.uint64))), "boolean")(number)
+
+
 def ranks(df: DataFrame, column: str) -> DataFrame:
     """(column, rank): distinct values numbered from 0 in ascending order, null last; ranges of values are sorted apart."""
     order = F.col(column).asc_nulls_last()

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessaro.llm._work import Remembered, join_on, settle
+from tessaro.llm._work import Remembered, join_on, may_be_among, settle
 from tessaro.llm.components import connected_components
 
 #: Elements are counted in 2 ** SKETCH_BITS cells (4 bytes each), kept as logarithms of one byte: the part that is broadcast.  Each
@@ -100,7 +100,8 @@ def _counter(n: int, bits: int):
             total += np.bincount(np.concatenate(held), minlength=len(total)).astype(np.uint32)
         for at in range(0, len(total), 64 * width):
             parts = [(i // width, total[i : i + width]) for i in range(at, min(at + 64 * width, len(total)), width)]
-            parts = [(i, p.tobytes()) for i, p in parts if p.any()]
+            # Counts of one byte where they fit: most of what travels is small.
+            parts = [(i, (p.astype(np.uint8) if p.max() < 256 else p).tobytes()) for i, p in parts if p.any()]
             yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in parts], pa.int32()), pa.array([p for _, p in parts], pa.binary())], ["segment", "counts"])
 
     return count
@@ -111,7 +112,8 @@ def _adder(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sums: dict[int, np.ndarray] = {}
     for batch in batches:
         for segment, counts in zip(batch.column(0).to_pylist(), batch.column(1)):
-            part = np.frombuffer(counts.as_buffer(), np.uint32).astype(np.int64)
+            raw = counts.as_buffer()
+            part = np.frombuffer(raw, np.uint8 if raw.size == 2**SEGMENT_BITS else np.uint32).astype(np.int64)
             sums[segment] = sums[segment] + part if segment in sums else part
     levels = [np.minimum(255, 12 * np.log2(1 + s)).astype(np.uint8).tobytes() for s in sums.values()]
     yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(levels, pa.binary())], ["segment", "levels"])
@@ -280,7 +282,7 @@ def candidate_edges(classes: DataFrame, percent: int) -> DataFrame:
 
 
 def often_shared(classes: DataFrame, percent: int) -> DataFrame:
-    """classes whose prefixes share as many elements with others as one partner of the least similar size would ask for.
+    """classes whose prefixes share as many elements with others as one partner of the least similar size would ask for, and a few others.
 
     A partner has percent of this set's size at least, so both prefixes share 1 + that size // 50.  Every
     shared element draws one edge at least at each set that shares it with a set of similar size.
@@ -288,7 +290,8 @@ def often_shared(classes: DataFrame, percent: int) -> DataFrame:
     ends = _drawn(classes, percent).select(F.explode(F.array("src", "dst")).alias("sig"))
     counted = ends.groupBy("sig").agg(F.count("*").alias("shared"))
     needed = 1 + F.floor(F.ceil(F.col("size") * percent / 100) / ELEMENTS_A_SHARED)
-    return classes.join(counted, "sig").where(F.col("shared") >= needed).select(*classes.columns)
+    shared = classes.select("sig", "size").join(counted, "sig").where(F.col("shared") >= needed).select("sig")
+    return classes.where(may_be_among(F.col("sig"), shared))
 
 
 # --- the trie -----------------------------------------------------------------
@@ -480,12 +483,18 @@ def _placed_rows(docs: DataFrame, n: int, percent: int) -> DataFrame:
     read = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
     sets = settle(read.mapInArrow(_signer(n, percent, levels), "doc_id long, text_hash long, n_shingles long, sig long, prefix array<long>"))
     filled = sets.where("sig is not null")
-    classes = filled.groupBy("sig").agg(F.min(F.struct("doc_id", "text_hash")).alias("holder"), F.first("n_shingles").alias("size"), F.first("prefix").alias("prefix"))
-    classes = settle(classes.select("sig", "holder.doc_id", "holder.text_hash", "size", "prefix"))
+    # Most sets stand alone: they are classes as they are, and their prefixes do not travel.
+    several = may_be_among(F.col("sig"), filled.groupBy("sig").agg(F.count("*").alias("n")).where("n > 1").select("sig"))
+    classes = filled.where(several).groupBy("sig").agg(F.min(F.struct("doc_id", "text_hash")).alias("holder"), F.first("n_shingles").alias("size"), F.first("prefix").alias("prefix"))
+    alone = filled.where(~several).select("sig", "doc_id", "text_hash", F.col("n_shingles").alias("size"), "prefix")
+    classes = settle(classes.select("sig", "holder.doc_id", "holder.text_hash", "size", "prefix").union(alone))
     # Edges run from size to size: they are drawn anew among the sets that can have a partner.
     blocks = connected_components(candidate_edges(settle(often_shared(classes, percent)), percent))
-    members = blocks.join(classes, blocks["node"] == F.col("sig")).select("sig", "doc_id", "text_hash", "size", F.col("root").alias("block"))
-    links = settle(_all_links(_one_row_each(read, sets), members, _joiner(n, percent, levels)))
+    members = settle(blocks.join(classes, blocks["node"] == F.col("sig")).select("sig", "doc_id", "text_hash", "size", F.col("root").alias("block")))
+    # Only texts of sets that are in a block travel.
+    row = F.xxhash64("doc_id", "text_hash")
+    wanted = read.where(may_be_among(row, members.select(row)))
+    links = settle(_all_links(_one_row_each(wanted, sets), members, _joiner(n, percent, levels)))
     roots = connected_components(links).withColumnsRenamed({"node": "sig", "root": "component"})
     joined = filled.drop("prefix").join(roots, "sig", "left")
     columns = ["doc_id", "text_hash", "n_shingles", "sig"]

@@ -22,13 +22,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessaro.llm._work import join_on, settle
+from tessaro.llm._work import bitmap, in_bitmap, join_on, may_be_among, settle
 
 MIN_WORDS = 50
 #: Bytes of texts, and of words, that are hashed at once.
 GROUP, SEGMENT = 2**20, 2**17
-#: Bits of a bitmap of repeated fingerprints or of texts with cuts (8 MB), and for how many it is used: beyond, they are joined to the texts.
-BITS, BITMAP_MOST = 2**26, 2**24
+#: For how many repeated fingerprints or texts with cuts a bitmap is used: beyond, they are joined to the texts.
+BITMAP_MOST = 2**24
 _BASE = 0x9E3779B97F4A7C15
 _BACK = pow(_BASE, -1, 2**64)
 _LENGTH = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -179,16 +179,10 @@ def _given(batch: pa.RecordBatch, parts: Iterator[tuple[int, Stretches, np.ndarr
         yield pa.RecordBatch.from_arrays([pa.array(s.wholes[kept].view(np.int64)), *owner, *places, lists], ["whole", *names, "start", "end", "windows"])
 
 
-def _held(bits: np.ndarray, numbers: np.ndarray) -> np.ndarray:
-    """Whether the bitmap has the lowest bits of each number."""
-    bit = numbers & np.uint64(BITS - 1)
-    return (bits[bit >> np.uint64(6)] >> (bit & np.uint64(63)) & np.uint64(1)).astype(bool)
-
-
 def _by_bitmap(min_words: int, again: np.ndarray, apart: np.ndarray):
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield from _given(batch, ((low, s, _held(again, s.fingerprints), _held(apart, s.fingerprints)) for low, _, s in _texts(batch, min_words)), min_words)
+            yield from _given(batch, ((low, s, in_bitmap(again, s.fingerprints), in_bitmap(apart, s.fingerprints)) for low, _, s in _texts(batch, min_words)), min_words)
 
     return segments
 
@@ -210,15 +204,6 @@ def _by_list(min_words: int):
     return segments
 
 
-def _bitmap(numbers: DataFrame, number: str = "fingerprint") -> np.ndarray:
-    """The lowest bits of at most BITMAP_MOST numbers; never more than a million longs come to the driver."""
-    bit = F.col(number).bitwiseAND(F.lit(BITS - 1))
-    parts = numbers.groupBy(F.shiftright(bit, 6).alias("at")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast({number} & 63 as int))")).alias("bits")).toPandas()
-    bits = np.zeros(BITS // 64, np.uint64)
-    bits[parts["at"].to_numpy(np.int64)] = parts["bits"].to_numpy(np.int64).view(np.uint64)
-    return bits
-
-
 def _segments(read: DataFrame, min_words: int, bitmap_most: int) -> DataFrame:
     """(whole, owner's columns, start, end, windows): stretches that may have an equal, with windows where these may have one elsewhere."""
     owner = [c for c in read.columns if c != "text"]
@@ -229,7 +214,7 @@ def _segments(read: DataFrame, min_words: int, bitmap_most: int) -> DataFrame:
     repeated = settle(met.where("n > 1").select("fingerprint", (F.col("low") != F.col("high")).alias("apart")))
     if repeated.count() <= bitmap_most:
         # A bit that two fingerprints share lets more stretches through, alike in all texts: the cuts stay the same.
-        return read.mapInArrow(_by_bitmap(min_words, _bitmap(repeated), _bitmap(repeated.where("apart"))), segments)
+        return read.mapInArrow(_by_bitmap(min_words, bitmap(repeated, "fingerprint"), bitmap(repeated.where("apart"), "fingerprint")), segments)
     owned = read.mapInArrow(_winnow(min_words, owned=True), f"fingerprint long, {named}")
     lists = owned.join(repeated, "fingerprint").groupBy(*owner).agg(
         F.collect_set("fingerprint").alias("again"), F.collect_set(F.when(F.col("apart"), F.col("fingerprint"))).alias("apart")
@@ -335,8 +320,7 @@ def _cleaned(docs: DataFrame, min_words: int, bitmap_most: int = BITMAP_MOST) ->
         return cut(rows)
     # Only texts that something is cut from travel, and a few that share a bit with them.
     number = F.xxhash64(*owner)
-    bits = _bitmap(cuts.select(number.alias("number")), "number")
-    marked = F.arrow_udf(lambda numbers: pa.array(_held(bits, numbers.to_numpy().view(np.uint64))), "boolean")(number)
+    marked = may_be_among(number, cuts.select(number))
     none = rows.where(~marked).select(F.col(text).alias("_clean"), F.lit(0).alias("_removed_lines"), F.lit(0).cast("long").alias("_removed_words"), *others)
     return cut(rows.where(marked)).union(none)
 

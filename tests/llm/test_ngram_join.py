@@ -122,3 +122,23 @@ def test_equal_rows_are_verified_once(spark):
     assert sorted(map(str, ((r["doc_id"], r["text"]) for r in one.collect()))) == sorted(map(str, set(rows)))
     got = {(r["doc_id"], r["component_id"]) for r in ngram_components(read.drop("text_hash"), n=4, percent=85).collect()}
     assert got == {(1, 1), (2, 1), (3, 3), (None, None), (4, 4)}
+
+
+def test_only_texts_in_blocks_travel(spark, monkeypatch):
+    seen, whole = [], ngram_join._all_links
+    monkeypatch.setattr(ngram_join, "_all_links", lambda docs, members, join: seen.append(docs.count()) or whole(docs, members, join))
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(i, " ".join(f"{i}x{k}" for k in range(30)), "en", "s", 0) for i in range(300)] + [(1000, text, "en", "s", 0), (1001, text + " end", "en", "s", 0)]
+    got = {r["doc_id"]: r["component_id"] for r in ngram_components(frame(spark, rows), 4, 85).collect()}
+    assert got == {r[0]: min(r[0], 1000) for r in rows} and 2 <= seen[0] < 20
+
+
+def test_counts_of_one_byte_and_more():
+    import numpy as np
+    import pyarrow as pa
+
+    batch = pa.record_batch({"text": pa.array(["a b c d"] * 300 + ["e f g h"])})
+    sent = list(ngram_join._counter(4, 21)(iter([batch])))
+    assert sorted(len(x) for b in sent for x in b.column(1).to_pylist()) == [2**14, 2**16]
+    levels = [x for b in ngram_join._adder(iter(sent + sent)) for x in b.column(1).to_pylist()]
+    assert sorted(max(x) for x in levels) == sorted(int(12 * np.log2(1 + n)) for n in (2, 600))

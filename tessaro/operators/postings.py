@@ -3,7 +3,7 @@
 A keyword consists of letters, digits and underscores, so wherever a text holds it, it
 lies inside one token: a longest stretch of such characters.  The index has two levels:
 
-* postings: (token, chunk_id), dealt and sorted by ranges of both, so a frequent
+* postings: distinct (token, chunk_id), dealt and sorted by ranges of both, so a frequent
   token is spread over files and no list is ever one value;
 * grams: (gram, token, n_tokens) for every three characters of the distinct tokens.
 
@@ -46,7 +46,10 @@ def build(chunks: DataFrame, folder: str | None = None) -> Index:
     folder = folder or new_folder(spark, "postings")
     tokens = F.array_distinct(F.regexp_extract_all(F.lower("content"), F.lit(tx.WORD), 0))
     rows = chunks.where("chunk_id is not null and content is not null").select("chunk_id", F.explode(tokens).alias("token"))
-    postings = written(rows.repartitionByRange("token", "chunk_id").sortWithinPartitions("token", "chunk_id").select("token", "chunk_id"), f"{folder}/postings")
+    # Rows of equal ids can repeat a pair: pairs are made distinct in the order in which they are sorted, not in a table of them.
+    again = F.row_number().over(Window.partitionBy("token", "chunk_id").orderBy("chunk_id"))
+    dealt = rows.repartitionByRange("token", "chunk_id").withColumn("again", again).where("again = 1")
+    postings = written(dealt.select("token", "chunk_id"), f"{folder}/postings")
     per = postings.select("token").distinct().select("token", F.explode(grams(F.col("token"))).alias("gram"))
     held = written(per.repartitionByRange("gram", "token").sortWithinPartitions("gram", "token").select("gram", "token"), f"{folder}/grams")
     return Index(postings, held)

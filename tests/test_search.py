@@ -33,6 +33,13 @@ def test_index_scan_and_single_questions_agree(spark):
     assert {(r["item_id"], r["chunk_id"]): r["score"] for r in scanned} == {k: s for k, (_, s) in want.items()}
 
 
+def test_postings_are_distinct(spark):
+    rows = [(i % 7, "common words of equal ids") for i in range(60)] + [(8, "common common"), (None, "common"), (9, None)]
+    held = postings.build(spark.createDataFrame(rows, "chunk_id long, content string")).postings
+    pairs = [tuple(r) for r in held.select("token", "chunk_id").collect()]
+    assert sorted(pairs) == sorted({(w, i) for i, t in rows if i is not None and t for w in t.split() if len(w) > 2})
+
+
 def test_limit_and_joins_of_large_sides(spark, monkeypatch):
     monkeypatch.setattr(postings, "BROADCAST_ROWS", 0)
     monkeypatch.setattr(keyword_scan, "MOST_CHARACTERS", 6)

@@ -526,12 +526,19 @@ def keep_one(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     Texts without words are in no group.  Rows alike in id and text become one, that of
     the least hash of all columns.  All columns of the kept rows are kept.
     """
-    rows = _placed_rows(docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text")), n, percent)
-    key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
-    rows = settle(rows)
-    first = rows.where("component is not null").groupBy("component").agg(F.min(key).alias("k")).select("k.doc_id", "k.text_hash")
-    kept = first.union(rows.where("component is null").select("doc_id", "text_hash").distinct())
-    whole = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(docs["text"]).alias("text_hash"), F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    rows = settle(_placed_rows(docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text")), n, percent))
+    keys = settle(rows.groupBy("component", "doc_id", "text_hash").agg(F.count("*").alias("n")))
+    key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash", "n")
+    groups = keys.where("component is not null").groupBy("component").agg(F.min(key).alias("k"), F.count("*").alias("keys"))
+    kept = settle(groups.select("component", "k.doc_id", "k.text_hash", "k.n", "keys").union(keys.where("component is null").withColumn("keys", F.lit(1).cast("long"))))
+    # A key that is kept and held by one row stays where it is; only rows of other keys travel.
+    hashed = F.xxhash64("doc_id", "text_hash").alias("number")
+    several = kept.where("keys > 1")
+    others = keys.where("component is not null").where(may_be_among(F.col("component"), several.select("component")))
+    others = join_on(others, several.select("component", "doc_id", "text_hash", F.lit(True).alias("is_kept")), ["component", "doc_id", "text_hash"], "left")
+    number = F.xxhash64(docs["doc_id"].cast("long"), F.xxhash64(docs["text"]))
+    travels = may_be_among(number, others.where("is_kept is null").select(hashed).union(kept.where("n > 1").select(hashed)))
+    whole = docs.where(travels).select(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(docs["text"]).alias("text_hash"), F.struct(*[docs[c] for c in docs.columns]).alias("row"))
     first = F.min_by("row", F.xxhash64(F.to_json("row")))
-    several = join_on(whole, kept, ["doc_id", "text_hash"]).groupBy("doc_id", "text_hash").agg(first.alias("row"))
-    return several.select("row.*")
+    several = join_on(whole, kept.select("doc_id", "text_hash"), ["doc_id", "text_hash"]).groupBy("doc_id", "text_hash").agg(first.alias("row"))
+    return docs.where(~travels).union(several.select("row.*"))

@@ -133,6 +133,21 @@ def test_only_texts_in_blocks_travel(spark, monkeypatch):
     assert got == {r[0]: min(r[0], 1000) for r in rows} and 2 <= seen[0] < 20
 
 
+def test_only_rows_of_groups_travel_when_one_is_kept(spark, monkeypatch):
+    seen, whole = [], ngram_join.join_on
+
+    def join_on(left, right, *more):
+        seen.extend([left.count()] if "row" in left.columns else [])
+        return whole(left, right, *more)
+
+    monkeypatch.setattr(ngram_join, "join_on", join_on)
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(i, " ".join(f"{i}x{k}" for k in range(30)), "en", "s", 0) for i in range(300)] + [(1000, text, "en", "s", 0), (1001, text + " end", "en", "s", 0)]
+    rows += [(2000, "a b", "en", "s", 0), (2000, "a b", "fr", "s", 0), (2001, None, "en", "s", 0), (2001, None, "en", "t", 0), (None, None, "en", "s", 0)]
+    got = [r["doc_id"] for r in keep_one(spark.createDataFrame(rows, SCHEMA), 4, 85).collect()]
+    assert sorted(got, key=str) == sorted([*range(300), 1000, 2000, 2001, None], key=str) and 5 <= seen[-1] < 20
+
+
 def test_counts_of_one_byte_and_more():
     import numpy as np
     import pyarrow as pa

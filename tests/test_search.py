@@ -1,4 +1,5 @@
 import random
+import re
 
 import numpy as np
 import pytest
@@ -40,6 +41,17 @@ def test_postings_are_distinct(spark):
     assert sorted(pairs) == sorted({(w, i) for i, t in rows if i is not None and t for w in t.split() if len(w) > 2})
 
 
+def test_tasks_grow_with_the_input(spark, monkeypatch):
+    chunks, questions = _frames(spark)
+    rows = lambda: sorted(map(tuple, postings.search(postings.build(chunks), chunks, questions).collect()))
+    want = rows()
+    monkeypatch.setattr(postings, "TASK_ROWS", 2)
+    built = postings.build(chunks)
+    assert len(built.postings.inputFiles()) > 4 and len(built.grams.inputFiles()) > 4 and rows() == want
+    found = postings.search(built, chunks, questions.where("item_id <> 4"))
+    assert re.search(r"hashpartitioning\(chunk_id#\d+L?, \d{2,}\), REPARTITION_BY_NUM", found._jdf.queryExecution().executedPlan().toString())
+
+
 def test_limit_and_joins_of_large_sides(spark, monkeypatch):
     monkeypatch.setattr(postings, "BROADCAST_ROWS", 0)
     monkeypatch.setattr(keyword_scan, "MOST_CHARACTERS", 6)

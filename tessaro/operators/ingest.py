@@ -63,7 +63,7 @@ def workbook_notes(found: DataFrame) -> DataFrame:
     shown = lambda c: text_files.plain_number(F.col(c), F.col(c) == F.floor(c))
     head = F.coalesce("header", sheets.column_letters(F.col("col")))
     line = F.concat(F.lit("  "), head, F.lit(":"), *[x for c in ("n", "total", "mean", "low", "high") for x in (F.lit(f" {c}="), shown(c))])
-    columns = sheets.column_statistics(found.where(parser_of(F.col("path")) == "excel")).groupBy("path", "sheet").agg(ordered_concat(line, F.col("col"), "\n").alias("text"))
+    columns = sheets.column_statistics(found).groupBy("path", "sheet").agg(ordered_concat(line, F.col("col"), "\n").alias("text"))
     statistics = columns.join(order, ["path", "sheet"]).select("path", at(2).alias("ordinal"), F.concat(F.lit("Statistics of "), "sheet", F.lit("\n"), "text").alias("content"))
     return summary.unionByName(statistics).unionByName(notes).unionByName(formulas)
 
@@ -92,7 +92,9 @@ def _office_rows(files: DataFrame, parsers: list[str]) -> list[DataFrame]:
     found = keep(ooxml.facts(files.where(F.col("parser").isin(parsers))))
     parts = []
     if "excel" in parsers:
-        book = keep(sheets.row_documents(found)).join(found.where("kind = 'sheet'").select("path", F.col("part").alias("sheet"), "part_no"), ["path", "sheet"])
+        kinds = {r["kind"] for r in found.select("kind").distinct().collect()}  # of facts: some twenty
+        found.cells_of_these = keep(sheets.cells(found))  # what cells show is worked out once for all that is made of it
+        book = keep(sheets.row_documents(found, kinds)).join(found.where("kind = 'sheet'").select("path", F.col("part").alias("sheet"), "part_no"), ["path", "sheet"])
         rows = book.select("path", (F.col("part_no").cast("long") * 2**21 + F.col("row")).alias("ordinal"), "content")
         unread = found.where("kind = 'error'").where(extension(F.col("path")) == ".xls")
         said = F.lit("This workbook of the older binary format is not available as text.")

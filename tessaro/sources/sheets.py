@@ -67,23 +67,28 @@ def _marks(facts: DataFrame, kind: str, place: str) -> DataFrame:
     return facts.where(F.col("kind") == kind).select("path", F.col("part").alias("sheet"), F.col("a" if place == "row" else "b").alias(place)).distinct()
 
 
-def row_documents(facts: DataFrame) -> DataFrame:
+def row_documents(facts: DataFrame, kinds: set[str] | None = None) -> DataFrame:
     """(path, sheet, row, content, hidden, is_totals_row) of rows below the headers.
 
     ``header: value`` by column, with what is to be said of a cell, joined by bars; rows of
     two numbers or more end in their sum, count and mean.  Of a merged range only the first
-    cell speaks.
+    cell speaks.  kinds: the kinds of fact that there are, if they are known; what is made of others is not planned.
     """
+    none = lambda kind: kinds is not None and kind not in kinds
     cell = cells(facts)
     heads = header_rows(cell)
     below = cell.join(heads, [*KEY, "row"], "left_anti").where("shown is not null")
-    ranges = merged(facts)
-    other = (F.col("row") != F.col("_x")) | (F.col("col") != F.col("_y"))
-    secondary = in_rectangles(below.select(*KEY, "row", "col"), ranges, list(KEY)).where(other).select(*KEY, "row", "col").distinct()
-    below = below.join(secondary, [*KEY, "row", "col"], "left_anti")
-    spans = below.join(ranges.withColumn("span", F.concat(F.lit(" [merged "), F.col("row2") - F.col("row") + 1, F.lit("x"), F.col("col2") - F.col("col") + 1, F.lit("]"))).drop("row2", "col2"), [*KEY, "row", "col"], "left")
+    if none("merge"):
+        spans = below.withColumn("span", F.lit(None).cast("string"))
+    else:
+        ranges = merged(facts)
+        other = (F.col("row") != F.col("_x")) | (F.col("col") != F.col("_y"))
+        secondary = in_rectangles(below.select(*KEY, "row", "col"), ranges, list(KEY)).where(other).select(*KEY, "row", "col").distinct()
+        below = below.join(secondary, [*KEY, "row", "col"], "left_anti")
+        spans = below.join(ranges.withColumn("span", F.concat(F.lit(" [merged "), F.col("row2") - F.col("row") + 1, F.lit("x"), F.col("col2") - F.col("col") + 1, F.lit("]"))).drop("row2", "col2"), [*KEY, "row", "col"], "left")
     hidden_cols = _marks(facts, "hidden_col", "col").withColumn("hidden_col", F.lit(True))
-    named = spans.join(headers(cell, heads), [*KEY, "col"], "left").join(hidden_cols, [*KEY, "col"], "left")
+    named = spans.join(headers(cell, heads), [*KEY, "col"], "left")
+    named = named.withColumn("hidden_col", F.lit(False)) if none("hidden_col") else named.join(hidden_cols, [*KEY, "col"], "left")
     label = F.when(F.col("header").isNotNull(), F.concat(F.col("header"), F.lit(": "))).otherwise("")
     said = F.concat(label, F.col("shown"), F.coalesce("span", F.lit("")), F.when(F.col("hidden_col"), " [HIDDEN COL]").otherwise(""), F.when(F.col("bold"), " [bold]").otherwise(""))
     number = F.when((F.col("kind") == "n") & ~F.isnan("number") & (F.abs("number") < float("inf")), F.col("number"))
@@ -92,7 +97,8 @@ def row_documents(facts: DataFrame) -> DataFrame:
     sums = F.when(F.col("n") >= 2, F.concat(F.lit(" | [Row total: "), fixed("total", "#,##0"), F.lit(", count: "), F.col("n"), F.lit(", avg: "), fixed("mean", "#,##0.0"), F.lit("]"))).otherwise("")
     hidden = _marks(facts, "hidden_row", "row").withColumn("hidden", F.lit(True))
     totals = totals_rows(cell).withColumn("is_totals_row", F.lit(True))
-    out = rows.join(hidden, [*KEY, "row"], "left").join(totals, [*KEY, "row"], "left")
+    out = rows.withColumn("hidden", F.lit(False)) if none("hidden_row") else rows.join(hidden, [*KEY, "row"], "left")
+    out = out.join(totals, [*KEY, "row"], "left")
     return out.select(*KEY, "row", F.concat("text", sums).alias("content"), F.coalesce("hidden", F.lit(False)).alias("hidden"), F.coalesce("is_totals_row", F.lit(False)).alias("is_totals_row"))
 
 

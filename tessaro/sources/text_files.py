@@ -8,6 +8,7 @@ from __future__ import annotations
 import csv
 import io
 import json
+from collections.abc import Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -102,21 +103,25 @@ def statistics_line(name: Column, low: Column, high: Column, mean: Column, whole
     return F.concat(F.lit("  "), name, F.lit(": min="), plain_number(low, whole), F.lit(", max="), plain_number(high, whole), F.lit(", avg="), average)
 
 
-def _csv_cells(path: str, ext: str, text: str | None) -> list[tuple]:
-    """(path, row, col, name, value) of the records of a whole CSV text, the first PROFILE_ROWS; blank lines and records with too many values are left out, no value is null."""
-    records = csv.reader(io.StringIO(text or ""), delimiter="\t" if ext == ".tsv" else _delimiter(text))
-    out, n = [], 0
+def _csv_records(ext: str, text: str | None) -> Iterator[list[str]]:
+    return csv.reader(io.StringIO(text or ""), delimiter="\t" if ext == ".tsv" else _delimiter(text))
+
+
+def _csv_cells(path: str, ext: str, text: str | None) -> Iterator[tuple]:
+    """(path, row, col, name, value) of all records of a whole CSV text; blank lines and records with too many values are left out, no value is null.
+
+    A text that is no CSV at any place has none: it is read through first, so that its cells need not be held.
+    """
     try:
-        names = next(records, [])
-        for record in records:
-            if record and len(record) <= len(names):
-                out += [(path, n, i, name, (record[i].strip() or None) if i < len(record) else None) for i, name in enumerate(names)]
-                n += 1
-            if n == PROFILE_ROWS:
-                break
+        for _ in _csv_records(ext, text):
+            pass
     except csv.Error:
-        out = []
-    return out
+        return
+    records = _csv_records(ext, text)
+    names = next(records, [])
+    for n, record in enumerate(r for r in records if r and len(r) <= len(names)):
+        for i, name in enumerate(names):
+            yield path, n, i, name, (record[i].strip() or None) if i < len(record) else None
 
 
 def csv_summaries(texts: DataFrame) -> DataFrame:

@@ -4,7 +4,9 @@ A document is the set of its word n-grams, as 64-bit numbers whose order is the
 one: rare first, by a sketch of how many documents hold each n-gram; the order decides
 how much work there is, never what is linked.  Equal sets are one class.  Two sets of Jaccard similarity t or
 more share k of their n - ceil(t n) + k least elements, and are of sizes within a factor
-of t.  Where few sets share such an element they are paired, and a pair must share k of
+of t.  Sets that share too few such elements with all others leave; what is left is counted
+anew, in a finer sketch that only these sets fill, so that what many share comes last again.
+Where few sets share such an element they are paired, and a pair must share k of
 them; where many do, they are chained from size to size.  Sets joined by these candidate
 edges make up blocks, and a set goes to one block only.  In a block, sets are stored in a
 trie; each new set walks it once, sharing the overlap counted on common paths, and leaves
@@ -31,6 +33,8 @@ from tessaro.llm.components import connected_components
 #: Elements are counted in 2 ** SKETCH_BITS cells (4 bytes each), kept as logarithms of one byte: the part that is broadcast.  Each
 #: task sends its cells, so a width that grew with the corpus would make that grow with its square.  Cells travel in segments.
 SKETCH_BITS, SEGMENT_BITS, CLASS_BITS = 21, 14, 56
+#: The same for the sets that can have a partner: elements of a fraction of the corpus, in eight times the cells.
+FINE_BITS = 24
 #: Sets that share an element are paired up to so many, and chained beyond; a chain counts as this many shared elements.
 PAIRED, CHAINED = 4, 1 << 20
 #: Elements of the sets that one task compares at once; larger blocks are dealt over pairs of parts.
@@ -73,11 +77,11 @@ def ordered_set(text: str | None, n: int, levels: np.ndarray) -> np.ndarray:
 
 
 #: Two sets must share one prefix element, and one more for every so many of their own.
-ELEMENTS_A_SHARED = 50
+ELEMENTS_A_SHARED = 16
 
 
 def prefix_length(size: int, percent: int) -> int:
-    """How many least elements of a set of this size share 1 + size // 50 with any partner's, if the partner's prefix is made alike."""
+    """How many least elements of a set of this size share 1 + size // 16 with any partner's, if the partner's prefix is made alike."""
     return min(size, size - (percent * size + 99) // 100 + 1 + size // ELEMENTS_A_SHARED)
 
 
@@ -94,34 +98,59 @@ def _counter(n: int, bits: int):
                 held.append(_cells(shingle_hashes(text.as_py(), n), bits))
                 waiting += len(held[-1])
                 if waiting > 2_000_000:
-                    total += np.bincount(np.concatenate(held), minlength=len(total)).astype(np.uint32)
+                    _add(total, np.concatenate(held))
                     held, waiting = [], 0
         if held:
-            total += np.bincount(np.concatenate(held), minlength=len(total)).astype(np.uint32)
+            _add(total, np.concatenate(held))
         for at in range(0, len(total), 64 * width):
             parts = [(i // width, total[i : i + width]) for i in range(at, min(at + 64 * width, len(total)), width)]
-            # Counts of one byte where they fit: most of what travels is small.
-            parts = [(i, (p.astype(np.uint8) if p.max() < 256 else p).tobytes()) for i, p in parts if p.any()]
+            parts = [(i, _sent(p, bits > SKETCH_BITS)) for i, p in parts if p.any()]
             yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in parts], pa.int32()), pa.array([p for _, p in parts], pa.binary())], ["segment", "counts"])
 
     return count
 
 
+def _add(total: np.ndarray, cells: np.ndarray) -> None:
+    if len(total) <= 2**SKETCH_BITS:
+        total += np.bincount(cells, minlength=len(total)).astype(np.uint32)
+    else:  # no second table of all cells
+        np.add.at(total, cells, np.uint32(1))
+
+
+def _sent(counts: np.ndarray, sparse: bool) -> bytes:
+    """A segment's counts: in one byte where they fit, most of what travels is small; sparse: as pairs of place and count where few are not 0."""
+    if counts.max() >= 256:
+        return counts.tobytes()
+    at = np.flatnonzero(counts)
+    if not sparse or 4 * len(at) > len(counts):
+        return counts.astype(np.uint8).tobytes()
+    return at.astype(np.uint16).tobytes() + counts[at].astype(np.uint8).tobytes()
+
+
+def _received(raw: pa.Buffer) -> np.ndarray:
+    if raw.size == 2**SEGMENT_BITS:
+        return np.frombuffer(raw, np.uint8).astype(np.int64)
+    if raw.size == 4 * 2**SEGMENT_BITS:
+        return np.frombuffer(raw, np.uint32).astype(np.int64)
+    n = raw.size // 3  # three bytes a pair: never as many as a power of two
+    counts = np.zeros(2**SEGMENT_BITS, np.int64)
+    counts[np.frombuffer(raw, np.uint16, n)] = np.frombuffer(raw, np.uint8, n, 2 * n)
+    return counts
+
+
 def _adder(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sums of segments, one at a time in memory for each that this task was dealt."""
     sums: dict[int, np.ndarray] = {}
     for batch in batches:
         for segment, counts in zip(batch.column(0).to_pylist(), batch.column(1)):
-            raw = counts.as_buffer()
-            part = np.frombuffer(raw, np.uint8 if raw.size == 2**SEGMENT_BITS else np.uint32).astype(np.int64)
+            part = _received(counts.as_buffer())
             sums[segment] = sums[segment] + part if segment in sums else part
     levels = [np.minimum(255, 12 * np.log2(1 + s)).astype(np.uint8).tobytes() for s in sums.values()]
     yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(levels, pa.binary())], ["segment", "levels"])
 
 
-def frequency_levels(docs: DataFrame, n: int) -> np.ndarray:
-    """One byte a cell: how frequent its n-grams are.  2 MB, whatever the corpus; each segment of the cells is summed on its own."""
-    bits = SKETCH_BITS
+def frequency_levels(docs: DataFrame, n: int, bits: int = SKETCH_BITS) -> np.ndarray:
+    """One byte a cell: how frequent its n-grams are.  2 MB (16 MB of FINE_BITS), whatever the corpus; each segment of the cells is summed on its own."""
     counted = docs.select("text").mapInArrow(_counter(n, bits), "segment int, counts binary")
     summed = counted.repartition("segment").mapInArrow(_adder, "segment int, levels binary").collect()
     levels = np.zeros(2**bits, np.uint8)
@@ -275,7 +304,7 @@ def candidate_edges(classes: DataFrame, percent: int) -> DataFrame:
 
     If a pair shares an element that many hold, the chain connects it, if only over sets
     of sizes between; if it shares none such, each shared element draws its edge, and
-    there are 1 + smaller size // 50 at least.
+    there are 1 + smaller size // 16 at least.
     """
     drawn = _drawn(classes, percent).groupBy("src", "dst").agg(F.sum(F.col("shared").cast("long")).alias("shared"), F.max("needed").alias("needed"))
     return drawn.where("shared >= needed").select("src", "dst")
@@ -284,7 +313,7 @@ def candidate_edges(classes: DataFrame, percent: int) -> DataFrame:
 def often_shared(classes: DataFrame, percent: int) -> DataFrame:
     """classes whose prefixes share as many elements with others as one partner of the least similar size would ask for, and a few others.
 
-    A partner has percent of this set's size at least, so both prefixes share 1 + that size // 50.  Every
+    A partner has percent of this set's size at least, so both prefixes share 1 + that size // 16.  Every
     shared element draws one edge at least at each set that shares it with a set of similar size.
     """
     ends = _drawn(classes, percent).select(F.explode(F.array("src", "dst")).alias("sig"))
@@ -477,6 +506,12 @@ def _one_row_each(read: DataFrame, sets: DataFrame) -> DataFrame:
     return several.where("again is null").select("doc_id", "text", "text_hash").unionByName(one)
 
 
+def _signed_anew(read: DataFrame, classes: DataFrame, sign) -> DataFrame:
+    """classes with the prefixes that sign gives their texts; the sigs stay what they are."""
+    made = read.mapInArrow(sign, "doc_id long, text_hash long, n_shingles long, sig long, prefix array<long>").select("doc_id", "text_hash", "prefix")
+    return join_on(classes, made, ["doc_id", "text_hash"]).groupBy("sig").agg(*[F.first(c).alias(c) for c in ("doc_id", "text_hash", "size", "prefix")])
+
+
 def _placed_rows(docs: DataFrame, n: int, percent: int) -> DataFrame:
     """Per row: doc_id, text_hash, n_shingles, sig and component (the sig that leads it), both null for empty sets."""
     levels = docs.sparkSession.sparkContext.broadcast(frequency_levels(docs, n))
@@ -488,13 +523,17 @@ def _placed_rows(docs: DataFrame, n: int, percent: int) -> DataFrame:
     classes = filled.where(several).groupBy("sig").agg(F.min(F.struct("doc_id", "text_hash")).alias("holder"), F.first("n_shingles").alias("size"), F.first("prefix").alias("prefix"))
     alone = filled.where(~several).select("sig", "doc_id", "text_hash", F.col("n_shingles").alias("size"), "prefix")
     classes = settle(classes.select("sig", "holder.doc_id", "holder.text_hash", "size", "prefix").union(alone))
-    # Edges run from size to size: they are drawn anew among the sets that can have a partner.
-    blocks = connected_components(candidate_edges(settle(often_shared(classes, percent)), percent))
-    members = settle(blocks.join(classes, blocks["node"] == F.col("sig")).select("sig", "doc_id", "text_hash", "size", F.col("root").alias("block")))
-    # Only texts of sets that are in a block travel.
+    # Only texts of sets that can have a partner are read from here on, and only those of sets that are in a block travel.
     row = F.xxhash64("doc_id", "text_hash")
-    wanted = read.where(may_be_among(row, members.select(row)))
-    links = settle(_all_links(_one_row_each(wanted, sets), members, _joiner(n, percent, levels)))
+    among = lambda few: may_be_among(row, few.select(row))
+    some = settle(often_shared(classes, percent).drop("prefix"))
+    wanted = settle(read.where(among(some)))
+    fine = docs.sparkSession.sparkContext.broadcast(frequency_levels(wanted, n, FINE_BITS))
+    some = settle(often_shared(settle(_signed_anew(wanted, some, _signer(n, percent, fine))), percent))
+    # Edges run from size to size: they are drawn anew among the sets that can have a partner.
+    blocks = connected_components(candidate_edges(some, percent))
+    members = settle(blocks.join(some, blocks["node"] == F.col("sig")).select("sig", "doc_id", "text_hash", "size", F.col("root").alias("block")))
+    links = settle(_all_links(_one_row_each(wanted.where(among(members)), sets), members, _joiner(n, percent, fine)))
     roots = connected_components(links).withColumnsRenamed({"node": "sig", "root": "component"})
     joined = filled.drop("prefix").join(roots, "sig", "left")
     columns = ["doc_id", "text_hash", "n_shingles", "sig"]

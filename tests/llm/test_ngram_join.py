@@ -157,3 +157,40 @@ def test_counts_of_one_byte_and_more():
     assert sorted(len(x) for b in sent for x in b.column(1).to_pylist()) == [2**14, 2**16]
     levels = [x for b in ngram_join._adder(iter(sent + sent)) for x in b.column(1).to_pylist()]
     assert sorted(max(x) for x in levels) == sorted(int(12 * np.log2(1 + n)) for n in (2, 600))
+
+
+def test_what_many_share_chains_no_blocks_where_the_sketch_is_full(spark, monkeypatch):
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    calls, seen, levels, links = [], [], ngram_join.frequency_levels, ngram_join._all_links
+
+    def first_full(*args):
+        calls.append(args)
+        return levels(*args) if len(calls) > 1 else np.full(2**21, 99, np.uint8)
+
+    def all_links(docs, members, join):
+        seen.append(members.groupBy("block").count().agg(F.max("count")).first()[0])
+        return links(docs, members, join)
+
+    monkeypatch.setattr(ngram_join, "frequency_levels", first_full)
+    monkeypatch.setattr(ngram_join, "_all_links", all_links)
+    rng = random.Random(5)
+    often = [" ".join(f"o{i}x{k}" for k in range(6)) for i in range(12)]
+    rows = []
+    for i in range(60):
+        text = " ".join([*(f"{i}x{k}" for k in range(90)), *rng.sample(often, 4)])
+        rows += [(2 * i, text, "en", "s", 0), (2 * i + 1, text + " end", "en", "s", 0)]
+    assert run(spark, rows, 4, 85) == Counter(brute(rows, 4, 85))
+    assert seen[0] <= 4
+
+
+def test_counts_of_few_places_and_many():
+    import numpy as np
+    import pyarrow as pa
+
+    for many, size in ((3, 9), (5000, 2**14)):
+        counts = np.zeros(2**14, np.uint32)
+        counts[np.arange(many) * 3] = np.arange(many) % 255 + 1
+        sent = ngram_join._sent(counts, True)
+        assert len(sent) == size and (ngram_join._received(pa.py_buffer(sent)) == counts).all()
